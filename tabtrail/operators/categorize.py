@@ -91,6 +91,22 @@ _FALLBACK_SCHEMA = T.StructType([
 ])
 
 
+def fallback_names(s: DataFrame, c: DataFrame,
+                   classifier: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
+    """Classify the distinct (url, title) pairs of rows without ``category_id``.
+
+    Returns url, title, name (trimmed classifier output; 'Uncategorized' when the
+    classifier raised) and category_id (exact name lookup, null when unknown).
+    """
+    classifier = classifier or default_classifier
+    pending = s.filter(F.col("category_id").isNull()).select("url", "title").distinct()
+    classified = pending.mapInPandas(_classify_partitions(classifier), _FALLBACK_SCHEMA)
+    eff_name = F.when(F.col("_fb_error"), F.lit(DEFAULT_CATEGORY_NAME)).otherwise(F.col("_fb_name"))
+    return (classified.withColumn("name", eff_name)
+            .join(_name_to_id(c), F.col("name") == F.col("_cat_name"), "left")
+            .select("url", "title", "name", F.col("_cat_id").alias("category_id")))
+
+
 def categorize(s: DataFrame, c: DataFrame,
                classifier: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
     """Rules first, then the classifier on distinct unmatched (url, title) pairs.
@@ -98,17 +114,11 @@ def categorize(s: DataFrame, c: DataFrame,
     Classifier returns a category *name* per row; it is trimmed and looked up by exact
     name (unknown -> null). A classifier error gives the id of 'Uncategorized'.
     """
-    classifier = classifier or default_classifier
     ruled = categorize_by_rules(s, c)
     cols = ruled.columns
-    pending = ruled.filter(F.col("category_id").isNull()).select("url", "title").distinct()
-    classified = pending.mapInPandas(_classify_partitions(classifier), _FALLBACK_SCHEMA)
-    # a classifier error maps to the 'Uncategorized' row of the same name lookup
-    eff_name = F.when(F.col("_fb_error"), F.lit(DEFAULT_CATEGORY_NAME)).otherwise(F.col("_fb_name"))
-    fb = (classified.withColumn("_fb_eff", eff_name)
-          .join(_name_to_id(c), F.col("_fb_eff") == F.col("_cat_name"), "left")
-          .select(F.col("url").alias("_fb_url"), F.col("title").alias("_fb_title"),
-                  F.col("_cat_id").alias("_fb_id")))
+    fb = fallback_names(ruled, c, classifier).select(
+        F.col("url").alias("_fb_url"), F.col("title").alias("_fb_title"),
+        F.col("category_id").alias("_fb_id"))
     joined = ruled.join(
         fb,
         (F.col("category_id").isNull()) & (F.col("url") == F.col("_fb_url"))
