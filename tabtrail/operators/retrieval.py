@@ -36,8 +36,9 @@ KEYS = ("user_id",)
 MAX_GLOBAL_QUESTIONS = 1024
 
 
-def _truthy(c: Column) -> Column:
-    return c.isNotNull() & (c.cast("string") != "") & (c.cast("string") != "0")
+def _truthy(c: Column, numeric: bool = False) -> Column:
+    """JavaScript truthiness: strings are falsy when null or ''; numbers when null or 0."""
+    return c.isNotNull() & ((c != 0) if numeric else (c != ""))
 
 
 def session_text(title: Column, url: Column, duration: Column, category: Column,
@@ -55,7 +56,7 @@ def session_text(title: Column, url: Column, duration: Column, category: Column,
                  minutes_rounded(F.coalesce(duration, F.lit(0))).cast("string")),
         line("Category: ", category, _truthy(category)),
         line("Notes: ", notes, _truthy(notes)) if notes is not None else F.lit(None),
-        line("Timestamp: ", iso_ts(timestamp), _truthy(timestamp)),
+        line("Timestamp: ", iso_ts(timestamp), _truthy(timestamp, numeric=True)),
     )
 
 
@@ -186,7 +187,7 @@ def _category_block(stats: DataFrame, keys=KEYS) -> DataFrame:
 
 def _relevant_block(matches: DataFrame, keys=KEYS) -> DataFrame:
     t = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"))
-    when_txt = F.when(_truthy(F.col("timestamp")), iso_ts(F.col("timestamp"))) \
+    when_txt = F.when(_truthy(F.col("timestamp"), numeric=True), iso_ts(F.col("timestamp"))) \
         .otherwise(F.lit("Unknown time"))
     line = F.concat(F.lit("- "), F.col("rank").cast("string"), F.lit(". "), t, F.lit(" ("),
                     minutes_rounded(F.coalesce(F.col("duration"), F.lit(0))).cast("string"),

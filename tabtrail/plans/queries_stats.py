@@ -42,8 +42,8 @@ def _c(spark):
 
 # --------------------------------------------------------------------------- wellness
 _TIMES_SQL = f"""
-wt AS (SELECT *, {wellness_case('cname')} AS wtype FROM sj),
-t AS (
+{{p}}wt AS (SELECT *, {wellness_case('cname')} AS wtype FROM sj),
+{{p}}t AS (
   SELECT user_id, {{group}} AS date,
     CAST(sum(CASE WHEN wtype = 'productive' THEN duration ELSE 0 END) AS BIGINT) AS focus_time,
     CAST(sum(CASE WHEN wtype = 'growth' THEN duration ELSE 0 END) AS BIGINT) AS learning_time,
@@ -51,9 +51,13 @@ t AS (
     CAST(sum(CASE WHEN wtype = 'social' THEN duration ELSE 0 END) AS BIGINT) AS social_time,
     CAST(sum(CASE WHEN wtype = 'drain' THEN duration ELSE 0 END) AS BIGINT) AS mindless_time,
     CAST(sum(duration) AS BIGINT) AS total_time
-  FROM wt {{where}} GROUP BY 1, 2)
+  FROM {{p}}wt {{where}} GROUP BY 1, 2)
 """
 
+
+def times_ctes(group: str, where: str = "", prefix: str = "") -> str:
+    return _TIMES_SQL.format(group=group, where=where, p=prefix)
+
 _SCORE_SQL = """CASE WHEN total_time = 0 THEN 0 ELSE CAST(greatest(0, least(100, floor(
   100.0::DOUBLE
   - abs(0.35::DOUBLE - focus_time::DOUBLE / total_time::DOUBLE) * 100.0::DOUBLE
@@ -71,7 +75,7 @@ _DAY = "strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d')"
 WELLNESS_DAILY_SQL = with_prelude(f"""
 SELECT user_id, date, score, {_LABEL_SQL} AS label, focus_time, learning_time, rest_time,
        social_time, mindless_time, total_time
-FROM (SELECT *, {_SCORE_SQL} AS score FROM t)""", _TIMES_SQL.format(group=_DAY, where=""))
+FROM (SELECT *, {_SCORE_SQL} AS score FROM t)""", times_ctes(_DAY))
 
 
 @register("wellness_daily", WELLNESS_DAILY_SQL)
@@ -86,7 +90,7 @@ SELECT user_id, date, score, label, focus_time, learning_time, rest_time, social
     SELECT user_id, date, score, {_LABEL_SQL} AS label, focus_time, learning_time, rest_time,
            social_time, mindless_time, total_time
     FROM (SELECT *, {_SCORE_SQL} AS score FROM t))) WHERE rn <= 7""",
-    _TIMES_SQL.format(group=_DAY, where="")))
+    times_ctes(_DAY)))
 def q_wellness_history(spark, d):
     return st.wellness_history(st.wellness_daily(_s(spark, d), _c(spark)))
 
@@ -96,7 +100,7 @@ SELECT user_id, date, focus_time + learning_time AS focus_time, rest_time,
   CASE WHEN rest_time = 0 THEN (CASE WHEN focus_time + learning_time > 0 THEN 'Infinity'
        ELSE '0:0' END)
        ELSE {fixed_sql('focus_time + learning_time', 'rest_time', 2)} END AS ratio
-FROM t""", _TIMES_SQL.format(group=_DAY, where="")))
+FROM t""", times_ctes(_DAY)))
 def q_focus_rest_ratio(spark, d):
     return st.focus_rest_ratio(_s(spark, d), _c(spark))
 
@@ -110,7 +114,7 @@ FROM t LEFT JOIN (
            lag(cname) OVER (PARTITION BY user_id ORDER BY timestamp, id) AS prev
     FROM sj WHERE timestamp >= {T0} AND timestamp <= {T1}) GROUP BY 1) r
 ON r.user_id = t.user_id""",
-    _TIMES_SQL.format(group="0", where=f"WHERE timestamp >= {T0} AND timestamp <= {T1}")))
+    times_ctes("0", f"WHERE timestamp >= {T0} AND timestamp <= {T1}")))
 def q_today_stats(spark, d):
     return st.today_stats(_s(spark, d), _c(spark), T0, T1)
 
