@@ -23,18 +23,64 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+_META = set(".^$*+?()[]{}|\\")
+
+
 def rule_regex(patterns: list[str]) -> str:
     """One case-insensitive Java regex matching any of ``patterns`` anywhere."""
     return "(?i)(?:" + "|".join(patterns) + ")"
 
 
+def literal_of(pattern: str) -> str | None:
+    """The plain text a pattern matches when it has no regex operator besides escaped
+    punctuation (``\\.``, ``\\/``); None otherwise."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            if i + 1 < len(pattern) and not pattern[i + 1].isalnum():
+                out.append(pattern[i + 1])
+                i += 2
+                continue
+            return None
+        if ch in _META:
+            return None
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
+def ascii_lower(col: Column) -> Column:
+    """Lower-case ASCII letters only (what case-insensitive ASCII patterns compare)."""
+    return F.translate(col, _UPPER, _LOWER)
+
+
+def rule_condition(lowered: Column, patterns: list[str]) -> Column:
+    """Any pattern matches the ASCII-lower-cased URL: plain-text patterns as substring
+    tests, the others as one regex (patterns are lower case, so no case folding)."""
+    lits = [literal_of(p) for p in patterns]
+    cond = None
+    for lit in lits:
+        if lit is not None and lit == lit.lower():
+            c = lowered.contains(lit)
+            cond = c if cond is None else cond | c
+    rest = [p for p, lit in zip(patterns, lits) if lit is None or lit != lit.lower()]
+    if rest:
+        c = lowered.rlike("(?:" + "|".join(rest) + ")") if all(p == p.lower() for p in rest) \
+            else lowered.rlike(rule_regex(rest))
+        cond = c if cond is None else cond | c
+    return cond
+
+
 def category_by_url(url, rules=None) -> Column:
     """Name of the first category whose rule matches ``url``; null when none does."""
     rules = URL_RULES if rules is None else rules
-    u = _c(url)
+    lowered = ascii_lower(_c(url))
     expr = None
     for name, patterns in rules:
-        cond = u.rlike(rule_regex(patterns))
+        cond = rule_condition(lowered, patterns)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr
 

@@ -39,7 +39,7 @@ def utc_wall(ms) -> Column:
 def local_wall(ms, tz: str = "UTC") -> Column:
     """Wall-clock ``TIMESTAMP_NTZ`` of epoch ms in time zone ``tz``."""
     wall = utc_wall(ms)
-    if tz in ("UTC", "Z", "+00:00", "GMT"):
+    if _is_utc(tz):
         return wall
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), wall)
 
@@ -49,21 +49,49 @@ def local_day(ms, tz: str = "UTC") -> Column:
     return F.to_date(local_wall(ms, tz))
 
 
+def _is_utc(tz: str) -> bool:
+    return tz in ("UTC", "Z", "+00:00", "GMT")
+
+
+def _floor_div(x: Column, n: int) -> Column:
+    return ((x - F.pmod(x, F.lit(n))) / F.lit(n)).cast("long")
+
+
+def utc_date(ms) -> Column:
+    """UTC calendar date (``DateType``) by integer arithmetic (no time-zone lookup)."""
+    return F.date_from_unix_date(_floor_div(_c(ms).cast("long"), DAY_MS).cast("int"))
+
+
 def utc_day(ms) -> Column:
     """ISO date string ``yyyy-MM-dd`` of epoch ms in UTC."""
-    return F.date_format(utc_wall(ms), "yyyy-MM-dd")
+    return utc_date(ms).cast("string")
 
 
 def day_string(ms, tz: str = "UTC") -> Column:
-    return F.date_format(local_wall(ms, tz), "yyyy-MM-dd")
+    """ISO date string of epoch ms in time zone ``tz``."""
+    if _is_utc(tz):
+        return utc_day(ms)
+    return F.to_date(local_wall(ms, tz)).cast("string")
+
+
+def _pad(x: Column, n: int) -> Column:
+    return F.lpad(x.cast("string"), n, "0")
 
 
 def iso_ts(ms) -> Column:
-    """``YYYY-MM-DDTHH:MM:SS.sssZ`` of epoch ms (UTC)."""
-    return F.date_format(utc_wall(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """``YYYY-MM-DDTHH:MM:SS.sssZ`` of epoch ms (UTC), by integer arithmetic."""
+    x = _c(ms).cast("long")
+    in_day = F.pmod(x, F.lit(DAY_MS))
+    return F.concat(utc_day(x), F.lit("T"),
+                    _pad(_floor_div(in_day, 3_600_000), 2), F.lit(":"),
+                    _pad(F.pmod(_floor_div(in_day, 60_000), F.lit(60)), 2), F.lit(":"),
+                    _pad(F.pmod(_floor_div(in_day, 1000), F.lit(60)), 2), F.lit("."),
+                    _pad(F.pmod(in_day, F.lit(1000)), 3), F.lit("Z"))
 
 
 def local_hour(ms, tz: str = "UTC") -> Column:
+    if _is_utc(tz):
+        return _floor_div(F.pmod(_c(ms).cast("long"), F.lit(DAY_MS)), 3_600_000).cast("int")
     return F.hour(local_wall(ms, tz))
 
 

@@ -21,14 +21,34 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _before_any(x: Column, seps: str) -> Column:
+    """Prefix of ``x`` up to the first of the single-character separators ``seps``."""
+    for ch in seps:
+        x = F.substring_index(x, ch, 1)
+    return x
+
+
 def _parts(url):
+    """Scheme, host, port and path with string functions; one anchored regex checks the
+    scheme syntax and one checks the port digits (both on short strings).
+
+    Equal to ``regexp_extract(url, URL_PARTS_RE, 1..3)`` followed by userinfo and port
+    stripping, but several times cheaper per row.
+    """
     u = _c(url)
-    scheme = F.lower(F.regexp_extract(u, URL_PARTS_RE, 1))
-    authority = F.regexp_extract(u, URL_PARTS_RE, 2)
-    path = F.regexp_extract(u, URL_PARTS_RE, 3)
-    host_port = F.regexp_replace(authority, r"^.*@", "")
-    host = F.lower(F.regexp_replace(host_port, r":[0-9]*$", ""))
-    port = F.regexp_extract(host_port, r":([0-9]*)$", 1)
+    has = F.coalesce(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.lit(False))
+    pos = F.instr(u, "://")
+    scheme = F.when(has, F.lower(F.substr(u, F.lit(1), pos - 1))).otherwise(F.lit(""))
+    rest = F.substr(u, pos + 3)
+    auth = _before_any(rest, "/?#")
+    path = _before_any(F.substr(rest, F.length(auth) + 1), "?#")
+    host_port = F.substring_index(auth, "@", -1)
+    port_raw = F.substring_index(host_port, ":", -1)
+    has_port = (F.instr(host_port, ":") > 0) & port_raw.rlike(r"^[0-9]*$")
+    host = F.lower(F.when(has_port, F.substr(host_port, F.lit(1),
+                                              F.length(host_port) - F.length(port_raw) - 1))
+                   .otherwise(host_port))
+    port = F.when(has_port, port_raw).otherwise(F.lit(""))
     return u, scheme, host, port, path
 
 
@@ -47,3 +67,40 @@ def domain(url) -> Column:
     """Host name of ``url`` (lower case, no port); the input when it does not parse."""
     u, scheme, host, _port, _path = _parts(url)
     return F.when(scheme == "", u).otherwise(host)
+
+
+def with_url_parts(df, url_col: str = "url", normalized: str | None = "_nurl",
+                   host: str | None = None):
+    """Add the normalised URL (and/or host) as columns, computing each intermediate
+    part once in its own projection (Catalyst keeps projections apart when collapsing
+    them would repeat a non-trivial expression), which keeps the generated code small.
+    """
+    u = F.col(url_col)
+    x = df.withColumn("_u_has", F.coalesce(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.lit(False)))
+    x = x.withColumn("_u_pos", F.instr(u, "://"))
+    x = x.withColumn("_u_rest", F.substr(u, F.col("_u_pos") + 3))
+    x = x.withColumn("_u_auth", _before_any(F.col("_u_rest"), "/?#"))
+    x = x.withColumn("_u_hp", F.substring_index(F.col("_u_auth"), "@", -1))
+    x = x.withColumn("_u_praw", F.substring_index(F.col("_u_hp"), ":", -1))
+    has_port = (F.instr(F.col("_u_hp"), ":") > 0) & F.col("_u_praw").rlike(r"^[0-9]*$")
+    x = x.withColumn("_u_hasport", has_port)
+    x = x.withColumn("_u_host", F.lower(F.when(F.col("_u_hasport"), F.substr(
+        F.col("_u_hp"), F.lit(1), F.length("_u_hp") - F.length("_u_praw") - 1))
+        .otherwise(F.col("_u_hp"))))
+    scheme = F.lower(F.substr(u, F.lit(1), F.col("_u_pos") - 1))
+    cols = []
+    if normalized:
+        path = _before_any(F.substr(F.col("_u_rest"), F.length("_u_auth") + 1), "?#")
+        x = x.withColumn("_u_scheme", scheme).withColumn("_u_path", path)
+        port = F.col("_u_praw")
+        keep = F.col("_u_hasport") & (port != "") & ~(
+            (F.col("_u_scheme") == "http") & (port == "80")) & ~(
+            (F.col("_u_scheme") == "https") & (port == "443"))
+        norm = F.concat(F.col("_u_scheme"), F.lit("://"), F.col("_u_host"),
+                        F.when(keep, F.concat(F.lit(":"), port)).otherwise(F.lit("")),
+                        F.when(F.col("_u_path") == "", F.lit("/")).otherwise(F.col("_u_path")))
+        x = x.withColumn(normalized, F.when(F.col("_u_has"), norm).otherwise(u))
+        cols.append(normalized)
+    if host:
+        x = x.withColumn(host, F.when(F.col("_u_has"), F.col("_u_host")).otherwise(u))
+    return x.drop(*[c for c in x.columns if c.startswith("_u_")])

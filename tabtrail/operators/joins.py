@@ -13,10 +13,32 @@ from pyspark.sql import functions as F
 DIMENSION_MAX_ROWS = 100_000
 
 
+_LOCAL_COUNTS: dict[int, int] = {}
+
+
+def _is_local(df: DataFrame) -> bool:
+    """True when every leaf of the plan is an in-plan constant (literal rows, range),
+    i.e. the content cannot change between calls."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        names = [leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())]
+        return bool(names) and all(n in ("LocalRelation", "Range", "OneRowRelation")
+                                   for n in names)
+    except Exception:  # noqa: BLE001 - not a classic JVM-backed DataFrame
+        return False
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check reads at most ``max_rows + 1`` rows of the (small) dimension.
+    The check reads at most ``max_rows + 1`` rows of the dimension. Rows of an in-memory
+    relation are fixed by its plan, so their count is remembered by plan hash.
     """
-    n = df.limit(max_rows + 1).count()
+    if _is_local(df):
+        key = df.semanticHash()
+        if key not in _LOCAL_COUNTS:
+            _LOCAL_COUNTS[key] = df.limit(max_rows + 1).count()
+        n = _LOCAL_COUNTS[key]
+    else:
+        n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

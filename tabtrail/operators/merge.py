@@ -35,8 +35,8 @@ from tabtrail.constants import (
     INGEST_LOOKBACK_MS,
     INGEST_MAX_GAP_MS,
 )
-from tabtrail.functions.urls import normalize_url
-from tabtrail.operators.ordered import BUCKET, add_bucket, segment_ids, with_neighbour
+from tabtrail.functions.urls import with_url_parts
+from tabtrail.operators.ordered import BUCKET, add_bucket, segments
 
 ORDER = ["timestamp", "id"]
 
@@ -62,10 +62,10 @@ def cleanup_duplicates(s: DataFrame, gap_ms: int = CLEANUP_MAX_GAP_MS,
     carry = [c for c in s.columns if c not in (*part, "id", "timestamp", "duration")]
     x = add_bucket(s.withColumn("_end", F.col("timestamp") + F.col("duration")),
                    "timestamp", split_ms)
-    x = with_neighbour(x, part, ORDER, ["_end"], "prev")
-    x = x.withColumn("_start", F.col("prev__end").isNull()
-                     | ((F.col("timestamp") - F.col("prev__end")) > gap_ms))
-    x = segment_ids(x, part, ORDER, "_start")
+
+    def brk(cur, prev, has_prev):
+        return ~has_prev | ((cur("timestamp") - prev("_end")) > gap_ms)
+    x = segments(x, part, ORDER, ["_end"], brk)
     return _segment_rollup(x, part, carry, "merged_rows")
 
 
@@ -82,13 +82,13 @@ def display_merge(s: DataFrame, window_ms: int = DISPLAY_MERGE_WINDOW_MS,
     """M3: read-time merge of neighbouring rows of the same page and title."""
     keys = list(keys)
     carry = [c for c in s.columns if c not in (*keys, "id", "timestamp", "duration")]
-    x = add_bucket(s.withColumn("_nurl", normalize_url(F.col("url"))), "timestamp", split_ms)
-    x = with_neighbour(x, keys, ORDER, ["_nurl", "title", "timestamp"], "prev")
-    brk = (F.col("prev_timestamp").isNull()
-           | ~F.col("_nurl").eqNullSafe(F.col("prev__nurl"))
-           | ~F.col("title").eqNullSafe(F.col("prev_title"))
-           | ((F.col("timestamp") - F.col("prev_timestamp")) > window_ms))
-    x = segment_ids(x.withColumn("_start", brk), keys, ORDER, "_start")
+    x = add_bucket(with_url_parts(s, "url", "_nurl"), "timestamp", split_ms)
+
+    def brk(cur, prev, has_prev):
+        return (~has_prev | ~cur("_nurl").eqNullSafe(prev("_nurl"))
+                | ~cur("title").eqNullSafe(prev("title"))
+                | ((cur("timestamp") - prev("timestamp")) > window_ms))
+    x = segments(x, keys, ORDER, ["_nurl", "title", "timestamp"], brk)
     out = _segment_rollup(x, keys, carry, "_n")
     return out.withColumn("merged_count", F.when(F.col("_n") > 1, F.col("_n"))).drop("_n")
 
@@ -189,11 +189,10 @@ def ingest_islands(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
     chunk start of the same (key, url) exceeds ``lookback_ms``."""
     part = [*keys, "url"]
     x = add_bucket(chunks, "timestamp", split_ms)
-    x = with_neighbour(x, part, ORDER, ["timestamp"], "prev")
-    x = x.withColumn("_start", F.col("prev_timestamp").isNull()
-                     | ((F.col("timestamp") - F.col("prev_timestamp")) > lookback_ms))
-    return segment_ids(x, part, ORDER, "_start", out="island").drop(BUCKET, "prev_timestamp",
-                                                                      "_start")
+
+    def brk(cur, prev, has_prev):
+        return ~has_prev | ((cur("timestamp") - prev("timestamp")) > lookback_ms)
+    return segments(x, part, ORDER, ["timestamp"], brk, out="island").drop(BUCKET, "_start")
 
 
 def ingest_merge(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,

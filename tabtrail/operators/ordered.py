@@ -14,7 +14,7 @@ With ``split_ms=None`` the helpers fall back to one window partition per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,13 +47,13 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     edge = fn(F.lit(True)).over(w).isNull()    # first (prev) / last (next) row of bucket
     x = df.select("*", *[fn(f).over(w).alias(prefix + f) for f in fields],
                   edge.alias("_edge"))
-    # per-bucket boundary row (last for prev, first for next), partially aggregated
+    # per-bucket boundary row (last for prev, first for next), taken from the windowed
+    # rows: same partitioning, so no extra exchange and no recomputation upstream
     pick = F.max_by if direction == "prev" else F.min_by
-    summary = df.groupBy(*part).agg(
+    summary = x.groupBy(*part).agg(
         pick(F.struct(*fields), F.struct(*order)).alias("_bound"))
     wk = Window.partitionBy(*keys).orderBy(BUCKET)
-    carry_fn = F.lag if direction == "prev" else F.lead
-    carry = summary.select(*part, carry_fn("_bound").over(wk).alias("_carry"))
+    carry = summary.select(*part, fn("_bound").over(wk).alias("_carry"))
     y = x.join(carry, part, "left")
     out = [F.col(c) for c in df.columns]
     for f in fields:
@@ -62,21 +62,50 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return y.select(*out)
 
 
-def segment_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                start_flag: Column | str, out: str = "seg") -> DataFrame:
-    """Add ``out``: the order key (struct) of the latest row at or before each row whose
-    ``start_flag`` is true -- an identifier of gap-and-island segments. The first row of
-    every key must be flagged. ``df`` must carry the bucket column.
+Accessor = Callable[[str], Column]
+BreakRule = Callable[[Accessor, Accessor, Column], Column]
+
+
+def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+             fields: Sequence[str], brk: BreakRule, out: str = "seg") -> DataFrame:
+    """Gap-and-island segmentation in one ordered pass.
+
+    ``brk(cur, prev, has_prev)`` returns true where a segment starts; ``cur(f)`` and
+    ``prev(f)`` give field ``f`` of the row and of its predecessor (``fields`` lists the
+    predecessor fields it reads), ``has_prev`` is false for a key's first row (always a
+    start). Adds ``_start`` and ``out`` = order key (struct) of the segment's first row.
+
+    Rows go through one window pass per (key, bucket); the first row of a bucket and
+    the latest start before it are resolved on a per-bucket summary (computed from the
+    windowed rows, so without a new exchange) with a window over buckets, and joined
+    back on (key, bucket).
     """
-    keys, order = list(keys), list(order)
+    keys, order, fields = list(keys), list(order), list(fields)
     part = keys + [BUCKET]
-    flag = F.col(start_flag) if isinstance(start_flag, str) else start_flag
-    start_key = F.when(flag, F.struct(*order))
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(_UNB, Window.currentRow)
-    x = df.withColumn("_seg_in", F.max(start_key).over(w))
-    summary = df.groupBy(*part).agg(F.max(start_key).alias("_bstart"))
-    wk = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(_UNB, -1)
-    carry = summary.select(*part, F.max("_bstart").over(wk).alias("_cstart"))
-    y = x.join(carry, part, "left")
+    key = F.struct(*order)
+    w = Window.partitionBy(*part).orderBy(*order)
+    x = df.select("*", F.lag(F.lit(True)).over(w).isNull().alias("_first"),
+                  *[F.lag(f).over(w).alias("_p_" + f) for f in fields])
+    flag_in = ~F.col("_first") & brk(F.col, lambda f: F.col("_p_" + f), F.lit(True))
+    x = x.withColumn("_flag_in", flag_in)
+    x = x.withColumn("_seg_in", F.max(F.when(F.col("_flag_in"), key))
+                     .over(w.rowsBetween(_UNB, Window.currentRow)))
+    summ = x.groupBy(*part).agg(
+        F.min_by(F.struct(*dict.fromkeys(fields + order)), key).alias("_bfirst"),
+        F.max_by(F.struct(*fields), key).alias("_blast"),
+        F.max(F.when(F.col("_flag_in"), key)).alias("_bmax"))
+    wk = Window.partitionBy(*keys).orderBy(BUCKET)
+    b = summ.select(*part, "_bfirst", "_bmax", F.lag("_blast").over(wk).alias("_plast"))
+    has_prev = F.col("_plast").isNotNull()
+    f1 = ~has_prev | brk(lambda f: F.col("_bfirst")[f], lambda f: F.col("_plast")[f], has_prev)
+    k1 = F.struct(*[F.col("_bfirst")[o].alias(o) for o in order])
+    b = b.select(*part, "_bmax", f1.alias("_f1"), k1.alias("_k1"))
+    b = b.withColumn("_last_start", F.coalesce(F.col("_bmax"), F.when(F.col("_f1"), F.col("_k1"))))
+    b = b.select(*part, "_f1", "_k1",
+                 F.max("_last_start").over(wk.rowsBetween(_UNB, -1)).alias("_carry"))
+    y = x.join(b, part, "left")
     return y.select(*[F.col(c) for c in df.columns],
-                    F.coalesce(F.col("_seg_in"), F.col("_cstart")).alias(out))
+                    F.when(F.col("_first"), F.col("_f1")).otherwise(F.col("_flag_in"))
+                    .alias("_start"),
+                    F.coalesce(F.col("_seg_in"), F.when(F.col("_f1"), F.col("_k1")),
+                               F.col("_carry")).alias(out))

@@ -15,7 +15,7 @@ from tabtrail.constants import AUTOSAVE_MS, MIN_CHUNK_MS
 from tabtrail.functions.formats import idiv
 from tabtrail.functions.time import ntz_to_ms
 from tabtrail.sources.catalog import N_SITES, SITES
-from tabtrail.sources.tables import read_table, seed_categories
+from tabtrail.sources.tables import read_table, seed_categories, spread
 
 EPOCH_2024_MS = 1704067200000      # 2024-01-01T00:00:00Z
 FIXED_NOW_MS = 1706659200000       # 2024-01-31T00:00:00Z
@@ -41,7 +41,9 @@ def site_title(sid: Column) -> Column:
 
 
 def _events(spark: SparkSession, base: str) -> DataFrame:
-    return read_table(spark, base, "events")
+    ev = read_table(spark, base, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value", "props")
+    return spread(ev)
 
 
 def sessions(spark: SparkSession, base: str) -> DataFrame:

@@ -7,6 +7,7 @@ Parquet scan by Catalyst because every caller selects the columns it needs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtrail.constants import CATEGORY_SEED
@@ -25,6 +26,27 @@ def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet")
     return spark.read.format(fmt).load(f"{base.rstrip('/')}/{name}.{fmt}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the scan yields fewer splits
+    than cores (a small file with one row group is one task however heavy the per-row
+    work that follows). Large inputs already have enough splits and are returned as is,
+    so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def literal_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A small constant table as a JVM-side local relation (``inline`` of a literal
+    array): no Python RDD, known size, broadcastable by the planner."""
+    def lit(v, f):
+        return F.lit(v).cast(f.dataType)
+    structs = [F.struct(*[lit(v, f).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def seed_categories(spark: SparkSession) -> DataFrame:
     """The eight seeded categories (id = position)."""
-    return spark.createDataFrame(CATEGORY_SEED, CATEGORY_SCHEMA)
+    return literal_frame(spark, CATEGORY_SEED, CATEGORY_SCHEMA)
