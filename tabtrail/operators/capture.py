@@ -43,14 +43,14 @@ STARTING_KINDS = ["activated", "url_updated", "focus_gained"]
 
 
 def effective_events(events: DataFrame, keys: Sequence[str] = KEYS,
-                     split_ms: int | None = DAY_MS) -> DataFrame:
+                     split_ms="auto") -> DataFrame:
     """Events that change state, with ``_state`` (URL of the session running after the
     event, null when none) and ``next_ts_ms`` / ``next_kind`` of the following event."""
     url = F.col("url")
     ev = events.filter(~((F.col("kind") == "focus_gained") & is_internal_url(url)))
     starts = F.col("kind").isin(*STARTING_KINDS) & ~is_internal_url(url)
     ev = ev.withColumn("_state", F.when(starts, url))
-    ev = add_bucket(ev, "ts_ms", split_ms)
+    ev = add_bucket(ev, "ts_ms", split_ms, keys)
     ev = with_neighbour(ev, keys, ORDER, ["_state"], "prev")
     noop = (F.col("kind") == "url_updated") & F.coalesce(url == F.col("prev__state"), F.lit(False))
     ev = ev.filter(~noop).drop("prev__state")
@@ -58,7 +58,7 @@ def effective_events(events: DataFrame, keys: Sequence[str] = KEYS,
 
 
 def tab_sessions(events: DataFrame, keys: Sequence[str] = KEYS,
-                 split_ms: int | None = DAY_MS) -> DataFrame:
+                 split_ms="auto") -> DataFrame:
     """Closed sessions: start event, page, start/end, elapsed and recorded duration."""
     ev = effective_events(events, keys, split_ms)
     x = ev.filter(F.col("_state").isNotNull() & F.col("next_ts_ms").isNotNull())
@@ -94,7 +94,7 @@ def session_chunks(sessions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
 
 def current_session(events: DataFrame, now_ms: int, keys: Sequence[str] = KEYS,
-                    split_ms: int | None = DAY_MS) -> DataFrame:
+                    split_ms="auto") -> DataFrame:
     """ST9: the session still open after the last event, with elapsed time at ``now``."""
     ev = effective_events(events, keys, split_ms)
     x = ev.filter(F.col("_state").isNotNull() & F.col("next_ts_ms").isNull())
@@ -128,10 +128,10 @@ def break_alerts(s: DataFrame, every_ms: int = BREAK_EVERY_MS, tz: str = "UTC",
 
 
 def idle_spells(events: DataFrame, idle_after_ms: int, keys: Sequence[str] = KEYS,
-                split_ms: int | None = DAY_MS) -> DataFrame:
+                split_ms="auto") -> DataFrame:
     """ST8 re-aimed: gaps longer than ``idle_after_ms`` between a key's consecutive
     events; one row per spell (start = previous event, length)."""
-    x = add_bucket(events, "ts_ms", split_ms)
+    x = add_bucket(events, "ts_ms", split_ms, keys)
     x = with_neighbour(x, keys, ORDER, ["ts_ms"], "prev")
     gap = F.col("ts_ms") - F.col("prev_ts_ms")
     return x.filter(gap > idle_after_ms).select(

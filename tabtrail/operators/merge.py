@@ -44,24 +44,26 @@ ORDER = ["timestamp", "id"]
 def _segment_rollup(x: DataFrame, part: Sequence[str], carry: Sequence[str],
                     count_name: str) -> DataFrame:
     """Collapse segments: first row's id/timestamp/carried columns, summed duration."""
-    first = F.max(F.when(F.col("_start"), F.struct(*carry))) if carry else None
+    # exactly one start row per segment: collect_list keeps hash aggregation
+    first = F.get(F.collect_list(F.when(F.col("_start"), F.struct(*carry))), 0) if carry else None
     aggs = [F.sum("duration").alias("duration"), F.count(F.lit(1)).alias(count_name)]
     if first is not None:
         aggs.append(first.alias("_first"))
+    aggs.append(F.min("timestamp").alias("timestamp"))
     g = x.groupBy(*part, "seg").agg(*aggs)
     return g.select(
-        F.col("seg.id").alias("id"), *part, *[F.col("_first")[c].alias(c) for c in carry],
-        F.col("seg.timestamp").alias("timestamp"), "duration", count_name)
+        F.col("seg").alias("id"), *part, *[F.col("_first")[c].alias(c) for c in carry],
+        "timestamp", "duration", count_name)
 
 
 def cleanup_duplicates(s: DataFrame, gap_ms: int = CLEANUP_MAX_GAP_MS,
                        keys: Sequence[str] = ("user_id",),
-                       split_ms: int | None = DAY_MS) -> DataFrame:
+                       split_ms="auto") -> DataFrame:
     """M2: surviving rows with merged durations and ``merged_rows`` (group size)."""
     part = [*keys, "url"]
     carry = [c for c in s.columns if c not in (*part, "id", "timestamp", "duration")]
     x = add_bucket(s.withColumn("_end", F.col("timestamp") + F.col("duration")),
-                   "timestamp", split_ms)
+                   "timestamp", split_ms, part)
 
     def brk(cur, prev, has_prev):
         return ~has_prev | ((cur("timestamp") - prev("_end")) > gap_ms)
@@ -78,11 +80,11 @@ def cleanup_summary(merged: DataFrame, keys: Sequence[str] = ("user_id",)) -> Da
 
 def display_merge(s: DataFrame, window_ms: int = DISPLAY_MERGE_WINDOW_MS,
                   keys: Sequence[str] = ("user_id",),
-                  split_ms: int | None = DAY_MS) -> DataFrame:
+                  split_ms="auto") -> DataFrame:
     """M3: read-time merge of neighbouring rows of the same page and title."""
     keys = list(keys)
     carry = [c for c in s.columns if c not in (*keys, "id", "timestamp", "duration")]
-    x = add_bucket(with_url_parts(s, "url", "_nurl"), "timestamp", split_ms)
+    x = add_bucket(with_url_parts(s, "url", "_nurl"), "timestamp", split_ms, keys)
 
     def brk(cur, prev, has_prev):
         return (~has_prev | ~cur("_nurl").eqNullSafe(prev("_nurl"))
@@ -184,11 +186,11 @@ def _ingest_partition(key_cols: list[str], lookback_ms: int, gap_ms: int, mode:
 
 def ingest_islands(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
                    keys: Sequence[str] = ("user_id",),
-                   split_ms: int | None = DAY_MS) -> DataFrame:
+                   split_ms="auto") -> DataFrame:
     """Tag chunks with ``island``: a new island starts when the gap to the previous
     chunk start of the same (key, url) exceeds ``lookback_ms``."""
     part = [*keys, "url"]
-    x = add_bucket(chunks, "timestamp", split_ms)
+    x = add_bucket(chunks, "timestamp", split_ms, part)
 
     def brk(cur, prev, has_prev):
         return ~has_prev | ((cur("timestamp") - prev("timestamp")) > lookback_ms)
@@ -198,14 +200,14 @@ def ingest_islands(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
 def ingest_merge(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
                  gap_ms: int = INGEST_MAX_GAP_MS, mode: str = "faithful",
                  keys: Sequence[str] = ("user_id",), num_partitions: int | None = None,
-                 split_ms: int | None = DAY_MS) -> DataFrame:
+                 split_ms="auto") -> DataFrame:
     """M1 over a batch of chunks, arrival order = (timestamp, id). Columns: id, user_id,
     url, title, timestamp, duration, merged_chunks. ``keys`` must be ``("user_id",)``
     or a superset containing it."""
     part = [*keys, "url"]
     x = ingest_islands(chunks.select(*part, "id", "title", "timestamp", "duration"),
                        lookback_ms, keys, split_ms)
-    x = x.withColumn("_isl", F.col("island.id"))
+    x = x.withColumn("_isl", F.col("island"))
     n = num_partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = x.repartition(n, *part, "_isl").sortWithinPartitions(*part, "_isl", *ORDER)
     return x.mapInPandas(_ingest_partition([*part, "_isl"], lookback_ms, gap_ms, mode),

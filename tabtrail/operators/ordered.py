@@ -9,7 +9,12 @@ per-(key, bucket) summary (partially aggregated before its shuffle) scanned by a
 window over buckets, which has one row per non-empty bucket. Data rows therefore move
 through exactly one hash exchange on (key, bucket); summaries are small.
 
-With ``split_ms=None`` the helpers fall back to one window partition per key.
+The split costs a second, narrow exchange, so ``split_ms="auto"`` (the default of the
+operators) first measures rows per key with a map-side-combined count over the key
+columns only and splits only when some key holds more than ``SKEW_FACTOR`` times its
+fair share of rows and more than ``SKEW_MIN_ROWS`` (the same kind of test AQE uses for
+skewed join partitions). With ``split_ms=None`` the helpers use one window partition
+per key.
 """
 
 from __future__ import annotations
@@ -23,15 +28,55 @@ from tabtrail.constants import DAY_MS
 
 BUCKET = "_bucket"
 _UNB = Window.unboundedPreceding
-
-
-def add_bucket(df: DataFrame, time_col: str, split_ms: int | None = DAY_MS) -> DataFrame:
-    """Add the bucket column (``time div split_ms``; constant 0 when not splitting)."""
+SKEW_FACTOR = 5.0
+SKEW_MIN_ROWS = 5_000_000
+
+
+def choose_split(df: DataFrame, keys: Sequence[str], split_ms="auto",
+                 min_rows: int = SKEW_MIN_ROWS, factor: float = SKEW_FACTOR):
+    """Resolve ``split_ms='auto'``: ``DAY_MS`` when a key is hot, else None."""
+    if split_ms != "auto":
+        return split_ms
+    st = df.groupBy(*keys).count().agg(F.max("count").alias("mx"),
+                                       F.sum("count").alias("n")).first()
+    if st is None or st["mx"] is None:
+        return None
+    fair = st["n"] / max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    return DAY_MS if (st["mx"] > min_rows and st["mx"] > factor * fair) else None
+
+
+def add_bucket(df: DataFrame, time_col: str, split_ms="auto",
+               keys: Sequence[str] | None = None) -> DataFrame:
+    """Add the bucket column (``time div split_ms``); unchanged when not splitting.
+    ``split_ms='auto'`` decides with ``choose_split`` over ``keys``."""
+    if split_ms == "auto":
+        split_ms = choose_split(df, keys, "auto") if keys else DAY_MS
     if split_ms is None:
-        return df.withColumn(BUCKET, F.lit(0).cast("long"))
+        return df
     return df.withColumn(BUCKET, F.floor(F.col(time_col) / F.lit(split_ms)).cast("long"))
 
 
+def _one(flag: Column, value: Column) -> Column:
+    """The value of the single row of a group where ``flag`` holds (hash-aggregable:
+    ``collect_list`` runs in ObjectHashAggregate; struct/string min/max would force a
+    sort-based aggregate)."""
+    return F.get(F.collect_list(F.when(flag, value)), 0)
+
+
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_pk`` = struct(keys, bucket). Structs are never null and compare null
+    fields as equal, so partitioning, windows and the carry join all use the same
+    non-nullable key: the join is null-safe, Catalyst infers no ``isnotnull`` filter for
+    one side only, and the windowed rows need no second exchange for the join."""
+    return df.withColumn("_pk", F.struct(*keys, BUCKET))
+
+
+def _key_of(pk: Column, keys: Sequence[str]) -> Column:
+    return F.struct(*[pk[k].alias(k) for k in keys])
+
+
+
+
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    fields: Sequence[str], direction: str = "prev",
                    prefix: str | None = None) -> DataFrame:
@@ -41,20 +86,21 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     prefix = prefix or ("prev_" if direction == "prev" else "next_")
     keys, order, fields = list(keys), list(order), list(fields)
-    part = keys + [BUCKET]
     fn = F.lag if direction == "prev" else F.lead
-    w = Window.partitionBy(*part).orderBy(*order)
-    edge = fn(F.lit(True)).over(w).isNull()    # first (prev) / last (next) row of bucket
-    x = df.select("*", *[fn(f).over(w).alias(prefix + f) for f in fields],
-                  edge.alias("_edge"))
-    # per-bucket boundary row (last for prev, first for next), taken from the windowed
-    # rows: same partitioning, so no extra exchange and no recomputation upstream
-    pick = F.max_by if direction == "prev" else F.min_by
-    summary = x.groupBy(*part).agg(
-        pick(F.struct(*fields), F.struct(*order)).alias("_bound"))
-    wk = Window.partitionBy(*keys).orderBy(BUCKET)
-    carry = summary.select(*part, fn("_bound").over(wk).alias("_carry"))
-    y = x.join(carry, part, "left")
+    back = F.lead if direction == "prev" else F.lag
+    if BUCKET not in df.columns:           # not split: one window partition per key
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[fn(f).over(w).alias(prefix + f) for f in fields])
+    x = _keyed(df, keys)
+    w = Window.partitionBy("_pk").orderBy(*order)
+    x = x.select("*", *[fn(f).over(w).alias(prefix + f) for f in fields],
+                 fn(F.lit(True)).over(w).isNull().alias("_edge"),      # first (prev) / last (next)
+                 back(F.lit(True)).over(w).isNull().alias("_bound_row"))  # last (prev) / first (next)
+    # the boundary row handed to the neighbouring bucket, from the windowed rows
+    summary = x.groupBy("_pk").agg(_one(F.col("_bound_row"), F.struct(*fields)).alias("_bound"))
+    wk = Window.partitionBy(_key_of(F.col("_pk"), keys)).orderBy(F.col("_pk")[BUCKET])
+    carry = summary.select("_pk", fn("_bound").over(wk).alias("_carry"))
+    y = x.join(carry, "_pk", "left")
     out = [F.col(c) for c in df.columns]
     for f in fields:
         out.append(F.when(F.col("_edge"), F.col("_carry")[f])
@@ -73,7 +119,8 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``brk(cur, prev, has_prev)`` returns true where a segment starts; ``cur(f)`` and
     ``prev(f)`` give field ``f`` of the row and of its predecessor (``fields`` lists the
     predecessor fields it reads), ``has_prev`` is false for a key's first row (always a
-    start). Adds ``_start`` and ``out`` = order key (struct) of the segment's first row.
+    start). The last ``order`` column must be unique within a key (a row id). Adds
+    ``_start`` and ``out`` = that id of the segment's first row.
 
     Rows go through one window pass per (key, bucket); the first row of a bucket and
     the latest start before it are resolved on a per-bucket summary (computed from the
@@ -81,29 +128,39 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     back on (key, bucket).
     """
     keys, order, fields = list(keys), list(order), list(fields)
-    part = keys + [BUCKET]
-    key = F.struct(*order)
-    w = Window.partitionBy(*part).orderBy(*order)
-    x = df.select("*", F.lag(F.lit(True)).over(w).isNull().alias("_first"),
-                  *[F.lag(f).over(w).alias("_p_" + f) for f in fields])
+    uid = order[-1]
+    if BUCKET not in df.columns:           # not split: one window partition per key
+        w = Window.partitionBy(*keys).orderBy(*order)
+        x = df.select("*", F.lag(F.lit(True)).over(w).isNull().alias("_first"),
+                      *[F.lag(f).over(w).alias("_p_" + f) for f in fields])
+        start = F.col("_first") | brk(F.col, lambda f: F.col("_p_" + f), ~F.col("_first"))
+        x = x.withColumn("_start", start)
+        x = x.withColumn(out, F.last(F.when(F.col("_start"), F.col(uid)), ignorenulls=True)
+                         .over(w.rowsBetween(_UNB, Window.currentRow)))
+        return x.select(*[F.col(c) for c in df.columns], "_start", out)
+    x = _keyed(df, keys)
+    w = Window.partitionBy("_pk").orderBy(*order)
+    x = x.select("*", F.lag(F.lit(True)).over(w).isNull().alias("_first"),
+                 F.lead(F.lit(True)).over(w).isNull().alias("_last"),
+                 *[F.lag(f).over(w).alias("_p_" + f) for f in fields])
     flag_in = ~F.col("_first") & brk(F.col, lambda f: F.col("_p_" + f), F.lit(True))
     x = x.withColumn("_flag_in", flag_in)
-    x = x.withColumn("_seg_in", F.max(F.when(F.col("_flag_in"), key))
+    x = x.withColumn("_seg_in", F.last(F.when(F.col("_flag_in"), F.col(uid)), ignorenulls=True)
                      .over(w.rowsBetween(_UNB, Window.currentRow)))
-    summ = x.groupBy(*part).agg(
-        F.min_by(F.struct(*dict.fromkeys(fields + order)), key).alias("_bfirst"),
-        F.max_by(F.struct(*fields), key).alias("_blast"),
-        F.max(F.when(F.col("_flag_in"), key)).alias("_bmax"))
-    wk = Window.partitionBy(*keys).orderBy(BUCKET)
-    b = summ.select(*part, "_bfirst", "_bmax", F.lag("_blast").over(wk).alias("_plast"))
+    summ = x.groupBy("_pk").agg(
+        _one(F.col("_first"), F.struct(*dict.fromkeys(fields + order))).alias("_bfirst"),
+        _one(F.col("_last"), F.struct(*fields)).alias("_blast"),
+        _one(F.col("_last"), F.col("_seg_in")).alias("_bmax"))
+    wk = Window.partitionBy(_key_of(F.col("_pk"), keys)).orderBy(F.col("_pk")[BUCKET])
+    b = summ.select("_pk", "_bfirst", "_bmax", F.lag("_blast").over(wk).alias("_plast"))
     has_prev = F.col("_plast").isNotNull()
     f1 = ~has_prev | brk(lambda f: F.col("_bfirst")[f], lambda f: F.col("_plast")[f], has_prev)
-    k1 = F.struct(*[F.col("_bfirst")[o].alias(o) for o in order])
-    b = b.select(*part, "_bmax", f1.alias("_f1"), k1.alias("_k1"))
+    b = b.select("_pk", "_bmax", f1.alias("_f1"), F.col("_bfirst")[uid].alias("_k1"))
     b = b.withColumn("_last_start", F.coalesce(F.col("_bmax"), F.when(F.col("_f1"), F.col("_k1"))))
-    b = b.select(*part, "_f1", "_k1",
-                 F.max("_last_start").over(wk.rowsBetween(_UNB, -1)).alias("_carry"))
-    y = x.join(b, part, "left")
+    b = b.select("_pk", "_f1", "_k1",
+                 F.last("_last_start", ignorenulls=True).over(wk.rowsBetween(_UNB, -1))
+                 .alias("_carry"))
+    y = x.join(b, "_pk", "left")
     return y.select(*[F.col(c) for c in df.columns],
                     F.when(F.col("_first"), F.col("_f1")).otherwise(F.col("_flag_in"))
                     .alias("_start"),

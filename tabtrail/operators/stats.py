@@ -185,7 +185,7 @@ def category_runs(s: DataFrame, c: DataFrame, tz: str = "UTC", keys=KEYS) -> Dat
     """Per key and day, number of runs of equal category name in time order."""
     x = with_category(s, c, ("name",)).withColumn("date", day_string(F.col("timestamp"), tz))
     part = [*keys, "date"]
-    x = add_bucket(x, "timestamp", DAY_MS)
+    # keys include the day, so each window partition is already one key-day
     x = with_neighbour(x, part, ["timestamp", "id"], ["category_name"], "prev")
     x = x.withColumn("_new", F.col("prev_category_name").isNull()
                      | (F.col("prev_category_name") != F.col("category_name")))
