@@ -53,8 +53,12 @@ def literal_of(pattern: str) -> str | None:
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-case ASCII letters only (what case-insensitive ASCII patterns compare)."""
-    return F.translate(col, _UPPER, _LOWER)
+    """Lower-case ASCII letters only (what case-insensitive ASCII patterns compare).
+
+    Pure-ASCII strings (bytes == characters) take the fast ``lower``; others map only
+    A-Z so that no non-ASCII character can fold into an ASCII one."""
+    return F.when(F.length(col) == F.octet_length(col), F.lower(col)) \
+        .otherwise(F.translate(col, _UPPER, _LOWER))
 
 
 def rule_condition(lowered: Column, patterns: list[str]) -> Column:
@@ -75,7 +79,10 @@ def rule_condition(lowered: Column, patterns: list[str]) -> Column:
 
 
 def category_by_url(url, rules=None) -> Column:
-    """Name of the first category whose rule matches ``url``; null when none does."""
+    """Name of the first category whose rule matches ``url``; null when none does.
+
+    Column form; for whole tables prefer ``with_rule_category``, which lower-cases
+    each URL once."""
     rules = URL_RULES if rules is None else rules
     lowered = ascii_lower(_c(url))
     expr = None
@@ -85,6 +92,32 @@ def category_by_url(url, rules=None) -> Column:
     return expr
 
 
+def _rule_sql(lowered: str, rules) -> str:
+    from tabtrail.functions.sqlexpr import sql_str
+    parts = []
+    for name, patterns in rules:
+        lits = [literal_of(p) for p in patterns]
+        conds = [f"instr({lowered}, {sql_str(lit)}) > 0"
+                 for lit in lits if lit is not None and lit == lit.lower()]
+        rest = [p for p, lit in zip(patterns, lits) if lit is None or lit != lit.lower()]
+        if rest:
+            rx = "(?:" + "|".join(rest) + ")"
+            if not all(p == p.lower() for p in rest):
+                rx = "(?i)" + rx
+            conds.append(f"{lowered} RLIKE {sql_str(rx)}")
+        parts.append(f"WHEN {' OR '.join(conds)} THEN {sql_str(name)}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def with_rule_category(df, url_col: str = "url", out: str = "_rule_name", rules=None):
+    """Add ``out`` = ``category_by_url(url_col)``, lower-casing each URL once in its own
+    projection (the rule expression is parsed once per Spark context)."""
+    from tabtrail.functions.sqlexpr import cached_expr
+    rules = URL_RULES if rules is None else rules
+    x = df.withColumn("_lu", ascii_lower(F.col(url_col)))
+    return x.withColumn(out, cached_expr(_rule_sql("_lu", rules))).drop("_lu")
+
+
 def wellness_type(name) -> Column:
     """Wellness type of a category *name* (fixed map), 'unknown' otherwise."""
     m = F.create_map(*[F.lit(x) for kv in WELLNESS_TYPE_BY_NAME.items() for x in kv])

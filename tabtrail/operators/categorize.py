@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtrail.constants import BACKLOG_LIMIT, DEFAULT_CATEGORY_NAME
-from tabtrail.functions.rules import category_by_url
+from tabtrail.functions.rules import category_by_url, with_rule_category
 from tabtrail.operators.joins import bounded_broadcast
 
 
@@ -30,7 +30,7 @@ def _name_to_id(c: DataFrame) -> DataFrame:
 def categorize_by_rules(s: DataFrame, c: DataFrame) -> DataFrame:
     """Set ``category_id`` from the URL rules; other columns unchanged."""
     cols = [x for x in s.columns if x != "category_id"]
-    x = s.withColumn("_rule_name", category_by_url(F.col("url")))
+    x = with_rule_category(s, "url", "_rule_name")
     x = x.join(_name_to_id(c), F.col("_rule_name") == F.col("_cat_name"), "left")
     return x.select(*cols, F.col("_cat_id").alias("category_id"))
 
@@ -160,8 +160,8 @@ def categorize_summary(backfilled: DataFrame, keys=("user_id",)) -> DataFrame:
 
 def rule_coverage(s: DataFrame) -> DataFrame:
     """Per rule category (null = unmatched): distinct sites, sessions, time, share of rows."""
-    x = s.select(F.coalesce(category_by_url(F.col("url")), F.lit("(no rule)")).alias("rule"),
-                 "url", "duration")
+    x = with_rule_category(s.select("url", "duration"), "url", "_rule").select(
+        F.coalesce(F.col("_rule"), F.lit("(no rule)")).alias("rule"), "url", "duration")
     agg = x.groupBy("rule").agg(F.count_distinct("url").alias("sites"),
                                 F.count(F.lit(1)).alias("sessions"),
                                 F.sum("duration").alias("total_time"))

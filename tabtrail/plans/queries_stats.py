@@ -277,8 +277,9 @@ def q_external_sessions(spark, d):
 @register("categorize_by_url", with_prelude(f"""
 SELECT id, url, {rule_case('url')} AS category FROM sessions_raw"""))
 def q_categorize_by_url(spark, d):
-    s = fx.sessions(spark, d)
-    return s.select("id", "url", category_by_url(F.col("url")).alias("category"))
+    from tabtrail.functions.rules import with_rule_category
+    s = fx.sessions(spark, d).select("id", "url")
+    return with_rule_category(s, "url", "category")
 
 
 @register("format_times", with_prelude(f"""

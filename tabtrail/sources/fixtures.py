@@ -31,30 +31,41 @@ def site_id(props: Column) -> Column:
     return F.regexp_extract(props, r"([0-9]+)", 1).try_cast("long") % N_SITES
 
 
-def site_url(sid: Column) -> Column:
-    return F.try_element_at(F.array(*[F.lit(u) for u, _ in SITES]), (sid + 1).cast("int"))
+def _site_lookup(pos: int, sid: str) -> Column:
+    from tabtrail.functions.sqlexpr import cached_expr, sql_str
+    arr = ", ".join(sql_str(row[pos]) for row in SITES)
+    return cached_expr(f"try_element_at(array({arr}), CAST({sid} + 1 AS INT))")
 
 
-def site_title(sid: Column) -> Column:
-    return F.try_element_at(F.array(*[F.lit(t).cast("string") for _, t in SITES]),
-                            (sid + 1).cast("int"))
+def site_url(sid: str = "_site") -> Column:
+    """URL of the site id in column ``sid`` (one parsed lookup expression)."""
+    return _site_lookup(0, sid)
+
+
+def site_title(sid: str = "_site") -> Column:
+    return _site_lookup(1, sid)
+
+
+_SPREAD: dict[tuple, DataFrame] = {}
 
 
 def _events(spark: SparkSession, base: str) -> DataFrame:
-    ev = read_table(spark, base, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", "props")
-    return spread(ev)
+    key = (id(spark), base)
+    if key not in _SPREAD:
+        ev = read_table(spark, base, "events").select(
+            "event_id", "ts", "user_id", "event_type", "value", "props")
+        _SPREAD[key] = spread(ev)
+    return _SPREAD[key]
 
 
 def sessions(spark: SparkSession, base: str) -> DataFrame:
     """Raw sessions: id, user_id, url, title, duration (ms), timestamp (ms), category_id (null)."""
-    ev = _events(spark, base)
-    sid = site_id(F.col("props"))
+    ev = _events(spark, base).withColumn("_site", site_id(F.col("props")))
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("user_id"),
-        site_url(sid).alias("url"),
-        site_title(sid).alias("title"),
+        site_url().alias("url"),
+        site_title().alias("title"),
         (F.round(F.col("value") * 100).cast("long") * 100).alias("duration"),
         ntz_to_ms(F.col("ts")).alias("timestamp"),
         F.lit(None).cast("long").alias("category_id"),
@@ -105,8 +116,7 @@ def chunks(spark: SparkSession, base: str, url_variant: bool = False) -> DataFra
 
 def tab_events(spark: SparkSession, base: str) -> DataFrame:
     """Raw tab events: event_id, user_id, ts_ms, kind, tab_id, url, title."""
-    ev = _events(spark, base)
-    sid = site_id(F.col("props"))
+    ev = _events(spark, base).withColumn("_site", site_id(F.col("props")))
     kind = F.create_map(*[F.lit(x) for kv in EVENT_KIND.items() for x in kv])
     ts = ntz_to_ms(F.col("ts"))
     return ev.select(
@@ -116,8 +126,8 @@ def tab_events(spark: SparkSession, base: str) -> DataFrame:
         .alias("ts_ms"),
         kind[F.col("event_type")].alias("kind"),
         (F.col("event_id") % 5).alias("tab_id"),
-        site_url(sid).alias("url"),
-        site_title(sid).alias("title"),
+        site_url().alias("url"),
+        site_title().alias("title"),
     )
 
 

@@ -21,30 +21,51 @@ CATEGORY_SCHEMA = T.StructType([
 ])
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Read ``{base}/{name}.{fmt}`` (any Spark batch format)."""
-    return spark.read.format(fmt).load(f"{base.rstrip('/')}/{name}.{fmt}")
+    """Read ``{base}/{name}.{fmt}`` (any Spark batch format).
+
+    The DataFrame (schema and file listing) is made once per session and path and
+    reused; it stays lazy, so every query still scans with its own pruning/filters."""
+    path = f"{base.rstrip('/')}/{name}.{fmt}"
+    key = (id(spark), path, fmt)
+    df = _READS.get(key)
+    if df is None:
+        df = spark.read.format(fmt).load(path)
+        _READS[key] = df
+    return df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan yields fewer splits
-    than cores (a small file with one row group is one task however heavy the per-row
-    work that follows). Large inputs already have enough splits and are returned as is,
-    so no shuffle is added at scale."""
+    """Spread a small input over the cluster's cores.
+
+    When the scan yields fewer splits than cores (a small file with one row group is
+    one task, however heavy the per-row work after it), the rows are round-robined over
+    the cores once and kept (memory, spilling to disk). The kept relation is also a
+    boundary that filters on derived columns cannot be pushed below, so per-row work
+    (URL rules, chunk expansion) stays parallel. Large inputs already have enough splits
+    and are returned unchanged: no shuffle and no cache at scale.
+    """
+    from pyspark import StorageLevel
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
     return df
 
 
 def literal_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
-    """A small constant table as a JVM-side local relation (``inline`` of a literal
-    array): no Python RDD, known size, broadcastable by the planner."""
-    def lit(v, f):
-        return F.lit(v).cast(f.dataType)
-    structs = [F.struct(*[lit(v, f).alias(f.name) for v, f in zip(r, schema.fields)])
-               for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A small constant table as a JVM-side local relation (SQL ``VALUES``): no Python
+    RDD, exact size known to the planner, one parser call."""
+    from tabtrail.functions.sqlexpr import sql_str
+
+    def lit(v):
+        return "NULL" if v is None else (sql_str(v) if isinstance(v, str) else repr(v))
+    values = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(f"CAST(col{i + 1} AS {f.dataType.simpleString()}) AS {f.name}"
+                     for i, f in enumerate(schema.fields))
+    return spark.sql(f"SELECT {cols} FROM VALUES {values}")
 
 
 def seed_categories(spark: SparkSession) -> DataFrame:
