@@ -15,7 +15,7 @@ from tabtrail.constants import AUTOSAVE_MS, MIN_CHUNK_MS
 from tabtrail.functions.formats import idiv
 from tabtrail.functions.time import ntz_to_ms
 from tabtrail.sources.catalog import N_SITES, SITES
-from tabtrail.sources.tables import read_table, seed_categories, spread
+from tabtrail.sources.tables import SPREAD_CONF, read_table, seed_categories, spread
 
 EPOCH_2024_MS = 1704067200000      # 2024-01-01T00:00:00Z
 FIXED_NOW_MS = 1706659200000       # 2024-01-31T00:00:00Z
@@ -50,7 +50,7 @@ _SPREAD: dict[tuple, DataFrame] = {}
 
 
 def _events(spark: SparkSession, base: str) -> DataFrame:
-    key = (id(spark), base)
+    key = (id(spark), base, spark.conf.get(SPREAD_CONF, "true"))
     if key not in _SPREAD:
         ev = read_table(spark, base, "events").select(
             "event_id", "ts", "user_id", "event_type", "value", "props")

@@ -22,6 +22,7 @@ CATEGORY_SCHEMA = T.StructType([
 
 
 _READS: dict[tuple, DataFrame] = {}
+SPREAD_CONF = "tabtrail.spreadSmallInputs"
 
 
 def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet") -> DataFrame:
@@ -49,7 +50,10 @@ def spread(df: DataFrame) -> DataFrame:
     and are returned unchanged: no shuffle and no cache at scale.
     """
     from pyspark import StorageLevel
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    if spark.conf.get(SPREAD_CONF, "true").lower() != "true":
+        return df
+    cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
     return df

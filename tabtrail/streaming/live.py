@@ -38,8 +38,12 @@ def live_day_categories(s: DataFrame, c: DataFrame, watermark: str = "1 hour") -
 
 
 def late_night_stream(s: DataFrame, tz: str = "UTC", watermark: str = "1 hour") -> DataFrame:
-    """ST6: one reminder per user and (UTC) night, at the first late-night session."""
-    h = local_hour(F.col("timestamp"), tz)
+    """ST6: one reminder per user and (UTC) night, at the first late-night session.
+
+    The hour is taken from the event-time column on purpose: a filter that does not
+    reference it is pushed below the watermark, and then only late-night rows would
+    move the watermark (the nights would close only at the next late-night session)."""
+    h = local_hour(F.unix_millis(F.col("event_time")), tz)
     x = _timed(s, watermark).filter((h >= LATE_NIGHT_FROM_HOUR) & (h < LATE_NIGHT_UNTIL_HOUR))
     g = x.groupBy("user_id", F.window("event_time", "1 day").alias("night")).agg(
         F.min("timestamp").alias("alert_ts"), F.count(F.lit(1)).alias("late_sessions"))
