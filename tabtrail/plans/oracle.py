@@ -172,6 +172,6 @@ NOW = FIXED_NOW_MS
 T0, T1 = TODAY_START_MS, TODAY_END_MS
 
 
-def with_prelude(body: str, extra_ctes: str = "") -> str:
+def with_prelude(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     ctes = PRELUDE + ("," + extra_ctes if extra_ctes else "")
-    return "WITH " + ctes + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ctes + "\n" + body

@@ -117,7 +117,41 @@ def q_last_n_per_user(spark, d):
     return cp.last_n_per_user(fx.chunks(spark, d))
 
 
-@register("ingest_merge")
+# The oracle folds each island chunk by chunk in a recursive CTE whose state is the
+# list of finished rows and the list of rows still inside the look-back.
+_INGEST_CTES = """
+m1a AS (SELECT *, lag(timestamp) OVER (PARTITION BY user_id, url ORDER BY timestamp, id) AS pts FROM chunks),
+m1b AS (SELECT *, sum(CASE WHEN pts IS NULL OR timestamp - pts > 120000 THEN 1 ELSE 0 END)
+          OVER (PARTITION BY user_id, url ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS isl FROM m1a),
+m1c AS (SELECT *, row_number() OVER (PARTITION BY user_id, url, isl ORDER BY timestamp, id) AS rn FROM m1b),
+fold AS (
+  SELECT user_id, url, isl, rn,
+         CAST([] AS STRUCT(ts BIGINT, id BIGINT, dur BIGINT, title VARCHAR, n BIGINT)[]) AS done,
+         [struct_pack(ts := timestamp, id := id, dur := duration, title := title, n := 1::BIGINT)] AS live
+  FROM m1c WHERE rn = 1
+  UNION ALL
+  SELECT user_id, url, isl, rn, done2 AS done,
+         CASE WHEN len(lb) > 0 AND cts - (lb[1].ts + lb[1].dur) <= 35000
+              THEN [struct_pack(ts := lb[1].ts, id := lb[1].id, dur := lb[1].dur + cdur,
+                                title := lb[1].title, n := lb[1].n + 1)]
+              ELSE list_concat(lb, [struct_pack(ts := cts, id := cid, dur := cdur, title := ctitle,
+                                                n := 1::BIGINT)]) END AS live
+  FROM (
+    SELECT f.user_id, f.url, f.isl, c.rn, c.timestamp AS cts, c.id AS cid, c.duration AS cdur,
+           c.title AS ctitle,
+           list_concat(f.done, list_filter(f.live, lambda r: r.ts < c.timestamp - 120000)) AS done2,
+           list_sort(list_filter(f.live, lambda r: r.ts >= c.timestamp - 120000)) AS lb
+    FROM fold f JOIN m1c c ON c.user_id = f.user_id AND c.url = f.url AND c.isl = f.isl
+                           AND c.rn = f.rn + 1))
+"""
+
+
+@register("ingest_merge", with_prelude("""
+SELECT r.id AS id, user_id, url, r.title AS title, r.ts AS timestamp, r.dur AS duration,
+       r.n AS merged_chunks
+FROM (SELECT user_id, url, unnest(list_concat(done, live)) AS r FROM fold
+      QUALIFY row_number() OVER (PARTITION BY user_id, url, isl ORDER BY rn DESC) = 1)
+""", _INGEST_CTES, recursive=True))
 def q_ingest_merge(spark, d):
     return mg.ingest_merge(fx.chunks(spark, d))
 
