@@ -262,3 +262,41 @@ def insight_cache_plan(s: DataFrame, c: DataFrame, cache: DataFrame, first_day:
 
 EMBED_SCHEMA = T.StructType([T.StructField("id", T.StringType()),
                              T.StructField("values", T.ArrayType(T.FloatType()))])
+
+
+# ---------------------------------------------------------------------------
+# Optional text generation on the contexts (pluggable; default: none)
+# ---------------------------------------------------------------------------
+
+ANSWER_SCHEMA = T.StructType([T.StructField("user_id", T.LongType()),
+                              T.StructField("question_id", T.LongType()),
+                              T.StructField("answer", T.StringType())])
+
+
+def generate_answers(contexts: DataFrame, questions: DataFrame, generator=None) -> DataFrame:
+    """Answer each question with its user's context. ``generator`` is a pandas function
+    ``(query: pd.Series, context: pd.Series) -> pd.Series`` run by ``mapInPandas``; a
+    failing batch yields null answers. Without a generator the context is the answer."""
+    import pandas as pd
+    x = questions.select("user_id", "question_id", "query").join(
+        contexts.select("user_id", "context"), "user_id", "left")
+    if generator is None:
+        return x.select("user_id", "question_id", F.col("context").alias("answer"))
+
+    def run(batches):
+        for pdf in batches:
+            try:
+                ans = generator(pdf["query"], pdf["context"])
+            except Exception:  # noqa: BLE001 - generation failure -> no answer
+                ans = pd.Series([None] * len(pdf), index=pdf.index)
+            yield pd.DataFrame({"user_id": pdf["user_id"], "question_id": pdf["question_id"],
+                                "answer": ans.values})
+    return x.mapInPandas(run, ANSWER_SCHEMA)
+
+
+CONTEXT_JSON_SCHEMA = "total_sessions BIGINT, context STRING"
+
+
+def parse_context(col: Column, schema: str = CONTEXT_JSON_SCHEMA) -> Column:
+    """F13 decode: the JSON context stored with a reflection back into a struct."""
+    return F.from_json(col, schema)

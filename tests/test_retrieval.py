@@ -48,3 +48,13 @@ def test_context_text(spark):
                       "- Learning: 3 minutes (2 sessions)\n  Top sites:\n"
                       "    • A (2m)\n    • https://b (1m)\n"
                       "- Uncategorized: 1 minutes (1 sessions)\n  Top sites:\n    • C (1m)\n")
+
+
+def test_generate_answers_and_context_json(spark):
+    ctx = spark.createDataFrame([(1, 2, "ctx text")], "user_id long, total_sessions long, context string")
+    qs = spark.createDataFrame([(1, 10, "why?")], "user_id long, question_id long, query string")
+    assert rt.generate_answers(ctx, qs).first().answer == "ctx text"
+    gen = rt.generate_answers(ctx, qs, lambda q, c: q + " | " + c.str.upper())
+    assert gen.first().answer == "why? | CTX TEXT"
+    js = ctx.select(F.to_json(F.struct("total_sessions", "context")).alias("j"))
+    assert js.select(rt.parse_context(F.col("j"))["total_sessions"]).first()[0] == 2

@@ -76,3 +76,24 @@ def test_live_windows_equal_batch(spark):
     late = run_stream(spark, s, late_night_stream, sentinel=sentinel).filter("user_id >= 0")
     cols = ("user_id", "night", "alert_ts", "late_sessions")
     assert key(late, cols) == key(cp.late_night_alerts(s), cols)
+
+
+def test_scheduled_categorization_foreach_batch(spark):
+    from tabtrail.streaming.live import categorize_batches
+    s = fx.sessions(spark, SF)
+    c = fx.categories(spark)
+    seen = []
+
+    def sink(df, epoch):
+        seen.extend(r.asDict() for r in df.select("id", "category_id").collect())
+
+    src = tempfile.mkdtemp(prefix="tt-st4-")
+    s.coalesce(1).write.parquet(src + "/a")
+    q = (spark.readStream.schema(s.schema).option("recursiveFileLookup", "true").parquet(src)
+         .writeStream.foreachBatch(categorize_batches(c, sink))
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tt-ckpt-"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    from tabtrail.operators.categorize import categorize
+    want = {r.id: r.category_id for r in categorize(s, c).collect()}
+    assert {r["id"]: r["category_id"] for r in seen} == want
