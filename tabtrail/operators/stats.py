@@ -111,13 +111,29 @@ def session_by_id(s: DataFrame, c: DataFrame, session_id: int) -> DataFrame:
 # Category aggregates
 # ---------------------------------------------------------------------------
 
+def _by_category(x: DataFrame, keys, attrs: dict[str, str]) -> DataFrame:
+    """Per key and category name: time, rows, and attributes of the name's first row.
+
+    Stage 1 is a hash aggregation on (key, name, attributes) -- string grouping keys and
+    numeric buffers keep it hash-based with map-side combine over the whole fact table;
+    stage 2 picks, per (key, name), the attributes of the group holding the earliest
+    row, on the already aggregated (tiny) data. Names are unique in the dimension, so
+    attributes vary within a name only between a real category and the default group.
+    """
+    g = x.groupBy(*keys, F.col("category_name").alias("name"),
+                  *[F.col(src).alias(dst) for dst, src in attrs.items()]).agg(
+        F.sum("duration").alias("_t"), F.count(F.lit(1)).alias("_n"),
+        F.min("timestamp").alias("_ts0"))
+    return g.groupBy(*keys, "name").agg(
+        *[F.min_by(dst, F.struct("_ts0", dst)).alias(dst) for dst in attrs],
+        F.sum("_t").alias("_t"), F.sum("_n").alias("_n"))
+
+
 def category_breakdown(s: DataFrame, c: DataFrame, keys=KEYS) -> DataFrame:
     """A2: per key and category name: color of the first row, time, row count."""
     x = with_category(s, c)
-    return x.groupBy(*keys, F.col("category_name").alias("name")).agg(
-        F.min_by("category_color", F.struct("timestamp", "id")).alias("color"),
-        F.sum("duration").alias("time"),
-        F.count(F.lit(1)).alias("count"))
+    g = _by_category(x, keys, {"color": "category_color"})
+    return g.select(*keys, "name", "color", F.col("_t").alias("time"), F.col("_n").alias("count"))
 
 
 def category_stats(s: DataFrame, c: DataFrame, start: int | None = None,
@@ -125,12 +141,10 @@ def category_stats(s: DataFrame, c: DataFrame, start: int | None = None,
     """A3: totals, count and average per category (filter only when both bounds)."""
     x = in_range(s, start, end) if (start is not None and end is not None) else s
     x = with_category(x, c)
-    return x.groupBy(*keys, F.col("category_name").alias("name")).agg(
-        F.min_by("category_color", F.struct("timestamp", "id")).alias("color"),
-        F.min_by("category_wellness_type", F.struct("timestamp", "id")).alias("wellness_type"),
-        F.sum("duration").alias("total_time"),
-        F.count(F.lit(1)).alias("session_count"),
-    ).withColumn("avg_duration", F.col("total_time") / F.col("session_count"))
+    g = _by_category(x, keys, {"color": "category_color", "wellness_type": "category_wellness_type"})
+    return g.select(*keys, "name", "color", "wellness_type", F.col("_t").alias("total_time"),
+                    F.col("_n").alias("session_count"),
+                    (F.col("_t") / F.col("_n")).alias("avg_duration"))
 
 
 def daily_stats(s: DataFrame, start: int, end: int, keys=KEYS) -> DataFrame:
@@ -146,10 +160,9 @@ def activity_summary(s: DataFrame, c: DataFrame, keys=KEYS) -> DataFrame:
     column), count; plus the key's total and its top category (largest time, then
     name)."""
     x = with_category(s, c)
-    g = x.groupBy(*keys, F.col("category_name").alias("name")).agg(
-        F.min_by("category_wellness_type", F.struct("timestamp", "id")).alias("wellness_type"),
-        F.sum("duration").alias("time"),
-        F.count(F.lit(1)).alias("session_count"))
+    g = _by_category(x, keys, {"wellness_type": "category_wellness_type"}).select(
+        *keys, "name", "wellness_type", F.col("_t").alias("time"),
+        F.col("_n").alias("session_count"))
     wk = Window.partitionBy(*keys)
     wr = wk.orderBy(F.col("time").desc(), F.col("name"))
     total = F.sum("time").over(wk)

@@ -44,3 +44,16 @@ def test_split_path_plan_is_keyed(spark):
     from tabtrail.sources import fixtures as fx
     p = plan(mg.display_merge(fx.chunks(spark, SF, True), split_ms=86400000))
     assert "hashpartitioning(_pk" in p and "SinglePartition" not in p
+
+
+def test_topk_limits_before_shuffle(spark):
+    for name in ["sessions_listing", "similar_sessions", "last_n_per_user"]:
+        p = plan(entry.queries()[name](spark, SF))
+        lines = p.split("\n")
+        ex = [i for i, l in enumerate(lines) if "Exchange hashpartitioning" in l]
+        assert ex and any("WindowGroupLimit" in l for l in lines[ex[0] + 1:]), name
+
+
+def test_fact_aggregation_is_hash_based(spark):
+    p = plan(entry.queries()["category_stats"](spark, SF))
+    assert "HashAggregate(keys=[user_id" in p
