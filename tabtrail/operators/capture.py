@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from tabtrail.constants import (
     AUTOSAVE_MS,
     BREAK_EVERY_MS,
-    DAY_MS,
     LATE_NIGHT_FROM_HOUR,
     LATE_NIGHT_UNTIL_HOUR,
     LOCAL_BACKUP_CHUNKS,

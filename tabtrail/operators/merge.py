@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 
 from tabtrail.constants import (
     CLEANUP_MAX_GAP_MS,
-    DAY_MS,
     DISPLAY_MERGE_WINDOW_MS,
     INGEST_LOOKBACK_MS,
     INGEST_MAX_GAP_MS,

@@ -1,20 +1,20 @@
 """Ordered scans over keyed rows that stay parallel when one key is hot.
 
 ``lag``/``lead`` and running sums are sequential inside a window partition, so a plain
-``Window.partitionBy(user)`` puts a hot user into one task. These helpers split every key
-into time buckets (``split_ms``, default one day) and run the windows per
-(key, bucket); the only cross-bucket information needed -- the neighbour row of a
-bucket's first/last row and the latest segment start before a bucket -- comes from a
-per-(key, bucket) summary (partially aggregated before its shuffle) scanned by a
-window over buckets, which has one row per non-empty bucket. Data rows therefore move
-through exactly one hash exchange on (key, bucket); summaries are small.
-
-The split costs a second, narrow exchange, so ``split_ms="auto"`` (the default of the
-operators) first measures rows per key with a map-side-combined count over the key
-columns only and splits only when some key holds more than ``SKEW_FACTOR`` times its
-fair share of rows and more than ``SKEW_MIN_ROWS`` (the same kind of test AQE uses for
-skewed join partitions). With ``split_ms=None`` the helpers use one window partition
-per key.
+``Window.partitionBy(user)`` puts a hot user into one task. The split path divides every
+key into time buckets (one day) and runs the windows per (key, bucket). The only
+cross-bucket information needed -- the neighbour row at a bucket's edge and the latest
+segment start before a bucket -- comes from a per-(key, bucket) summary taken from the
+windowed rows (one row per non-empty bucket, hash-aggregated), scanned by a window over
+buckets and joined back on the (key, bucket) struct. No task ever holds more than one
+key-day of rows. Spark plans the self-join as two branches, so the split path pays one
+extra exchange of the narrow columns the summary reads.
+
+That is why ``split_ms="auto"`` (the operators' default) first measures rows per key with
+a map-side-combined count over the key columns and splits only when some key holds
+more than ``SKEW_FACTOR`` times its fair share of rows and more than ``SKEW_MIN_ROWS``
+(the same kind of test AQE applies to skewed join partitions). Otherwise, and with
+``split_ms=None``, one window partition per key is used.
 """
 
 from __future__ import annotations
@@ -75,8 +75,6 @@ def _key_of(pk: Column, keys: Sequence[str]) -> Column:
     return F.struct(*[pk[k].alias(k) for k in keys])
 
 
-
-
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    fields: Sequence[str], direction: str = "prev",
                    prefix: str | None = None) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtrail.constants import (
-    DAY_MS,
     DEFAULT_CATEGORY_COLOR,
     DEFAULT_CATEGORY_NAME,
     DEFAULT_WELLNESS_TYPE,
@@ -32,7 +31,7 @@ from tabtrail.functions.formats import fixed_ratio, format_hm, js_round, percent
 from tabtrail.functions.rules import wellness_type
 from tabtrail.functions.time import day_string, local_wall
 from tabtrail.operators.joins import bounded_broadcast
-from tabtrail.operators.ordered import add_bucket, with_neighbour
+from tabtrail.operators.ordered import with_neighbour
 
 KEYS = ("user_id",)
 

@@ -7,7 +7,6 @@ Parquet scan by Catalyst because every caller selects the columns it needs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtrail.constants import CATEGORY_SEED
