@@ -35,7 +35,7 @@ from tabtrail.constants import (
     INGEST_MAX_GAP_MS,
 )
 from tabtrail.functions.urls import with_url_parts
-from tabtrail.operators.ordered import BUCKET, add_bucket, segments
+from tabtrail.operators.ordered import BUCKET, add_bucket, choose_split, segments
 
 ORDER = ["timestamp", "id"]
 
@@ -202,12 +202,21 @@ def ingest_merge(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
                  split_ms="auto") -> DataFrame:
     """M1 over a batch of chunks, arrival order = (timestamp, id). Columns: id, user_id,
     url, title, timestamp, duration, merged_chunks. ``keys`` must be ``("user_id",)``
-    or a superset containing it."""
+    or a superset containing it.
+
+    The fold resets by itself at gaps longer than the look-back, so islands are only
+    needed to spread a hot (key, url) over tasks: without a hot key the rows are
+    hash-partitioned by (key, url) and folded directly (one exchange); with one, each
+    island becomes its own unit of work."""
     part = [*keys, "url"]
-    x = ingest_islands(chunks.select(*part, "id", "title", "timestamp", "duration"),
-                       lookback_ms, keys, split_ms)
-    x = x.withColumn("_isl", F.col("island"))
+    x = chunks.select(*part, "id", "title", "timestamp", "duration")
+    split = choose_split(x, part, split_ms)
     n = num_partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if split is None:
+        x = x.repartition(n, *part).sortWithinPartitions(*part, *ORDER)
+        return x.mapInPandas(_ingest_partition(part, lookback_ms, gap_ms, mode), INGEST_SCHEMA)
+    x = ingest_islands(x, lookback_ms, keys, split)
+    x = x.withColumn("_isl", F.col("island"))
     x = x.repartition(n, *part, "_isl").sortWithinPartitions(*part, "_isl", *ORDER)
     return x.mapInPandas(_ingest_partition([*part, "_isl"], lookback_ms, gap_ms, mode),
                          INGEST_SCHEMA)
