@@ -78,7 +78,7 @@ def top_n(df: DataFrame, n: int | None, order: Sequence[Column],
     per map partition before the shuffle, so a hot key ships at most ``n`` rows per
     partition)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    x = df.withColumn(rank_col or "_rn", F.row_number().over(w))
+    x = df.withColumn(rank_col or "_rn", F.row_number().over(w).cast("long"))
     if n is not None:
         x = x.filter(F.col(rank_col or "_rn") <= n)
     return x if rank_col else x.drop("_rn")
@@ -173,7 +173,7 @@ def activity_summary(s: DataFrame, c: DataFrame, keys=KEYS) -> DataFrame:
         format_hm(total).alias("total_text"),
         F.first("name").over(wr.rowsBetween(Window.unboundedPreceding,
                                             Window.unboundedFollowing)).alias("top_category"),
-        F.row_number().over(wr).alias("position"))
+        F.row_number().over(wr).cast("long").alias("position"))
 
 
 def activity_lines(summary: DataFrame, keys=KEYS) -> DataFrame:
@@ -341,7 +341,7 @@ def history_view(merged: DataFrame, term: str | None = None, sort_field: str = "
     v = F.coalesce(F.col("timestamp" if sort_field == "recency" else "duration"), F.lit(0))
     v = v.desc() if order == "desc" else v.asc()
     w = Window.partitionBy(*keys).orderBy(v, F.col("timestamp"), F.col("id"))
-    return x.withColumn("position", F.row_number().over(w))
+    return x.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def local_hours(s: DataFrame, tz: str = "UTC") -> DataFrame:

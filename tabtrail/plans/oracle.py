@@ -128,7 +128,8 @@ _kinds = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in EVENT_KIND.items())
 
 PRELUDE = f"""
 sites(site_id, url, title) AS (VALUES {_sites}),
-cats(id, name, description, color, wellness_type) AS (VALUES {_cats}),
+cats AS (SELECT CAST(id AS BIGINT) AS id, name, description, color, wellness_type
+         FROM (VALUES {_cats}) v(id, name, description, color, wellness_type)),
 ev AS (
   SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ts_ms,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 40 AS site_id, value
