@@ -72,3 +72,36 @@ def test_activity_summary_top_and_share(spark):
     assert rows["Focused Work"]["time_text"] == "1m"
     lines = st.activity_lines(st.activity_summary(s, c)).first()["lines"]
     assert lines.splitlines()[0] == "- Relaxation: 3m (60.0%) - 1 sessions - Type: rest"
+
+
+def ref_score(mix):
+    """Plain restatement: shares of productive/growth/rest/social vs ideal, drain x30."""
+    kind = {1: "productive", 7: "productive", 2: "growth", 3: "growth", 4: "social",
+            5: "rest", 6: "drain"}
+    total = sum(d for _, d in mix)
+    if total == 0:
+        return 0
+    t = {}
+    for c, d in mix:
+        k = kind.get(c, "unknown")
+        t[k] = t.get(k, 0) + d
+    score = 100.0
+    for k, ideal in (("productive", 0.35), ("growth", 0.25), ("rest", 0.25), ("social", 0.15)):
+        score -= abs(ideal - t.get(k, 0) / total) * 100
+    score -= (t.get("drain", 0) / total) * 30
+    import math
+    return max(0, min(100, math.floor(score + 0.5)))
+
+
+def test_score_property(spark):
+    import random
+    rnd = random.Random(7)
+    mixes = [[(rnd.choice([1, 2, 3, 4, 5, 6, 7, 8, None]), rnd.randint(0, 900000))
+              for _ in range(rnd.randint(1, 12))] for _ in range(300)]
+    data = [(u * 100 + j, u, "https://a.com", "t", d, 1000 * j, c)
+            for u, mix in enumerate(mixes) for j, (c, d) in enumerate(mix)]
+    s = spark.createDataFrame(data, S)
+    got = {r.user_id: r.score for r in st.wellness_daily(s, seed_categories(spark)).collect()}
+    for u, mix in enumerate(mixes):
+        assert got[u] == ref_score(mix), (u, mix)
+        assert 0 <= got[u] <= 100
