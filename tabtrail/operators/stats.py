@@ -34,6 +34,7 @@ from tabtrail.operators.joins import bounded_broadcast
 from tabtrail.operators.ordered import with_neighbour
 
 KEYS = ("user_id",)
+DAY_MS_ = 86_400_000
 
 
 def _default(col: Column, value: str) -> Column:
@@ -328,10 +329,16 @@ def domain_time(s: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def history_view(merged: DataFrame, term: str | None = None, sort_field: str = "recency",
-                 order: str = "desc", keys=KEYS) -> DataFrame:
+                 order: str = "desc", keys=KEYS, split_ms="auto") -> DataFrame:
     """P7 + L2 on display-merged rows: case-insensitive search in title, url or domain
-    (literal substring), then a position per key by recency or duration."""
+    (literal substring), then a position per key by recency or duration.
+
+    A position is a rank over a key's whole history. When a key is hot (see
+    ``ordered.choose_split``) the rank is computed per (key, bucket of the sort value)
+    -- one day of recency or one minute of duration -- and offset by the row counts of
+    the key's earlier buckets (a small aggregate scanned by a window over buckets)."""
     from tabtrail.functions.urls import domain
+    from tabtrail.operators.ordered import _key_of, choose_split
     x = merged
     if term is not None and term.strip() != "":
         t = F.lit(term.lower())
@@ -339,9 +346,23 @@ def history_view(merged: DataFrame, term: str | None = None, sort_field: str = "
                      | F.contains(F.lower(F.coalesce(F.col("url"), F.lit(""))), t)
                      | F.contains(F.lower(F.coalesce(domain(F.col("url")), F.lit(""))), t))
     v = F.coalesce(F.col("timestamp" if sort_field == "recency" else "duration"), F.lit(0))
-    v = v.desc() if order == "desc" else v.asc()
-    w = Window.partitionBy(*keys).orderBy(v, F.col("timestamp"), F.col("id"))
-    return x.withColumn("position", F.row_number().over(w).cast("long"))
+    desc = order == "desc"
+    vo = v.desc() if desc else v.asc()
+    keys = list(keys)
+    if choose_split(x, keys, split_ms if split_ms != "auto" else "auto") is None:
+        w = Window.partitionBy(*keys).orderBy(vo, F.col("timestamp"), F.col("id"))
+        return x.withColumn("position", F.row_number().over(w).cast("long"))
+    width = DAY_MS_ if sort_field == "recency" else 60_000
+    x = x.withColumn("_pk", F.struct(*keys, F.floor(v / F.lit(width)).cast("long").alias("_b")))
+    w = Window.partitionBy("_pk").orderBy(vo, F.col("timestamp"), F.col("id"))
+    x = x.withColumn("_rn", F.row_number().over(w).cast("long"))
+    counts = x.groupBy("_pk").agg(F.count(F.lit(1)).alias("_n"))
+    b = F.col("_pk")["_b"]
+    wk = Window.partitionBy(_key_of(F.col("_pk"), keys)).orderBy(b.desc() if desc else b.asc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pk", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
+    y = x.join(offsets, "_pk", "left")
+    return y.select(*merged.columns, (F.col("_off") + F.col("_rn")).alias("position"))
 
 
 def local_hours(s: DataFrame, tz: str = "UTC") -> DataFrame:

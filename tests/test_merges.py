@@ -193,3 +193,15 @@ def test_split_equals_plain_on_fixture(spark):
     c2 = fx.chunks(spark, "/root/testdata/sf0.001")
     cols = ("id", "timestamp", "duration", "merged_chunks")
     assert out(mg.ingest_merge(c2, split_ms=None), cols) == out(mg.ingest_merge(c2, split_ms=3600000), cols)
+
+
+def test_history_positions_split_equals_plain(spark):
+    from tabtrail.operators import stats as stt
+    from tabtrail.sources import fixtures as fx
+    m = mg.display_merge(fx.chunks(spark, "/root/testdata/sf0.001", url_variant=True))
+    for field, order in [("recency", "desc"), ("duration", "desc"), ("duration", "asc")]:
+        a = out(stt.history_view(m, None, field, order, split_ms=None), ("id", "position"))
+        b = out(stt.history_view(m, None, field, order, split_ms=86400000), ("id", "position"))
+        assert a == b, (field, order)
+    a = out(stt.history_view(m, "learn", split_ms=None), ("id", "position"))
+    assert a == out(stt.history_view(m, "learn", split_ms=86400000), ("id", "position"))
