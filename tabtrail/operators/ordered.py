@@ -32,17 +32,29 @@ SKEW_FACTOR = 5.0
 SKEW_MIN_ROWS = 5_000_000
 
 
+_SPLIT_MEMO: dict[tuple, int | None] = {}
+
+
 def choose_split(df: DataFrame, keys: Sequence[str], split_ms="auto",
                  min_rows: int = SKEW_MIN_ROWS, factor: float = SKEW_FACTOR):
-    """Resolve ``split_ms='auto'``: ``DAY_MS`` when a key is hot, else None."""
+    """Resolve ``split_ms='auto'``: ``DAY_MS`` when a key is hot, else None.
+
+    Both paths give identical results, so the decision only affects speed; it is
+    remembered per (plan, keys) for the session."""
     if split_ms != "auto":
         return split_ms
-    st = df.groupBy(*keys).count().agg(F.max("count").alias("mx"),
-                                       F.sum("count").alias("n")).first()
-    if st is None or st["mx"] is None:
-        return None
-    fair = st["n"] / max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    return DAY_MS if (st["mx"] > min_rows and st["mx"] > factor * fair) else None
+    probe = df.select(*keys)
+    memo_key = (id(df.sparkSession), probe.semanticHash(), tuple(keys), min_rows, factor)
+    if memo_key in _SPLIT_MEMO:
+        return _SPLIT_MEMO[memo_key]
+    st = probe.groupBy(*keys).count().agg(F.max("count").alias("mx"),
+                                          F.sum("count").alias("n")).first()
+    decision = None
+    if st is not None and st["mx"] is not None:
+        fair = st["n"] / max(df.sparkSession.sparkContext.defaultParallelism, 1)
+        decision = DAY_MS if (st["mx"] > min_rows and st["mx"] > factor * fair) else None
+    _SPLIT_MEMO[memo_key] = decision
+    return decision
 
 
 def add_bucket(df: DataFrame, time_col: str, split_ms="auto",

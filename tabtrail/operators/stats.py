@@ -329,27 +329,32 @@ def domain_time(s: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def history_view(merged: DataFrame, term: str | None = None, sort_field: str = "recency",
-                 order: str = "desc", keys=KEYS, split_ms="auto") -> DataFrame:
+                 order: str = "desc", keys=KEYS, split_ms="auto",
+                 skew_probe: DataFrame | None = None) -> DataFrame:
     """P7 + L2 on display-merged rows: case-insensitive search in title, url or domain
     (literal substring), then a position per key by recency or duration.
 
     A position is a rank over a key's whole history. When a key is hot (see
     ``ordered.choose_split``) the rank is computed per (key, bucket of the sort value)
     -- one day of recency or one minute of duration -- and offset by the row counts of
-    the key's earlier buckets (a small aggregate scanned by a window over buckets)."""
-    from tabtrail.functions.urls import domain
+    the key's earlier buckets (a small aggregate scanned by a window over buckets).
+    ``skew_probe`` is a cheaper frame with at least as many rows per key (e.g. the
+    input of the merge) on which the skew test runs instead of ``merged``."""
+    from tabtrail.functions.urls import with_url_parts
     from tabtrail.operators.ordered import _key_of, choose_split
     x = merged
     if term is not None and term.strip() != "":
         t = F.lit(term.lower())
+        x = with_url_parts(x, "url", None, "_host")
         x = x.filter(F.contains(F.lower(F.coalesce(F.col("title"), F.lit(""))), t)
                      | F.contains(F.lower(F.coalesce(F.col("url"), F.lit(""))), t)
-                     | F.contains(F.lower(F.coalesce(domain(F.col("url")), F.lit(""))), t))
+                     | F.contains(F.lower(F.coalesce(F.col("_host"), F.lit(""))), t)).drop("_host")
     v = F.coalesce(F.col("timestamp" if sort_field == "recency" else "duration"), F.lit(0))
     desc = order == "desc"
     vo = v.desc() if desc else v.asc()
     keys = list(keys)
-    if choose_split(x, keys, split_ms if split_ms != "auto" else "auto") is None:
+    probe = skew_probe.select(*keys) if skew_probe is not None else x
+    if choose_split(probe, keys, split_ms) is None:
         w = Window.partitionBy(*keys).orderBy(vo, F.col("timestamp"), F.col("id"))
         return x.withColumn("position", F.row_number().over(w).cast("long"))
     width = DAY_MS_ if sort_field == "recency" else 60_000

@@ -97,16 +97,16 @@ FROM merged
 WHERE contains(lower(coalesce(title, '')), '{_t}') OR contains(lower(coalesce(url, '')), '{_t}')
    OR contains(lower(coalesce({domain_sql('url')}, '')), '{_t}')""", _display_ctes("chunks_v")))
 def q_history_search(spark, d):
-    m = mg.display_merge(fx.chunks(spark, d, url_variant=True))
-    return st.history_view(m, HISTORY_TERM, "recency", "desc")
+    c = fx.chunks(spark, d, url_variant=True)
+    return st.history_view(mg.display_merge(c), HISTORY_TERM, "recency", "desc", skew_probe=c)
 
 
 @register("history_sorted", with_prelude("""
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(duration, 0) DESC, timestamp, id)
   AS position FROM merged""", _display_ctes("chunks_v")))
 def q_history_sorted(spark, d):
-    m = mg.display_merge(fx.chunks(spark, d, url_variant=True))
-    return st.history_view(m, None, "duration", "desc")
+    c = fx.chunks(spark, d, url_variant=True)
+    return st.history_view(mg.display_merge(c), None, "duration", "desc", skew_probe=c)
 
 
 @register("last_n_per_user", with_prelude("""
