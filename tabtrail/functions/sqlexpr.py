@@ -23,7 +23,7 @@ def sql_str(s: str | None) -> str:
 def cached_expr(sql: str) -> Column:
     from pyspark import SparkContext
     sc = SparkContext._active_spark_context
-    key = (id(sc), sql)
+    key = (sc.applicationId if sc is not None else None, sql)
     col = _CACHE.get(key)
     if col is None:
         col = F.expr(sql)

@@ -44,7 +44,8 @@ def choose_split(df: DataFrame, keys: Sequence[str], split_ms="auto",
     if split_ms != "auto":
         return split_ms
     probe = df.select(*keys)
-    memo_key = (id(df.sparkSession), probe.semanticHash(), tuple(keys), min_rows, factor)
+    from tabtrail.session import app_key
+    memo_key = (app_key(df.sparkSession), probe.semanticHash(), tuple(keys), min_rows, factor)
     if memo_key in _SPLIT_MEMO:
         return _SPLIT_MEMO[memo_key]
     st = probe.groupBy(*keys).count().agg(F.max("count").alias("mx"),

@@ -40,6 +40,11 @@ def get_session(master: str | None = None, app: str = "tabtrail",
     return spark
 
 
+def app_key(spark: SparkSession) -> str:
+    """Identity of the running Spark application (memo caches are scoped to it)."""
+    return spark.sparkContext.applicationId
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a scratch folder only when unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

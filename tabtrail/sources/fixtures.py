@@ -50,7 +50,8 @@ _SPREAD: dict[tuple, DataFrame] = {}
 
 
 def _events(spark: SparkSession, base: str) -> DataFrame:
-    key = (id(spark), base, spark.conf.get(SPREAD_CONF, "true"))
+    from tabtrail.session import app_key
+    key = (app_key(spark), base, spark.conf.get(SPREAD_CONF, "true"))
     if key not in _SPREAD:
         ev = read_table(spark, base, "events").select(
             "event_id", "ts", "user_id", "event_type", "value", "props")

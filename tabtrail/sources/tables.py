@@ -30,7 +30,8 @@ def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet")
     The DataFrame (schema and file listing) is made once per session and path and
     reused; it stays lazy, so every query still scans with its own pruning/filters."""
     path = f"{base.rstrip('/')}/{name}.{fmt}"
-    key = (id(spark), path, fmt)
+    from tabtrail.session import app_key
+    key = (app_key(spark), path, fmt)
     df = _READS.get(key)
     if df is None:
         df = spark.read.format(fmt).load(path)
