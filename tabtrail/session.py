@@ -3,7 +3,7 @@
 Cluster jobs should build their own session; ``get_session`` only fills settings that
 are unset: AQE with partition coalescing and skew-join splitting, UTC session zone,
 Arrow for pandas exchange, no UI. ``checkpoint_dir`` reads ``spark.checkpoint.dir``
-and only falls back to a scratch folder when the session has none (tests).
+and only falls back to a scratch folder for a local-mode session without one (tests).
 """
 
 from __future__ import annotations
@@ -46,9 +46,18 @@ def app_key(spark: SparkSession) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch folder only when unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="tabtrail-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir`` or one set on
+    the context). Only a local-mode session (tests) without one gets a scratch folder;
+    on a cluster a machine-local folder would not survive executor loss, so it is an
+    error to leave the setting empty there."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if d:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)
+        return d
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) first")
+    d = tempfile.mkdtemp(prefix="tabtrail-ckpt-")
+    sc.setCheckpointDir(d)
     return d
