@@ -165,6 +165,8 @@ def rule_coverage(s: DataFrame) -> DataFrame:
     agg = x.groupBy("rule").agg(F.count_distinct("url").alias("sites"),
                                 F.count(F.lit(1)).alias("sessions"),
                                 F.sum("duration").alias("total_time"))
+    # the share's denominator spans all groups; there are at most (#categories + 1)
+    # aggregated rows here, so this single-partition window is bounded by the rule list
     total = F.sum("sessions").over(Window.partitionBy())
     return agg.select("rule", "sites", "sessions", "total_time",
                       (F.col("sessions") / total).alias("row_share"))
