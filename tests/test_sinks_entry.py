@@ -78,3 +78,15 @@ def test_oracles_sample_sf0001(spark):
             return sorted((tuple(cell(x) for x in r) for r in df[cols].itertuples(index=False)),
                           key=lambda t: tuple((v is None, str(v)) for v in t))
         assert norm(s) == norm(o), name
+
+
+def test_declared_schemas_roundtrip(spark):
+    from tabtrail.sources.schemas import SCHEMAS, conform, read_input
+    s = conform(fx.sessions(spark, SF), "sessions")
+    path = os.path.join(tempfile.mkdtemp(prefix="tt-schema-"), "sessions")
+    s.write.parquet(path)
+    back = read_input(spark, "sessions", path)
+    assert [f.name for f in back.schema.fields] == [f.name for f in SCHEMAS["sessions"].fields]
+    assert back.count() == s.count()
+    stream = read_input(spark, "sessions", path, stream=True)
+    assert stream.isStreaming
