@@ -57,7 +57,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(d)
         return d
     if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) first")
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster first")
     d = tempfile.mkdtemp(prefix="tabtrail-ckpt-")
     sc.setCheckpointDir(d)
     return d
