@@ -44,3 +44,20 @@ def test_alerts(spark):
     assert [(r.night, r.alert_ts, r.late_sessions) for r in late] == [("1970-01-01", 7200000, 2)]
     brk = cp.break_alerts(s).orderBy("alert_ts").collect()
     assert [r.alert_no for r in brk] == list(range(1, 10))
+
+
+def test_split_path_equals_plain(spark):
+    from tabtrail.sources import fixtures as fx
+    ev = fx.tab_events(spark, "/root/testdata/sf0.001")
+
+    def k(df, cols):
+        return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    cols = ("user_id", "event_id", "start_ts", "end_ts", "duration", "end_kind")
+    # ten-minute buckets: sessions and gaps cross bucket edges often
+    assert k(cp.tab_sessions(ev, split_ms=None), cols) == k(cp.tab_sessions(ev, split_ms=600000), cols)
+    cols = ("user_id", "start_ts", "elapsed_ms")
+    assert k(cp.current_session(ev, 1706659200000, split_ms=None), cols) == \
+        k(cp.current_session(ev, 1706659200000, split_ms=600000), cols)
+    cols = ("user_id", "idle_start", "idle_ms", "resumed_by")
+    assert k(cp.idle_spells(ev, 60000, split_ms=None), cols) == \
+        k(cp.idle_spells(ev, 60000, split_ms=600000), cols)
