@@ -8,8 +8,10 @@ emitted once it can no longer change -- when a later chunk of the key starts mor
 look-back (timeout). Output mode is ``append``: every merged row is emitted exactly
 once, so for in-order input the stream equals ``merge.ingest_merge``.
 
-Chunks later than the watermark are dropped by Spark's watermark filter; use
-``late_chunks`` to route them to a side output instead.
+Each output row has ``status``: 'final' for merged rows, 'late' for chunks that arrive
+after a later chunk of the same key was already folded (out of order); those are
+returned unfolded as a rejected output instead of silently changing history. Chunks
+behind the event-time watermark are dropped by Spark before the state function.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tabtrail.constants import INGEST_LOOKBACK_MS, INGEST_MAX_GAP_MS
 from tabtrail.operators.merge import INGEST_SCHEMA, IngestFold
 
+OUT_SCHEMA = T.StructType(INGEST_SCHEMA.fields + [T.StructField("status", T.StringType())])
 STATE_SCHEMA = T.StructType([
+    T.StructField("last_ts", T.LongType()), T.StructField("last_id", T.LongType()),
     T.StructField("ids", T.ArrayType(T.LongType())),
     T.StructField("ts", T.ArrayType(T.LongType())),
     T.StructField("durs", T.ArrayType(T.LongType())),
@@ -37,34 +41,36 @@ STATE_SCHEMA = T.StructType([
 def _ingest_fn(lookback_ms: int, gap_ms: int, mode: str):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         user, url = key
-        live = []
+        live, last = [], None
         if state.exists:
-            ids, ts, durs, titles, chunks = state.get
+            last_ts, last_id, ids, ts, durs, titles, chunks = state.get
+            last = (last_ts, last_id) if last_ts is not None else None
             live = [[i, t, d, ti, c] for i, t, d, ti, c in zip(ids, ts, durs, titles, chunks)]
         fold = IngestFold(lookback_ms, gap_ms, mode, live)
         out = []
         if state.hasTimedOut:
-            done = fold.flush()
+            for r in fold.flush():
+                out.append((r[0], user, url, r[3], r[1], r[2], r[4], "final"))
             state.remove()
         else:
             parts = [p for p in pdfs if len(p)]
             pdf = pd.concat(parts).sort_values(["timestamp", "id"]) if parts else None
-            done = []
             if pdf is not None:
                 for cid, t, d, ti in zip(pdf["id"].tolist(), pdf["timestamp"].tolist(),
                                          pdf["duration"].tolist(), pdf["title"].tolist()):
-                    done.extend(fold.push(cid, t, d, ti))
-            if fold.live:
-                lv = fold.live
-                state.update(([r[0] for r in lv], [r[1] for r in lv], [r[2] for r in lv],
-                              [r[3] for r in lv], [r[4] for r in lv]))
-                state.setTimeoutTimestamp(max(r[1] for r in lv) + lookback_ms + 1)
-            else:
-                state.remove()
-        for r in done:
-            out.append((r[0], user, url, r[3], r[1], r[2], r[4]))
+                    if last is not None and (t, cid) < last:
+                        out.append((cid, user, url, ti, t, d, 1, "late"))
+                        continue
+                    last = (t, cid)
+                    for r in fold.push(cid, t, d, ti):
+                        out.append((r[0], user, url, r[3], r[1], r[2], r[4], "final"))
+            lv = fold.live
+            state.update((last[0] if last else None, last[1] if last else None,
+                          [r[0] for r in lv], [r[1] for r in lv], [r[2] for r in lv],
+                          [r[3] for r in lv], [r[4] for r in lv]))
+            state.setTimeoutTimestamp((max(r[1] for r in lv) if lv else last[0]) + lookback_ms + 1)
         if out:
-            yield pd.DataFrame(out, columns=INGEST_SCHEMA.fieldNames())
+            yield pd.DataFrame(out, columns=OUT_SCHEMA.fieldNames())
     return fn
 
 
@@ -72,15 +78,10 @@ def ingest_stream(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
                   gap_ms: int = INGEST_MAX_GAP_MS, mode: str = "faithful",
                   watermark: str = "10 minutes") -> DataFrame:
     """Streaming M1: ``chunks`` is a streaming DataFrame (id, user_id, url, title,
-    timestamp ms, duration); returns finalized merged rows (append mode)."""
+    timestamp ms, duration); returns finalized merged rows and late chunks, each with a
+    ``status`` (append mode)."""
     x = chunks.withColumn("event_time", F.timestamp_millis("timestamp")) \
         .withWatermark("event_time", watermark)
     return x.groupBy("user_id", "url").applyInPandasWithState(
-        _ingest_fn(lookback_ms, gap_ms, mode), INGEST_SCHEMA, STATE_SCHEMA, "append",
+        _ingest_fn(lookback_ms, gap_ms, mode), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
-
-
-def late_chunks(chunks: DataFrame, watermark_ms_col: str = "watermark_ms") -> DataFrame:
-    """Chunks that arrive behind a known watermark (side output for a foreachBatch
-    sink that tracks the watermark itself)."""
-    return chunks.filter(F.col("timestamp") < F.col(watermark_ms_col))

@@ -48,10 +48,33 @@ def test_ingest_stream_equals_batch(spark):
     chunks = fx.chunks(spark, SF)
     sentinel = (-1, -1, "sentinel", None, 1800000000000, 30000)
     got = run_stream(spark, chunks, ingest_stream, sentinel=sentinel).filter("user_id >= 0")
+    assert got.filter("status <> 'final'").count() == 0
     cols = ("id", "user_id", "url", "timestamp", "duration", "merged_chunks")
     assert key(got, cols) == key(mg.ingest_merge(chunks), cols)
 
 
+def test_ingest_stream_routes_out_of_order_chunks(spark):
+    t0 = 1704067200000
+    rows = [(1, 1, "u", "t", t0, 10000), (2, 1, "u", "t", t0 + 30000, 10000),
+            (3, 1, "u", "t", t0 + 10000, 5000),         # arrives after t0 + 30 s: late
+            (-1, -1, "s", None, 1800000000000, 1000)]
+    df = spark.createDataFrame(rows, "id long, user_id long, url string, title string, "
+                                     "timestamp long, duration long")
+    src = tempfile.mkdtemp(prefix="tt-late-")
+    import time
+    for i, r in enumerate(rows + [rows[-1]]):
+        spark.createDataFrame([r], df.schema).coalesce(1).write.parquet(f"{src}/p{i}")
+        time.sleep(1.1)      # distinct modification times keep the file order
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(src)
+    q = (ingest_stream(stream).writeStream.format("memory").queryName("late_route")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tt-ckpt-"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {(r.id, r.status, r.duration) for r in spark.table("late_route").filter("user_id = 1").collect()}
+    assert got == {(1, "final", 20000), (3, "late", 5000)}
+
+
 def test_capture_stream_equals_batch(spark):
     ev = fx.tab_events(spark, SF)
     got = run_stream(spark, ev, capture_stream, order="ts_ms")
