@@ -20,6 +20,11 @@ def sql_str(s: str | None) -> str:
     return "'" + s.replace(chr(92), chr(92) * 2).replace("'", chr(92) + "'") + "'"
 
 
+def double_array_sql(values) -> str:
+    """SQL text of an array<double> literal (exact: 17 significant digits)."""
+    return "array(" + ", ".join("%.17gD" % float(v) for v in values) + ")"
+
+
 def cached_expr(sql: str) -> Column:
     from pyspark import SparkContext
     sc = SparkContext._active_spark_context

@@ -123,10 +123,11 @@ def similar_sessions(v: DataFrame, questions: DataFrame, k: int = SIMILAR_TOP_K,
         rows = questions.select("question_id", "query_vec").limit(MAX_GLOBAL_QUESTIONS + 1).collect()
         if len(rows) > MAX_GLOBAL_QUESTIONS:
             raise ValueError("too many global questions; scope them per user")
-        lit_q = F.array(*[F.struct(F.lit(r["question_id"]).cast("long").alias("qid"),
-                                   F.array(*[F.lit(float(x)) for x in r["query_vec"]]).alias("vec"))
-                          for r in rows]) if rows else F.array().cast(
-            "array<struct<qid:bigint,vec:array<double>>>")
+        from tabtrail.functions.sqlexpr import double_array_sql
+        lit_q = F.expr("array(" + ", ".join(
+            f"named_struct('qid', CAST({int(r['question_id'])} AS BIGINT), "
+            f"'vec', {double_array_sql(r['query_vec'])})" for r in rows) + ")") if rows \
+            else F.array().cast("array<struct<qid:bigint,vec:array<double>>>")
         x = vv.select("*", F.explode(F.transform(
             lit_q, lambda q: F.struct(q["qid"].alias("question_id"),
                                       _cosine(F.col("values"), q["vec"]).alias("score")))

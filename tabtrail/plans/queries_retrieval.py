@@ -173,9 +173,10 @@ def q_reflection_context(spark, d):
     s = fx.categorized_sessions(spark, d)
     stats = rt.context_stats(rt.context_rows(s, fx.categories(spark), MONTH_START))
     qv = fx.query_vector(spark, d).limit(1).collect()[0]["query_vec"]
+    from tabtrail.functions.sqlexpr import double_array_sql
     qs = s.select("user_id").distinct().select(
         F.col("user_id").alias("question_id"), "user_id",
-        F.array(*[F.lit(float(x)) for x in qv]).alias("query_vec"))
+        F.expr(double_array_sql(qv)).alias("query_vec"))
     m = rt.similar_sessions(fx.session_vectors(spark, d), qs, 8, MONTH_START, per_user=True)
     return rt.reflection_context(s, stats, m)
 
