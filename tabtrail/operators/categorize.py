@@ -31,7 +31,12 @@ def categorize_by_rules(s: DataFrame, c: DataFrame) -> DataFrame:
     """Set ``category_id`` from the URL rules; other columns unchanged."""
     cols = [x for x in s.columns if x != "category_id"]
     x = with_rule_category(s, "url", "_rule_name")
-    x = x.join(_name_to_id(c), F.col("_rule_name") == F.col("_cat_name"), "left")
+    # coalesce: no category is named '' (names are required), and a non-nullable key
+    # keeps Catalyst from inferring ``isnotnull(rule)`` when a later filter on
+    # category_id turns this into an inner join -- that inferred filter would be pushed
+    # below the projection and inline the lower-cased URL into every rule test
+    x = x.join(_name_to_id(c), F.coalesce(F.col("_rule_name"), F.lit("")) == F.col("_cat_name"),
+               "left")
     return x.select(*cols, F.col("_cat_id").alias("category_id"))
 
 
