@@ -57,3 +57,15 @@ def test_topk_limits_before_shuffle(spark):
 def test_fact_aggregation_is_hash_based(spark):
     p = plan(entry.queries()["category_stats"](spark, SF))
     assert "HashAggregate(keys=[user_id" in p
+
+
+def test_generated_code_compiles(spark):
+    """With codegen fallback off, a method over the 64 KB JVM limit raises instead of
+    silently running interpreted (slowly)."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ["sessions_by_category", "categorize_by_url", "display_merge",
+                     "uncategorized_backlog", "category_delete_cascade"]:
+            entry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", "true")
