@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+import tabtrail
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -61,3 +64,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="tabtrail-ckpt-")
     sc.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabtrail`` importable in the Python workers of every executor, wherever the
+    driver was started from: the package's source goes out once per application through
+    ``addPyFile`` (the driver serves the zip; executors need no shared path for it)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tabtrail_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(tabtrail.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tabtrail-src-"), "tabtrail_src.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._tabtrail_shipped = True
