@@ -52,3 +52,9 @@ def fold(doc_id: Column, parts: int) -> Column:
     """Fold of a document: crc32 of its id as text, modulo ``parts``; a null id is the
     empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, inside one expression (so that it stays
+    unevaluated where a CASE branch is not reached)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
