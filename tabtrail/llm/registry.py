@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabtrail.llm import queries_native, queries_rules, queries_text
+from tabtrail.llm import queries_learned, queries_native, queries_rules, queries_text
 
-MODULES = (queries_text, queries_rules, queries_native)
+MODULES = (queries_text, queries_rules, queries_native, queries_learned)
 
 
 def queries() -> dict:
