@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from tabtrail.llm.common import prepare
 
@@ -281,7 +281,7 @@ def add_pieces(docs: DataFrame, model: bytes, *, text_col="text") -> DataFrame:
     held, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
     names = [fresh(n, docs.columns) for n in ("piece_ids", "n_pieces", "round_trip")]
     schema = docs.select("*").schema
-    for n, kind in zip(names, ("array<int>", "bigint", "boolean")):
+    for n, kind in zip(names, (T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType())):
         schema = schema.add(n, kind)
 
     def run(batches):
@@ -303,7 +303,7 @@ def decode(encoded: DataFrame, model: bytes, *, ids_col="piece_ids", text_col="t
     spark = prepare(encoded.sparkSession)
     held, at = spark.sparkContext.broadcast(model), encoded.columns.index(ids_col)
     name = fresh(text_col, encoded.columns)
-    schema = encoded.select("*").schema.add(name, "string")
+    schema = encoded.select("*").schema.add(name, T.StringType())
 
     def run(batches):
         t = compiled(held.value)
