@@ -27,7 +27,7 @@ from tabtrail.llm.common import let
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 BREAKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 256
 #: Thresholds of the rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -121,25 +121,24 @@ OWN_RULES = (
 
 def measure(docs: DataFrame, rules, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[dict]:
     """Cost (seconds a row, over a run that evaluates no rule) and share of rejected rows of
-    every rule, on at most ``sample_rows`` rows."""
-    sample = docs.select(F.col(text_col).alias("t")).limit(sample_rows).persist()
-    try:
-        rows = max(1, sample.count())
-
-        def timed(rejects: Column) -> tuple[float, int]:
-            began = time.perf_counter()
-            n = sample.agg(F.sum(rejects.cast("bigint"))).first()[0] or 0
-            return time.perf_counter() - began, n
-
-        idle = min(timed(F.col("t").isNull())[0] for _ in range(3))
-        found = []
-        for r in rules:
-            runs = [timed(r.rejects(F.col("t"))) for _ in range(2)]
-            found.append({"rule": r, "cost": max(min(t for t, _ in runs) - idle, 1e-4) / rows,
-                          "rejects": runs[0][1] / rows})
-        return found
-    finally:
-        sample.unpersist()
+    every rule, on at most ``sample_rows`` rows. ``take`` reads no more partitions than it needs for
+    them, where a limit would take that many rows from every partition."""
+    taken = docs.select(F.col(text_col).cast("string").alias("t")).take(sample_rows)
+    sample = docs.sparkSession.createDataFrame([(r.t,) for r in taken], "t string").coalesce(1)
+    rows = max(1, len(taken))
+
+    def timed(rejects: Column) -> tuple[float, int]:
+        began = time.perf_counter()
+        n = sample.agg(F.sum(rejects.cast("bigint"))).first()[0] or 0
+        return time.perf_counter() - began, n
+
+    idle = min(timed(F.col("t").isNull())[0] for _ in range(3))
+    found = []
+    for r in rules:
+        runs = [timed(r.rejects(F.col("t"))) for _ in range(2)]
+        found.append({"rule": r, "cost": max(min(t for t, _ in runs) - idle, 1e-4) / rows,
+                      "rejects": runs[0][1] / rows})
+    return found
 
 
 def ordered(measured: list[dict]) -> list[Rule]:
