@@ -160,6 +160,7 @@ INTERNAL_URL_PARTS = ["localhost", "127.0.0.1"]
 # Time thresholds, milliseconds.
 AUTOSAVE_MS = 30_000
 MIN_CHUNK_MS = 3_000
+CHUNK_ID_FACTOR = 1 << 20   # autosave chunks of one session that have an id of their own
 INGEST_LOOKBACK_MS = 120_000
 INGEST_MAX_GAP_MS = 35_000
 CLEANUP_MAX_GAP_MS = 120_000

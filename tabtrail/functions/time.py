@@ -31,6 +31,13 @@ def ntz_to_ms(ts) -> Column:
             + millis_of_sec)
 
 
+def ntz_literal(ms: int) -> Column:
+    """Epoch ms as a ``TIMESTAMP_NTZ`` literal (UTC wall time)."""
+    import datetime as dt
+    wall = dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=ms)
+    return F.expr(f"TIMESTAMP_NTZ'{wall.isoformat(sep=' ', timespec='milliseconds')}'")
+
+
 def utc_wall(ms) -> Column:
     """UTC wall-clock ``TIMESTAMP_NTZ`` of an epoch-ms column."""
     return F.timestamp_add("MILLISECOND", _c(ms), F.expr(_EPOCH_NTZ))
@@ -93,8 +100,3 @@ def local_hour(ms, tz: str = "UTC") -> Column:
     if _is_utc(tz):
         return _floor_div(F.pmod(_c(ms).cast("long"), F.lit(DAY_MS)), 3_600_000).cast("int")
     return F.hour(local_wall(ms, tz))
-
-
-def day_bucket(ms, width_ms: int = DAY_MS) -> Column:
-    """Integer bucket of epoch ms, monotone in time (used to split hot keys)."""
-    return F.floor(_c(ms) / F.lit(width_ms)).cast("long")

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tabtrail.constants import (
     AUTOSAVE_MS,
     BREAK_EVERY_MS,
+    CHUNK_ID_FACTOR,
+    DAY_MS,
     LATE_NIGHT_FROM_HOUR,
     LATE_NIGHT_UNTIL_HOUR,
     LOCAL_BACKUP_CHUNKS,
@@ -42,14 +44,14 @@ STARTING_KINDS = ["activated", "url_updated", "focus_gained"]
 
 
 def effective_events(events: DataFrame, keys: Sequence[str] = KEYS,
-                     split_ms="auto") -> DataFrame:
+                     split_ms: int | None = DAY_MS) -> DataFrame:
     """Events that change state, with ``_state`` (URL of the session running after the
     event, null when none) and ``next_ts_ms`` / ``next_kind`` of the following event."""
     url = F.col("url")
     ev = events.filter(~((F.col("kind") == "focus_gained") & is_internal_url(url)))
     starts = F.col("kind").isin(*STARTING_KINDS) & ~is_internal_url(url)
     ev = ev.withColumn("_state", F.when(starts, url))
-    ev = add_bucket(ev, "ts_ms", split_ms, keys)
+    ev = add_bucket(ev, "ts_ms", split_ms)
     ev = with_neighbour(ev, keys, ORDER, ["_state"], "prev")
     noop = (F.col("kind") == "url_updated") & F.coalesce(url == F.col("prev__state"), F.lit(False))
     ev = ev.filter(~noop).drop("prev__state")
@@ -57,7 +59,7 @@ def effective_events(events: DataFrame, keys: Sequence[str] = KEYS,
 
 
 def tab_sessions(events: DataFrame, keys: Sequence[str] = KEYS,
-                 split_ms="auto") -> DataFrame:
+                 split_ms: int | None = DAY_MS) -> DataFrame:
     """Closed sessions: start event, page, start/end, elapsed and recorded duration."""
     ev = effective_events(events, keys, split_ms)
     x = ev.filter(F.col("_state").isNotNull() & F.col("next_ts_ms").isNotNull())
@@ -75,7 +77,9 @@ def tab_sessions(events: DataFrame, keys: Sequence[str] = KEYS,
 
 def session_chunks(sessions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """ST2: autosave chunks of closed tab sessions: one per full 30 s, then the
-    remainder when the session ended normally and the remainder is at least 3 s."""
+    remainder when the session ended normally and the remainder is at least 3 s. Ids are
+    ``event_id * CHUNK_ID_FACTOR + j``: unique for sessions of up to a year and event ids up
+    to 8 * 10^12."""
     elapsed = F.col("elapsed_ms")
     full = idiv(elapsed, AUTOSAVE_MS)
     rest = elapsed - full * AUTOSAVE_MS
@@ -86,14 +90,14 @@ def session_chunks(sessions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
         F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("j"))
     j = F.col("j")
     return x.select(
-        (F.col("event_id") * 1000 + j).alias("id"), *keys, "url", "title",
+        (F.col("event_id") * CHUNK_ID_FACTOR + j).alias("id"), *keys, "url", "title",
         (F.col("start_ts") + j * AUTOSAVE_MS).alias("timestamp"),
         F.least(F.lit(AUTOSAVE_MS).cast("long"), F.col("_el") - j * AUTOSAVE_MS).alias("duration"),
     ).filter(F.col("duration") >= MIN_CHUNK_MS)
 
 
 def current_session(events: DataFrame, now_ms: int, keys: Sequence[str] = KEYS,
-                    split_ms="auto") -> DataFrame:
+                    split_ms: int | None = DAY_MS) -> DataFrame:
     """ST9: the session still open after the last event, with elapsed time at ``now``."""
     ev = effective_events(events, keys, split_ms)
     x = ev.filter(F.col("_state").isNotNull() & F.col("next_ts_ms").isNull())
@@ -127,10 +131,10 @@ def break_alerts(s: DataFrame, every_ms: int = BREAK_EVERY_MS, tz: str = "UTC",
 
 
 def idle_spells(events: DataFrame, idle_after_ms: int, keys: Sequence[str] = KEYS,
-                split_ms="auto") -> DataFrame:
+                split_ms: int | None = DAY_MS) -> DataFrame:
     """ST8 re-aimed: gaps longer than ``idle_after_ms`` between a key's consecutive
     events; one row per spell (start = previous event, length)."""
-    x = add_bucket(events, "ts_ms", split_ms, keys)
+    x = add_bucket(events, "ts_ms", split_ms)
     x = with_neighbour(x, keys, ORDER, ["ts_ms"], "prev")
     gap = F.col("ts_ms") - F.col("prev_ts_ms")
     return x.filter(gap > idle_after_ms).select(

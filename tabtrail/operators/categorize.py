@@ -1,10 +1,11 @@
 """Session categorisation: URL rules, pluggable fallback classifier, backfill.
 
 * ``categorize_by_rules`` (C1): first matching rule -> category name -> id by exact name
-  lookup in the dimension (size-checked broadcast join). No rule or unknown name -> null.
-* ``categorize`` (C1 + C2): rows still without an id go to a classifier. Only the
-  *distinct* (url, title) pairs of those rows are classified (``mapInPandas``, Arrow
-  batches), then joined back, so the classifier cost follows distinct pages, not visits.
+  lookup in the dimension. No rule or unknown name -> null.
+* ``categorize`` (C1 + C2): rows still without an id go to the fallback. The default fallback
+  is a ``CASE`` over url and title: one scan and no exchange of the sessions. A plugged
+  classifier sees only the *distinct* (url, title) pairs of the unmatched rows
+  (``mapInPandas``, Arrow batches), and only unmatched rows are joined back.
 * ``categorize_backfill`` (C3) / ``categorize_summary`` (A13) / ``rule_coverage`` (C5).
 """
 
@@ -13,18 +14,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtrail.constants import BACKLOG_LIMIT, DEFAULT_CATEGORY_NAME
 from tabtrail.functions.rules import with_rule_category
-from tabtrail.operators.joins import bounded_broadcast
+from tabtrail.session import ship_package
 
 
 def _name_to_id(c: DataFrame) -> DataFrame:
-    return bounded_broadcast(c.select(F.col("name").alias("_cat_name"),
-                                      F.col("id").alias("_cat_id")))
+    return c.select(F.col("name").alias("_cat_name"), F.col("id").alias("_cat_id"))
 
 
 def categorize_by_rules(s: DataFrame, c: DataFrame) -> DataFrame:
@@ -52,41 +52,51 @@ FALLBACK_SOCIAL_HOSTS = ["facebook", "instagram", "twitter", "x.com", "linkedin"
 FALLBACK_LEARNING_TITLE_WORDS = ["tutorial", "course", "lesson", "learn", "how to"]
 
 
-def default_classifier(pdf: pd.DataFrame) -> pd.Series:
+def fallback_rule(url: Column, title: Column) -> Column:
     """Keyword fallback: technical pages -> Research, social hosts -> Mindless Scroll,
     YouTube by title (Learning / Relaxation), everything else -> Uncategorized."""
-    url = pdf["url"].fillna("").str.lower()
-    title = pdf["title"].fillna("").str.lower()
-    out = pd.Series([DEFAULT_CATEGORY_NAME] * len(pdf), index=pdf.index, dtype=object)
-    is_yt = url.str.contains("youtube.com", regex=False) | url.str.contains("youtu.be", regex=False)
-    yt_learn = pd.Series(False, index=pdf.index)
-    for w in FALLBACK_LEARNING_TITLE_WORDS:
-        yt_learn |= title.str.contains(w, regex=False)
-    social = pd.Series(False, index=pdf.index)
-    for h in FALLBACK_SOCIAL_HOSTS:
-        social |= url.str.contains(h, regex=False)
-    tech = pd.Series(False, index=pdf.index)
-    for w in FALLBACK_TECH_WORDS:
-        tech |= url.str.contains(w, regex=False) | title.str.contains(w, regex=False)
-    out[tech] = "Research"
-    out[social & ~tech] = "Mindless Scroll"
-    out[is_yt & yt_learn] = "Learning"
-    out[is_yt & ~yt_learn & ~tech] = "Relaxation"
-    return out
+    u, t = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
+
+    def any_of(col, words):
+        found = F.contains(col, F.lit(words[0]))
+        for w in words[1:]:
+            found = found | F.contains(col, F.lit(w))
+        return found
+
+    youtube = any_of(u, ["youtube.com", "youtu.be"])
+    tech = any_of(u, FALLBACK_TECH_WORDS) | any_of(t, FALLBACK_TECH_WORDS)
+    return (F.when(youtube & any_of(t, FALLBACK_LEARNING_TITLE_WORDS), F.lit("Learning"))
+            .when(youtube & ~tech, F.lit("Relaxation")).when(tech, F.lit("Research"))
+            .when(any_of(u, FALLBACK_SOCIAL_HOSTS), F.lit("Mindless Scroll"))
+            .otherwise(F.lit(DEFAULT_CATEGORY_NAME)))
+
+
+def row_by_row(fn, pdf: pd.DataFrame) -> list:
+    """Results of ``fn`` (a frame -> a series) for each row; a whole batch first, and if that
+    raises each row alone, so that one bad row costs only its own result (``FAILED``)."""
+    try:
+        return list(fn(pdf))
+    except Exception:  # noqa: BLE001 - a plugged function may raise anything
+        out = []
+        for i in range(len(pdf)):
+            try:
+                out.append(list(fn(pdf.iloc[i:i + 1]))[0])
+            except Exception:  # noqa: BLE001
+                out.append(FAILED)
+        return out
+
+
+FAILED = object()
 
 
 def _classify_partitions(classifier: Callable[[pd.DataFrame], pd.Series]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            try:
-                names = classifier(pdf[["url", "title"]]).astype(object)
-                names = names.where(names.isna(), names.astype(str).str.strip())
-                err = pd.Series(False, index=pdf.index)
-            except Exception:  # classifier failure -> 'Uncategorized' for the batch
-                names = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-                err = pd.Series(True, index=pdf.index)
+            names = row_by_row(classifier, pdf[["url", "title"]])
             yield pd.DataFrame({"url": pdf["url"], "title": pdf["title"],
-                                "_fb_name": names.values, "_fb_error": err.values})
+                                "_fb_name": pd.Series([None if n is FAILED or pd.isna(n) else str(n).strip() for n in names],
+                                                      index=pdf.index, dtype=object),
+                                "_fb_error": [n is FAILED for n in names]})
     return run
 
 
@@ -103,12 +113,15 @@ def fallback_names(s: DataFrame, c: DataFrame,
     Returns url, title, name (trimmed classifier output; 'Uncategorized' when the
     classifier raised) and category_id (exact name lookup, null when unknown).
     """
-    classifier = classifier or default_classifier
     pending = s.filter(F.col("category_id").isNull()).select("url", "title").distinct()
-    classified = pending.mapInPandas(_classify_partitions(classifier), _FALLBACK_SCHEMA)
-    eff_name = F.when(F.col("_fb_error"), F.lit(DEFAULT_CATEGORY_NAME)).otherwise(F.col("_fb_name"))
-    return (classified.withColumn("name", eff_name)
-            .join(_name_to_id(c), F.col("name") == F.col("_cat_name"), "left")
+    if classifier is None:
+        named = pending.withColumn("name", fallback_rule(F.col("url"), F.col("title")))
+    else:
+        ship_package(s.sparkSession)
+        classified = pending.mapInPandas(_classify_partitions(classifier), _FALLBACK_SCHEMA)
+        named = classified.withColumn("name", F.when(
+            F.col("_fb_error"), F.lit(DEFAULT_CATEGORY_NAME)).otherwise(F.col("_fb_name")))
+    return (named.join(_name_to_id(c), F.col("name") == F.col("_cat_name"), "left")
             .select("url", "title", "name", F.col("_cat_id").alias("category_id")))
 
 
@@ -121,21 +134,26 @@ def categorize(s: DataFrame, c: DataFrame,
     """
     ruled = categorize_by_rules(s, c)
     cols = ruled.columns
+    if classifier is None:
+        names = c.select(F.col("name").alias("_fb_name"), F.col("id").alias("_fb_id"))
+        name = F.when(F.col("category_id").isNull(), fallback_rule(F.col("url"), F.col("title")))
+        joined = ruled.withColumn("_fb", F.coalesce(name, F.lit(""))).join(
+            names, F.col("_fb") == F.col("_fb_name"), "left")
+        return joined.select(*[F.coalesce(F.col("category_id"), F.col("_fb_id")).alias(x)
+                               if x == "category_id" else F.col(x) for x in cols])
     fb = fallback_names(ruled, c, classifier).select(
         F.col("url").alias("_fb_url"), F.col("title").alias("_fb_title"),
         F.col("category_id").alias("_fb_id"))
-    joined = ruled.join(
-        fb,
-        (F.col("category_id").isNull()) & (F.col("url") == F.col("_fb_url"))
-        & F.col("title").eqNullSafe(F.col("_fb_title")),
-        "left")
-    return joined.select(*[F.coalesce(F.col("category_id"), F.col("_fb_id")).alias(x)
-                           if x == "category_id" else F.col(x) for x in cols])
+    open_rows = ruled.filter(F.col("category_id").isNull())
+    filled = open_rows.join(fb, F.col("url").eqNullSafe(F.col("_fb_url"))
+                            & F.col("title").eqNullSafe(F.col("_fb_title")), "left")
+    filled = filled.select(*[F.col("_fb_id").alias(x) if x == "category_id" else F.col(x) for x in cols])
+    return ruled.filter(F.col("category_id").isNotNull()).unionByName(filled)
 
 
 def categorize_backfill(s: DataFrame, c: DataFrame, classifier=None,
-                        limit: int | None = BACKLOG_LIMIT, keys=("user_id",)) -> DataFrame:
-    """Backlog rows (no category), newest first, at most ``limit`` per key, categorised.
+                        limit: int | None = None, keys=("user_id",)) -> DataFrame:
+    """Backlog rows (no category), categorised; with ``limit`` only the newest per key.
 
     Returns the backlog rows with ``new_category_id`` and ``updated`` (id found).
     """

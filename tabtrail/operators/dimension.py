@@ -24,8 +24,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabtrail.operators.joins import bounded_broadcast
-
 DIM_COLS = ["id", "name", "description", "color", "wellness_type"]
 
 
@@ -111,7 +109,7 @@ def deleted_ids(c_before: DataFrame, c_after: DataFrame) -> DataFrame:
 
 def cascade_delete(s: DataFrame, deleted: DataFrame) -> DataFrame:
     """Sessions of deleted categories lose their category (set null)."""
-    d = bounded_broadcast(deleted.select(F.col("id").alias("_del")).distinct())
+    d = deleted.select(F.col("id").alias("_del")).distinct()
     x = s.join(d, s["category_id"] == F.col("_del"), "left")
     return x.select(*[F.when(F.col("_del").isNotNull(), F.lit(None).cast("long"))
                       .otherwise(F.col(c)).alias(c) if c == "category_id" else F.col(c)
@@ -145,6 +143,14 @@ def validate_chunks(df: DataFrame, keys: Sequence[str] = ("id", "user_id")) -> D
                      F.when(bad, F.array_join(miss, ",")).alias("missing_fields"))
 
 
+def split_valid(df: DataFrame, keys: Sequence[str] = ("id", "user_id")) -> tuple[DataFrame, DataFrame]:
+    """(valid rows as they came, rejected rows with reason and missing fields)."""
+    ok = (_truthy(F.col("url")) & (F.coalesce("duration", F.lit(0)) != 0)
+          & (F.coalesce("timestamp", F.lit(0)) != 0))
+    rejected = validate_chunks(df, keys).filter(F.col("status") == "rejected").drop("status")
+    return df.filter(ok), rejected
+
+
 def upsert(current: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keyed upsert; rows of ``new`` replace rows of ``current`` with the key."""
     return current.join(new.select(*key), list(key), "left_anti").unionByName(new)

@@ -1,10 +1,10 @@
 """K2: session embedding, offline and deterministic by default.
 
-The default embedder is Spark ML's ``Tokenizer`` -> ``HashingTF`` -> ``Normalizer`` (L2)
-over the session text (K1), so vectors are unit length and cosine equals the dot
-product. Any other embedder can be plugged in as a pandas function
-``pd.Series[str] -> pd.Series[list[float]]`` run by ``mapInPandas``; rows whose
-embedding fails (None) are skipped, like the reference's failed upserts.
+The default embedder hashes the words of the session text (K1) into ``dim`` places (leading
+md5 digits modulo ``dim``), counts them and divides by the vector's length, all in SQL
+expressions, so cosine equals the dot product. Any other embedder can be plugged in as a pandas
+function ``pd.Series[str] -> pd.Series[list[float]]`` run by ``mapInPandas``; rows whose embedding
+fails or is None are skipped, like failed upserts, and only those rows.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabtrail.operators.categorize import FAILED, row_by_row
+from tabtrail.session import ship_package
+
 DEFAULT_DIM = 64
 
 
@@ -28,26 +29,32 @@ def _text(s: DataFrame) -> DataFrame:
         F.col("title"), F.col("url"), F.col("duration"), cat, F.col("timestamp")).alias("text"))
 
 
+def _word_counts(text: Column, dim: int) -> Column:
+    """Number of words hashed to each of the ``dim`` places."""
+    words = F.array_remove(F.split(F.lower(text), r"\s"), "")
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
+    return F.transform(F.array(places), lambda p: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(p) - F.size(F.array_remove(p, i.cast("long")))))[0]
+
+
 def embed_sessions(s: DataFrame, embedder: Callable[[pd.Series], pd.Series] | None = None,
                    dim: int = DEFAULT_DIM) -> DataFrame:
     """Rows (id string, values array<float>) for every session that embeds."""
     t = _text(s)
     if embedder is None:
-        tok = Tokenizer(inputCol="text", outputCol="_tok").transform(t)
-        tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(tok)
-        nv = Normalizer(inputCol="_tf", outputCol="_v", p=2.0).transform(tf)
-        return nv.select("id", vector_to_array("_v", "float32").alias("values"))
+        counted = t.select("id", _word_counts(F.col("text"), dim).alias("n"))
+        squares = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x * x)
+        return counted.withColumn("size", F.sqrt(squares.cast("double"))).select(
+            "id", F.transform("n", lambda x: (x / F.col("size")).cast("float")).alias("values"))
 
+    ship_package(s.sparkSession)
     schema = T.StructType([T.StructField("id", T.StringType()),
                            T.StructField("values", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            try:
-                vecs = embedder(pdf["text"])
-            except Exception:  # whole batch failed -> skipped
-                continue
-            out = pd.DataFrame({"id": pdf["id"], "values": vecs.values})
-            yield out[out["values"].notna()]
+            vecs = row_by_row(lambda part: embedder(part["text"]), pdf)
+            kept = [(i, v) for i, v in zip(pdf["id"], vecs) if v is not FAILED and v is not None]
+            yield pd.DataFrame(kept, columns=["id", "values"])
 
     return t.mapInPandas(run, schema)

@@ -30,12 +30,14 @@ from pyspark.sql import types as T
 
 from tabtrail.constants import (
     CLEANUP_MAX_GAP_MS,
+    DAY_MS,
     DISPLAY_MERGE_WINDOW_MS,
     INGEST_LOOKBACK_MS,
     INGEST_MAX_GAP_MS,
 )
 from tabtrail.functions.urls import with_url_parts
-from tabtrail.operators.ordered import BUCKET, add_bucket, choose_split, segments
+from tabtrail.operators.ordered import BUCKET, add_bucket, segments
+from tabtrail.session import ship_package
 
 ORDER = ["timestamp", "id"]
 
@@ -43,7 +45,8 @@ ORDER = ["timestamp", "id"]
 def _segment_rollup(x: DataFrame, part: Sequence[str], carry: Sequence[str],
                     count_name: str) -> DataFrame:
     """Collapse segments: first row's id/timestamp/carried columns, summed duration."""
-    # exactly one start row per segment: collect_list keeps hash aggregation
+    # exactly one start row per segment; the list holds that row only (the aggregate is
+    # object based and falls back to sorting when a task has many segments)
     first = F.get(F.collect_list(F.when(F.col("_start"), F.struct(*carry))), 0) if carry else None
     aggs = [F.sum("duration").alias("duration"), F.count(F.lit(1)).alias(count_name)]
     if first is not None:
@@ -57,12 +60,12 @@ def _segment_rollup(x: DataFrame, part: Sequence[str], carry: Sequence[str],
 
 def cleanup_duplicates(s: DataFrame, gap_ms: int = CLEANUP_MAX_GAP_MS,
                        keys: Sequence[str] = ("user_id",),
-                       split_ms="auto") -> DataFrame:
+                       split_ms: int | None = DAY_MS) -> DataFrame:
     """M2: surviving rows with merged durations and ``merged_rows`` (group size)."""
     part = [*keys, "url"]
     carry = [c for c in s.columns if c not in (*part, "id", "timestamp", "duration")]
     x = add_bucket(s.withColumn("_end", F.col("timestamp") + F.col("duration")),
-                   "timestamp", split_ms, part)
+                   "timestamp", split_ms)
 
     def brk(cur, prev, has_prev):
         return ~has_prev | ((cur("timestamp") - prev("_end")) > gap_ms)
@@ -79,11 +82,11 @@ def cleanup_summary(merged: DataFrame, keys: Sequence[str] = ("user_id",)) -> Da
 
 def display_merge(s: DataFrame, window_ms: int = DISPLAY_MERGE_WINDOW_MS,
                   keys: Sequence[str] = ("user_id",),
-                  split_ms="auto") -> DataFrame:
+                  split_ms: int | None = DAY_MS) -> DataFrame:
     """M3: read-time merge of neighbouring rows of the same page and title."""
     keys = list(keys)
     carry = [c for c in s.columns if c not in (*keys, "id", "timestamp", "duration")]
-    x = add_bucket(with_url_parts(s, "url", "_nurl"), "timestamp", split_ms, keys)
+    x = add_bucket(with_url_parts(s, "url", "_nurl"), "timestamp", split_ms)
 
     def brk(cur, prev, has_prev):
         return (~has_prev | ~cur("_nurl").eqNullSafe(prev("_nurl"))
@@ -185,11 +188,11 @@ def _ingest_partition(key_cols: list[str], lookback_ms: int, gap_ms: int, mode:
 
 def ingest_islands(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
                    keys: Sequence[str] = ("user_id",),
-                   split_ms="auto") -> DataFrame:
+                   split_ms: int | None = DAY_MS) -> DataFrame:
     """Tag chunks with ``island``: a new island starts when the gap to the previous
     chunk start of the same (key, url) exceeds ``lookback_ms``."""
     part = [*keys, "url"]
-    x = add_bucket(chunks, "timestamp", split_ms, part)
+    x = add_bucket(chunks, "timestamp", split_ms)
 
     def brk(cur, prev, has_prev):
         return ~has_prev | ((cur("timestamp") - prev("timestamp")) > lookback_ms)
@@ -199,23 +202,18 @@ def ingest_islands(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
 def ingest_merge(chunks: DataFrame, lookback_ms: int = INGEST_LOOKBACK_MS,
                  gap_ms: int = INGEST_MAX_GAP_MS, mode: str = "faithful",
                  keys: Sequence[str] = ("user_id",), num_partitions: int | None = None,
-                 split_ms="auto") -> DataFrame:
+                 split_ms: int | None = DAY_MS) -> DataFrame:
     """M1 over a batch of chunks, arrival order = (timestamp, id). Columns: id, user_id,
     url, title, timestamp, duration, merged_chunks. ``keys`` must be ``("user_id",)``
     or a superset containing it.
 
-    The fold resets by itself at gaps longer than the look-back, so islands are only
-    needed to spread a hot (key, url) over tasks: without a hot key the rows are
-    hash-partitioned by (key, url) and folded directly (one exchange); with one, each
-    island becomes its own unit of work."""
+    The fold resets by itself at gaps longer than the look-back, so each island is a unit
+    of work of its own and a hot (key, url) is spread over tasks."""
+    ship_package(chunks.sparkSession)
     part = [*keys, "url"]
     x = chunks.select(*part, "id", "title", "timestamp", "duration")
-    split = choose_split(x, part, split_ms)
     n = num_partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if split is None:
-        x = x.repartition(n, *part).sortWithinPartitions(*part, *ORDER)
-        return x.mapInPandas(_ingest_partition(part, lookback_ms, gap_ms, mode), INGEST_SCHEMA)
-    x = ingest_islands(x, lookback_ms, keys, split)
+    x = ingest_islands(x, lookback_ms, keys, split_ms)
     x = x.withColumn("_isl", F.col("island"))
     x = x.repartition(n, *part, "_isl").sortWithinPartitions(*part, "_isl", *ORDER)
     return x.mapInPandas(_ingest_partition([*part, "_isl"], lookback_ms, gap_ms, mode),

@@ -4,17 +4,13 @@
 ``Window.partitionBy(user)`` puts a hot user into one task. The split path divides every
 key into time buckets (one day) and runs the windows per (key, bucket). The only
 cross-bucket information needed -- the neighbour row at a bucket's edge and the latest
-segment start before a bucket -- comes from a per-(key, bucket) summary taken from the
-windowed rows (one row per non-empty bucket, hash-aggregated), scanned by a window over
-buckets and joined back on the (key, bucket) struct. No task ever holds more than one
-key-day of rows. Spark plans the self-join as two branches, so the split path pays one
-extra exchange of the narrow columns the summary reads.
-
-That is why ``split_ms="auto"`` (the operators' default) first measures rows per key with
-a map-side-combined count over the key columns and splits only when some key holds
-more than ``SKEW_FACTOR`` times its fair share of rows and more than ``SKEW_MIN_ROWS``
-(the same kind of test AQE applies to skewed join partitions). Otherwise, and with
-``split_ms=None``, one window partition per key is used.
+segment start before a bucket -- is one row per non-empty bucket, picked from the windowed
+rows by a filter, scanned by a window over buckets and joined back on the (key, bucket)
+struct. No task ever holds more than one key-day of rows. Spark plans the self-join as two
+branches, so the scan pays one extra exchange of the narrow columns the summary reads.
+
+This is the only plan of the operators: it does not depend on measured sizes. Passing
+``split_ms=None`` (a plain window per key) is for keys that already hold the day.
 """
 
 from __future__ import annotations
@@ -28,54 +24,15 @@ from tabtrail.constants import DAY_MS
 
 BUCKET = "_bucket"
 _UNB = Window.unboundedPreceding
-SKEW_FACTOR = 5.0
-SKEW_MIN_ROWS = 5_000_000
-
-
-_SPLIT_MEMO: dict[tuple, int | None] = {}
-
-
-def choose_split(df: DataFrame, keys: Sequence[str], split_ms="auto",
-                 min_rows: int = SKEW_MIN_ROWS, factor: float = SKEW_FACTOR):
-    """Resolve ``split_ms='auto'``: ``DAY_MS`` when a key is hot, else None.
-
-    Both paths give identical results, so the decision only affects speed; it is
-    remembered per (plan, keys) for the session."""
-    if split_ms != "auto":
-        return split_ms
-    probe = df.select(*keys)
-    from tabtrail.session import app_key
-    memo_key = (app_key(df.sparkSession), probe.semanticHash(), tuple(keys), min_rows, factor)
-    if memo_key in _SPLIT_MEMO:
-        return _SPLIT_MEMO[memo_key]
-    st = probe.groupBy(*keys).count().agg(F.max("count").alias("mx"),
-                                          F.sum("count").alias("n")).first()
-    decision = None
-    if st is not None and st["mx"] is not None:
-        fair = st["n"] / max(df.sparkSession.sparkContext.defaultParallelism, 1)
-        decision = DAY_MS if (st["mx"] > min_rows and st["mx"] > factor * fair) else None
-    _SPLIT_MEMO[memo_key] = decision
-    return decision
-
-
-def add_bucket(df: DataFrame, time_col: str, split_ms="auto",
-               keys: Sequence[str] | None = None) -> DataFrame:
-    """Add the bucket column (``time div split_ms``); unchanged when not splitting.
-    ``split_ms='auto'`` decides with ``choose_split`` over ``keys``."""
-    if split_ms == "auto":
-        split_ms = choose_split(df, keys, "auto") if keys else DAY_MS
+
+
+def add_bucket(df: DataFrame, time_col: str, split_ms: int | None = DAY_MS) -> DataFrame:
+    """Add the bucket column (``time div split_ms``); unchanged for ``None``."""
     if split_ms is None:
         return df
     return df.withColumn(BUCKET, F.floor(F.col(time_col) / F.lit(split_ms)).cast("long"))
 
 
-def _one(flag: Column, value: Column) -> Column:
-    """The value of the single row of a group where ``flag`` holds (hash-aggregable:
-    ``collect_list`` runs in ObjectHashAggregate; struct/string min/max would force a
-    sort-based aggregate)."""
-    return F.get(F.collect_list(F.when(flag, value)), 0)
-
-
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``_pk`` = struct(keys, bucket). Structs are never null and compare null
     fields as equal, so partitioning, windows and the carry join all use the same
@@ -107,8 +64,8 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     x = x.select("*", *[fn(f).over(w).alias(prefix + f) for f in fields],
                  fn(F.lit(True)).over(w).isNull().alias("_edge"),      # first (prev) / last (next)
                  back(F.lit(True)).over(w).isNull().alias("_bound_row"))  # last (prev) / first (next)
-    # the boundary row handed to the neighbouring bucket, from the windowed rows
-    summary = x.groupBy("_pk").agg(_one(F.col("_bound_row"), F.struct(*fields)).alias("_bound"))
+    # the boundary row handed to the neighbouring bucket: one per bucket
+    summary = x.filter("_bound_row").select("_pk", F.struct(*fields).alias("_bound"))
     wk = Window.partitionBy(_key_of(F.col("_pk"), keys)).orderBy(F.col("_pk")[BUCKET])
     carry = summary.select("_pk", fn("_bound").over(wk).alias("_carry"))
     y = x.join(carry, "_pk", "left")
@@ -134,9 +91,8 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``_start`` and ``out`` = that id of the segment's first row.
 
     Rows go through one window pass per (key, bucket); the first row of a bucket and
-    the latest start before it are resolved on a per-bucket summary (computed from the
-    windowed rows, so without a new exchange) with a window over buckets, and joined
-    back on (key, bucket).
+    the latest start before it are resolved on the buckets' last rows with a window over
+    buckets, and joined back on (key, bucket).
     """
     keys, order, fields = list(keys), list(order), list(fields)
     uid = order[-1]
@@ -158,10 +114,11 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     x = x.withColumn("_flag_in", flag_in)
     x = x.withColumn("_seg_in", F.last(F.when(F.col("_flag_in"), F.col(uid)), ignorenulls=True)
                      .over(w.rowsBetween(_UNB, Window.currentRow)))
-    summ = x.groupBy("_pk").agg(
-        _one(F.col("_first"), F.struct(*dict.fromkeys(fields + order))).alias("_bfirst"),
-        _one(F.col("_last"), F.struct(*fields)).alias("_blast"),
-        _one(F.col("_last"), F.col("_seg_in")).alias("_bmax"))
+    # a bucket's last row also carries its first row
+    heads = F.first(F.struct(*dict.fromkeys(fields + order))).over(
+        w.rowsBetween(_UNB, Window.currentRow))
+    summ = x.withColumn("_bfirst", heads).filter("_last").select(
+        "_pk", "_bfirst", F.struct(*fields).alias("_blast"), F.col("_seg_in").alias("_bmax"))
     wk = Window.partitionBy(_key_of(F.col("_pk"), keys)).orderBy(F.col("_pk")[BUCKET])
     b = summ.select("_pk", "_bfirst", "_bmax", F.lag("_blast").over(wk).alias("_plast"))
     has_prev = F.col("_plast").isNotNull()

@@ -3,11 +3,12 @@
 * ``session_text`` (K1) is a native ``concat_ws`` over optional lines.
 * Vectors are rows ``(id, values array<float>, metadata struct)``; ``similar_sessions``
   (K3) is an exact cosine top-k. Questions scoped to a user are joined to that user's
-  vectors on ``user_id`` (an equi-join); global questions are few by contract, so their
-  vectors are inlined as a literal after a size check -- never a cross join. Top-k uses
-  ``row_number`` (Spark applies it per partition before the shuffle).
+  vectors on ``user_id`` (an equi-join); a stated set of global questions is scored against all
+  vectors in blocks of ``QUESTION_BLOCK``. Top-k uses ``row_number`` (Spark applies it per
+  partition before the shuffle).
 * ``context_stats`` (A6) / ``reflection_context`` (X1) / ``weekly_context`` (X3) build the
-  reflection text per user from bounded per-user pieces (200 rows, 5 sites, k matches).
+  reflection text per user from all rows of the range; only the listed sites (5 a category)
+  and matches (k) are limited.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtrail.constants import (
-    CONTEXT_SESSION_LIMIT,
     CONTEXT_SITES_PER_CATEGORY,
     DEFAULT_CATEGORY_NAME,
     NO_ACTIVITY_CONTEXT,
@@ -30,10 +30,12 @@ from tabtrail.constants import (
 )
 from tabtrail.functions.formats import format_hm, minutes_rounded
 from tabtrail.functions.time import iso_ts
+from tabtrail.operators.categorize import FAILED, row_by_row
 from tabtrail.operators.stats import top_n, with_category
+from tabtrail.session import ship_package
 
 KEYS = ("user_id",)
-MAX_GLOBAL_QUESTIONS = 1024
+QUESTION_BLOCK = 64
 
 
 def _truthy(c: Column, numeric: bool = False) -> Column:
@@ -63,10 +65,12 @@ def session_text(title: Column, url: Column, duration: Column, category: Column,
 def vector_records(emb: DataFrame, s: DataFrame, c: DataFrame,
                    now_ms: int | None = None) -> DataFrame:
     """Vector rows keyed by session id with defaulted metadata (title 'Untitled
-    session', category 'Uncategorized', source 'browser_session', duration 0)."""
+    session', category 'Uncategorized', duration 0, source 'browser_session' unless the
+    sessions have a ``source`` of their own)."""
+    source = F.col("source") if "source" in s.columns else F.lit(None).cast("string")
     sj = with_category(s, c, ("name",)).select(
         F.col("id").alias("_sid"), "user_id", "url", "title", "duration", "timestamp",
-        F.col("category_name"))
+        F.col("category_name"), source.alias("_source"))
     x = emb.join(sj, emb["vec_id"] == sj["_sid"], "left")
     ts = F.coalesce(F.nullif(F.col("timestamp"), F.lit(0)),
                     F.lit(now_ms).cast("long") if now_ms is not None else F.lit(None).cast("long"))
@@ -77,7 +81,7 @@ def vector_records(emb: DataFrame, s: DataFrame, c: DataFrame,
         F.coalesce(F.col("duration"), F.lit(0).cast("long")).alias("duration"),
         F.coalesce(F.nullif(F.col("category_name"), F.lit("")),
                    F.lit(DEFAULT_CATEGORY_NAME)).alias("category"),
-        F.lit(VECTOR_DEFAULT_SOURCE).alias("source"),
+        F.coalesce(F.nullif(F.col("_source"), F.lit("")), F.lit(VECTOR_DEFAULT_SOURCE)).alias("source"),
         F.col("user_id").alias("user_id"),
     )
     return x.select(F.col("vec_id").cast("string").alias("id"),
@@ -89,13 +93,20 @@ def upsert_vectors(current: DataFrame, new: DataFrame) -> DataFrame:
     return current.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
-def _cosine(v: Column, q: Column) -> Column:
-    vd = F.transform(v, lambda x: x.cast("double"))
-    qd = F.transform(q, lambda x: x.cast("double"))
-    dot = F.aggregate(F.zip_with(vd, qd, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    nv = F.aggregate(F.transform(vd, lambda a: a * a), F.lit(0.0), lambda acc, x: acc + x)
-    nq = F.aggregate(F.transform(qd, lambda a: a * a), F.lit(0.0), lambda acc, x: acc + x)
-    return dot / (F.sqrt(nv) * F.sqrt(nq))
+def vector_id(id_: Column, url: Column, timestamp: Column) -> Column:
+    """Key of a vector: the session id, else ``url-timestamp``."""
+    return F.coalesce(id_.cast("string"), F.concat_ws("-", url, timestamp.cast("string")))
+
+
+def _unit(v: Column) -> Column:
+    """A vector as doubles of length 1 (null for a zero vector)."""
+    d = F.transform(v, lambda x: x.cast("double"))
+    return F.transform(F.array(d), lambda x: F.transform(F.array(F.sqrt(F.aggregate(
+        x, F.lit(0.0), lambda a, y: a + y * y))), lambda n: F.transform(x, lambda y: y / F.nullif(n, F.lit(0.0))))[0])[0]
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
 
 
 def _flatten_match(x: DataFrame, extra: Sequence[str]) -> DataFrame:
@@ -111,29 +122,26 @@ def similar_sessions(v: DataFrame, questions: DataFrame, k: int = SIMILAR_TOP_K,
     filter ``timestamp >= start``. ``questions``: (question_id, query_vec[, user_id]).
 
     ``per_user=True`` matches each question with the vectors of its ``user_id`` only
-    (equi-join); otherwise the questions are inlined after checking their number.
+    (equi-join); otherwise the question set is dealt into blocks by id, each block is one row
+    holding at most about ``QUESTION_BLOCK`` questions, every vector meets every block once, and
+    the scores of a block are taken in one expression. Vectors and questions are normalised once,
+    so a score is one dot product.
     """
     vv = v if start is None else v.filter(F.col("metadata.timestamp") >= F.lit(start))
+    vv = vv.select("id", "metadata", _unit(F.col("values")).alias("_v"))
+    qs = questions.withColumn("_q", _unit(F.col("query_vec")))
     if per_user:
-        qs = questions.select("question_id", "user_id", "query_vec")
-        x = vv.join(qs, vv["metadata.user_id"] == qs["user_id"], "inner")
-        x = x.withColumn("score", _cosine(F.col("values"), F.col("query_vec")))
+        x = vv.join(qs.select("question_id", "user_id", "_q"), vv["metadata.user_id"] == qs["user_id"], "inner")
+        x = x.withColumn("score", _dot(F.col("_v"), F.col("_q")))
         extra = ["question_id", "user_id"]
     else:
-        rows = questions.select("question_id", "query_vec").limit(MAX_GLOBAL_QUESTIONS + 1).collect()
-        if len(rows) > MAX_GLOBAL_QUESTIONS:
-            raise ValueError("too many global questions; scope them per user")
-        from tabtrail.functions.sqlexpr import double_array_sql
-        lit_q = F.expr("array(" + ", ".join(
-            f"named_struct('qid', CAST({int(r['question_id'])} AS BIGINT), "
-            f"'vec', {double_array_sql(r['query_vec'])})" for r in rows) + ")") if rows \
-            else F.array().cast("array<struct<qid:bigint,vec:array<double>>>")
-        x = vv.select("*", F.explode(F.transform(
-            lit_q, lambda q: F.struct(q["qid"].alias("question_id"),
-                                      _cosine(F.col("values"), q["vec"]).alias("score")))
-        ).alias("_m"))
-        x = x.select("*", F.col("_m.question_id").alias("question_id"),
-                     F.col("_m.score").alias("score")).drop("_m")
+        blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
+        packed = (qs.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("_b"))
+                  .agg(F.collect_list(F.struct("question_id", "_q")).alias("_qs")))
+        x = vv.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).join(packed, "_b")
+        x = x.select("id", "metadata", F.explode(F.transform("_qs", lambda q: F.struct(
+            q["question_id"].alias("question_id"), _dot(F.col("_v"), q["_q"]).alias("score")))).alias("_m"))
+        x = x.select("id", "metadata", "_m.question_id", "_m.score")
         extra = ["question_id"]
     x = top_n(x, k, [F.col("score").desc(), F.col("id")], ["question_id"], rank_col="rank")
     return _flatten_match(x, extra + ["rank"])
@@ -144,33 +152,33 @@ def similar_sessions(v: DataFrame, questions: DataFrame, k: int = SIMILAR_TOP_K,
 # ---------------------------------------------------------------------------
 
 def context_rows(s: DataFrame, c: DataFrame, start: int | None,
-                 limit: int = CONTEXT_SESSION_LIMIT, keys=KEYS) -> DataFrame:
-    """The newest ``limit`` sessions per key since ``start`` with a recency rank."""
+                 limit: int | None = None, keys=KEYS) -> DataFrame:
+    """All sessions since ``start`` (with ``limit`` only the newest per key), with category."""
     x = s if start is None else s.filter(F.col("timestamp") >= F.lit(start))
-    x = top_n(x, limit, [F.col("timestamp").desc(), F.col("id").desc()], keys, rank_col="recency")
+    if limit is not None:
+        x = top_n(x, limit, [F.col("timestamp").desc(), F.col("id").desc()], keys)
     return with_category(x, c, ("name", "wellness_type"))
 
 
 def context_stats(rows: DataFrame, sites: int = CONTEXT_SITES_PER_CATEGORY,
                   keys=KEYS) -> DataFrame:
-    """Per key and category: count, total, rounded minutes, order of first
-    appearance (recency) and the first ``sites`` site lines in recency order."""
-    w = Window.partitionBy(*keys, "category_name").orderBy("recency")
+    """Per key and category: count, total, rounded minutes, place by newest row, and the
+    site lines of its ``sites`` newest rows."""
+    by = [*keys, "category_name"]
+    newest = [F.col("timestamp").desc(), F.col("id").desc()]
     site_line = F.concat(F.lit("    • "),
                          F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url")),
                          F.lit(" ("), minutes_rounded(F.col("duration")).cast("string"),
                          F.lit("m)\n"))
-    x = rows.withColumn("_site_rank", F.row_number().over(w))
-    g = x.groupBy(*keys, F.col("category_name").alias("category")).agg(
-        F.count(F.lit(1)).alias("session_count"),
-        F.sum("duration").alias("total_time"),
-        F.min("recency").alias("first_pos"),
-        F.sort_array(F.collect_list(F.when(F.col("_site_rank") <= sites,
-                                           F.struct("_site_rank", site_line.alias("l"))))
-                     ).alias("_sites"))
-    return g.select(*keys, "category", "session_count", "total_time",
-                    minutes_rounded(F.col("total_time")).alias("minutes"), "first_pos",
-                    F.array_join(F.transform("_sites", lambda e: e["l"]), "").alias("sites_text"))
+    listed = (top_n(rows, sites, newest, by, rank_col="_site_rank").groupBy(*by)
+              .agg(F.sort_array(F.collect_list(F.struct("_site_rank", "timestamp", "id", site_line.alias("l")))).alias("_sites")))
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("session_count"), F.sum("duration").alias("total_time"))
+    first = F.col("_sites")[0]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(first["timestamp"].desc(), first["id"].desc()))
+    return totals.join(listed, by).select(
+        *keys, F.col("category_name").alias("category"), "session_count", "total_time",
+        minutes_rounded(F.col("total_time")).alias("minutes"), place.cast("long").alias("first_pos"),
+        F.array_join(F.transform("_sites", lambda e: e["l"]), "").alias("sites_text"))
 
 
 def _category_block(stats: DataFrame, keys=KEYS) -> DataFrame:
@@ -220,13 +228,19 @@ def reflection_history(r: DataFrame, limit: int = REFLECTION_HISTORY_LIMIT, keys
     return x.select("id", *keys, "query", "response", "timestamp")
 
 
+def reflection_by_id(r: DataFrame, reflection_id: int) -> DataFrame:
+    """One reflection (empty when absent)."""
+    return r.filter(F.col("id") == F.lit(reflection_id))
+
+
 def vector_orphans(v: DataFrame, s: DataFrame) -> DataFrame:
-    """K4: vectors whose session is gone, and sessions without a vector."""
-    sid = s.select(F.col("id").cast("string").alias("id"))
-    vid = v.select("id")
-    orphans = vid.join(sid, "id", "left_anti").select(F.lit("orphan_vector").alias("kind"), "id")
-    missing = sid.join(vid, "id", "left_anti").select(F.lit("missing_vector").alias("kind"), "id")
-    return orphans.unionByName(missing)
+    """K4: vectors whose session is gone, and sessions without a vector. Reads the ids only: one
+    full outer join."""
+    both = v.select(F.col("id").cast("string").alias("vid")).join(
+        s.select(F.col("id").cast("string").alias("sid")), F.col("vid") == F.col("sid"), "full_outer")
+    return both.filter(F.col("vid").isNull() | F.col("sid").isNull()).select(
+        F.when(F.col("sid").isNull(), F.lit("orphan_vector")).otherwise(F.lit("missing_vector")).alias("kind"),
+        F.coalesce("vid", "sid").alias("id"))
 
 
 # ---------------------------------------------------------------------------
@@ -261,10 +275,6 @@ def insight_cache_plan(s: DataFrame, c: DataFrame, cache: DataFrame, first_day:
                     "session_count", "top_category")
 
 
-EMBED_SCHEMA = T.StructType([T.StructField("id", T.StringType()),
-                             T.StructField("values", T.ArrayType(T.FloatType()))])
-
-
 # ---------------------------------------------------------------------------
 # Optional text generation on the contexts (pluggable; default: none)
 # ---------------------------------------------------------------------------
@@ -277,21 +287,21 @@ ANSWER_SCHEMA = T.StructType([T.StructField("user_id", T.LongType()),
 def generate_answers(contexts: DataFrame, questions: DataFrame, generator=None) -> DataFrame:
     """Answer each question with its user's context. ``generator`` is a pandas function
     ``(query: pd.Series, context: pd.Series) -> pd.Series`` run by ``mapInPandas``; a
-    failing batch yields null answers. Without a generator the context is the answer."""
+    failing row yields a null answer. Without a generator the context is the answer."""
     import pandas as pd
     x = questions.select("user_id", "question_id", "query").join(
         contexts.select("user_id", "context"), "user_id", "left")
     if generator is None:
         return x.select("user_id", "question_id", F.col("context").alias("answer"))
 
+    ship_package(questions.sparkSession)
+
     def run(batches):
         for pdf in batches:
-            try:
-                ans = generator(pdf["query"], pdf["context"])
-            except Exception:  # noqa: BLE001 - generation failure -> no answer
-                ans = pd.Series([None] * len(pdf), index=pdf.index)
+            answers = row_by_row(lambda part: generator(part["query"], part["context"]), pdf)
             yield pd.DataFrame({"user_id": pdf["user_id"], "question_id": pdf["question_id"],
-                                "answer": ans.values})
+                                "answer": pd.Series([None if a is FAILED else a for a in answers],
+                                                    index=pdf.index, dtype=object)})
     return x.mapInPandas(run, ANSWER_SCHEMA)
 
 

@@ -4,7 +4,7 @@ Every operator takes the sessions and categories DataFrames and explicit time bo
 (``now`` and a time zone are arguments, never the wall clock). Results are per key
 (``keys``, default ``("user_id",)``): the reference's single-user scalars become one row
 per user. Aggregations are plain ``groupBy`` (partial + final hash aggregation, so a hot
-user is combined map-side); the category dimension is a size-checked broadcast.
+user is combined map-side); the join with the category dimension is left to the planner.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtrail.constants import (
+    DAY_MS,
     DEFAULT_CATEGORY_COLOR,
     DEFAULT_CATEGORY_NAME,
     DEFAULT_WELLNESS_TYPE,
@@ -29,12 +30,10 @@ from tabtrail.constants import (
 )
 from tabtrail.functions.formats import fixed_ratio, format_hm, js_round, percent_1
 from tabtrail.functions.rules import wellness_type
-from tabtrail.functions.time import day_string, local_wall
-from tabtrail.operators.joins import bounded_broadcast
+from tabtrail.functions.time import day_string
 from tabtrail.operators.ordered import with_neighbour
 
 KEYS = ("user_id",)
-DAY_MS_ = 86_400_000
 
 
 def _default(col: Column, value: str) -> Column:
@@ -50,7 +49,7 @@ def with_category(s: DataFrame, c: DataFrame, fields=("name", "color", "wellness
     """
     dim = c.select(F.col("id").alias("_cid"),
                    *[F.col(f).alias("_c_" + f) for f in fields])
-    x = s.join(bounded_broadcast(dim), s["category_id"] == F.col("_cid"), "left")
+    x = s.join(dim, s["category_id"] == F.col("_cid"), "left")
     defaults = {"name": DEFAULT_CATEGORY_NAME, "color": DEFAULT_CATEGORY_COLOR,
                 "wellness_type": DEFAULT_WELLNESS_TYPE}
     out = [F.col(x_) for x_ in s.columns]
@@ -65,7 +64,8 @@ def with_category(s: DataFrame, c: DataFrame, fields=("name", "color", "wellness
 
 def in_range(s: DataFrame, start: int | None = None, end: int | None = None,
              col: str = "timestamp") -> DataFrame:
-    """Inclusive bounds, each optional (pushed into the Parquet scan)."""
+    """Inclusive bounds, each optional. On a stored ``timestamp`` column they are pushed into
+    the scan; sources that derive it take the bounds themselves."""
     if start is not None:
         s = s.filter(F.col(col) >= F.lit(start))
     if end is not None:
@@ -133,7 +133,13 @@ def category_breakdown(s: DataFrame, c: DataFrame, keys=KEYS) -> DataFrame:
     """A2: per key and category name: color of the first row, time, row count."""
     x = with_category(s, c)
     g = _by_category(x, keys, {"color": "category_color"})
-    return g.select(*keys, "name", "color", F.col("_t").alias("time"), F.col("_n").alias("count"))
+    return g.select(*keys, "name", "color", F.col("_t").alias("time"), F.col("_n").alias("count"),
+                    _position(keys, F.col("_t").desc(), F.col("name")))
+
+
+def _position(keys, *order: Column) -> Column:
+    """Place of a row in its key's list (over aggregated rows: few per key)."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long").alias("position")
 
 
 def category_stats(s: DataFrame, c: DataFrame, start: int | None = None,
@@ -144,15 +150,17 @@ def category_stats(s: DataFrame, c: DataFrame, start: int | None = None,
     g = _by_category(x, keys, {"color": "category_color", "wellness_type": "category_wellness_type"})
     return g.select(*keys, "name", "color", "wellness_type", F.col("_t").alias("total_time"),
                     F.col("_n").alias("session_count"),
-                    (F.col("_t") / F.col("_n")).alias("avg_duration"))
+                    (F.col("_t") / F.col("_n")).alias("avg_duration"),
+                    _position(keys, F.col("_t").desc(), F.col("name")))
 
 
 def daily_stats(s: DataFrame, start: int, end: int, keys=KEYS) -> DataFrame:
     """A4: per key and UTC day: row count and total time, inclusive bounds."""
     x = in_range(s, start, end)
-    return x.groupBy(*keys, day_string(F.col("timestamp")).alias("date")).agg(
+    g = x.groupBy(*keys, day_string(F.col("timestamp")).alias("date")).agg(
         F.count(F.lit(1)).alias("session_count"),
         F.sum("duration").alias("total_time"))
+    return g.select("*", _position(keys, F.col("date")))
 
 
 def activity_summary(s: DataFrame, c: DataFrame, keys=KEYS) -> DataFrame:
@@ -268,16 +276,19 @@ def wellness_history(daily: DataFrame, days: int = SCORE_HISTORY_DAYS, keys=KEYS
 
 
 def today_stats(s: DataFrame, c: DataFrame, day_start: int, day_end: int | None = None,
-                tz: str = "UTC", keys=KEYS) -> DataFrame:
-    """A1 + W1 + A8 for one day window: runs, total time and score per key."""
+                tz: str = "UTC", keys=KEYS, users: DataFrame | None = None) -> DataFrame:
+    """A1 + W1 + A8 for one day window: runs, total time and score per key. Keys of ``users``
+    without a row in the window get 0 sessions, 0 time and a null score."""
     x = in_range(s, day_start, day_end)
     runs = category_runs(x, c, tz, keys).groupBy(*keys).agg(
         F.sum("session_count").alias("session_count"))
     t = wellness_times(x, c, list(keys))
     t = t.select(*keys, "total_time", wellness_score(t).alias("wellness_score"))
+    if users is not None:
+        t = users.select(*keys).distinct().join(t, list(keys), "left")
     return t.join(runs, list(keys), "left").select(
         *keys, F.coalesce("session_count", F.lit(0)).alias("session_count"),
-        "total_time", "wellness_score")
+        F.coalesce("total_time", F.lit(0)).alias("total_time"), "wellness_score")
 
 
 # ---------------------------------------------------------------------------
@@ -329,35 +340,28 @@ def domain_time(s: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def history_view(merged: DataFrame, term: str | None = None, sort_field: str = "recency",
-                 order: str = "desc", keys=KEYS, split_ms="auto",
-                 skew_probe: DataFrame | None = None) -> DataFrame:
+                 order: str = "desc", keys=KEYS) -> DataFrame:
     """P7 + L2 on display-merged rows: case-insensitive search in title, url or domain
-    (literal substring), then a position per key by recency or duration.
-
-    A position is a rank over a key's whole history. When a key is hot (see
-    ``ordered.choose_split``) the rank is computed per (key, bucket of the sort value)
-    -- one day of recency or one minute of duration -- and offset by the row counts of
-    the key's earlier buckets (a small aggregate scanned by a window over buckets).
-    ``skew_probe`` is a cheaper frame with at least as many rows per key (e.g. the
-    input of the merge) on which the skew test runs instead of ``merged``."""
+    (literal substring), a shown title (F14: title, else domain), and a position per key by
+    recency or duration.
+
+    A position is a rank over a key's whole history, so it is computed per (key, bucket of the
+    sort value) -- one day of recency or one minute of duration -- and offset by the row counts
+    of the key's earlier buckets (a small aggregate scanned by a window over buckets)."""
     from tabtrail.functions.urls import with_url_parts
-    from tabtrail.operators.ordered import _key_of, choose_split
-    x = merged
+    from tabtrail.operators.ordered import _key_of
+    x = with_url_parts(merged, "url", None, "_host")
     if term is not None and term.strip() != "":
         t = F.lit(term.lower())
-        x = with_url_parts(x, "url", None, "_host")
         x = x.filter(F.contains(F.lower(F.coalesce(F.col("title"), F.lit(""))), t)
                      | F.contains(F.lower(F.coalesce(F.col("url"), F.lit(""))), t)
-                     | F.contains(F.lower(F.coalesce(F.col("_host"), F.lit(""))), t)).drop("_host")
+                     | F.contains(F.lower(F.coalesce(F.col("_host"), F.lit(""))), t))
+    x = x.withColumn("shown_title", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("_host"))).drop("_host")
     v = F.coalesce(F.col("timestamp" if sort_field == "recency" else "duration"), F.lit(0))
     desc = order == "desc"
     vo = v.desc() if desc else v.asc()
     keys = list(keys)
-    probe = skew_probe.select(*keys) if skew_probe is not None else x
-    if choose_split(probe, keys, split_ms) is None:
-        w = Window.partitionBy(*keys).orderBy(vo, F.col("timestamp"), F.col("id"))
-        return x.withColumn("position", F.row_number().over(w).cast("long"))
-    width = DAY_MS_ if sort_field == "recency" else 60_000
+    width = DAY_MS if sort_field == "recency" else 60_000
     x = x.withColumn("_pk", F.struct(*keys, F.floor(v / F.lit(width)).cast("long").alias("_b")))
     w = Window.partitionBy("_pk").orderBy(vo, F.col("timestamp"), F.col("id"))
     x = x.withColumn("_rn", F.row_number().over(w).cast("long"))
@@ -367,8 +371,4 @@ def history_view(merged: DataFrame, term: str | None = None, sort_field: str = "
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pk", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
     y = x.join(offsets, "_pk", "left")
-    return y.select(*merged.columns, (F.col("_off") + F.col("_rn")).alias("position"))
-
-
-def local_hours(s: DataFrame, tz: str = "UTC") -> DataFrame:
-    return s.withColumn("_wall", local_wall(F.col("timestamp"), tz))
+    return y.select(*merged.columns, "shown_title", (F.col("_off") + F.col("_rn")).alias("position"))

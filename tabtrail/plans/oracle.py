@@ -152,7 +152,7 @@ chunk_base AS (
          unnest(generate_series(0, greatest((duration + 29999) // 30000 - 1, 0))) AS i
   FROM sessions_raw),
 chunk_all AS (
-  SELECT id * 1000 + i AS id, user_id, url, title, i,
+  SELECT id * 1048576 + i AS id, user_id, url, title, i,
          timestamp + 30000 * i + 36000 * (i // 7) + 130000 * (i // 20) AS timestamp,
          least(30000, duration - 30000 * i) AS duration
   FROM chunk_base),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabtrail.constants import DAY_MS
+from tabtrail.constants import DAY_MS, NO_ACTIVITY_INSIGHT
 from tabtrail.functions.urls import domain
 from tabtrail.operators import dimension as dm
 from tabtrail.operators import merge as mg
@@ -21,6 +21,8 @@ from tabtrail.plans.oracle import (
 from tabtrail.plans.queries_stats import _LABEL_SQL, _SCORE_SQL, times_ctes
 from tabtrail.plans.registry import register
 from tabtrail.sources import fixtures as fx
+from tabtrail.sources import sinks
+from tabtrail.sources.tables import read_table
 
 WEEK_START = NOW - 7 * DAY_MS
 MONTH_START = NOW - 30 * DAY_MS
@@ -37,12 +39,19 @@ vecs AS (
          nullif(s.timestamp, 0) AS timestamp, coalesce(s.duration, 0) AS duration,
          coalesce(nullif(s.cname, ''), 'Uncategorized') AS category, 'browser_session' AS source
   FROM embeddings e LEFT JOIN sj s ON s.id = e.vec_id),
-qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+qv AS (SELECT vec_id AS question_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+uqv AS (SELECT u.user_id AS question_id, e.embedding AS q
+        FROM (SELECT DISTINCT user_id FROM sessions_raw) u JOIN embeddings e ON e.vec_id = u.user_id),
 scored AS (
+  SELECT v.*, qv.question_id, list_dot_product(v.vals::DOUBLE[], qv.q::DOUBLE[])
+           / (sqrt(list_dot_product(v.vals::DOUBLE[], v.vals::DOUBLE[]))
+              * sqrt(list_dot_product(qv.q::DOUBLE[], qv.q::DOUBLE[]))) AS score
+  FROM vecs v, qv),
+uscored AS (
   SELECT v.*, list_dot_product(v.vals::DOUBLE[], qv.q::DOUBLE[])
            / (sqrt(list_dot_product(v.vals::DOUBLE[], v.vals::DOUBLE[]))
               * sqrt(list_dot_product(qv.q::DOUBLE[], qv.q::DOUBLE[]))) AS score
-  FROM vecs v, qv)
+  FROM vecs v JOIN uqv qv ON qv.question_id = v.user_id)
 """
 
 
@@ -72,12 +81,12 @@ def q_vector_metadata(spark, d):
 
 
 @register("similar_sessions", with_prelude(f"""
-SELECT 0::BIGINT AS question_id, rank, id, round(score, 6) AS score, title, url, timestamp,
+SELECT question_id, rank, id, round(score, 6) AS score, title, url, timestamp,
        duration, category FROM (
-  SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS rank
   FROM scored WHERE timestamp >= {MONTH_START}) WHERE rank <= 8""", _VEC_CTES))
 def q_similar_sessions(spark, d):
-    m = rt.similar_sessions(fx.session_vectors(spark, d), fx.query_vector(spark, d), 8, MONTH_START)
+    m = rt.similar_sessions(fx.session_vectors(spark, d), fx.question_vectors(spark, d), 8, MONTH_START)
     return m.withColumn("score", F.round("score", 6))
 
 
@@ -99,7 +108,8 @@ SELECT 'missing_vector' AS kind, CAST(id AS VARCHAR) AS id FROM kept
 WHERE id NOT IN (SELECT vec_id FROM embeddings)""", _CLEAN_S))
 def q_vector_orphans(spark, d):
     kept = mg.cleanup_duplicates(fx.sessions(spark, d))
-    return rt.vector_orphans(fx.session_vectors(spark, d), kept)
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return rt.vector_orphans(vectors, kept)
 
 
 # --------------------------------------------------------------------------- reflection
@@ -107,15 +117,16 @@ def _ctx_ctes(start: int, name: str) -> str:
     site = ("'    • ' || coalesce(nullif(title, ''), url) || ' (' || "
             f"CAST({_MIN.format(x='duration')} AS VARCHAR) || 'm)' || chr(10)")
     return f"""
-{name}_r AS (SELECT * FROM (
+{name}_r AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, id DESC) AS recency
-  FROM sj WHERE timestamp >= {start}) WHERE recency <= 200),
+  FROM sj WHERE timestamp >= {start}),
 {name}_r3 AS (SELECT *, row_number() OVER (PARTITION BY user_id, cname ORDER BY recency) AS site_rank
   FROM {name}_r),
 {name} AS (
   SELECT user_id, cname AS category, count(*) AS session_count,
          CAST(sum(duration) AS BIGINT) AS total_time,
-         {_MIN.format(x='sum(duration)')} AS minutes, min(recency) AS first_pos,
+         {_MIN.format(x='sum(duration)')} AS minutes,
+         row_number() OVER (PARTITION BY user_id ORDER BY min(recency)) AS first_pos,
          coalesce(string_agg(CASE WHEN site_rank <= 5 THEN {site} END, '' ORDER BY site_rank), '')
            AS sites_text
   FROM {name}_r3 GROUP BY 1, 2),
@@ -136,7 +147,7 @@ _CTX_HEAD = "'Total sessions: ' || CAST(b.total_sessions AS VARCHAR) || chr(10)
 
 @register("reflection_context_stats", with_prelude("SELECT * FROM wk", _ctx_ctes(WEEK_START, "wk")))
 def q_reflection_context_stats(spark, d):
-    rows = rt.context_rows(fx.categorized_sessions(spark, d), fx.categories(spark), WEEK_START)
+    rows = rt.context_rows(fx.categorized_sessions(spark, d, WEEK_START), fx.categories(spark), WEEK_START)
     return rt.context_stats(rows)
 
 
@@ -146,9 +157,13 @@ SELECT u.user_id, coalesce(b.total_sessions, 0) AS total_sessions,
 FROM (SELECT DISTINCT user_id FROM sessions_raw) u LEFT JOIN wk_blocks b ON b.user_id = u.user_id""",
     _ctx_ctes(WEEK_START, "wk")))
 def q_weekly_context(spark, d):
-    s = fx.categorized_sessions(spark, d)
+    return _weekly(spark, d)
+
+
+def _weekly(spark, d):
+    s = fx.categorized_sessions(spark, d, WEEK_START)
     stats = rt.context_stats(rt.context_rows(s, fx.categories(spark), WEEK_START))
-    return rt.reflection_context(s, stats)
+    return rt.reflection_context(fx.sessions(spark, d), stats)
 
 
 _REL = (f"'- ' || CAST(rank AS VARCHAR) || '. ' || coalesce(nullif(title, ''), url) || ' (' || "
@@ -166,19 +181,15 @@ SELECT u.user_id, coalesce(b.total_sessions, 0) AS total_sessions,
 FROM (SELECT DISTINCT user_id FROM sessions_raw) u
 LEFT JOIN mo_blocks b ON b.user_id = u.user_id
 LEFT JOIN (SELECT user_id, string_agg({_REL}, '' ORDER BY rank) AS rel FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS rank
-    FROM scored WHERE timestamp >= {MONTH_START}) WHERE rank <= 8 GROUP BY 1) r
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, id) AS rank
+    FROM uscored WHERE timestamp >= {MONTH_START}) WHERE rank <= 8 GROUP BY 1) r
   ON r.user_id = u.user_id""", _ctx_ctes(MONTH_START, "mo") + "," + _VEC_CTES))
 def q_reflection_context(spark, d):
-    s = fx.categorized_sessions(spark, d)
+    s = fx.categorized_sessions(spark, d, MONTH_START)
     stats = rt.context_stats(rt.context_rows(s, fx.categories(spark), MONTH_START))
-    qv = fx.query_vector(spark, d).limit(1).collect()[0]["query_vec"]
-    from tabtrail.functions.sqlexpr import double_array_sql
-    qs = s.select("user_id").distinct().select(
-        F.col("user_id").alias("question_id"), "user_id",
-        F.expr(double_array_sql(qv)).alias("query_vec"))
-    m = rt.similar_sessions(fx.session_vectors(spark, d), qs, 8, MONTH_START, per_user=True)
-    return rt.reflection_context(s, stats, m)
+    m = rt.similar_sessions(fx.session_vectors(spark, d), fx.user_question_vectors(spark, d), 8,
+                            MONTH_START, per_user=True)
+    return rt.reflection_context(fx.sessions(spark, d), stats, m)
 
 
 @register("reflection_history", with_prelude("""
@@ -195,7 +206,39 @@ def q_reflection_history(spark, d):
     return rt.reflection_history(fx.reflections(spark, d))
 
 
-@register("insight_cache_plan", with_prelude(f"""
+_REFL_CTES = f"""
+refl AS (
+  SELECT conv_id * 1000 + turn AS id, conv_id % 15 AS user_id, text AS query, next_text AS response,
+         {fx.EPOCH_2024_MS} + (conv_id * 1000 + turn) * 1000 AS timestamp
+  FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant')"""
+SHOWN_REFLECTION = 3000
+
+
+@register("reflection_by_id", with_prelude(
+    f"SELECT id, user_id, query, response, timestamp FROM refl WHERE id = {SHOWN_REFLECTION}", _REFL_CTES))
+def q_reflection_by_id(spark, d):
+    return rt.reflection_by_id(fx.reflections(spark, d), SHOWN_REFLECTION).select(
+        "id", "user_id", "query", "response", "timestamp")
+
+
+@register("reflection_log", with_prelude(f"""
+SELECT r.id, r.user_id, r.query, r.timestamp,
+       CASE WHEN u.user_id IS NULL THEN NULL WHEN b.total_sessions IS NULL THEN {_NO_ACT} ELSE {_CTX_HEAD} END AS response,
+       CASE WHEN u.user_id IS NOT NULL THEN coalesce(b.total_sessions, 0) END AS total_sessions
+FROM refl r LEFT JOIN (SELECT DISTINCT user_id FROM sessions_raw) u ON u.user_id = r.user_id
+LEFT JOIN wk_blocks b ON b.user_id = u.user_id""", _REFL_CTES + "," + _ctx_ctes(WEEK_START, "wk")))
+def q_reflection_log(spark, d):
+    """Reflections appended to a log with their context as JSON, read back, decoded."""
+    path = sinks.scratch_table(spark, "reflections")
+    sinks.append(sinks.reflection_records(fx.reflections(spark, d), _weekly(spark, d)), path)
+    log = spark.read.parquet(path)
+    return log.select("id", "user_id", "query", "timestamp", "response",
+                      rt.parse_context(F.col("context"))["total_sessions"].alias("total_sessions"))
+
+
+_PLAN_SQL = f"""
 SELECT u.user_id, strftime(d.dd, '%Y-%m-%d') AS date,
        CASE WHEN c.user_id IS NOT NULL THEN 'cached' WHEN m.session_count IS NULL THEN 'no_activity'
             ELSE 'generate' END AS action,
@@ -211,8 +254,10 @@ LEFT JOIN (
   ON m.user_id = u.user_id AND m.date = strftime(d.dd, '%Y-%m-%d')
 LEFT JOIN (SELECT DISTINCT user_id, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS date
            FROM sessions_raw WHERE timestamp < {CACHE_CUTOFF}) c
-  ON c.user_id = u.user_id AND c.date = strftime(d.dd, '%Y-%m-%d')"""))
-def q_insight_cache_plan(spark, d):
+  ON c.user_id = u.user_id AND c.date = strftime(d.dd, '%Y-%m-%d')"""
+
+
+def _insight_plan(spark, d):
     from tabtrail.functions.time import day_string
     s = fx.categorized_sessions(spark, d)
     cache = s.filter(F.col("timestamp") < CACHE_CUTOFF).select(
@@ -220,11 +265,80 @@ def q_insight_cache_plan(spark, d):
     return rt.insight_cache_plan(s, fx.categories(spark), cache, FIRST_DAY, LAST_DAY)
 
 
-@register("embed_sessions")
+@register("insight_cache_plan", with_prelude(_PLAN_SQL))
+def q_insight_cache_plan(spark, d):
+    return _insight_plan(spark, d)
+
+
+@register("insight_rows", with_prelude(f"""
+SELECT user_id, date,
+       CASE WHEN action = 'no_activity' THEN '{NO_ACTIVITY_INSIGHT.replace("'", "''")}'
+            ELSE 'Top category: ' || coalesce(top_category, '-') END AS insight_text,
+       total_text, session_count, top_category, {NOW} AS generated_ms
+FROM ({_PLAN_SQL}) WHERE action <> 'cached'"""))
+def q_insight_rows(spark, d):
+    """Daily insights upserted into a table by user and date (twice, to the same result)."""
+    path = sinks.scratch_table(spark, "insights")
+    rows = sinks.insight_records(_insight_plan(spark, d), NOW)
+    sinks.write_upsert(rows, path, ["user_id", "date"])
+    m = F.col("metadata")
+    return sinks.write_upsert(rows, path, ["user_id", "date"]).select(
+        "user_id", "date", "insight_text", m["totalTime"].alias("total_text"),
+        m["sessionCount"].alias("session_count"), m["topCategory"].alias("top_category"),
+        F.unix_millis("generated_at").alias("generated_ms"))
+
+
+@register("ingest_append", with_prelude(f"""
+SELECT id, user_id, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS date FROM (
+  SELECT id, user_id, CASE WHEN id % 17 = 0 THEN NULL ELSE url END AS url,
+         CASE WHEN id % 23 = 0 THEN 0 ELSE duration END AS duration,
+         CASE WHEN id % 29 = 0 THEN NULL ELSE timestamp END AS timestamp FROM sessions_raw)
+WHERE url <> '' AND duration <> 0 AND timestamp <> 0"""))
+def q_ingest_append(spark, d):
+    """The valid rows of an upload, appended by date and read back."""
+    from tabtrail.functions.time import day_string
+    path = sinks.scratch_table(spark, "sessions")
+    valid, _ = dm.split_valid(fx.uploaded_sessions(spark, d))
+    sinks.append(valid.select("id", "user_id", "url", "duration", "timestamp",
+                              day_string(F.col("timestamp")).alias("date")), path, partition_by=["date"])
+    return spark.read.parquet(path).select("id", "user_id", F.col("date").cast("string").alias("date"))
+
+
+@register("vector_rebuild", with_prelude("""
+SELECT CAST(id AS VARCHAR) AS id, coalesce(nullif(title, ''), 'Untitled session') AS title, cname AS category,
+       'browser_session' AS source, 64 AS dims FROM sj"""))
+def q_vector_rebuild(spark, d):
+    """Every session embedded anew into a table, read back."""
+    path = sinks.scratch_table(spark, "vectors")
+    sinks.rebuild_vectors(fx.categorized_sessions(spark, d), fx.categories(spark), path)
+    m = F.col("metadata")
+    return spark.read.parquet(path).select("id", m["title"].alias("title"), m["category"].alias("category"),
+                                           m["source"].alias("source"), F.size("values").alias("dims"))
+
+
+_TEXT_SQL = f"""
+SELECT id, concat_ws(chr(10), 'Browsing session',
+  CASE WHEN title IS NOT NULL AND title <> '' THEN 'Title: ' || title END,
+  CASE WHEN url IS NOT NULL AND url <> '' THEN 'URL: ' || url END,
+  'DurationMinutes: ' || CAST({_MIN.format(x='coalesce(duration, 0)')} AS VARCHAR),
+  'Category: ' || cname,
+  CASE WHEN timestamp IS NOT NULL AND timestamp <> 0 THEN 'Timestamp: ' || {iso_sql('timestamp')} END)
+  AS text
+FROM sj"""
+
+
+@register("embed_sessions", with_prelude("""
+SELECT id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 5) AS value FROM (
+  SELECT id, place, CAST(count(*) AS DOUBLE) AS n FROM (
+    SELECT CAST(id AS VARCHAR) AS id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS place
+    FROM (SELECT id, unnest(string_split_regex(lower(text), '\\s')) AS word FROM texts) WHERE word <> '')
+  GROUP BY 1, 2)""", f"texts AS ({_TEXT_SQL})"))
 def q_embed_sessions(spark, d):
     from tabtrail.operators.embed import embed_sessions
     s = st.with_category(fx.categorized_sessions(spark, d), fx.categories(spark), ("name",))
-    return embed_sessions(s)
+    v = embed_sessions(s).select("id", F.posexplode("values").alias("place", "value"))
+    return v.filter(F.col("value") != 0).select(
+        "id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 # --------------------------------------------------------------------------- dimension
@@ -384,9 +498,11 @@ FROM (SELECT id, user_id, concat_ws(',',
         CASE WHEN url IS NULL OR url = '' THEN 'url' END,
         CASE WHEN duration IS NULL OR duration = 0 THEN 'duration' END,
         CASE WHEN timestamp IS NULL OR timestamp = 0 THEN 'timestamp' END) AS m
-      FROM sessions_raw)"""))
+      FROM (SELECT id, user_id, CASE WHEN id % 17 = 0 THEN NULL ELSE url END AS url,
+                   CASE WHEN id % 23 = 0 THEN 0 ELSE duration END AS duration,
+                   CASE WHEN id % 29 = 0 THEN NULL ELSE timestamp END AS timestamp FROM sessions_raw))"""))
 def q_ingest_validation(spark, d):
-    return dm.validate_chunks(fx.sessions(spark, d))
+    return dm.validate_chunks(fx.uploaded_sessions(spark, d))
 
 
 _UPSERT_DAY = "strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d')"
@@ -408,8 +524,9 @@ UNION ALL SELECT *, 'new' AS source FROM new_w""",
     _daily_sql(f"WHERE timestamp < {T0} AND duration > 60000", "old_w") + ","
     + _daily_sql(f"WHERE timestamp >= {_UPSERT_FROM}", "new_w")))
 def q_wellness_daily_upsert(spark, d):
-    s, c = fx.categorized_sessions(spark, d), fx.categories(spark)
-    old = st.wellness_daily(s.filter((F.col("timestamp") < T0) & (F.col("duration") > 60000)), c)
-    new = st.wellness_daily(s.filter(F.col("timestamp") >= _UPSERT_FROM), c)
+    c = fx.categories(spark)
+    past = fx.categorized_sessions(spark, d, end=T0 - 1)
+    old = st.wellness_daily(past.filter(F.col("duration") > 60000), c)
+    new = st.wellness_daily(fx.categorized_sessions(spark, d, _UPSERT_FROM), c)
     return dm.upsert(old.withColumn("source", F.lit("old")), new.withColumn("source", F.lit("new")),
                      ["user_id", "date"])

@@ -78,13 +78,11 @@ def q_display_merge(spark, d):
 
 @register("merged_session_count", with_prelude(
     "SELECT user_id, count(*) AS merged_session_count FROM merged GROUP BY 1",
-    f"""today AS (SELECT id, user_id, url, title, timestamp, duration FROM (
-      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, id DESC) AS rn
-      FROM chunks_v WHERE timestamp >= {T0} AND timestamp <= {T1}) WHERE rn <= 1000),"""
+    f"""today AS (SELECT id, user_id, url, title, timestamp, duration
+      FROM chunks_v WHERE timestamp >= {T0} AND timestamp <= {T1}),"""
     + _display_ctes("today")))
 def q_merged_session_count(spark, d):
     today = st.in_range(fx.chunks(spark, d, url_variant=True), T0, T1)
-    today = st.top_n(today, 1000, [F.col("timestamp").desc(), F.col("id").desc()])
     return mg.merged_session_count(mg.display_merge(today))
 
 
@@ -92,21 +90,23 @@ _t = HISTORY_TERM.lower()
 
 
 @register("history_search", with_prelude(f"""
-SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, timestamp, id) AS position
+SELECT *, coalesce(nullif(title, ''), {domain_sql('url')}) AS shown_title,
+       row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, timestamp, id) AS position
 FROM merged
 WHERE contains(lower(coalesce(title, '')), '{_t}') OR contains(lower(coalesce(url, '')), '{_t}')
    OR contains(lower(coalesce({domain_sql('url')}, '')), '{_t}')""", _display_ctes("chunks_v")))
 def q_history_search(spark, d):
     c = fx.chunks(spark, d, url_variant=True)
-    return st.history_view(mg.display_merge(c), HISTORY_TERM, "recency", "desc", skew_probe=c)
+    return st.history_view(mg.display_merge(c), HISTORY_TERM, "recency", "desc")
 
 
-@register("history_sorted", with_prelude("""
-SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(duration, 0) DESC, timestamp, id)
+@register("history_sorted", with_prelude(f"""
+SELECT *, coalesce(nullif(title, ''), {domain_sql('url')}) AS shown_title,
+  row_number() OVER (PARTITION BY user_id ORDER BY coalesce(duration, 0) DESC, timestamp, id)
   AS position FROM merged""", _display_ctes("chunks_v")))
 def q_history_sorted(spark, d):
     c = fx.chunks(spark, d, url_variant=True)
-    return st.history_view(mg.display_merge(c), None, "duration", "desc", skew_probe=c)
+    return st.history_view(mg.display_merge(c), None, "duration", "desc")
 
 
 @register("last_n_per_user", with_prelude("""
@@ -148,12 +148,14 @@ fold AS (
 
 @register("ingest_merge", with_prelude("""
 SELECT r.id AS id, user_id, url, r.title AS title, r.ts AS timestamp, r.dur AS duration,
-       r.n AS merged_chunks
+       r.n AS merged_chunks, c.id AS category_id
 FROM (SELECT user_id, url, unnest(list_concat(done, live)) AS r FROM fold
       QUALIFY row_number() OVER (PARTITION BY user_id, url, isl ORDER BY rn DESC) = 1)
+LEFT JOIN cats c ON c.name = (""" + rule_case("url") + """)
 """, _INGEST_CTES, recursive=True))
 def q_ingest_merge(spark, d):
-    return mg.ingest_merge(fx.chunks(spark, d))
+    # rows that ingest creates get the category of their URL rule
+    return cz.categorize_by_rules(mg.ingest_merge(fx.chunks(spark, d)), fx.categories(spark))
 
 
 # --------------------------------------------------------------------------- capture
@@ -183,7 +185,7 @@ def q_tab_sessions(spark, d):
 
 
 @register("session_chunks", with_prelude("""
-SELECT event_id * 1000 + j AS id, user_id, url, title, start_ts + 30000 * j AS timestamp,
+SELECT event_id * 1048576 + j AS id, user_id, url, title, start_ts + 30000 * j AS timestamp,
        least(30000, elapsed_ms - 30000 * j) AS duration
 FROM (SELECT *, unnest(generate_series(0, elapsed_ms // 30000 +
         CASE WHEN end_kind <> 'focus_gained' AND elapsed_ms % 30000 >= 3000 THEN 1 ELSE 0 END - 1))
@@ -277,9 +279,7 @@ def q_categorize_fallback(spark, d):
 
 
 _BACKFILL_CTES = f"""
-backlog AS (SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, id DESC) AS rn
-  FROM sessions_raw) WHERE rn <= 50),
+backlog AS (SELECT * FROM sessions_raw),
 bl_rule AS (SELECT b.*, c.id AS rid FROM backlog b LEFT JOIN cats c ON c.name = ({rule_case('b.url')})),
 bl_fb AS (SELECT url, title, {_fallback_sql('url', 'title')} AS name FROM (
             SELECT DISTINCT url, title FROM bl_rule WHERE rid IS NULL)),

@@ -32,8 +32,8 @@ START = fx.EPOCH_2024_MS
 WEEK_START = NOW - 7 * DAY_MS
 
 
-def _s(spark, d):
-    return fx.categorized_sessions(spark, d)
+def _s(spark, d, start=None, end=None):
+    return fx.categorized_sessions(spark, d, start, end)
 
 
 def _c(spark):
@@ -106,17 +106,17 @@ def q_focus_rest_ratio(spark, d):
 
 
 @register("today_stats", with_prelude(f"""
-SELECT t.user_id, coalesce(r.runs, 0) AS session_count, t.total_time,
-       {_SCORE_SQL} AS wellness_score
-FROM t LEFT JOIN (
+SELECT u.user_id, coalesce(r.runs, 0) AS session_count, coalesce(t.total_time, 0) AS total_time,
+       CASE WHEN t.user_id IS NOT NULL THEN {_SCORE_SQL} END AS wellness_score
+FROM (SELECT DISTINCT user_id FROM sessions_raw) u LEFT JOIN t ON t.user_id = u.user_id LEFT JOIN (
   SELECT user_id, count(*) FILTER (WHERE prev IS NULL OR prev <> cname) AS runs FROM (
     SELECT user_id, cname,
            lag(cname) OVER (PARTITION BY user_id ORDER BY timestamp, id) AS prev
     FROM sj WHERE timestamp >= {T0} AND timestamp <= {T1}) GROUP BY 1) r
-ON r.user_id = t.user_id""",
+ON r.user_id = u.user_id""",
     times_ctes("0", f"WHERE timestamp >= {T0} AND timestamp <= {T1}")))
 def q_today_stats(spark, d):
-    return st.today_stats(_s(spark, d), _c(spark), T0, T1)
+    return st.today_stats(_s(spark, d, T0, T1), _c(spark), T0, T1, users=fx.sessions(spark, d))
 
 
 @register("category_runs", with_prelude(f"""
@@ -131,28 +131,31 @@ def q_category_runs(spark, d):
 # --------------------------------------------------------------------------- categories
 @register("today_categories", with_prelude(f"""
 SELECT user_id, cname AS name, arg_min(ccolor, timestamp * 1000000 + id) AS color,
-       CAST(sum(duration) AS BIGINT) AS time, count(*) AS count
+       CAST(sum(duration) AS BIGINT) AS time, count(*) AS count,
+       row_number() OVER (PARTITION BY user_id ORDER BY sum(duration) DESC, cname) AS position
 FROM sj WHERE timestamp >= {T0} AND timestamp <= {T1} GROUP BY 1, 2"""))
 def q_today_categories(spark, d):
-    return st.category_breakdown(st.in_range(_s(spark, d), T0, T1), _c(spark))
+    return st.category_breakdown(_s(spark, d, T0, T1), _c(spark))
 
 
 @register("category_stats", with_prelude(f"""
 SELECT user_id, cname AS name, arg_min(ccolor, timestamp * 1000000 + id) AS color,
        arg_min(cwtype, timestamp * 1000000 + id) AS wellness_type,
        CAST(sum(duration) AS BIGINT) AS total_time, count(*) AS session_count,
-       CAST(sum(duration) AS DOUBLE) / count(*) AS avg_duration
+       CAST(sum(duration) AS DOUBLE) / count(*) AS avg_duration,
+       row_number() OVER (PARTITION BY user_id ORDER BY sum(duration) DESC, cname) AS position
 FROM sj WHERE timestamp >= {START} AND timestamp <= {NOW} GROUP BY 1, 2"""))
 def q_category_stats(spark, d):
-    return st.category_stats(_s(spark, d), _c(spark), START, NOW)
+    return st.category_stats(_s(spark, d, START, NOW), _c(spark), START, NOW)
 
 
 @register("daily_stats", with_prelude(f"""
 SELECT user_id, {_DAY} AS date, count(*) AS session_count,
-       CAST(sum(duration) AS BIGINT) AS total_time
+       CAST(sum(duration) AS BIGINT) AS total_time,
+       row_number() OVER (PARTITION BY user_id ORDER BY {_DAY}) AS position
 FROM sessions WHERE timestamp >= {START} AND timestamp <= {NOW} GROUP BY 1, 2"""))
 def q_daily_stats(spark, d):
-    return st.daily_stats(_s(spark, d), START, NOW)
+    return st.daily_stats(_s(spark, d, START, NOW), START, NOW)
 
 
 _SUMMARY_SQL = f"""
@@ -175,7 +178,7 @@ summary AS (
 
 @register("activity_summary", with_prelude("SELECT * FROM summary", _SUMMARY_SQL))
 def q_activity_summary(spark, d):
-    return st.activity_summary(st.in_range(_s(spark, d), T0, T1), _c(spark))
+    return st.activity_summary(_s(spark, d, T0, T1), _c(spark))
 
 
 @register("activity_lines", with_prelude("""
@@ -186,7 +189,7 @@ SELECT user_id, any_value(total_text) AS total_text,
                   chr(10) ORDER BY position) AS lines
 FROM summary GROUP BY 1""", _SUMMARY_SQL))
 def q_activity_lines(spark, d):
-    return st.activity_lines(st.activity_summary(st.in_range(_s(spark, d), T0, T1), _c(spark)))
+    return st.activity_lines(st.activity_summary(_s(spark, d, T0, T1), _c(spark)))
 
 
 @register("learning_sessions", with_prelude(f"""
@@ -195,7 +198,7 @@ SELECT user_id, cname AS name, CAST(sum(duration) AS BIGINT) AS total_time,
 FROM sj WHERE timestamp >= {WEEK_START} AND {wellness_case('cname')} = 'growth'
 GROUP BY 1, 2"""))
 def q_learning_sessions(spark, d):
-    return st.learning_sessions(_s(spark, d), _c(spark), WEEK_START)
+    return st.learning_sessions(_s(spark, d, WEEK_START), _c(spark), WEEK_START)
 
 
 @register("domain_time", with_prelude(f"""
@@ -245,7 +248,7 @@ def q_sessions_listing(spark, d):
           _listing_sql(f"WHERE s.category_id = 2 AND s.timestamp >= {START} "
                        f"AND s.timestamp <= {NOW}", 100))
 def q_sessions_by_category(spark, d):
-    return st.list_sessions(_s(spark, d), _c(spark), START, NOW, category_id=2)
+    return st.list_sessions(_s(spark, d, START, NOW), _c(spark), START, NOW, category_id=2)
 
 
 @register("session_by_id", with_prelude(f"""

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabtrail.constants import AUTOSAVE_MS, MIN_CHUNK_MS
+from tabtrail.constants import AUTOSAVE_MS, CHUNK_ID_FACTOR, MIN_CHUNK_MS
 from tabtrail.functions.formats import idiv
-from tabtrail.functions.time import ntz_to_ms
+from tabtrail.functions.time import ntz_literal, ntz_to_ms
 from tabtrail.sources.catalog import N_SITES, SITES
-from tabtrail.sources.tables import SPREAD_CONF, read_table, seed_categories, spread
+from tabtrail.sources.tables import read_table, seed_categories
 
 EPOCH_2024_MS = 1704067200000      # 2024-01-01T00:00:00Z
 FIXED_NOW_MS = 1706659200000       # 2024-01-31T00:00:00Z
@@ -46,22 +46,24 @@ def site_title(sid: str = "_site") -> Column:
     return _site_lookup(1, sid)
 
 
-_SPREAD: dict[tuple, DataFrame] = {}
-
-
-def _events(spark: SparkSession, base: str) -> DataFrame:
-    from tabtrail.session import app_key
-    key = (app_key(spark), base, spark.conf.get(SPREAD_CONF, "true"))
-    if key not in _SPREAD:
-        ev = read_table(spark, base, "events").select(
-            "event_id", "ts", "user_id", "event_type", "value", "props")
-        _SPREAD[key] = spread(ev)
-    return _SPREAD[key]
-
-
-def sessions(spark: SparkSession, base: str) -> DataFrame:
-    """Raw sessions: id, user_id, url, title, duration (ms), timestamp (ms), category_id (null)."""
-    ev = _events(spark, base).withColumn("_site", site_id(F.col("props")))
+def _events(spark: SparkSession, base: str, start: int | None = None,
+            end: int | None = None) -> DataFrame:
+    """Event rows; bounds in epoch ms (inclusive) become bounds of the stored ``ts``, which
+    the scan can use to skip row groups."""
+    ev = read_table(spark, base, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value", "props")
+    if start is not None:
+        ev = ev.filter(F.col("ts") >= ntz_literal(start))
+    if end is not None:
+        ev = ev.filter(F.col("ts") < ntz_literal(end + 1))
+    return ev
+
+
+def sessions(spark: SparkSession, base: str, start: int | None = None,
+             end: int | None = None) -> DataFrame:
+    """Raw sessions: id, user_id, url, title, duration (ms), timestamp (ms), category_id (null).
+    ``start``/``end``: only sessions with a timestamp inside these bounds."""
+    ev = _events(spark, base, start, end).withColumn("_site", site_id(F.col("props")))
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("user_id"),
@@ -73,14 +75,24 @@ def sessions(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def uploaded_sessions(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions as a client uploads them, some with a field missing (by event id)."""
+    gone = lambda c, n, v: F.when(F.col("id") % n == 0, v).otherwise(F.col(c)).alias(c)
+    none = F.lit(None)
+    return sessions(spark, base).select(
+        "id", "user_id", gone("url", 17, none), "title", gone("duration", 23, F.lit(0)),
+        gone("timestamp", 29, none), "category_id")
+
+
 def categories(spark: SparkSession, base: str | None = None) -> DataFrame:
     return seed_categories(spark)
 
 
-def categorized_sessions(spark: SparkSession, base: str) -> DataFrame:
+def categorized_sessions(spark: SparkSession, base: str, start: int | None = None,
+                         end: int | None = None) -> DataFrame:
     """Sessions with ``category_id`` set by the URL rules (null where no rule matches)."""
     from tabtrail.operators.categorize import categorize_by_rules
-    return categorize_by_rules(sessions(spark, base), categories(spark))
+    return categorize_by_rules(sessions(spark, base, start, end), categories(spark))
 
 
 def expand_chunks(s: DataFrame, url_variant: bool = False) -> DataFrame:
@@ -98,7 +110,7 @@ def expand_chunks(s: DataFrame, url_variant: bool = False) -> DataFrame:
     if url_variant:
         url = F.when(i % 2 == 1, F.concat(url, F.lit("#s"), i.cast("string"))).otherwise(url)
     out = x.select(
-        (F.col("id") * 1000 + i).alias("id"),
+        (F.col("id") * CHUNK_ID_FACTOR + i).alias("id"),
         "user_id",
         url.alias("url"),
         "title",
@@ -141,11 +153,19 @@ def session_vectors(spark: SparkSession, base: str) -> DataFrame:
     return vector_records(emb, s, c)
 
 
-def query_vector(spark: SparkSession, base: str) -> DataFrame:
-    """The query vector used by the similarity queries (embedding of vec_id 0)."""
+def question_vectors(spark: SparkSession, base: str) -> DataFrame:
+    """Questions over all vectors: every embedding whose id is divisible by 100."""
+    emb = read_table(spark, base, "embeddings")
+    return emb.filter(F.col("vec_id") % 100 == 0).select(
+        F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vec"))
+
+
+def user_question_vectors(spark: SparkSession, base: str) -> DataFrame:
+    """One question per user over the user's own vectors: the embedding with the user's id."""
     emb = read_table(spark, base, "embeddings")
-    return emb.filter(F.col("vec_id") == 0).select(
-        F.lit(0).cast("long").alias("question_id"), F.col("embedding").alias("query_vec"))
+    users = _events(spark, base).select("user_id").distinct()
+    return users.join(emb, users["user_id"] == emb["vec_id"]).select(
+        F.col("user_id").alias("question_id"), "user_id", F.col("embedding").alias("query_vec"))
 
 
 def reflections(spark: SparkSession, base: str) -> DataFrame:

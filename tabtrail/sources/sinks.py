@@ -11,6 +11,7 @@ checkpoint, not from the half-overwritten table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,16 @@ def write_upsert(new: DataFrame, path: str, keys: Sequence[str], fmt: str = "par
     return spark.read.format(fmt).load(path)
 
 
-def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """S7-style append (reflection log)."""
-    df.write.format(fmt).mode("append").save(path)
+def append(df: DataFrame, path: str, fmt: str = "parquet",
+           partition_by: Sequence[str] | None = None) -> None:
+    """Append (S4 valid chunks by date, S7 reflection log)."""
+    w = df.write.format(fmt).mode("append")
+    (w.partitionBy(*partition_by) if partition_by else w).save(path)
+
+
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """Path of a new table under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def reflection_records(questions: DataFrame, contexts: DataFrame,

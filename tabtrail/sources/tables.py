@@ -1,7 +1,8 @@
 """Readers for the input tables and the category dimension.
 
-All readers return lazy DataFrames; column pruning and filters are pushed into the
-Parquet scan by Catalyst because every caller selects the columns it needs.
+All readers return lazy DataFrames. Catalyst prunes the columns that a caller does not use and
+pushes filters on stored columns into the Parquet scan; filters on derived columns stay above
+it, which is why the fixtures take time bounds (see ``fixtures.sessions``).
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ CATEGORY_SCHEMA = T.StructType([
 
 
 _READS: dict[tuple, DataFrame] = {}
-SPREAD_CONF = "tabtrail.spreadSmallInputs"
 
 
 def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet") -> DataFrame:
@@ -39,26 +39,6 @@ def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet")
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over the cluster's cores.
-
-    When the scan yields fewer splits than cores (a small file with one row group is
-    one task, however heavy the per-row work after it), the rows are round-robined over
-    the cores once and kept (memory, spilling to disk). The kept relation is also a
-    boundary that filters on derived columns cannot be pushed below, so per-row work
-    (URL rules, chunk expansion) stays parallel. Large inputs already have enough splits
-    and are returned unchanged: no shuffle and no cache at scale.
-    """
-    from pyspark import StorageLevel
-    spark = df.sparkSession
-    if spark.conf.get(SPREAD_CONF, "true").lower() != "true":
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    return df
-
-
 def literal_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     """A small constant table as a JVM-side local relation (SQL ``VALUES``): no Python
     RDD, exact size known to the planner, one parser call."""
