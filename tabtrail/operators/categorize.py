@@ -71,6 +71,11 @@ def fallback_rule(url: Column, title: Column) -> Column:
             .otherwise(F.lit(DEFAULT_CATEGORY_NAME)))
 
 
+class FAILED:
+    """Result of a row on which a plugged function raised (a class: the same object in every
+    worker)."""
+
+
 def row_by_row(fn, pdf: pd.DataFrame) -> list:
     """Results of ``fn`` (a frame -> a series) for each row; a whole batch first, and if that
     raises each row alone, so that one bad row costs only its own result (``FAILED``)."""
@@ -86,7 +91,6 @@ def row_by_row(fn, pdf: pd.DataFrame) -> list:
         return out
 
 
-FAILED = object()
 
 
 def _classify_partitions(classifier: Callable[[pd.DataFrame], pd.Series]):

@@ -1,6 +1,6 @@
 """Windowed streaming statistics and triggers (ST4, ST5, ST6) and stream sinks.
 
-* ``live_day_categories`` (ST5): per user, UTC day and category name -- time and rows --
+* ``live_day_categories`` (ST5): per user, local day and category name -- time and rows --
   as a watermarked tumbling-window aggregation (update or append mode).
 * ``late_night_stream`` (ST6): first session start per user and night with local hour in
   [1, 7) -- a watermarked aggregation, emitted once when the night's window closes.
@@ -17,38 +17,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabtrail.constants import LATE_NIGHT_FROM_HOUR, LATE_NIGHT_UNTIL_HOUR
-from tabtrail.functions.time import local_hour
+from tabtrail.functions.time import local_hour, local_wall, ntz_to_ms, utc_day
 from tabtrail.operators.categorize import categorize
 from tabtrail.operators.stats import with_category
 
 
-def _timed(s: DataFrame, watermark: str) -> DataFrame:
-    return s.withColumn("event_time", F.timestamp_millis("timestamp")) \
-        .withWatermark("event_time", watermark)
+def _timed(s: DataFrame, watermark: str, tz: str) -> DataFrame:
+    """``event_time``: local wall time of the row, so that one-day windows are local days. When
+    clocks go back rows look up to an hour older, which the watermark has to allow."""
+    wall = F.col("timestamp") if tz == "UTC" else ntz_to_ms(local_wall(F.col("timestamp"), tz))
+    return s.withColumn("event_time", F.timestamp_millis(wall)).withWatermark("event_time", watermark)
 
 
-def live_day_categories(s: DataFrame, c: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """ST5 over a categorised session stream joined to the (static) categories."""
-    x = with_category(_timed(s, watermark), c, ("name",))
+def _day(window: str):
+    return utc_day(F.unix_millis(F.col(window + ".start")))
+
+
+def live_day_categories(s: DataFrame, c: DataFrame, tz: str = "UTC",
+                        watermark: str = "2 hours") -> DataFrame:
+    """ST5 over a categorised session stream joined to the (static) categories, by local day."""
+    x = with_category(_timed(s, watermark, tz), c, ("name",))
     g = x.groupBy("user_id", F.window("event_time", "1 day").alias("day"),
                   F.col("category_name").alias("name")).agg(
         F.sum("duration").alias("time"), F.count(F.lit(1)).alias("count"))
-    return g.select("user_id", F.date_format(F.col("day.start"), "yyyy-MM-dd").alias("date"),
-                    "name", "time", "count")
+    return g.select("user_id", _day("day").alias("date"), "name", "time", "count")
 
 
-def late_night_stream(s: DataFrame, tz: str = "UTC", watermark: str = "1 hour") -> DataFrame:
-    """ST6: one reminder per user and (UTC) night, at the first late-night session.
+def late_night_stream(s: DataFrame, tz: str = "UTC", watermark: str = "2 hours") -> DataFrame:
+    """ST6: one reminder per user and local night, at the first late-night session.
 
     The hour is taken from the event-time column on purpose: a filter that does not
     reference it is pushed below the watermark, and then only late-night rows would
     move the watermark (the nights would close only at the next late-night session)."""
-    h = local_hour(F.unix_millis(F.col("event_time")), tz)
-    x = _timed(s, watermark).filter((h >= LATE_NIGHT_FROM_HOUR) & (h < LATE_NIGHT_UNTIL_HOUR))
-    g = x.groupBy("user_id", F.window("event_time", "1 day").alias("night")).agg(
+    h = local_hour(F.unix_millis(F.col("event_time")))
+    x = _timed(s, watermark, tz).filter((h >= LATE_NIGHT_FROM_HOUR) & (h < LATE_NIGHT_UNTIL_HOUR))
+    g = x.groupBy("user_id", F.window("event_time", "1 day").alias("w")).agg(
         F.min("timestamp").alias("alert_ts"), F.count(F.lit(1)).alias("late_sessions"))
-    return g.select("user_id", F.date_format(F.col("night.start"), "yyyy-MM-dd").alias("night"),
-                    "alert_ts", "late_sessions")
+    return g.select("user_id", _day("w").alias("night"), "alert_ts", "late_sessions")
 
 
 def categorize_batches(c: DataFrame, sink: Callable[[DataFrame, int], None],

@@ -195,13 +195,23 @@ def test_split_equals_plain_on_fixture(spark):
     assert out(mg.ingest_merge(c2, split_ms=None), cols) == out(mg.ingest_merge(c2, split_ms=3600000), cols)
 
 
-def test_history_positions_split_equals_plain(spark):
+def test_history_positions_equal_a_plain_rank(spark):
     from tabtrail.operators import stats as stt
     from tabtrail.sources import fixtures as fx
-    m = mg.display_merge(fx.chunks(spark, "/root/testdata/sf0.001", url_variant=True))
+    m = mg.display_merge(fx.chunks(spark, "/root/testdata/sf0.001", url_variant=True)).cache()
+    rows = m.collect()
     for field, order in [("recency", "desc"), ("duration", "desc"), ("duration", "asc")]:
-        a = out(stt.history_view(m, None, field, order, split_ms=None), ("id", "position"))
-        b = out(stt.history_view(m, None, field, order, split_ms=86400000), ("id", "position"))
-        assert a == b, (field, order)
-    a = out(stt.history_view(m, "learn", split_ms=None), ("id", "position"))
-    assert a == out(stt.history_view(m, "learn", split_ms=86400000), ("id", "position"))
+        col = "timestamp" if field == "recency" else "duration"
+        sign = -1 if order == "desc" else 1
+        want, place = [], {}
+        for r in sorted(rows, key=lambda r: (r.user_id, sign * (r[col] or 0), r.timestamp, r.id)):
+            place[r.user_id] = place.get(r.user_id, 0) + 1
+            want.append((r.id, place[r.user_id]))
+        assert out(stt.history_view(m, None, field, order), ("id", "position")) == sorted(want), (field, order)
+
+
+def test_history_title_falls_back_to_the_domain(spark):
+    from tabtrail.operators import stats as stt
+    df = spark.createDataFrame([(1, 1, "https://a.example/x", "", 5, 1), (2, 1, "https://b.example/", None, 6, 1),
+                                (3, 1, "https://c.example/", "Shown", 7, 1)], SCHEMA)
+    assert out(stt.history_view(df), ("id", "shown_title")) == [(1, "a.example"), (2, "b.example"), (3, "Shown")]

@@ -15,37 +15,46 @@ def test_dimension_join_is_broadcast(spark):
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
 
 
+def scans(df):
+    return [line for line in plan(df).split("\n") if "FileScan parquet" in line]
+
+
 def test_scan_prunes_columns(spark):
-    from tabtrail.sources.tables import SPREAD_CONF
-    spark.conf.set(SPREAD_CONF, "false")     # the path taken by inputs with enough splits
-    try:
-        p = plan(entry.queries()["daily_stats"](spark, SF))
-    finally:
-        spark.conf.set(SPREAD_CONF, "true")
-    scans = [line for line in p.split("\n") if "FileScan parquet" in line]
-    assert scans and all("event_type" not in s and "event_id" not in s for s in scans)
+    found = scans(entry.queries()["daily_stats"](spark, SF))
+    assert found and all("event_type" not in s and "event_id" not in s for s in found)
 
 
-def test_pushed_filter_on_raw_scan(spark):
-    from pyspark.sql import functions as F
-    ev = spark.read.parquet(SF + "/events.parquet").filter(F.col("user_id") == 3).select("event_id")
-    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan(ev)
+def test_time_bounds_reach_the_scan(spark):
+    """Of the registered queries' own plans."""
+    for name in ["today_categories", "activity_summary", "learning_sessions", "sessions_by_category",
+                 "reflection_context_stats", "daily_stats", "category_stats"]:
+        found = scans(entry.queries()[name](spark, SF))
+        assert found and all("GreaterThanOrEqual(ts," in s for s in found), name
+    found = scans(entry.queries()["today_stats"](spark, SF))
+    bounded = [s for s in found if "GreaterThanOrEqual(ts,2024-01-15" in s and "LessThan(ts,2024-01-16" in s]
+    users = [s for s in found if "ReadSchema: struct<user_id:bigint>" in s]
+    assert bounded and len(bounded) + len(users) == len(found)
 
 
-def test_no_single_partition_windows(spark):
-    for name in ["display_merge", "cleanup_duplicates", "tab_sessions", "category_runs",
-                 "sessions_listing", "reflection_context_stats"]:
-        p = plan(entry.queries()[name](spark, SF))
-        assert "SinglePartition" not in p, name
+def test_default_fallback_moves_no_session(spark):
+    p = plan(entry.queries()["categorize_sessions"](spark, SF))
+    assert "Exchange hashpartitioning" not in p and p.count("FileScan parquet") == 1
 
 
-def test_split_path_plan_is_keyed(spark):
+def test_one_plan_whatever_the_size(spark):
     from tabtrail.operators import merge as mg
     from tabtrail.sources import fixtures as fx
-    p = plan(mg.display_merge(fx.chunks(spark, SF, True), split_ms=86400000))
+    p = plan(mg.display_merge(fx.chunks(spark, SF, True)))
     assert "hashpartitioning(_pk" in p and "SinglePartition" not in p
 
 
+def test_no_single_partition_windows(spark):
+    for name in ["display_merge", "cleanup_duplicates", "tab_sessions", "category_runs",
+                 "sessions_listing", "reflection_context_stats"]:
+        p = plan(entry.queries()[name](spark, SF))
+        assert "SinglePartition" not in p, name
+
+
 def test_topk_limits_before_shuffle(spark):
     for name in ["sessions_listing", "similar_sessions", "last_n_per_user"]:
         p = plan(entry.queries()[name](spark, SF))

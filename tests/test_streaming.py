@@ -78,6 +78,7 @@ def test_ingest_stream_routes_out_of_order_chunks(spark):
 def test_capture_stream_equals_batch(spark):
     ev = fx.tab_events(spark, SF)
     got = run_stream(spark, ev, capture_stream, order="ts_ms")
+    assert got.filter("status <> 'closed'").count() == 0
     cols = ("user_id", "event_id", "start_ts", "end_ts", "duration", "end_kind")
     assert key(got, cols) == key(cp.tab_sessions(ev), cols)
 
@@ -120,3 +121,66 @@ def test_scheduled_categorization_foreach_batch(spark):
     from tabtrail.operators.categorize import categorize
     want = {r.id: r.category_id for r in categorize(s, c).collect()}
     assert {r["id"]: r["category_id"] for r in seen} == want
+
+
+def feed(spark, rows, schema, build):
+    """Rows one by one, each in a micro-batch of its own, in the given order."""
+    import time
+    src = tempfile.mkdtemp(prefix="tt-feed-")
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.parquet(f"{src}/p{i}")
+        time.sleep(1.1)      # distinct modification times keep the file order
+    name = "f" + tempfile.mktemp(dir="").replace("-", "_").replace("/", "")[-8:]
+    stream = spark.readStream.schema(spark.createDataFrame([], schema).schema) \
+        .option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    q = (build(stream).writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tt-ckpt-"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    return spark.table(name).collect()
+
+
+TAB = "event_id long, user_id long, ts_ms long, kind string, tab_id long, url string, title string"
+T0 = 1704067200000
+HOUR = 3_600_000
+
+
+def test_capture_keeps_long_sessions_late_events_and_tab_ids(spark):
+    rows = [(1, 1, T0, "activated", 7, "https://a.example/", "a"),
+            (2, 2, T0 + 30 * HOUR, "activated", 1, "https://b.example/", "b"),       # another user moves time on
+            (9, 1, T0 - 100_000, "activated", 3, "https://old.example/", "old"),      # older than the open session
+            (3, 1, T0 + 31 * HOUR, "focus_lost", None, None, None)]
+    got = {(r.event_id, r.status, r.tab_id, r.elapsed_ms) for r in feed(spark, rows, TAB, capture_stream) if r.user_id == 1}
+    assert got == {(1, "closed", 7, 31 * HOUR), (9, "late", 3, 0)}
+
+
+def test_null_tab_in_the_batch_that_opens_a_session(spark):
+    src = tempfile.mkdtemp(prefix="tt-tab-")
+    rows = [(1, 1, T0, "focus_lost", None, None, None), (2, 1, T0 + 1000, "activated", 7, "https://a.example/", "a")]
+    spark.createDataFrame(rows, TAB).coalesce(1).write.parquet(src + "/p0")
+    import time
+    time.sleep(1.1)
+    spark.createDataFrame([(3, 1, T0 + 9000, "focus_lost", None, None, None)], TAB).coalesce(1).write.parquet(src + "/p1")
+    stream = spark.readStream.schema(spark.createDataFrame([], TAB).schema).option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(src)
+    q = (capture_stream(stream).writeStream.format("memory").queryName("null_tab")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tt-ckpt-")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert [(r.event_id, r.tab_id, r.duration) for r in spark.table("null_tab").collect()] == [(2, 7, 8000)]
+
+
+def test_chunks_behind_the_watermark_come_out_as_late(spark):
+    schema = "id long, user_id long, url string, title string, timestamp long, duration long, arrived long"
+    rows = [(1, 1, "u", "t", T0, 10_000, T0), (2, 2, "v", "t", T0 + 5 * HOUR, 10_000, T0 + 5 * HOUR),
+            (3, 3, "w", "t", T0 + HOUR, 10_000, T0 + 5 * HOUR),                  # four hours behind
+            (-1, -1, "s", None, T0 + 90 * HOUR, 1000, T0 + 90 * HOUR), (-2, -1, "s", None, T0 + 91 * HOUR, 1000, T0 + 91 * HOUR)]
+    got = feed(spark, rows, schema, lambda c: ingest_stream(c, arrival_col="arrived"))
+    assert {(r.id, r.status) for r in got if r.user_id > 0} == {(1, "final"), (2, "final"), (3, "late")}
+
+
+def test_local_nights_equal_batch(spark):
+    s = fx.categorized_sessions(spark, SF)
+    sentinel = (-1, -1, "sentinel", None, 1000, 1800000000000, None)
+    got = run_stream(spark, s, lambda x: late_night_stream(x, "Europe/Moscow"), sentinel=sentinel).filter("user_id >= 0")
+    cols = ("user_id", "night", "alert_ts", "late_sessions")
+    assert key(got, cols) == key(cp.late_night_alerts(s, "Europe/Moscow"), cols)
