@@ -10,9 +10,10 @@ Bundling counts trigrams first (a text's vector is counts times trigram vectors)
 ``CHARS`` characters and ``GRAMS`` trigrams, so memory does not follow a text's length or
 the number of distinct trigrams.
 
-Training takes at most ``docs_per_lang`` texts of each language (those with the smallest hash of
-the id, a documented bound); prototypes are summed in the tasks and only one vector a
-language reaches the driver.
+Training takes about ``docs_per_lang`` texts of each of the ``MAX_LANGS`` most frequent languages
+(documented bounds): rows are counted per language and kept where the hash of the id falls in the
+fraction that this leaves, so choosing them moves no text and gathers no language in one task.
+Prototypes are summed in the tasks and only one vector a language reaches the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every
 text if nothing was learned; equal cosines go to the first language by name; a negative
@@ -26,13 +27,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabtrail.llm.common import map_texts, prepare
 
 DIMS = 1024
 SEED = 20140
 DOCS_PER_LANG = 400
+MAX_LANGS = 1000
+HASHES = 1 << 20
 CHARS = 1 << 18
 GRAMS = 4096
 UNKNOWN = "und"
@@ -116,12 +119,13 @@ def learn(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="la
     """Prototype (unit vector) of every language of ``labelled``."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = (rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-           .withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_lang)
-           .select("id", "lang").distinct())
-    picked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(
-        ids, ["id", "lang"])
+    counts = (rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), "lang").limit(MAX_LANGS))
+    share = F.lit(float(docs_per_lang) * HASHES) / F.col("n")
+    picked = (rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+              .join(F.broadcast(counts), "lang")           # MAX_LANGS rows at most
+              .where(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < share)
+              .dropDuplicates(["id", "lang"]))             # an id on very many rows is one text
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}

@@ -34,6 +34,7 @@ from tabtrail.llm.common import map_texts, prepare
 
 PER_CLASS = (8000, 4000)    # clean, toxic
 CANDIDATES = 4000
+HASHES = 1 << 20
 MIN_SUPPORT = 3
 MIN_LOG_ODDS = 3.0
 MIN_SURE = 1.0
@@ -194,10 +195,13 @@ def _sample(docs, labels, id_col, text_col, label_col, per_class):
     """Labelled texts (label, text), at most ``per_class`` of each class."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
-    picks = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class[k]) for k in (0, 1)]
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    # twice the rows needed pass by hash, the smallest hashes of them are taken
+    share = [min(1.0, 2 * per_class[k] / max(1, counts.get(k, 0))) for k in (0, 1)]
+    picks = [known.where((F.col("label") == k) & (F.pmod(F.xxhash64("id"), F.lit(HASHES)) <= int(share[k] * HASHES)))
+             .orderBy(F.pmod(F.xxhash64("id"), F.lit(HASHES)), "id").limit(per_class[k]) for k in (0, 1)]
     ids = picks[0].unionByName(picks[1])          # sum(per_class) rows at most: small enough to broadcast
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     return rows.join(F.broadcast(ids), "id").select("label", "text").checkpoint(), counts
 
 
