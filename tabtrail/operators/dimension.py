@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIM_COLS = ["id", "name", "description", "color", "wellness_type"]
@@ -42,69 +42,71 @@ def list_categories(c: DataFrame) -> DataFrame:
     return c.select(*DIM_COLS).orderBy("name", "id")
 
 
+def _first_creates(ch: DataFrame) -> DataFrame:
+    """The first create of every usable name: (name, seq, row); combined on the map side."""
+    cr = ch.filter((F.col("op") == "create") & _truthy(F.col("name")))
+    return cr.groupBy("name").agg(F.min(F.struct("seq", *[c for c in DIM_COLS if c != "name"])).alias("c"))
+
+
+def _after_create(base: DataFrame, ch: DataFrame) -> DataFrame:
+    firsts = _first_creates(ch).join(base.select("name"), "name", "left_anti")
+    return base.unionByName(firsts.select(F.col("name"), *[F.col("c")[f].alias(f) for f in DIM_COLS if f != "name"]))
+
+
+def _has_change():
+    return (_truthy(F.col("name")) | _truthy(F.col("color")) | _truthy(F.col("wellness_type"))
+            | F.coalesce(F.col("set_description"), F.lit(False)))
+
+
+def _per_id(ch: DataFrame) -> DataFrame:
+    """The feed's updates and deletes reduced once per id: last value of each field that an
+    update sets, and the first delete."""
+    update = F.col("op") == "update"
+    sets = {f: update & _truthy(F.col(f)) for f in ("name", "color", "wellness_type")}
+    sets["description"] = update & F.coalesce(F.col("set_description"), F.lit(False))
+    return ch.filter(F.col("op").isin("update", "delete")).groupBy("id").agg(
+        *[F.max_by(F.col(f), F.when(cond, F.col("seq"))).alias("_u_" + f) for f, cond in sets.items()],
+        *[F.max(F.when(cond, F.lit(True))).alias("_h_" + f) for f, cond in sets.items()],
+        F.min(F.when(F.col("op") == "delete", F.col("seq"))).alias("_del"))
+
+
 def apply_category_changes(c: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply a change feed; returns (categories, rejected(seq, op, id, reason))."""
     ch = changes.select("seq", "op", "id", "name", "description", "color", "wellness_type",
                         "set_description")
     base = c.select(*DIM_COLS)
+    created = _after_create(base, ch)
+    x = created.join(_per_id(ch), "id", "left").filter(F.col("_del").isNull())
+    final = x.select("id", *[F.when(F.col("_h_" + f).isNotNull(), F.col("_u_" + f)).otherwise(F.col(f)).alias(f)
+                             for f in DIM_COLS[1:]])
+    return final, _rejected(base, created, ch)
+
 
-    # -- creates: name must be new and not used by an earlier create of the feed
+def _rejected(base: DataFrame, created: DataFrame, ch: DataFrame) -> DataFrame:
     cr = ch.filter(F.col("op") == "create")
-    w = Window.partitionBy("name").orderBy("seq")
-    cr = cr.withColumn("_nrank", F.row_number().over(w))
-    cr = cr.join(base.select(F.col("name").alias("_bn")), F.col("name") == F.col("_bn"), "left")
-    bad_name = F.col("_bn").isNotNull() | (F.col("_nrank") > 1) | ~_truthy(F.col("name"))
-    created = cr.filter(~bad_name).select(*DIM_COLS)
-    rej_create = cr.filter(bad_name).select(
+    firsts = _first_creates(ch).select(F.col("name").alias("_fn"), F.col("c.seq").alias("_fseq"))
+    cr = (cr.join(base.select(F.col("name").alias("_bn")), F.col("name") == F.col("_bn"), "left")
+          .join(firsts, F.col("name") == F.col("_fn"), "left"))
+    bad = F.col("_bn").isNotNull() | ~F.coalesce(F.col("seq") == F.col("_fseq"), F.lit(False))
+    rej_create = cr.filter(bad).select(
         "seq", "op", "id", F.when(_truthy(F.col("name")), F.lit("duplicate name"))
         .otherwise(F.lit("name required")).alias("reason"))
-    after_create = base.unionByName(created)
-
-    # -- updates: keyed last-truthy-wins per field
-    up = ch.filter(F.col("op") == "update")
-    has_change = (_truthy(F.col("name")) | _truthy(F.col("color"))
-                  | _truthy(F.col("wellness_type")) | F.coalesce(F.col("set_description"),
-                                                                 F.lit(False)))
-    ids = after_create.select(F.col("id").alias("_eid"))
-    up = up.join(ids, F.col("id") == F.col("_eid"), "left")
-    rej_update = up.filter(F.col("_eid").isNull() | ~has_change).select(
-        "seq", "op", "id", F.when(F.col("_eid").isNull(), F.lit("not found"))
-        .otherwise(F.lit("no updates")).alias("reason"))
-    ok = up.filter(F.col("_eid").isNotNull() & has_change)
-
-    def last(field, cond):
-        return F.max_by(F.col(field), F.when(cond, F.col("seq"))).alias("_u_" + field)
-
-    def any_(cond, name):
-        return F.max(F.when(cond, F.lit(True))).alias(name)
-
-    upd = ok.groupBy("id").agg(
-        last("name", _truthy(F.col("name"))), any_(_truthy(F.col("name")), "_h_name"),
-        last("color", _truthy(F.col("color"))), any_(_truthy(F.col("color")), "_h_color"),
-        last("wellness_type", _truthy(F.col("wellness_type"))),
-        any_(_truthy(F.col("wellness_type")), "_h_wellness_type"),
-        last("description", F.coalesce(F.col("set_description"), F.lit(False))),
-        any_(F.coalesce(F.col("set_description"), F.lit(False)), "_h_description"))
-    x = after_create.join(upd, "id", "left")
-    after_update = x.select("id", *[
-        F.when(F.col("_h_" + f).isNotNull(), F.col("_u_" + f)).otherwise(F.col(f)).alias(f)
-        for f in DIM_COLS[1:]])
-
-    # -- deletes: first delete per existing id
-    de = ch.filter(F.col("op") == "delete")
-    de = de.withColumn("_drank", F.row_number().over(Window.partitionBy("id").orderBy("seq")))
-    de = de.join(after_update.select(F.col("id").alias("_did")), F.col("id") == F.col("_did"),
-                 "left")
-    gone = de.filter(F.col("_did").isNotNull() & (F.col("_drank") == 1)).select("id")
-    rej_delete = de.filter(F.col("_did").isNull() | (F.col("_drank") > 1)).select(
-        "seq", "op", "id", F.lit("not found").alias("reason"))
-    final = after_update.join(gone, "id", "left_anti")
-    rejected = rej_create.unionByName(rej_update).unionByName(rej_delete)
-    return final, rejected
-
-
-def deleted_ids(c_before: DataFrame, c_after: DataFrame) -> DataFrame:
-    return c_before.select("id").join(c_after.select("id"), "id", "left_anti")
+    rest = ch.filter(F.col("op").isin("update", "delete")).join(
+        created.select(F.col("id").alias("_eid")), F.col("id") == F.col("_eid"), "left")
+    first_del = ch.filter(F.col("op") == "delete").groupBy("id").agg(F.min("seq").alias("_dseq"))
+    rest = rest.join(first_del, "id", "left")
+    absent = F.col("_eid").isNull()
+    reason = (F.when(absent, F.lit("not found"))
+              .when((F.col("op") == "update") & ~_has_change(), F.lit("no updates"))
+              .when((F.col("op") == "delete") & (F.col("seq") != F.col("_dseq")), F.lit("not found")))
+    rej_rest = rest.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(
+        "seq", "op", "id", "reason")
+    return rej_create.unionByName(rej_rest)
+
+
+def deleted_ids(changes: DataFrame) -> DataFrame:
+    """Ids that the feed deletes (deleting an id that does not exist changes nothing)."""
+    return changes.filter(F.col("op") == "delete").select("id").distinct()
 
 
 def cascade_delete(s: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -42,10 +42,14 @@ def embed_sessions(s: DataFrame, embedder: Callable[[pd.Series], pd.Series] | No
     """Rows (id string, values array<float>) for every session that embeds."""
     t = _text(s)
     if embedder is None:
-        counted = t.select("id", _word_counts(F.col("text"), dim).alias("n"))
-        squares = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x * x)
-        return counted.withColumn("size", F.sqrt(squares.cast("double"))).select(
-            "id", F.transform("n", lambda x: (x / F.col("size")).cast("float")).alias("values"))
+        # counts and length are bound once per row: a column referred to inside a lambda would be
+        # put there as its expression and evaluated for every element
+        def unit(n: Column) -> Column:
+            size = F.sqrt(F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
+            return F.transform(F.array(size), lambda z: F.transform(n, lambda x: (x / z).cast("float")))[0]
+
+        counts = _word_counts(F.col("text"), dim)
+        return t.select("id", F.transform(F.array(counts), unit)[0].alias("values"))
 
     ship_package(s.sparkSession)
     schema = T.StructType([T.StructField("id", T.StringType()),

@@ -351,14 +351,16 @@ def _page_changes(spark, d):
     return p.select(
         pid.alias("seq"), op.alias("op"),
         F.when(op == "create", F.lit(1000) + pid).otherwise(pid % 10 + 1).alias("id"),
-        F.when(op == "create", dom).alias("name"),
+        F.when(op == "create", dom).when((op == "update") & (pid % 5 == 0), F.concat(
+            F.lit("Renamed by "), pid.cast("string"))).alias("name"),
         F.when(op == "create", F.concat(F.lit("Pages on "), dom))
         .when(op == "update", F.concat(F.lit("Updated from page "), pid.cast("string")))
         .alias("description"),
         F.when(op == "create", F.lit("#607D8B"))
         .when(op == "update", F.concat(F.lit("#"), F.upper(F.substring(F.md5(url), 1, 6))))
         .alias("color"),
-        F.when(op == "create", F.lit("unknown")).alias("wellness_type"),
+        F.when(op == "create", F.lit("unknown"))
+        .when((op == "update") & (pid % 4 == 0), F.lit("rest")).alias("wellness_type"),
         ((op == "update") & (pid % 3 == 0)).alias("set_description"),
     ).filter(op.isNotNull())
 
@@ -367,12 +369,13 @@ _CHANGES_CTES = f"""
 ch AS (
   SELECT page_id AS seq, op,
          CASE WHEN op = 'create' THEN 1000 + page_id ELSE page_id % 10 + 1 END AS id,
-         CASE WHEN op = 'create' THEN dom END AS name,
+         CASE WHEN op = 'create' THEN dom
+              WHEN op = 'update' AND page_id % 5 = 0 THEN 'Renamed by ' || CAST(page_id AS VARCHAR) END AS name,
          CASE WHEN op = 'create' THEN 'Pages on ' || dom
               WHEN op = 'update' THEN 'Updated from page ' || CAST(page_id AS VARCHAR) END AS description,
          CASE WHEN op = 'create' THEN '#607D8B'
               WHEN op = 'update' THEN '#' || upper(substr(md5(url), 1, 6)) END AS color,
-         CASE WHEN op = 'create' THEN 'unknown' END AS wellness_type,
+         CASE WHEN op = 'create' THEN 'unknown' WHEN op = 'update' AND page_id % 4 = 0 THEN 'rest' END AS wellness_type,
          (op = 'update' AND page_id % 3 = 0) AS set_description
   FROM (SELECT *, {domain_sql('url')} AS dom,
                CASE WHEN contains(url, '?') THEN 'create' WHEN contains(url, '#') THEN 'update'
@@ -389,13 +392,16 @@ upd AS (
   SELECT id,
     arg_max(color, seq) FILTER (WHERE color IS NOT NULL AND color <> '') AS u_color,
     bool_or(color IS NOT NULL AND color <> '') AS h_color,
+    arg_max(name, seq) FILTER (WHERE name IS NOT NULL) AS u_name,
+    arg_max(wellness_type, seq) FILTER (WHERE wellness_type IS NOT NULL) AS u_wtype,
     arg_max(description, seq) FILTER (WHERE set_description) AS u_description,
     bool_or(set_description) AS h_description
   FROM up WHERE eid IS NOT NULL GROUP BY 1),
 after_update AS (
-  SELECT a.id, a.name,
+  SELECT a.id, coalesce(u.u_name, a.name) AS name,
          CASE WHEN u.h_description THEN u.u_description ELSE a.description END AS description,
-         CASE WHEN u.h_color THEN u.u_color ELSE a.color END AS color, a.wellness_type
+         CASE WHEN u.h_color THEN u.u_color ELSE a.color END AS color,
+         coalesce(u.u_wtype, a.wellness_type) AS wellness_type
   FROM after_create a LEFT JOIN upd u ON u.id = a.id),
 de AS (SELECT ch.*, row_number() OVER (PARTITION BY ch.id ORDER BY ch.seq) AS drank, a.id AS did
        FROM ch LEFT JOIN after_update a ON a.id = ch.id WHERE ch.op = 'delete'),
@@ -429,8 +435,7 @@ SELECT s.id, CASE WHEN s.category_id IN (SELECT id FROM cats WHERE id NOT IN (SE
                   THEN NULL ELSE s.category_id END AS category_id
 FROM sessions s""", _CHANGES_CTES))
 def q_category_delete_cascade(spark, d):
-    final, _ = _apply_changes(spark, d)
-    gone = dm.deleted_ids(fx.categories(spark), final)
+    gone = dm.deleted_ids(_page_changes(spark, d))
     return dm.cascade_delete(fx.categorized_sessions(spark, d), gone).select("id", "category_id")
 
 

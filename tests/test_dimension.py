@@ -30,7 +30,7 @@ def test_change_feed(spark):
     assert rej == [(2, "duplicate name"), (3, "duplicate name"), (7, "not found"),
                    (8, "no updates"), (10, "not found")]
     s = spark.createDataFrame([(1, 6), (2, 1), (3, None)], "id long, category_id long")
-    out = {r.id: r.category_id for r in dm.cascade_delete(s, dm.deleted_ids(c, final)).collect()}
+    out = {r.id: r.category_id for r in dm.cascade_delete(s, dm.deleted_ids(ch)).collect()}
     assert out == {1: None, 2: 1, 3: None}
 
 
