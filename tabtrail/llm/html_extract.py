@@ -65,8 +65,8 @@ def hides(name: str, attrs: str) -> bool:
 
 
 def tokens(page: str) -> list[tuple]:
-    """('tag', key, is a block, None, hidden) and ('text', text, words, None, hidden). Raw-text elements are
-    one tag. ``hidden`` marks what lies inside an element that is never content."""
+    """("tag", name, is a block, hidden) and ("text", decoded text, words, hidden). A raw-text
+    element is one tag; ``hidden`` marks what lies inside an element that is never content."""
     out, opened, spans = [], defaultdict(list), []
     for m in TOKEN.finditer(page):
         if m["text"] is not None:

@@ -38,7 +38,8 @@ from tabtrail.session import checkpoint_dir
 
 MIN_REVISIT_BYTES = 0
 FILE_BYTES = 256 << 20
-SPLIT_BYTES = 8 << 20
+SPLIT_BYTES = 32 << 20
+MAX_TASKS = 20_000
 READ_BYTES = 1 << 20
 GZIP_LEVEL = 6
 #: Fixed values of the formats.
@@ -292,7 +293,10 @@ def read_archives(files: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_payl
 
     schema = ("page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, "
               "refers_to bigint" + ", payload binary" * with_payload)
-    return splits.repartition("path", "start").mapInArrow(run, schema)
+    # an explicit number of tasks: the ranges are a few bytes each, and adaptive coalescing
+    # would put them all into one
+    pieces = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return splits.repartition(max(1, min(int(pieces), MAX_TASKS))).mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **columns) -> DataFrame:
