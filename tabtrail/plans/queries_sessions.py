@@ -278,6 +278,17 @@ def q_categorize_fallback(spark, d):
     return cz.fallback_names(s, fx.categories(spark))
 
 
+@register("categorize_pages", with_prelude(f"""
+SELECT p.page_id, coalesce(r.id, f.id) AS category_id
+FROM pages p LEFT JOIN cats r ON r.name = ({rule_case('p.url')})
+LEFT JOIN cats f ON r.id IS NULL AND f.name = ({_fallback_sql('p.url', "''")})"""))
+def q_categorize_pages(spark, d):
+    """Rules and fallback over the varied URLs of the raw pages."""
+    p = fx.pages(spark, d).select("page_id", "url", F.lit(None).cast("string").alias("title"),
+                                  F.lit(None).cast("long").alias("category_id"))
+    return cz.categorize(p, fx.categories(spark)).select("page_id", "category_id")
+
+
 _BACKFILL_CTES = f"""
 backlog AS (SELECT * FROM sessions_raw),
 bl_rule AS (SELECT b.*, c.id AS rid FROM backlog b LEFT JOIN cats c ON c.name = ({rule_case('b.url')})),
