@@ -185,7 +185,14 @@ BACKLOG_LIMIT = 50
 VECTOR_DEFAULT_TITLE = "Untitled session"
 VECTOR_DEFAULT_SOURCE = "browser_session"
 
-# Text templates pieces.
+# Text templates: session text (lines), context (head, category block, site, matches).
+SESSION_TEXT_HEAD = "Browsing session"
+SESSION_TEXT_TITLE, SESSION_TEXT_URL = "Title: ", "URL: "
+SESSION_TEXT_DURATION, SESSION_TEXT_CATEGORY = "DurationMinutes: ", "Category: "
+SESSION_TEXT_NOTES, SESSION_TEXT_TIME = "Notes: ", "Timestamp: "
+CONTEXT_TOTAL, CONTEXT_BY_CATEGORY = "Total sessions: ", "\n\nTime by category:\n"
+CONTEXT_TOP_SITES, CONTEXT_SITE = "  Top sites:\n", "    • "
+CONTEXT_RELEVANT, CONTEXT_NO_TIME = "\nRelevant sessions for user query:\n", "Unknown time"
 NO_ACTIVITY_CONTEXT = "No browsing activity found for this time period."
 NO_ACTIVITY_INSIGHT = "No activity recorded yet today. Start browsing to get personalized insights!"
 

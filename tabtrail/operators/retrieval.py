@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabtrail import constants as const
 from tabtrail.constants import (
     CONTEXT_SITES_PER_CATEGORY,
     DEFAULT_CATEGORY_NAME,
@@ -51,14 +52,14 @@ def session_text(title: Column, url: Column, duration: Column, category: Column,
         return F.when(cond, F.concat(F.lit(label), value.cast("string")))
     return F.concat_ws(
         "\n",
-        F.lit("Browsing session"),
-        line("Title: ", title, _truthy(title)),
-        line("URL: ", url, _truthy(url)),
-        F.concat(F.lit("DurationMinutes: "),
+        F.lit(const.SESSION_TEXT_HEAD),
+        line(const.SESSION_TEXT_TITLE, title, _truthy(title)),
+        line(const.SESSION_TEXT_URL, url, _truthy(url)),
+        F.concat(F.lit(const.SESSION_TEXT_DURATION),
                  minutes_rounded(F.coalesce(duration, F.lit(0))).cast("string")),
-        line("Category: ", category, _truthy(category)),
-        line("Notes: ", notes, _truthy(notes)) if notes is not None else F.lit(None),
-        line("Timestamp: ", iso_ts(timestamp), _truthy(timestamp, numeric=True)),
+        line(const.SESSION_TEXT_CATEGORY, category, _truthy(category)),
+        line(const.SESSION_TEXT_NOTES, notes, _truthy(notes)) if notes is not None else F.lit(None),
+        line(const.SESSION_TEXT_TIME, iso_ts(timestamp), _truthy(timestamp, numeric=True)),
     )
 
 
@@ -166,7 +167,7 @@ def context_stats(rows: DataFrame, sites: int = CONTEXT_SITES_PER_CATEGORY,
     site lines of its ``sites`` newest rows."""
     by = [*keys, "category_name"]
     newest = [F.col("timestamp").desc(), F.col("id").desc()]
-    site_line = F.concat(F.lit("    • "),
+    site_line = F.concat(F.lit(const.CONTEXT_SITE),
                          F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url")),
                          F.lit(" ("), minutes_rounded(F.col("duration")).cast("string"),
                          F.lit("m)\n"))
@@ -186,7 +187,7 @@ def _category_block(stats: DataFrame, keys=KEYS) -> DataFrame:
                      F.col("minutes").cast("string"), F.lit(" minutes ("),
                      F.col("session_count").cast("string"), F.lit(" sessions)\n"),
                      F.when(F.col("sites_text") != "",
-                            F.concat(F.lit("  Top sites:\n"), F.col("sites_text")))
+                            F.concat(F.lit(const.CONTEXT_TOP_SITES), F.col("sites_text")))
                      .otherwise(F.lit("")))
     return stats.groupBy(*keys).agg(
         F.sum("session_count").alias("total_sessions"),
@@ -197,7 +198,7 @@ def _category_block(stats: DataFrame, keys=KEYS) -> DataFrame:
 def _relevant_block(matches: DataFrame, keys=KEYS) -> DataFrame:
     t = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"))
     when_txt = F.when(_truthy(F.col("timestamp"), numeric=True), iso_ts(F.col("timestamp"))) \
-        .otherwise(F.lit("Unknown time"))
+        .otherwise(F.lit(const.CONTEXT_NO_TIME))
     line = F.concat(F.lit("- "), F.col("rank").cast("string"), F.lit(". "), t, F.lit(" ("),
                     minutes_rounded(F.coalesce(F.col("duration"), F.lit(0))).cast("string"),
                     F.lit("m, "), when_txt, F.lit(")\n  "), F.col("url"), F.lit("\n"))
@@ -210,12 +211,12 @@ def reflection_context(users: DataFrame, stats: DataFrame, matches: DataFrame |
     """The context text per key; keys without rows get the no-activity text."""
     b = _category_block(stats, keys)
     x = users.select(*keys).distinct().join(b, list(keys), "left")
-    body = F.concat(F.lit("Total sessions: "), F.col("total_sessions").cast("string"),
-                    F.lit("\n\nTime by category:\n"), F.col("_blocks"))
+    body = F.concat(F.lit(const.CONTEXT_TOTAL), F.col("total_sessions").cast("string"),
+                    F.lit(const.CONTEXT_BY_CATEGORY), F.col("_blocks"))
     if matches is not None:
         x = x.join(_relevant_block(matches, keys), list(keys), "left")
         body = F.concat(body, F.when(F.col("_relevant").isNotNull(), F.concat(
-            F.lit("\nRelevant sessions for user query:\n"), F.col("_relevant")))
+            F.lit(const.CONTEXT_RELEVANT), F.col("_relevant")))
             .otherwise(F.lit("")))
     text = F.when(F.col("total_sessions").isNull(), F.lit(NO_ACTIVITY_CONTEXT)).otherwise(body)
     return x.select(*keys, F.coalesce(F.col("total_sessions"), F.lit(0)).alias("total_sessions"),
