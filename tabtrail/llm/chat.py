@@ -7,15 +7,15 @@ is a proper prefix hash of another is a snapshot of it; anti-joins on the hash r
 maximal conversations, and equal ones are collapsed to the one with the smallest id. What is
 retained is rendered.
 
-Long conversations: turns are numbered and hashed in blocks of ``BLOCK`` turn numbers.
-Running counts and sums are taken inside a block, block totals are added from a second, much
-smaller window, and the rendered text comes in one row per block, so neither a task nor a row
-holds a whole conversation of unbounded length. Prefix hashes are distinct before the join and
-full hashes grouped (both combined on the map side), so a first turn or a conversation that is
-logged very often is one row there. Joins back to the turns are on (conversation, block).
-
-Order and equality: turns are ordered by turn number, then role, then text; rows equal in all
-four columns are one turn, logged twice. A null turn comes first, a null role is rendered as
+Long conversations: the distinct turns of ``BLOCK`` turn numbers are gathered into one row, the only
+time that texts are shuffled. Turns are numbered and hashed inside a block, block totals are added
+from a second, much smaller window, and the rendered text comes in one row per block, so neither a
+task nor a row holds a whole conversation of unbounded length. Prefix hashes are distinct before
+the join and full hashes grouped (both combined on the map side), so a first turn or a conversation
+that is logged very often is one row there, as is a turn that is repeated very often.
+
+Order and equality: turns are ordered by turn number, ties by the md5 of role and text; rows equal
+in all four columns are one turn, logged twice. A null turn comes first, a null role is rendered as
 ``unknown`` and differs from every role, a null text is rendered empty and differs from it. Rows
 with a null conversation id are one conversation with that id. An empty table gives an
 empty result. Other columns are not read.
@@ -31,55 +31,62 @@ LANES = 4
 TURN_HEAD, TURN_TAIL = "<|im_start|>", "<|im_end|>\n"
 
 
-def _turn_lanes(pos: Column) -> list[Column]:
-    """128 bits of a turn and its position, in lanes of 32 bits: sums of fewer than 2^31
-    turns fit a bigint."""
+def _content_hash() -> Column:
     marked = [F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-")) for c in ("role", "text")]
-    sizes = [F.length(m).cast("string") for m in marked]
-    h = F.md5(F.concat_ws(":", pos.cast("string"), *sizes, *marked))
-    return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(LANES)]
-
+    return F.md5(F.concat_ws(":", *[F.length(m).cast("string") for m in marked], *marked))
 
-def _running(totals: DataFrame, cols: list[str]) -> DataFrame:
-    """Per (conv, block): sums of ``cols`` over the earlier blocks of the conversation."""
-    w = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("conv", "block", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias("past_" + c) for c in cols])
 
-
-def _by_block(a: DataFrame, b: DataFrame) -> DataFrame:
-    b = b.withColumnRenamed("conv", "conv_").withColumnRenamed("block", "block_")
-    return a.join(b, a.conv.eqNullSafe(b.conv_) & (a.block == b.block_)).drop("conv_", "block_")
+def _lanes(pos: Column, content: Column) -> list[Column]:
+    """128 bits of a turn and its position, in lanes of 32 bits: sums of fewer than 2^31
+    turns fit a bigint."""
+    h = F.md5(F.concat_ws(":", pos.cast("string"), content))
+    return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(LANES)]
 
 
-def prefix_hashes(turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role",
-                  text_col="text", block: int = BLOCK) -> DataFrame:
-    """One row per distinct turn: conv, block, role, text, pos (from 1) and prefix, the hash of
-    the conversation up to it."""
+def turn_blocks(turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role",
+                text_col="text", block: int = BLOCK) -> DataFrame:
+    """One row per conversation and block of turn numbers: key (struct of both, never null, so
+    that null ids join), turns (sorted array of turn, content hash, rendered text)."""
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
-                        F.col(role_col).alias("role"), F.col(text_col).alias("text")).distinct()
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
-    inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("at", F.row_number().over(inside))
-    counts = _running(rows.groupBy("conv", "block").agg(F.count("*").alias("n")), ["n"])
-    hashed = (_by_block(placed, counts).withColumn("pos", F.col("past_n") + F.col("at")))
+                        F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    at = F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62)))
+    turn = F.struct("turn", _content_hash().alias("h"), render_turn().alias("said"))
+    return (rows.groupBy(F.struct("conv", at.alias("block")).alias("key"))
+            .agg(F.sort_array(F.collect_set(turn)).alias("turns")))
+
+
+def _with_past(df: DataFrame, totals: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` (by key) with ``past_<col>`` and ``all_<col>``: sums of ``cols`` over the conversation's
+    earlier blocks and over all of them."""
+    whole = Window.partitionBy(F.struct(F.col("key.conv").alias("conv")))
+    before = whole.orderBy("key.block").rowsBetween(Window.unboundedPreceding, -1)
+    past = totals.select("key", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("past_" + c) for c in cols],
+                         *[F.sum(c).over(whole).alias("all_" + c) for c in cols])
+    return df.join(past, "key")
+
+
+def prefix_hashes(blocks: DataFrame) -> DataFrame:
+    """One row per turn: conv, pos (from 1), prefix (hash of the conversation up to it) and whether
+    the turn is the last."""
+    sizes = blocks.select("key", F.size("turns").cast("bigint").alias("n"))
+    placed = (_with_past(blocks.select("key", F.col("turns.h").alias("hs")), sizes, ["n"])
+              .select("key", "past_n", "all_n", F.posexplode("hs").alias("i", "h"))
+              .select("key", (F.col("past_n") + F.col("i") + 1).alias("pos"), "all_n", "h"))
     lanes = [f"l{i}" for i in range(LANES)]
-    hashed = hashed.select("*", *[x.alias(n) for n, x in zip(lanes, _turn_lanes(F.col("pos")))])
-    sums = _running(hashed.groupBy("conv", "block").agg(*[F.sum(x).alias(x) for x in lanes]), lanes)
-    upto = Window.partitionBy("conv", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    summed = hashed.select("conv", "block", "role", "text", "pos", *[F.sum(x).over(upto).alias(x) for x in lanes])
+    hashed = placed.select("key", "pos", "all_n", *[x.alias(n) for n, x in zip(lanes, _lanes(F.col("pos"), F.col("h")))])
+    upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = hashed.select("key", "pos", "all_n", *[F.sum(x).over(upto).alias(x) for x in lanes])
+    totals = hashed.groupBy("key").agg(*[F.sum(x).alias(x) for x in lanes])
     prefix = F.md5(F.concat_ws(":", "pos", *[F.col(x) + F.col("past_" + x) for x in lanes]))
-    return _by_block(summed, sums).select("conv", "block", "role", "text", "pos", prefix.alias("prefix"))
+    return _with_past(summed, totals, lanes).select(
+        F.col("key.conv").alias("conv"), "pos", prefix.alias("prefix"), (F.col("pos") == F.col("all_n")).alias("last"))
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
     """Conversations that no longer one starts with, equal ones once: conv, n_turns, n_copies."""
-    ends = (prefixes.groupBy("conv").agg(F.max(F.struct("pos", "prefix")).alias("e"))
-            .select("conv", F.col("e.pos").alias("n_turns"), F.col("e.prefix").alias("full")))
-    equal = ends.groupBy("full", "n_turns").agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
-    marks = prefixes.select("conv", "pos", "prefix")
-    last = ends.select(F.col("conv").alias("c"), "n_turns")
-    inner = (marks.join(last, marks.conv.eqNullSafe(last.c)).where("pos < n_turns").select("prefix").distinct())
+    equal = (prefixes.where("last").groupBy(F.col("prefix").alias("full"), F.col("pos").alias("n_turns"))
+             .agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies")))
+    inner = prefixes.where("NOT last").select("prefix").distinct()
     return equal.join(inner, equal.full == inner.prefix, "left_anti").select("conv", "n_turns", "n_copies")
 
 
@@ -91,15 +98,12 @@ def render_turn() -> Column:
 def format_chats(turns: DataFrame, **columns) -> DataFrame:
     """Retained conversations, rendered: conv_id, part (from 0; texts of a conversation's parts
     follow one another), first_turn, n_turns and n_copies of the whole, text of the part."""
-    prefixes = prefix_hashes(turns, **columns).checkpoint()
-    kept = maximal(prefixes)
-    blocks = prefixes.select("conv", "block").distinct()
-    whole = kept.withColumnRenamed("conv", "c")
-    parts = (blocks.join(whole, blocks.conv.eqNullSafe(whole.c)).drop("c")
-             .withColumn("part", F.row_number().over(Window.partitionBy("conv").orderBy("block")) - 1))
-    told = _by_block(prefixes.select("conv", "block", "pos", render_turn().alias("turn")), parts)
-    return (told.groupBy("conv", "part", "n_turns", "n_copies")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "turn"))).alias("t"))
-            .select(F.col("conv").alias("conv_id"), F.col("part").cast("bigint").alias("part"),
-                    F.col("t")[0]["pos"].cast("bigint").alias("first_turn"), F.col("n_turns").cast("bigint").alias("n_turns"),
-                    "n_copies", F.array_join(F.col("t.turn"), "").alias("text")))
+    blocks = turn_blocks(turns, **columns).checkpoint()
+    kept = maximal(prefix_hashes(blocks)).withColumnRenamed("conv", "c")
+    sizes = blocks.select("key", F.size("turns").cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("one"))
+    parts = _with_past(sizes.select("key"), sizes, ["n", "one"])
+    parts = (parts.join(kept, F.col("key.conv").eqNullSafe(F.col("c")))
+             .select("key", "past_n", "past_one", "n_turns", "n_copies"))
+    return blocks.join(parts, "key").select(
+        F.col("key.conv").alias("conv_id"), F.col("past_one").alias("part"), (F.col("past_n") + 1).alias("first_turn"),
+        F.col("n_turns").cast("bigint").alias("n_turns"), "n_copies", F.array_join(F.col("turns.said"), "").alias("text"))

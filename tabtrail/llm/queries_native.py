@@ -20,8 +20,9 @@ QUERIES = {"op1_chat_format": op1_chat_format, "op5_sharding": op5_sharding}
 #: Prefixes restated as lists of turns; parts by turn number div 256.
 OP1_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
-             coalesce(floor(turn / 256.0), -1e18) AS block FROM t),
+h AS (SELECT *, coalesce('+' || role, '-') AS rm, coalesce('+' || text, '-') AS tm FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(rm) || ':' || length(tm) || ':' || rm || ':' || tm)) AS pos,
+             coalesce(floor(turn / 256.0), -1e18) AS block FROM h),
 c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS turns FROM n GROUP BY 1),
 e AS (SELECT min(conv_id) AS conv_id, turns, count(*) AS n_copies FROM c GROUP BY turns),
 p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(generate_series(1, len(turns) - 1)) AS k FROM c WHERE len(turns) > 1)),

@@ -1,5 +1,6 @@
 """Operators 1, 5 and 10 against plain Python."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -41,8 +42,11 @@ def plain_chats(rows):
     for c, turn, role, text in set(rows):
         convs.setdefault(c, []).append((turn, role, text))
     low = lambda x: (x is not None, x if x is not None else 0)
-    lists = {c: tuple((r, t) for _, r, t in sorted(v, key=lambda x: (low(x[0]), (x[1] is not None, x[1] or ""), (x[2] is not None, x[2] or ""))))
-             for c, v in convs.items()}
+
+    def tie(role, text):
+        r, t = ("-" if x is None else "+" + x for x in (role, text))
+        return hashlib.md5(f"{len(r)}:{len(t)}:{r}:{t}".encode()).hexdigest()
+    lists = {c: tuple((r, t) for _, r, t in sorted(v, key=lambda x: (low(x[0]), tie(*x[1:])))) for c, v in convs.items()}
     equal = {}
     for c, v in lists.items():
         equal.setdefault(v, []).append(c)
