@@ -13,7 +13,8 @@ Text: character references are decoded, white space inside a block (line breaks
 one space, blocks are trimmed and joined by two line feeds in page order.
 
 Defined results: null, empty and word-less pages give an empty text; a page may be cut anywhere, and
-an element that is never closed hides nothing; of equal regions the longest of the last counts; repeated
+an element that is never closed hides nothing (a script or style that is never closed is not text, and
+runs to the end); a tag closed in itself (``<svg/>``) is empty; of equal regions the longest of the last counts; repeated
 rows are handled one by one; an empty table gives an empty result. Only id, url and html are read.
 """
 
@@ -32,9 +33,12 @@ LABELLED_PAGES = 200
 EPOCHS = 8
 START = -2.0
 INSIDE, OUTSIDE = 0.25, 2.0
-#: Element and class names.
-RAW = "script style textarea title noscript template iframe svg math xmp noembed noframes".split()
-HIDDEN = RAW + "head nav header footer aside form button select dialog menu".split()
+#: Element and class names. What RAW elements hold is no markup; UNSEEN ones hold markup that
+#: is left out as if it were not there, block breaks too.
+RAW = "script style textarea title iframe xmp noembed noframes".split()
+TO_END = ("script", "style")
+UNSEEN = "noscript template svg math".split()
+HIDDEN = RAW + UNSEEN + "head nav header footer aside form button select dialog menu".split()
 HIDDEN_CLASSES = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar "
@@ -48,9 +52,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
+ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 APART = re.compile(r"[\s_\-:]+")
 
@@ -68,34 +72,50 @@ def tokens(page: str) -> list[tuple]:
     """("tag", name, is a block, hidden) and ("text", decoded text, words, hidden). A raw-text
     element is one tag; ``hidden`` marks what lies inside an element that is never content."""
     out, opened, spans = [], defaultdict(list), []
-    for m in TOKEN.finditer(page):
+    inner: list[tuple[int, str]] = []       # elements in the order they were opened
+    endless, at = set(), 0
+    while m := TOKEN.match(page, at):
+        at = m.end()
         if m["text"] is not None:
             text = htmllib.unescape(m["text"])
             n = len(text.split())
             if text:
                 out.append(("text", text, n))
-        elif m["raw"]:
-            out.append(("tag", m["raw"].lower(), False))
         elif m["name"]:
             name = m["name"].lower()
             if m["close"]:
                 if opened[name]:
                     begun, hidden = opened[name].pop()
                     if hidden:
-                        spans.append((begun, len(out)))
+                        spans.append((begun, len(out), name in UNSEEN))
+                    if name in UNSEEN:              # what it leaves open ends with it
+                        while inner and inner[-1][0] > begun:
+                            i, x = inner.pop()
+                            if opened[x] and opened[x][-1][0] == i:
+                                opened[x].pop()
                 out.append(("tag", "/" + name, name in BLOCKS))
-            else:
-                if name not in VOID and not m["attrs"].endswith("/"):
-                    opened[name].append((len(out), hides(name, m["attrs"])))
-                out.append(("tag", name, name in BLOCKS))
-    change = [0] * (len(out) + 1)
-    for a, z in spans:
-        change[a] += 1
-        change[z + 1 if z < len(out) else z] -= 1
-    depth, marked = 0, []
-    for t, d in zip(out, change):
-        depth += d
-        marked.append((*t, depth > 0))
+                continue
+            closed = m["attrs"].endswith("/")
+            if name in ENDS and name not in endless and (name in TO_END or not closed):
+                end = ENDS[name].search(page, at)
+                if end or name in TO_END:
+                    at = end.end() if end else len(page)
+                    out.append(("tag", name, False))
+                    continue
+                endless.add(name)
+            if name not in VOID and not closed:
+                opened[name].append((len(out), hides(name, m["attrs"])))
+                inner.append((len(out), name))
+            out.append(("tag", name, name in BLOCKS))
+    change, unseen = [0] * (len(out) + 2), [0] * (len(out) + 2)
+    for a, z, whole in spans:
+        for c in (change, unseen) if whole else (change,):
+            c[a] += 1
+            c[z + 1] -= 1
+    depth, within, marked = 0, 0, []
+    for (kind, key, n), d, w in zip(out, change, unseen):
+        depth, within = depth + d, within + w
+        marked.append((kind, key, False if within and kind == "tag" else n, depth > 0))
     return marked
 
 
@@ -131,7 +151,7 @@ def render(toks) -> str:
             if n:
                 blocks.append(now)
                 now = []
-            elif key in ("br", "/br"):
+            elif key in ("br", "/br") and not hidden:
                 now.append(" ")
         elif not hidden:
             now.append(key)

@@ -130,6 +130,15 @@ def test_unclosed_and_broken_pages():
     assert e.extract("<" * 2000 + " " + WORDS).endswith(WORDS)
 
 
+def test_icons_and_unclosed_elements_keep_the_page():
+    e = hx.Extractor(default=-0.1)
+    for x in ('<svg class="i"/>', '<svg-icon name="a"></svg-icon>', "<title-bar></title-bar>", "<svg>", "<math>", "<template>",
+              "<noscript>", "<iframe src=a>", "<title>", "<svg><title>t</title><path d=a /></svg>", "<math><mi>x</mi></math>",
+              "<noscript><p>x<br>y</p><div class=ad></noscript>", "<iframe><p>x</iframe >", "<SCRIPT>a</b></script x>"):
+        assert e.extract(f"<div><p>{WORDS} a{x}b {WORDS}</p><p>{WORDS}</p></div>") == f"{WORDS} ab {WORDS}\n\n{WORDS}", x
+    assert e.extract(f"<p>{WORDS}<svg/> x <svg><text>no</text></svg> y</p>") == f"{WORDS} x y"
+
+
 def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", LAYOUT, "x"), (1, "u", LAYOUT, "x"), (None, None, None, "y")],
                                "page_id bigint, url string, html string, text string")
