@@ -6,8 +6,11 @@ are learned from labelled pages: a page that marks exactly one ``article`` eleme
 region itself. On a bounded sample of them (``labelled_pages``) the weights start at
 ``START`` and a perceptron lowers what a wrong region holds and raises what it misses; words of the
 label count a quarter and others double meanwhile, so that a margin is learned. Element kinds that are never content (scripts, forms,
-navigation, and classes or ids that name adverts, notices, comments and the like) count as their
-first tag alone: their words score nothing and are left out of a region that spans them.
+navigation, and classes, roles or ids that name adverts, notices, comments and the like) count as their
+first tag alone: their words score nothing and are left out of a region that spans them. Such names are
+whole class tokens, or listed compounds of them; ids are often anchors of headings and sections, so they
+count on ``div`` and lists alone and by a shorter list; names on headings and inside code are not looked at. What no list
+names is left to the weights.
 
 Text: character references are decoded, white space inside a block (line breaks included) becomes
 one space, blocks are trimmed and joined by two line feeds in page order.
@@ -23,6 +26,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -44,6 +48,27 @@ HIDDEN_CLASSES = frozenset(
     "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs share sharing social related recommended comment comments reply replies disqus "
     "respond footer header masthead toolbar widget pagination login search skip".split())
+#: Compounds: each head with each tail.
+COMPOUNDS = frozenset(f"{a}-{z}" for heads, tails in (
+    ("ad ads advert adverts advertisement", "banner block box container placeholder slot unit wrapper"),
+    ("cookie cookies consent gdpr", "banner bar box consent message modal notice notification overlay popup"),
+    ("comment comments", "area container form list respond section thread wrapper"),
+    ("article page post", "comments footer sidebar navigation"),
+    ("related recommended sponsored", "articles content links posts stories"),
+    ("share sharing social", "bar buttons icons links sharing share tools"),
+    ("main page primary secondary site top", "footer header menu nav navbar navigation sidebar"),
+    ("breadcrumb breadcrumbs nav navbar navigation menu", "bar links list menu trail"),
+    ("left right", "sidebar"), ("widget sidebar", "area left right widget widgets"),
+    ("footer header", "links menu nav navigation widgets"),
+    ("email newsletter subscribe subscription signup", "box form modal popup signup subscribe"),
+    ("login search", "bar box form modal"), ("skip", "link links nav to-content"), ("disqus", "thread"))
+    for a in heads.split() for z in tails.split()) - {"page-header"}
+HIDDEN_IDS = COMPOUNDS | frozenset(
+    "ad ads adverts advertisement breadcrumb breadcrumbs comments disqus footer masthead navbar respond sidebar".split())
+#: Elements whose id counts, elements whose names never count, and those inside which none counts.
+ID_ELEMENTS = ("div", "ul", "ol")
+CODE = ("pre", "code")
+UNNAMED = ("body", "html", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", *CODE)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -55,23 +80,38 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
-NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-APART = re.compile(r"[\s_\-:]+")
+ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+APART = re.compile(r"[_\-:]+")
 
 
 def hides(name: str, attrs: str) -> bool:
     """Whether an element is never content."""
     if name in HIDDEN:
         return True
-    if name in ("body", "html", "main", "article") or not attrs:
+    if name in UNNAMED or not attrs:
         return False
-    return any(x.lower() in HIDDEN_CLASSES for found in NAMING.findall(attrs) for x in APART.split("".join(found)))
+    found: dict[str, list[str]] = {}
+    for key, *values in ATTR.findall(attrs):
+        found.setdefault(key.lower(), [APART.sub("-", x) for x in "".join(values).lower().split()])
+    named = found.get("class", []) + found.get("role", [])
+    if any(x in HIDDEN_CLASSES or x in COMPOUNDS for x in named):
+        return True
+    return name in ID_ELEMENTS and "section" not in named and any(x in HIDDEN_IDS for x in found.get("id", ()))
+
+
+def _depths(spans, n: int) -> list[int]:
+    """How many of the spans (first token, last token) hold each of ``n`` tokens."""
+    change = [0] * (n + 1)
+    for a, z, *_ in spans:
+        change[a] += 1
+        change[z + 1] -= 1
+    return list(accumulate(change[:n]))
 
 
 def tokens(page: str) -> list[tuple]:
     """("tag", name, is a block, hidden) and ("text", decoded text, words, hidden). A raw-text
     element is one tag; ``hidden`` marks what lies inside an element that is never content."""
-    out, opened, spans = [], defaultdict(list), []
+    out, opened, spans, code = [], defaultdict(list), [], []
     inner: list[tuple[int, str]] = []       # elements in the order they were opened
     endless, at = set(), 0
     while m := TOKEN.match(page, at):
@@ -87,7 +127,9 @@ def tokens(page: str) -> list[tuple]:
                 if opened[name]:
                     begun, hidden = opened[name].pop()
                     if hidden:
-                        spans.append((begun, len(out), name in UNSEEN))
+                        spans.append((begun, len(out), name))
+                    elif name in CODE:
+                        code.append((begun, len(out)))
                     if name in UNSEEN:              # what it leaves open ends with it
                         while inner and inner[-1][0] > begun:
                             i, x = inner.pop()
@@ -107,14 +149,12 @@ def tokens(page: str) -> list[tuple]:
                 opened[name].append((len(out), hides(name, m["attrs"])))
                 inner.append((len(out), name))
             out.append(("tag", name, name in BLOCKS))
-    change, unseen = [0] * (len(out) + 2), [0] * (len(out) + 2)
-    for a, z, whole in spans:
-        for c in (change, unseen) if whole else (change,):
-            c[a] += 1
-            c[z + 1] -= 1
-    depth, within, marked = 0, 0, []
-    for (kind, key, n), d, w in zip(out, change, unseen):
-        depth, within = depth + d, within + w
+    listing = _depths(code, len(out))
+    spans = [x for x in spans if x[2] in HIDDEN or not listing[x[0]]]
+    hiding = _depths(spans, len(out))
+    unseen = _depths([x for x in spans if x[2] in UNSEEN], len(out))
+    marked = []
+    for (kind, key, n), depth, within in zip(out, hiding, unseen):
         marked.append((kind, key, False if within and kind == "tag" else n, depth > 0))
     return marked
 

@@ -139,6 +139,22 @@ def test_icons_and_unclosed_elements_keep_the_page():
     assert e.extract(f"<p>{WORDS}<svg/> x <svg><text>no</text></svg> y</p>") == f"{WORDS} x y"
 
 
+def test_names_that_hide_are_whole():
+    e = hx.Extractor(default=-0.1)
+    for x in ('h2 id="Related_work"', 'h2 id="comments" class="header"', 'section id="social-impact"', 'section id="search"',
+              'div class="section" id="comments"', 'div data-id="ads"', 'div xml:id="ads"', 'div title="x class=ad"',
+              'p class="header-search-tips"', 'div class="share-price"'):
+        name = x.split()[0]
+        assert e.extract(f"<p>{WORDS}</p><{x}>Kept words</{name}><p>{WORDS}</p>") == f"{WORDS}\n\nKept words\n\n{WORDS}", x
+    for x in ("hljs-comment", "token comment", "comment"):
+        page = f'<p>{WORDS}</p><pre><code class="hljs">a = 1 <span class="{x}"># why</span></code></pre><p>{WORDS}</p>'
+        assert e.extract(page) == f"{WORDS}\n\na = 1 # why\n\n{WORDS}", x
+    for x in ('div class="comment"', "div class='x Cookie-Notice'", "div id=comments", 'div role="search"', 'ul class="nav"',
+              'section class="comments-area"', "div class=site_footer", 'div id="disqus_thread"'):
+        name = x.split()[0]
+        assert e.extract(f"<p>{WORDS}</p><{x}>not kept</{name}><p>{WORDS}</p>") == f"{WORDS}\n\n{WORDS}", x
+
+
 def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", LAYOUT, "x"), (1, "u", LAYOUT, "x"), (None, None, None, "y")],
                                "page_id bigint, url string, html string, text string")
