@@ -8,7 +8,10 @@ maximal conversations, and equal ones are collapsed to the one with the smallest
 retained is rendered.
 
 Long conversations: the distinct turns of ``BLOCK`` turn numbers are gathered into one row, the only
-time that texts are shuffled. Turns are numbered and hashed inside a block, block totals are added
+time that texts are shuffled. If they are more than ``CROWD`` (many rows without a conversation id or turn
+number), each turn number is a row of its own, and one with more than half as many turns is dealt by
+the leading digits of their content hashes, which is their order, so that a row holds ``CROWD`` / 2 turns at
+most on average. The lists of crowded blocks and turn numbers have one row for ``CROWD`` / 2 turns at most. Turns are numbered and hashed inside a block, block totals are added
 from a second, much smaller window, and the rendered text comes in one row per block, so neither a
 task nor a row holds a whole conversation of unbounded length. Prefix hashes are distinct before
 the join and full hashes grouped (both combined on the map side), so a first turn or a conversation
@@ -26,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 256
+CROWD = 1024
 LANES = 4
 #: Fixed values of the rendered form.
 TURN_HEAD, TURN_TAIL = "<|im_start|>", "<|im_end|>\n"
@@ -43,23 +47,51 @@ def _lanes(pos: Column, content: Column) -> list[Column]:
     return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(LANES)]
 
 
+def _crowded(turns: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame] | None:
+    """Blocks of more than ``crowd`` distinct turns (at), and of their turn numbers those with more than half
+    as many (of, digits: leading hash digits that deal them); None if there is none."""
+    at = F.struct("conv", "block").alias("at")
+    many = turns.groupBy(at).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("at").checkpoint()
+    if many.isEmpty():
+        return None
+    ties = (turns.select(at, "turn", _content_hash().alias("h")).join(F.broadcast(many), "at").distinct()
+            .groupBy("at", "turn").agg(F.count("*").alias("n")).checkpoint())
+    split = ties.groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > crowd).select("at")
+    digits = F.ceil(F.log(16.0, 2 * F.col("n") / crowd)).cast("int").alias("digits")
+    dense = ties.where(2 * F.col("n") > crowd).select(F.struct("at", "turn").alias("of"), digits)
+    return split, dense
+
+
 def turn_blocks(turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role",
-                text_col="text", block: int = BLOCK) -> DataFrame:
-    """One row per conversation and block of turn numbers: key (struct of both, never null, so
-    that null ids join), turns (sorted array of turn, content hash, rendered text)."""
+                text_col="text", block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """One row per conversation and block of turn numbers, or piece of a crowded block: key (struct of
+    conversation, block, turn number and hash digits of the piece, never null, so that null ids join), turns
+    (sorted array of turn, content hash, rendered text)."""
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
                         F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     at = F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62)))
+    rows = rows.withColumn("block", at)
     turn = F.struct("turn", _content_hash().alias("h"), render_turn().alias("said"))
-    return (rows.groupBy(F.struct("conv", at.alias("block")).alias("key"))
-            .agg(F.sort_array(F.collect_set(turn)).alias("turns")))
+    lists = _crowded(rows, crowd)
+    if lists is None:
+        key = F.struct("conv", "block")
+    else:
+        split, dense = lists                                # one row for crowd / 2 distinct turns at most
+        rows = (rows.withColumn("at", F.struct("conv", "block"))
+                .join(F.broadcast(split.withColumn("split", F.lit(True))), "at", "left")
+                .withColumn("of", F.struct("at", "turn")).join(F.broadcast(dense), "of", "left"))
+        piece = F.when(F.col("split"), F.col("turn")).alias("turn")
+        head = F.when(F.col("split") & F.col("digits").isNotNull(), F.substring(_content_hash(), F.lit(1), F.col("digits")))
+        key = F.struct("conv", "block", piece, head.alias("head"))
+    return rows.groupBy(key.alias("key")).agg(F.sort_array(F.collect_set(turn)).alias("turns"))
 
 
 def _with_past(df: DataFrame, totals: DataFrame, cols: list[str]) -> DataFrame:
     """``df`` (by key) with ``past_<col>`` and ``all_<col>``: sums of ``cols`` over the conversation's
     earlier blocks and over all of them."""
     whole = Window.partitionBy(F.struct(F.col("key.conv").alias("conv")))
-    before = whole.orderBy("key.block").rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.col(f"key.{c}") for c in totals.schema["key"].dataType.names if c != "conv"]
+    before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     past = totals.select("key", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("past_" + c) for c in cols],
                          *[F.sum(c).over(whole).alias("all_" + c) for c in cols])
     return df.join(past, "key")
@@ -95,10 +127,11 @@ def render_turn() -> Column:
                     F.coalesce("text", F.lit("")), F.lit(TURN_TAIL))
 
 
-def format_chats(turns: DataFrame, **columns) -> DataFrame:
+def format_chats(turns: DataFrame, **options) -> DataFrame:
     """Retained conversations, rendered: conv_id, part (from 0; texts of a conversation's parts
-    follow one another), first_turn, n_turns and n_copies of the whole, text of the part."""
-    blocks = turn_blocks(turns, **columns).checkpoint()
+    follow one another), first_turn, n_turns and n_copies of the whole, text of the part. A part is a block
+    of turn numbers, or a piece of a crowded one."""
+    blocks = turn_blocks(turns, **options).checkpoint()
     kept = maximal(prefix_hashes(blocks)).withColumnRenamed("conv", "c")
     sizes = blocks.select("key", F.size("turns").cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("one"))
     parts = _with_past(sizes.select("key"), sizes, ["n", "one"])

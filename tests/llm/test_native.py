@@ -79,6 +79,25 @@ def test_chat_collapse(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_crowded_blocks_come_in_pieces(spark):
+    rows = [(None, None, "user", f"null {i}") for i in range(400)] + [(None, 3, "user", f"three {i}") for i in range(90)]
+    rows += [(None, i, None, f"n{i}") for i in range(200)] + [(1, None, "user", f"null {i}") for i in range(400)]
+    rows += [(2, i, "user", str(i)) for i in range(60)] + [(3, i, "user", str(i)) for i in range(50)]
+    rows += [(4, i % 5, "user", f"four {i % 5}") for i in range(300)] + [(5, 7, "user", "a")] * 300
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out = sorted(chat.format_chats(df, crowd=64).collect(), key=lambda r: (str(r.conv_id), r.part))
+    got, place = {}, {}
+    for r in out:
+        n, copies, text = got.get(r.conv_id, (r.n_turns, r.n_copies, ""))
+        assert (r.part, r.first_turn) == place.get(r.conv_id, (0, 1))
+        said = r.text.count("<|im_end|>")
+        assert said <= 64
+        place[r.conv_id] = (r.part + 1, r.first_turn + said)
+        got[r.conv_id] = (n, copies, text + r.text)
+    assert got == plain_chats(rows)
+    assert {r.conv_id: r.part for r in out if r.conv_id in (2, 4, 5)} == {2: 0, 4: 0, 5: 0}
+
+
 def plain_counts(text):
     import re
     w = [x for x in re.split(r"[\x20\x09-\x0d]+", text or "") if x]
