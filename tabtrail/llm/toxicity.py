@@ -10,9 +10,10 @@ scored by a logistic function of the matched clauses, fitted on labels. So a neg
 reported insult counts as much as the labels say, starting from a prior that discounts it.
 
 Learning is bounded: at most ``per_class`` labelled texts of each class (smallest hash of the id);
-stems are counted in the tasks, and only ``CANDIDATES`` features and, for the texts of the sample,
+features are counted in the tasks, and only ``CANDIDATES`` features and, for the texts of the sample,
 small vectors reach the driver. Support is counted over distinct neighbourhoods of a word, so words
-that merely come along with copies of one text do not enter the lexicon.
+that merely come along with copies of one text do not enter the lexicon; the features are cut to
+``CANDIDATES`` after that, so that they take no place from others.
 
 Defined results: null and empty texts match no clause and get the score of no evidence;
 texts are read whole; repeated rows are scored one by one; without labels the prior weights
@@ -205,8 +206,8 @@ def _sample(docs, labels, id_col, text_col, label_col, per_class):
     return rows.join(F.broadcast(ids), "id").select("label", "text").checkpoint(), counts
 
 
-def _candidates(sample: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
-    """Features that toxic texts have far more often, with their log odds."""
+def _candidates(sample: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """Features (feature) that toxic texts have far more often."""
     def run(batches):
         seen = Counter()
         for b in batches:
@@ -217,14 +218,15 @@ def _candidates(sample: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
                 seen = Counter()
         yield _counted(seen)
 
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counted = sample.mapInArrow(run, "feature string, label int, n bigint").groupBy("feature").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (n0 + 1))
-    best = (counted.where(F.col("pos") >= MIN_SUPPORT).withColumn("odds", odds)
-            .where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc(F.col("pos") * F.col("odds")), "feature").limit(CANDIDATES))
-    return {r.feature: r.odds for r in best.collect()}
+    return (counted.where(F.col("pos") >= MIN_SUPPORT)
+            .where(_odds(F.col("pos"), F.col("neg"), sizes) >= MIN_LOG_ODDS).select("feature"))
+
+
+def _odds(pos, neg, sizes: dict[int, int]):
+    return F.log((pos + 0.5) / (sizes[1] + 1)) - F.log((neg + 0.5) / (sizes[0] + 1))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
@@ -233,36 +235,46 @@ def _counted(seen: Counter) -> pa.RecordBatch:
          pa.array(list(seen.values()), pa.int64())], names=["feature", "label", "n"])
 
 
-def _contexts(sample: DataFrame, odds: dict[str, float], sizes: dict[int, int]) -> dict[str, float]:
+def _contexts(sample: DataFrame, candidates: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
     """Candidates counted again over distinct neighbours (the word before, the word after; the rarer
     side counts) in place of texts: a word that comes along with copies of one passage has one
-    neighbour on some side. Kept if the log odds less their standard error stay above ``MIN_SURE``."""
+    neighbour on some side. Kept if the log odds less their standard error stay above ``MIN_SURE``, and of
+    these the ``CANDIDATES`` with the largest support times odds. Neighbours are counted by word;
+    those of a stem are the sum over its words."""
     def run(batches):
         for b in batches:
             seen = set()
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = WORD.findall(text.lower())
                 for before, w, after in zip(["", *ws], ws, [*ws[1:], ""]):
-                    own = [f for f in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)) if f in odds]
-                    seen.update((f, label, side, near) for f in own
-                                for side, near in enumerate((f"{before} {w}", f"{w} {after}")))
+                    if len(w) >= STEMS[0]:
+                        seen.add((w, label, 0, before))
+                        seen.add((w, label, 1, after))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int32()),
                  pa.array([x[2] for x in seen], pa.int32()), pa.array([x[3] for x in seen], pa.string())],
-                names=["feature", "label", "side", "near"])
-
-    near = sample.mapInArrow(run, "feature string, label int, side int, near string").distinct()
-    sides = near.groupBy("feature", "side").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    counted = sides.groupBy("feature").agg(F.min("pos"), F.max("neg")).collect()
-    found, support = {}, {f: pos for f, pos, _ in counted}
-    for f, pos, neg in counted:
-        longer = (n for g, n in support.items() if f[-1] == "*" and g != f and g.startswith(f[:-1]))
-        if max(longer, default=0) >= SAME_SHARE * pos:      # a stem of one word only says what the word says
-            continue
-        x = math.log((pos + 0.5) / (sizes[1] + 1)) - math.log((neg + 0.5) / (sizes[0] + 1))
-        if pos >= MIN_SUPPORT and x >= MIN_LOG_ODDS and x - math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) >= MIN_SURE:
-            found[f] = x
-    return found
+                names=["word", "label", "side", "near"])
+
+    near = sample.mapInArrow(run, "word string, label int, side int, near string").distinct()
+    words = near.groupBy("word", "side").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
+    sides = (words.where("pos > 0 OR neg > 0")
+             .select("side", "pos", "neg", F.explode(F.array_compact(F.array(F.col("word"), *stems))).alias("feature"))
+             .groupBy("feature", "side").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    counted = (sides.groupBy("feature").agg(F.min("pos").alias("pos"), F.max("neg").alias("neg"))
+               .join(candidates, "feature").checkpoint())
+    core = F.regexp_replace("feature", r"\*$", "")
+    starts = [F.when(F.length(core) >= k, F.concat(F.substring(core, 1, k), F.lit("*"))) for k in STEMS]
+    longer = (counted.select("feature", "pos", F.explode(F.array_compact(F.array(*starts))).alias("stem"))
+              .where("stem != feature").groupBy("stem").agg(F.max("pos").alias("longest")))
+    pos, neg = F.col("pos"), F.col("neg")
+    odds = _odds(pos, neg, sizes)
+    sure = odds - F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    found = (counted.join(longer, F.col("feature") == F.col("stem"), "left")
+             .where(F.coalesce("longest", F.lit(0)) < SAME_SHARE * pos)      # a stem of one word only says what the word says
+             .where((pos >= MIN_SUPPORT) & (odds >= MIN_LOG_ODDS) & (sure >= MIN_SURE))
+             .select("feature", odds.alias("odds"), (pos * odds).alias("rank")).orderBy(F.desc("rank"), "feature").limit(CANDIDATES))
+    return {r.feature: r.odds for r in found.collect()}
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1.0) -> np.ndarray:

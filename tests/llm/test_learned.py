@@ -75,6 +75,20 @@ def test_copies_do_not_enter_the_lexicon(spark):
 
 # --- operator 4 -------------------------------------------------------------------------
 
+def test_long_copies_take_no_place_from_insults(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=9))
+    copied = " ".join(word() for _ in range(6000))
+    plain = ["".join(rnd.choices("qrstuvwxyz", k=6)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choices(plain, k=30)), 0) for i in range(300)]
+    rows += [(1000 + i, copied, 1) for i in range(50)]
+    rows += [(2000 + i, " ".join([*rnd.choices(plain, k=15), "zzinsult", *rnd.choices(plain, k=15)]), 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = tx.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "zzinsult" in model.insults
+    assert not set(copied.split()) & set(model.insults)
+
+
 def plain_bundle(text, dims):
     """Definition, trigram by trigram."""
     letters = [ord(c) if c.isalpha() else 0 for c in f" {(text or '').lower()} "]
