@@ -119,7 +119,7 @@ def learn(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="la
     """Prototype (unit vector) of every language of ``labelled``."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = (rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    counts = (rows.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(id_col).alias("n"))
               .orderBy(F.desc("n"), "lang").limit(MAX_LANGS))
     share = F.lit(float(docs_per_lang) * HASHES) / F.col("n")
     picked = (rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))

@@ -203,7 +203,9 @@ def _sample(docs, labels, id_col, text_col, label_col, per_class):
              .orderBy(F.pmod(F.xxhash64("id"), F.lit(HASHES)), "id").limit(per_class[k]) for k in (0, 1)]
     ids = picks[0].unionByName(picks[1])          # sum(per_class) rows at most: small enough to broadcast
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(ids), "id").select("label", "text").checkpoint(), counts
+    # an id on very many rows is one text, the smallest
+    return (rows.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+            .select("label", "text").checkpoint(), counts)
 
 
 def _candidates(sample: DataFrame, sizes: dict[int, int]) -> DataFrame:

@@ -89,6 +89,19 @@ def test_long_copies_take_no_place_from_insults(spark):
     assert not set(copied.split()) & set(model.insults)
 
 
+def test_repeated_ids_count_once(spark):
+    rows = [(i, f"word{i} text", i % 2) for i in range(20)] + [(1, f"again {i}", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    sample, _ = tx._sample(df.select("doc_id", "text"), df.select("doc_id", "toxic"), "doc_id", "text", "toxic", (10, 10))
+    assert sorted(r.label for r in sample.collect()) == [0] * 10 + [1] * 10
+    words = "der die und ist nicht mit auch eine haus baum".split()
+    rows = [(i, " ".join(words[i % 5:] + words), "de") for i in range(40)] + [(-1, "x", "de")] * 60000
+    rows += [(100 + i, "the and is not with also house tree", "en") for i in range(40)]
+    known = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), docs_per_lang=30)
+    assert set(known) == {"de", "en"}
+    assert np.dot(known["de"], langid.unit(langid.bundles([" ".join(words)]))[0]) > 0.5
+
+
 def plain_bundle(text, dims):
     """Definition, trigram by trigram."""
     letters = [ord(c) if c.isalpha() else 0 for c in f" {(text or '').lower()} "]
