@@ -7,7 +7,8 @@ matched spans or the whole documents are removed.
 
 Size of the broadcast: benchmark texts are summed first. Up to ``block_bytes`` they are one
 block; beyond it they are cut into blocks of about that size and the documents are scanned
-once per block, the spans found so far travelling with the row. No item is left out.
+once per block, the spans found so far travelling with the row. No item is left out. Cutting spans needs the
+hits of all blocks on one text, so there a task holds all blocks at once.
 
 Defined results: null text, and text without a word, has no words and no hits. Repeated
 documents are handled row by row. Items without words never occur; repeated item ids count
@@ -153,19 +154,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         raise ValueError(f"unknown mode {mode!r}")
     spark = prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
+    if mode == "spans":         # all blocks see the same text, so the cut does not depend on the blocks
+        held = [spark.sparkContext.broadcast(b)
+                for b in window_blocks(benchmark, item_col, item_text_col, window, block_bytes)]
+
+        def cut(batches):
+            for b in batches:
+                blocks = [h.value for h in held]
+                texts = pa.array([clean_text(t, blocks) for t in b.column(at).to_pylist()], b.column(at).type)
+                yield pa.RecordBatch.from_arrays(
+                    [texts if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+
+        return docs.mapInArrow(cut, docs.schema)
     for block in window_blocks(benchmark, item_col, item_text_col, window, block_bytes):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
             for b in batches:
-                texts = b.column(at).to_pylist()
-                if mode == "documents":
-                    clean = [not held.value.scan(words(t))[0] for t in texts]
-                    yield b.filter(pa.array(clean, pa.bool_()))
-                else:
-                    cut = pa.array([clean_text(t, [held.value]) for t in texts], b.column(at).type)
-                    yield pa.RecordBatch.from_arrays(
-                        [cut if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+                clean = [not held.value.scan(words(t))[0] for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -65,6 +65,14 @@ def test_both_modes_leave_no_window(spark, data):
     assert {r.doc_id: r.text for r in cut if r.doc_id in clean} == clean
 
 
+def test_spans_do_not_depend_on_blocks(spark):
+    ws = [f"w{i}" for i in range(24)]
+    docs = spark.createDataFrame([(1, " ".join(ws))], "doc_id bigint, text string")
+    items = spark.createDataFrame([("a", " ".join(ws[:15])), ("b", " ".join(ws[5:21]))], "item_id string, text string")
+    for n in (1, 32 << 20):
+        assert [r.text for r in dc.decontaminate(docs, items, "spans", block_bytes=n).collect()] == ["w21 w22 w23"]
+
+
 def test_empty_tables(spark, data):
     docs, items = data
     df, it = spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame(items, ITEMS)
