@@ -87,7 +87,7 @@ def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: in
                   block_bytes: int):
     """Broadcastable window sets of the benchmark, one at a time, each from at most about
     ``block_bytes`` of item text."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     for k in range(blocks):

@@ -73,6 +73,14 @@ def test_spans_do_not_depend_on_blocks(spark):
         assert [r.text for r in dc.decontaminate(docs, items, "spans", block_bytes=n).collect()] == ["w21 w22 w23"]
 
 
+def test_repeated_items_make_one_row(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(dc, "WindowSet", lambda items, window: seen.extend(items))
+    items = spark.createDataFrame([("a", "x y z")] * 50 + [("b", None)] * 50, "item_id string, text string")
+    list(dc.window_blocks(items, "item_id", "text", 10, 5))
+    assert seen == [("a", "x y z")]
+
+
 def test_empty_tables(spark, data):
     docs, items = data
     df, it = spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame(items, ITEMS)
