@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabtrail.llm import queries_learned, queries_native, queries_pages, queries_rules, queries_runs, queries_text, queries_tokens
+from tabtrail.llm import queries_learned, queries_lines, queries_manifest, queries_native, queries_pages, queries_rules, queries_runs, queries_text, queries_tokens
 
-MODULES = (queries_text, queries_rules, queries_native, queries_learned, queries_tokens, queries_pages, queries_runs)
+MODULES = (queries_text, queries_rules, queries_native, queries_learned, queries_tokens, queries_pages, queries_runs, queries_manifest, queries_lines)
 
 
 def queries() -> dict:
