@@ -10,6 +10,7 @@ from tabtrail.operators import dimension as dm
 from tabtrail.operators import merge as mg
 from tabtrail.operators import retrieval as rt
 from tabtrail.operators import stats as st
+from tabtrail.operators import vector_index as vi
 from tabtrail.plans.oracle import (
     NOW,
     T0,
@@ -80,16 +81,37 @@ def q_vector_metadata(spark, d):
                              "source")])
 
 
-@register("similar_sessions", with_prelude(f"""
+_SIMILAR_SQL = with_prelude(f"""
 SELECT question_id, rank, id, round(score, 6) AS score, title, url, timestamp,
        duration, category FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS rank
-  FROM scored WHERE timestamp >= {MONTH_START}) WHERE rank <= 8""", _VEC_CTES))
+  FROM scored WHERE timestamp >= {MONTH_START}) WHERE rank <= 8""", _VEC_CTES)
+
+
+@register("similar_sessions", _SIMILAR_SQL)
 def q_similar_sessions(spark, d):
     m = rt.similar_sessions(fx.session_vectors(spark, d), fx.question_vectors(spark, d), 8, MONTH_START)
     return m.withColumn("score", F.round("score", 6))
 
 
+def _by_index(spark, d, exact):
+    m = vi.search_by_index(fx.session_vectors(spark, d), fx.question_vectors(spark, d),
+                           sinks.scratch_table(spark, "vector-index"), 8, MONTH_START, exact)
+    return m.withColumn("score", F.round("score", 6))
+
+
+@register("similar_sessions_index")
+def q_similar_sessions_index(spark, d):
+    """K3 through the index, the calibrated number of lists a question (recall in the tests)."""
+    return _by_index(spark, d, False)
+
+
+@register("similar_sessions_index_exact", _SIMILAR_SQL)
+def q_similar_sessions_index_exact(spark, d):
+    """K3 through the index, then the lists that could still hold a better match."""
+    return _by_index(spark, d, True)
+
+
 _CLEAN_S = """
 s2a AS (SELECT *, lag(timestamp + duration) OVER (PARTITION BY user_id, url ORDER BY timestamp, id)
           AS prev_end FROM sessions_raw),
