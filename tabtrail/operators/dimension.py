@@ -20,6 +20,8 @@ Everything is anti/semi joins and keyed aggregates; no step needs a global order
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,6 +155,17 @@ def split_valid(df: DataFrame, keys: Sequence[str] = ("id", "user_id")) -> tuple
     return df.filter(ok), rejected
 
 
-def upsert(current: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keyed upsert; rows of ``new`` replace rows of ``current`` with the key."""
-    return current.join(new.select(*key), list(key), "left_anti").unionByName(new)
+def last_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row a key (nulls are one value): the last by ``order``, then by a hash of the row, so
+    that the choice does not depend on how rows arrive. Combined before the exchange."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order, F.xxhash64(*rows.columns)))
+    return rows.groupBy(*key).agg(last.alias("_last")).select("_last.*")
+
+
+def upsert(current: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Keyed upsert; rows of ``new`` replace rows of ``current`` with the key. Of new rows with one
+    key the last by ``order`` counts; ``new`` may have columns for that which ``current`` lacks."""
+    rows = last_per_key(new, key, order).select(*current.columns)
+    keys = rows.select(*[F.col(k).alias(f"_new_{k}") for k in key])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in key])
+    return current.join(keys, same, "left_anti").unionByName(rows)

@@ -32,6 +32,7 @@ from tabtrail.constants import (
 from tabtrail.functions.formats import format_hm, minutes_rounded
 from tabtrail.functions.time import iso_ts
 from tabtrail.operators.categorize import FAILED, row_by_row
+from tabtrail.operators.dimension import upsert
 from tabtrail.operators.stats import top_n, with_category
 from tabtrail.session import ship_package
 
@@ -89,9 +90,9 @@ def vector_records(emb: DataFrame, s: DataFrame, c: DataFrame,
                     F.col("embedding").alias("values"), meta.alias("metadata"))
 
 
-def upsert_vectors(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Keyed upsert on ``id``: new rows replace current ones."""
-    return current.join(new.select("id"), "id", "left_anti").unionByName(new)
+def upsert_vectors(current: DataFrame, new: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Keyed upsert on ``id``: new rows replace current ones, the last of each id by ``order``."""
+    return upsert(current, new, ["id"], order)
 
 
 def vector_id(id_: Column, url: Column, timestamp: Column) -> Column:

@@ -302,9 +302,9 @@ def q_insight_rows(spark, d):
     """Daily insights upserted into a table by user and date (twice, to the same result)."""
     path = sinks.scratch_table(spark, "insights")
     rows = sinks.insight_records(_insight_plan(spark, d), NOW)
-    sinks.write_upsert(rows, path, ["user_id", "date"])
+    sinks.write_upsert(rows, path, ["user_id", "date"], partition_by=["date"])
     m = F.col("metadata")
-    return sinks.write_upsert(rows, path, ["user_id", "date"]).select(
+    return sinks.write_upsert(rows, path, ["user_id", "date"], partition_by=["date"]).select(
         "user_id", "date", "insight_text", m["totalTime"].alias("total_text"),
         m["sessionCount"].alias("session_count"), m["topCategory"].alias("top_category"),
         F.unix_millis("generated_at").alias("generated_ms"))
@@ -338,6 +338,26 @@ def q_vector_rebuild(spark, d):
                                            m["source"].alias("source"), F.size("values").alias("dims"))
 
 
+@register("vector_upsert", with_prelude("""
+SELECT id, category, title, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN duration + 2 ELSE duration END AS duration, 64 AS dims FROM vecs
+UNION ALL
+SELECT 'again-' || id, category, title, duration + 2, 64 FROM vecs WHERE CAST(id AS BIGINT) % 3 = 0""", _VEC_CTES))
+def q_vector_upsert(spark, d):
+    """Vectors upserted into a table by id: all of them, then a third of them twice, under their own and under
+    new ids; the last of each id stays."""
+    path = sinks.scratch_table(spark, "vector-table")
+    v = fx.session_vectors(spark, d)
+    sinks.write_upsert(v, path, ["id"])
+    later = v.filter(F.col("id").cast("long") % 3 == 0).select(
+        F.explode(F.array(F.col("id"), F.concat(F.lit("again-"), "id"))).alias("id"), "values", "metadata")
+    later = later.select("id", "values", "metadata", F.explode(F.array(F.lit(2), F.lit(1))).alias("seq"))
+    meta = F.col("metadata").withField("duration", F.col("metadata.duration") + F.col("seq"))
+    now = sinks.write_upsert(later.withColumn("metadata", meta), path, ["id"], order_by=["seq"], columns=v.columns)
+    m = F.col("metadata")
+    return now.select("id", m["category"].alias("category"), m["title"].alias("title"), m["duration"].alias("duration"),
+                      F.size("values").alias("dims"))
+
+
 _TEXT_SQL = f"""
 SELECT id, concat_ws(chr(10), 'Browsing session',
   CASE WHEN title IS NOT NULL AND title <> '' THEN 'Title: ' || title END,

@@ -1,48 +1,112 @@
 """Table sinks: keyed upserts, appends and full rebuilds on any Spark file format
 (S5, S6, S7, S8, S9).
 
-An upsert reads the current table, replaces the rows whose key appears in the new data
-(anti join + union) and writes the result. Because the output path is also an input,
-the merged result is first cut from its lineage with ``checkpoint()`` into the
-cluster's shared ``spark.checkpoint.dir`` (see ``session.checkpoint_dir``), never a
-machine-local folder; executor loss during the write then recomputes from the
-checkpoint, not from the half-overwritten table.
+An upsert rewrites the partitions that hold new keys and no others. Tables are partitioned by key
+columns (``partition_by``) or, without such, by a bucket of the key's hash (``key_bucket``), so a row's
+partition follows from its key. The new rows are made unique and checkpointed into the shared
+``spark.checkpoint.dir``, the partitions they touch are read with a partition filter, merged, and
+written with dynamic partition overwrite: Spark writes beside the table and exchanges the
+written partitions when all tasks have ended, so a job that fails leaves every file of the table as it was.
+
+A rebuild writes a new folder and then takes the table's place by renaming.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabtrail.operators.dimension import upsert
+from tabtrail.operators.dimension import last_per_key, upsert
 from tabtrail.session import checkpoint_dir
 
+BUCKET_COL = "key_bucket"
+BUCKETS = 16
+#: Above this many touched partitions the filter on them is a join instead of literals.
+LISTED_PARTITIONS = 1000
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = _path(spark, path)
     return fs.exists(p)
 
 
+def _stored(df: DataFrame) -> T.StructType:
+    """The table's schema; stated when reading, so that partition values keep their types."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+
+
+def _touched(rows: DataFrame, parts: Sequence[str]) -> Column | None:
+    """The partitions that ``rows`` fall into, as a filter the scan prunes by; None if they are too many to list."""
+    found = rows.select(*parts).distinct().limit(LISTED_PARTITIONS + 1).collect()
+    if len(found) > LISTED_PARTITIONS:
+        return None
+    if len(parts) == 1:
+        known = [r[0] for r in found if r[0] is not None]
+        c = F.col(parts[0])
+        return c.isin(known) | c.isNull() if len(known) < len(found) else c.isin(known)
+    same = [reduce(and_, [F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, r)]) for r in found]
+    return reduce(or_, same) if same else F.lit(False)
+
+
 def write_upsert(new: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet",
-                 partition_by: Sequence[str] | None = None) -> DataFrame:
-    """Upsert ``new`` into the table at ``path`` on ``keys``; returns the new table."""
+                 partition_by: Sequence[str] | None = None, order_by: Sequence[str] = (),
+                 columns: Sequence[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Upsert ``new`` into the table at ``path`` on ``keys``; returns the new table.
+
+    Of new rows with one key the last by ``order_by`` counts. ``columns`` are the table's (default: those of
+    ``new``). ``partition_by`` must be key columns; a table keeps the partitioning it began with."""
+    if partition_by and not set(partition_by) <= set(keys):
+        raise ValueError("partition_by must be key columns, else a row could change its partition")
     spark = new.sparkSession
+    checkpoint_dir(spark)
+    columns = list(columns or new.columns)
+    parts = list(partition_by or [BUCKET_COL])
+    rows = last_per_key(new, keys, order_by).select(*columns)
+    if not partition_by:
+        rows = rows.withColumn(BUCKET_COL, F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int"))
+    rows = rows.checkpoint()
+    schema = _stored(rows)
+    merged = rows
     if _exists(spark, path):
-        cur = spark.read.format(fmt).load(path)
-        checkpoint_dir(spark)
-        merged = upsert(cur, new.select(*cur.columns), keys).checkpoint()
-    else:
-        merged = new
-    w = merged.write.format(fmt).mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(path)
-    return spark.read.format(fmt).load(path)
+        current = spark.read.format(fmt).schema(schema).load(path)
+        touched = _touched(rows, parts)
+        if touched is not None:
+            current = current.filter(touched)
+        else:
+            names = rows.select(*[F.col(p).alias(f"_t_{p}") for p in parts]).distinct()
+            current = current.join(names, reduce(and_, [F.col(p).eqNullSafe(F.col(f"_t_{p}")) for p in parts]), "left_semi")
+        merged = upsert(current, rows, keys)
+    (merged.hint("rebalance", *parts).write.format(fmt).mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).save(path))
+    return spark.read.format(fmt).schema(schema).load(path).select(*columns)
+
+
+def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write ``df`` beside the table at ``path``, then put it in the table's place. Until the new folder is whole the
+    table is not touched; afterwards the old folder is renamed, not deleted, before the new one takes its name."""
+    spark = df.sparkSession
+    tag = uuid.uuid4().hex
+    df.write.format(fmt).save(f"{path.rstrip('/')}.new-{tag}")
+    target, fs = _path(spark, path)
+    fresh, _ = _path(spark, f"{path.rstrip('/')}.new-{tag}")
+    aside, _ = _path(spark, f"{path.rstrip('/')}.old-{tag}")
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"cannot set {path} aside")
+    if not fs.rename(fresh, target):
+        fs.rename(aside, target)
+        raise OSError(f"cannot put the new table in place of {path}")
+    fs.delete(aside, True)
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet",
@@ -95,4 +159,4 @@ def rebuild_vectors(s: DataFrame, c: DataFrame, path: str, embedder=None,
     sj = with_category(s, c, ("name",))
     emb = embed_sessions(sj, embedder).select(F.col("id").cast("long").alias("vec_id"),
                                               F.col("values").alias("embedding"))
-    vector_records(emb, s, c).write.format(fmt).mode("overwrite").save(path)
+    replace_table(vector_records(emb, s, c), path, fmt)
