@@ -9,9 +9,9 @@ of the files of the attempts that counted is the table of the archive, so a lost
 leaves at most a file that nothing refers to.
 
 Reading: files are cut into byte ranges, one task row each. A range is searched for gzip magic;
-a candidate counts only if its first bytes inflate to a WARC version line and a record head. From
+a candidate counts only if it inflates to a WARC version line and a record head of any length. From
 there on members follow one another, and a range owns the records that *start* inside it, whatever
-their end. Memory is one read buffer and one record.
+their end; the record after its last one is checked as well. Memory is one read buffer and one record.
 
 Defined results: a null html is an empty payload; null ids are larger than all others and are
 written as ``null``; rows repeated with the same id and payload are one response and revisits that
@@ -41,7 +41,11 @@ FILE_BYTES = 256 << 20
 SPLIT_BYTES = 32 << 20
 MAX_TASKS = 20_000
 READ_BYTES = 1 << 20
+#: Bytes of a record head that are looked at together.
+HEAD_BYTES = 1 << 14
 GZIP_LEVEL = 6
+#: Repeats of one row written by one task row, so that no repeat count makes a long array.
+PIECE_ROWS = 4096
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -170,7 +174,10 @@ def decide(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html"
     # Rows repeated with the first id: one response, the rest revisits of it.
     again = (joined.where(F.col("d").isNotNull() & is_first & (F.col("n_first") > 1))
              .groupBy("digest", "page_id").agg(F.min("url").alias("url"), F.first("html").alias("html"), F.count("*").alias("n"))
-             .select("page_id", "url", "html", "digest", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")))
+             .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / PIECE_ROWS))))
+             .repartition("digest", "page_id", "piece")
+             .select("page_id", "url", "html", "digest", F.explode(F.sequence(
+                 F.col("piece") * PIECE_ROWS + 1, F.least(F.col("n"), (F.col("piece") + 1) * PIECE_ROWS))).alias("i")))
     again = again.select("page_id", "url", "html", "digest", (F.col("i") > 1).alias("revisit"),
                          F.when(F.col("i") > 1, F.col("page_id")).alias("refers_to"))
     return plain.unionByName(again)
@@ -209,17 +216,25 @@ class Range:
 
 
 def _is_record(src: Range, i: int) -> bool:
-    """Whether the bytes at position ``i`` of the buffer inflate to a record head."""
+    """Whether the bytes at position ``i`` of the buffer inflate to a record head, however long it is."""
     z, head, at = zlib.decompressobj(31), b"", i
+    typed, left = False, b""
     try:
-        while b"\r\n\r\n" not in head:
-            if at >= len(src.held) and not src.more():
+        while True:
+            if not left:
+                if at >= len(src.held) and not src.more():
+                    return False
+                left, at = src.held[at:], len(src.held)
+            head += z.decompress(left, HEAD_BYTES)
+            left = z.unconsumed_tail
+            if not head.startswith(VERSION[:min(len(head), 7)]):
                 return False
-            head += z.decompress(src.held[at:], 4096 - len(head) if len(head) < 4096 else 1)
-            at = len(src.held) - len(z.unconsumed_tail) - len(z.unused_data)
-            if not head.startswith(VERSION[:min(len(head), 7)]) or z.eof or len(head) > 1 << 16:
-                break
-        return head.startswith(VERSION[:7]) and b"\r\n\r\n" in head and b"\r\nWARC-Type: " in head
+            end = head.find(b"\r\n\r\n")
+            typed = typed or 0 <= head.find(b"\r\nWARC-Type: ") and (end < 0 or head.find(b"\r\nWARC-Type: ") < end)
+            if end >= 0 or z.eof:
+                return typed and end >= 0
+            if len(head) > 2 * HEAD_BYTES:      # what may still begin one of the marks looked for
+                head = head[:len(VERSION)] + head[-32:]
     except zlib.error:
         return False
 
@@ -242,9 +257,13 @@ def _first_record(src: Range, end: int) -> bool:
     return False
 
 
-def read_range(f, start: int, end: int):
-    """Records of an archive file that start in [start, end)."""
+def read_range(f, start: int, end: int, whole: bool = False):
+    """Records of an archive file that start in [start, end). A record is followed by a record or the end of the file:
+    the reader of a range checks this for the record after its last one too, so a record that cannot be read is an
+    error and never skipped by the next range's search. ``whole``: the file begins with a record, checked as well."""
     src = Range(f, start)
+    if whole and start == 0 and src.more() and not _is_record(src, 0):
+        raise ValueError("the file does not begin with a WARC record")
     if not _first_record(src, end):
         return
     while src.at < end:
@@ -260,6 +279,8 @@ def read_range(f, start: int, end: int):
             if not src.more():
                 raise ValueError("archive ends inside a record")
         yield parse(b"".join(data))
+    if (src.held or src.more()) and not _is_record(src, 0):
+        raise ValueError("no WARC record after the last one of a range")
 
 
 def read_archives(files: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
@@ -282,7 +303,7 @@ def read_archives(files: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_payl
             for path, start, end in zip(*(b.column(i).to_pylist() for i in range(3))):
                 fs, p = file_system(path)
                 with fs.open_input_file(p) as f:
-                    for r in read_range(f, start, end):
+                    for r in read_range(f, start, end, True):
                         rows.append(r if with_payload else {n: r[n] for n in names})
                         held += 200 + (len(r["payload"] or b"") if with_payload else 0)
                         if held > limit:

@@ -161,3 +161,55 @@ def test_extra_columns_and_empty_table(spark):
     got = hx.extract(df, hx.learn(df)).collect()
     assert len(got) == 3 and sorted(r.n_chars > 0 for r in got) == [False, True, True]
     assert hx.extract(df.limit(0), hx.learn(df.limit(0))).count() == 0
+
+
+def test_quotes_hold_values_only_behind_an_equals_sign():
+    e = hx.Extractor({}, -.1)
+    told = {"<p>a <a href=/x?q=it's>link</a> b</p><p>it's here</p>": "a link b\n\nit's here",
+            '<p class="x>text here': "text here", "<p class='>one</p><p>two</p>": "one\n\ntwo",
+            '<p>see <img alt="5" screen"> this</p>': "see this", "<p>a</p><img title='x>y'><p>b</p>": "a\n\nb",
+            "<p a = b c>r</p><p ='a'>s</p><p a=>t</p>": "r\n\ns\n\nt", "<a href=/x/>k</a> l": "k l", "a < b and c > d": "a < b and c > d",
+            "<div class=ad/>gone</div><p>left</p>": "gone\n\nleft", "<div class='ad'>gone</div><p>left</p>": "left",
+            "<svg title=a/b />x<p>y</p>": "x\n\ny", "one <p two": "one <p two", "<p>x</p> a <!-- gone": "x\n\na"}
+    for page, text in told.items():
+        assert e.extract(page) == text, page
+    assert len(e.extract('<p a="' * 20_000)) == 120_000
+    assert e.extract("<p>" + "word " * 200_000 + "</p>") == ("word " * 200_000).strip()
+
+
+def test_records_with_long_heads(spark, tmp_path):
+    rnd = random.Random(9)
+    long = "http://x/" + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789%\x01é", k=200_000))
+    rows = [(i, long + str(i) if i in (0, 10, 19) else f"http://x/{i}", f"<p>{i}</p>") for i in range(20)]
+    for name, part in (("all", rows), ("only", rows[10:11]), ("two", [rows[0], rows[10]])):
+        df = spark.createDataFrame([(*r, "x") for r in part], PAGE).coalesce(1)
+        for split in (1 << 20, 50_000, 777):
+            files = warc.write_archives(df, str(tmp_path / f"{name}{split}"))
+            back = warc.read_archives(files, split_bytes=split).collect()
+            assert sorted(r.page_id for r in back) == [r[0] for r in part]
+            want = {r[0]: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", r[1]) for r in part}
+            assert {r.page_id: r.url for r in back} == want
+
+
+def test_a_record_that_cannot_be_read_is_an_error():
+    whole = [warc.member(warc.record(i, "u" * (i * 40), b"x" * 50, warc.payload_digest(b"x" * 50))) for i in range(6)]
+    bad = warc.member(b"no record at all, " * 40)
+    for k in range(6):
+        data = b"".join(whole[:k] + [bad] + whole[k + 1:])
+        for split in (97, 300, 10_000):
+            with pytest.raises(ValueError):
+                for start in range(0, len(data), split):
+                    list(warc.read_range(io.BytesIO(data), start, min(start + split, len(data)), True))
+    data = b"".join(whole)
+    for split in (1, 97, 300, 10_000):
+        got = [r["page_id"] for start in range(0, len(data), split) for r in warc.read_range(io.BytesIO(data), start, min(start + split, len(data)), True)]
+        assert got == list(range(6))
+
+
+def test_a_row_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE_ROWS", 64)
+    df = spark.range(1000).selectExpr("cast(7 as bigint) page_id", "'u' url", "'<p>same</p>' html").unionByName(
+        spark.createDataFrame([(9, "v", "<p>same</p>")], "page_id bigint, url string, html string"))
+    back = [(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark, df).collect()]
+    assert len(back) == 1001 and back.count((7, "response", None)) == 1
+    assert back.count((7, "revisit", 7)) == 999 and back.count((9, "revisit", 7)) == 1
