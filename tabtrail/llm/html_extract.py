@@ -17,7 +17,8 @@ one space, blocks are trimmed and joined by two line feeds in page order.
 
 Defined results: null, empty and word-less pages give an empty text; a page may be cut anywhere, and
 an element that is never closed hides nothing (a script or style that is never closed is not text, and
-runs to the end); a tag closed in itself (``<svg/>``) is empty; of equal regions the longest of the last counts; repeated
+runs to the end); a tag closed in itself (``<svg/>``) is empty; quotes hold a value only behind ``=`` and are part of a
+name or value elsewhere (``q=it's``), and a quoted value that is never closed ends with its tag; of equal regions the longest of the last counts; repeated
 rows are handled one by one; an empty table gives an empty result. Only id, url and html are read.
 """
 
@@ -77,8 +78,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+"
+    r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[\"'][^>]*+|[^\s>\"'][^\s>]*+)?)?)*+)>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
+#: Behind the last ``>`` there is no tag, which need not be looked for.
+UNMARKED = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?][^>]*|(?P<close>)(?P<name>)(?P<attrs>)(?P<text>[^<]+|<)", re.S)
 ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 APART = re.compile(r"[_\-:]+")
@@ -99,6 +103,14 @@ def hides(name: str, attrs: str) -> bool:
     return name in ID_ELEMENTS and "section" not in named and any(x in HIDDEN_IDS for x in found.get("id", ()))
 
 
+def _ends_in_value(attrs: str) -> bool:
+    """Whether the last character of a tag's attributes belongs to a value without quotes."""
+    last = None
+    for last in ATTR.finditer(attrs):
+        pass
+    return last is not None and last[4] is not None and last.end() == len(attrs)
+
+
 def _depths(spans, n: int) -> list[int]:
     """How many of the spans (first token, last token) hold each of ``n`` tokens."""
     change = [0] * (n + 1)
@@ -113,8 +125,8 @@ def tokens(page: str) -> list[tuple]:
     element is one tag; ``hidden`` marks what lies inside an element that is never content."""
     out, opened, spans, code = [], defaultdict(list), [], []
     inner: list[tuple[int, str]] = []       # elements in the order they were opened
-    endless, at = set(), 0
-    while m := TOKEN.match(page, at):
+    endless, at, last = set(), 0, page.rfind(">")
+    while m := (TOKEN if at <= last else UNMARKED).match(page, at):
         at = m.end()
         if m["text"] is not None:
             text = htmllib.unescape(m["text"])
@@ -137,7 +149,7 @@ def tokens(page: str) -> list[tuple]:
                                 opened[x].pop()
                 out.append(("tag", "/" + name, name in BLOCKS))
                 continue
-            closed = m["attrs"].endswith("/")
+            closed = m["attrs"].endswith("/") and not _ends_in_value(m["attrs"])
             if name in ENDS and name not in endless and (name in TO_END or not closed):
                 end = ENDS[name].search(page, at)
                 if end or name in TO_END:
