@@ -11,9 +11,9 @@
   ``gap_ms`` after that row's accumulated end; the other rows in the look-back are
   deleted (``mode='faithful'`` loses their time, ``'lossless'`` adds it).
 
-M2 and M3 are gap-and-island scans (``ordered``): one exchange on (key, day bucket),
-then a partially aggregated ``groupBy`` per segment, so neither a hot key nor a hot
-segment lands whole in one task. M1 is history dependent: rows are split into islands
+M2 and M3 are gap-and-island scans (``ordered.rollup_segments``): one exchange of the rows on
+(key, day bucket), where segments become one row each, and one of these rows, so neither a hot key
+nor a hot segment lands whole in one task. M1 is history dependent: rows are split into islands
 at gaps > ``lookback_ms`` (such a gap always empties the look-back, so islands are
 independent), hash-partitioned by (key, url, island), sorted, and folded by a streaming
 ``mapInPandas`` whose memory is bounded by the rows alive in one look-back window.
@@ -36,28 +36,12 @@ from tabtrail.constants import (
     INGEST_MAX_GAP_MS,
 )
 from tabtrail.functions.urls import with_url_parts
-from tabtrail.operators.ordered import BUCKET, add_bucket, segments
+from tabtrail.operators.ordered import BUCKET, add_bucket, rollup_segments, segments
 from tabtrail.session import ship_package
 
 ORDER = ["timestamp", "id"]
 
 
-def _segment_rollup(x: DataFrame, part: Sequence[str], carry: Sequence[str],
-                    count_name: str) -> DataFrame:
-    """Collapse segments: first row's id/timestamp/carried columns, summed duration."""
-    # exactly one start row per segment; the list holds that row only (the aggregate is
-    # object based and falls back to sorting when a task has many segments)
-    first = F.get(F.collect_list(F.when(F.col("_start"), F.struct(*carry))), 0) if carry else None
-    aggs = [F.sum("duration").alias("duration"), F.count(F.lit(1)).alias(count_name)]
-    if first is not None:
-        aggs.append(first.alias("_first"))
-    aggs.append(F.min("timestamp").alias("timestamp"))
-    g = x.groupBy(*part, "seg").agg(*aggs)
-    return g.select(
-        F.col("seg").alias("id"), *part, *[F.col("_first")[c].alias(c) for c in carry],
-        "timestamp", "duration", count_name)
-
-
 def cleanup_duplicates(s: DataFrame, gap_ms: int = CLEANUP_MAX_GAP_MS,
                        keys: Sequence[str] = ("user_id",),
                        split_ms: int | None = DAY_MS) -> DataFrame:
@@ -69,8 +53,8 @@ def cleanup_duplicates(s: DataFrame, gap_ms: int = CLEANUP_MAX_GAP_MS,
 
     def brk(cur, prev, has_prev):
         return ~has_prev | ((cur("timestamp") - prev("_end")) > gap_ms)
-    x = segments(x, part, ORDER, ["_end"], brk)
-    return _segment_rollup(x, part, carry, "merged_rows")
+    x = rollup_segments(x, part, ORDER, ["timestamp", "_end"], brk, carry)
+    return x.select("id", *part, *carry, "timestamp", "duration", F.col("_rows").alias("merged_rows"))
 
 
 def cleanup_summary(merged: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
@@ -92,9 +76,9 @@ def display_merge(s: DataFrame, window_ms: int = DISPLAY_MERGE_WINDOW_MS,
         return (~has_prev | ~cur("_nurl").eqNullSafe(prev("_nurl"))
                 | ~cur("title").eqNullSafe(prev("title"))
                 | ((cur("timestamp") - prev("timestamp")) > window_ms))
-    x = segments(x, keys, ORDER, ["_nurl", "title", "timestamp"], brk)
-    out = _segment_rollup(x, keys, carry, "_n")
-    return out.withColumn("merged_count", F.when(F.col("_n") > 1, F.col("_n"))).drop("_n")
+    x = rollup_segments(x, keys, ORDER, ["_nurl", "title", "timestamp"], brk, carry)
+    n = F.col("_rows")
+    return x.select("id", *keys, *carry, "timestamp", "duration", F.when(n > 1, n).alias("merged_count"))
 
 
 def merged_session_count(merged: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:

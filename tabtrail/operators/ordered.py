@@ -11,6 +11,9 @@ branches, so the scan pays one extra exchange of the narrow columns the summary
 
 This is the only plan of the operators: it does not depend on measured sizes. Passing
 ``split_ms=None`` (a plain window per key) is for keys that already hold the day.
+
+``rollup_segments`` gives one row a segment and needs no self-join: segments are summed up inside their
+bucket first, and only what touches a bucket's edge goes on to the neighbours.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtrail.constants import DAY_MS
+from tabtrail.session import checkpoint_dir
 
 BUCKET = "_bucket"
 _UNB = Window.unboundedPreceding
@@ -134,3 +138,68 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     .alias("_start"),
                     F.coalesce(F.col("_seg_in"), F.when(F.col("_f1"), F.col("_k1")),
                                F.col("_carry")).alias(out))
+
+
+def _cut(x: DataFrame, w, start: str, total: str, count: str, first: Column) -> DataFrame:
+    """The last row of every run that begins where ``start`` is true, with the run's sums of ``total`` and ``count``
+    and ``first`` of its first row (null sums where all values are null). Windows of one order only, so one sort."""
+    run = w.rowsBetween(_UNB, Window.currentRow)
+    value = F.coalesce(F.col(total), F.lit(0))
+    known = F.col(total).isNotNull().cast("long")
+    x = x.select("*", F.sum(value).over(run).alias("_ct"), F.sum(count).over(run).alias("_cn"), F.sum(known).over(run).alias("_ck"),
+                 F.coalesce(F.lead(start).over(w), F.lit(True)).alias("_ends"))
+    begun = F.struct((F.col("_ct") - value).alias("t"), (F.col("_cn") - F.col(count)).alias("n"), (F.col("_ck") - known).alias("k"), first.alias("first"))
+    x = x.withColumn("_begun", F.last(F.when(F.col(start), begun), ignorenulls=True).over(run)).filter("_ends")
+    out = {"_sum": F.when(F.col("_ck") > F.col("_begun.k"), F.col("_ct") - F.col("_begun.t")), "_rows": F.col("_cn") - F.col("_begun.n"),
+           "_head": F.col("_begun.first")}
+    return x.withColumns(out).drop("_ct", "_cn", "_ck", "_ends", "_begun")
+
+
+def rollup_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], brk: BreakRule,
+                    carry: Sequence[str], total: str = "duration") -> DataFrame:
+    """One row a segment (``brk`` as in ``segments``): keys, ``order`` and ``carry`` of its first row, the sum of
+    ``total``, and ``_rows``.
+
+    Rows are exchanged once, by (key, bucket); segments of a bucket come out as one row each. Those at
+    a bucket's edge (two a bucket) then meet by key in order, all others stay by bucket, in a second exchange of these rows."""
+    keys, order, fields = list(keys), list(order), list(fields)
+    split = BUCKET in df.columns
+    x = _keyed(df, keys) if split else df.withColumn("_pk", F.struct(*keys))
+    w = Window.partitionBy("_pk").orderBy(*order)
+    x = x.select("_pk", *dict.fromkeys([*order, *carry, *fields, total]), F.lit(1).cast("long").alias("_one"),
+                 F.lag(F.lit(True)).over(w).isNull().alias("_first"), F.lead(F.lit(True)).over(w).isNull().alias("_last"),
+                 *[F.lag(f).over(w).alias("_p_" + f) for f in fields])
+    x = x.withColumn("_start", F.col("_first") | brk(F.col, lambda f: F.col("_p_" + f), F.lit(True)))
+    at_first = F.struct("_first", F.struct(*dict.fromkeys(fields)).alias("cur"), *dict.fromkeys([*order, *carry]))
+    x = _cut(x, w, "_start", total, "_one", at_first).select(
+        "_pk", "_sum", "_rows", "_head", "_last", F.struct(*dict.fromkeys(fields)).alias("_tail"))
+    if split:
+        key = _key_of(F.col("_pk"), keys)
+        edge = F.col("_head._first") | F.col("_last")
+        x = x.withColumn("_meet", F.struct(key.alias("key"), F.when(~edge, F.col("_pk")[BUCKET]).alias("bucket")))
+        w = Window.partitionBy("_meet").orderBy(*[F.col("_head")[o] for o in order])
+        x = x.select("*", F.lag("_tail").over(w).alias("_prev"))
+        joins = (F.col("_head._first") & F.col("_prev").isNotNull()
+                 & ~brk(lambda f: F.col("_head.cur")[f], lambda f: F.col("_prev")[f], F.lit(True)))
+        x = x.select("_meet", F.col("_sum").alias("_t"), F.col("_rows").alias("_n"), F.col("_head").alias("_h"), (~joins).alias("_start"))
+        w = Window.partitionBy("_meet").orderBy(*[F.col("_h")[o] for o in order])
+        x = _cut(x, w, "_start", "_t", "_n", F.col("_h")).withColumn("_pk", F.col("_meet.key"))
+    return x.select(*[F.col("_pk")[k].alias(k) for k in keys], *[F.col("_head")[c].alias(c) for c in dict.fromkeys([*order, *carry])],
+                    F.col("_sum").alias(total), "_rows")
+
+
+def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "position") -> DataFrame:
+    """Add ``out``, the row's place (from 1) in ``order`` within its key; ``order`` must be total.
+
+    Rows are dealt to tasks by ranges of (keys, order), which Spark cuts by a sample into equal parts, so a key with very many
+    rows, or very many rows of one value, lies in as many parts as it needs. A place is the row number inside (key,
+    part) and the rows of the key's earlier parts. The dealt rows are checkpointed: both steps see the same parts."""
+    keys = list(keys)
+    checkpoint_dir(df.sparkSession)
+    part = F.struct(*keys, F.spark_partition_id().cast("long").alias(BUCKET))
+    x = df.repartitionByRange(*[F.asc_nulls_first(k) for k in keys], *order).withColumn("_pk", part).checkpoint()
+    counts = x.groupBy("_pk").agg(F.count(F.lit(1)).alias("_n"))
+    wk = Window.partitionBy(_key_of(F.col("_pk"), keys)).orderBy(F.col("_pk")[BUCKET]).rowsBetween(_UNB, -1)
+    before = counts.select("_pk", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_before"))
+    x = x.withColumn("_rn", F.row_number().over(Window.partitionBy("_pk").orderBy(*order)).cast("long"))
+    return x.join(before, "_pk").select(*df.columns, (F.col("_before") + F.col("_rn")).alias(out))

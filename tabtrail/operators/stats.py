@@ -31,7 +31,7 @@ from tabtrail.constants import (
 from tabtrail.functions.formats import fixed_ratio, format_hm, js_round, percent_1
 from tabtrail.functions.rules import wellness_type
 from tabtrail.functions.time import day_string
-from tabtrail.operators.ordered import with_neighbour
+from tabtrail.operators.ordered import with_neighbour, with_rank
 
 KEYS = ("user_id",)
 
@@ -345,11 +345,9 @@ def history_view(merged: DataFrame, term: str | None = None, sort_field: str = "
     (literal substring), a shown title (F14: title, else domain), and a position per key by
     recency or duration.
 
-    A position is a rank over a key's whole history, so it is computed per (key, bucket of the
-    sort value) -- one day of recency or one minute of duration -- and offset by the row counts
-    of the key's earlier buckets (a small aggregate scanned by a window over buckets)."""
+    A position is a rank over a key's whole history (``ordered.with_rank``), so neither a key nor a
+    value that most rows share is the work of one task."""
     from tabtrail.functions.urls import with_url_parts
-    from tabtrail.operators.ordered import _key_of
     x = with_url_parts(merged, "url", None, "_host")
     if term is not None and term.strip() != "":
         t = F.lit(term.lower())
@@ -358,17 +356,6 @@ def history_view(merged: DataFrame, term: str | None = None, sort_field: str = "
                      | F.contains(F.lower(F.coalesce(F.col("_host"), F.lit(""))), t))
     x = x.withColumn("shown_title", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("_host"))).drop("_host")
     v = F.coalesce(F.col("timestamp" if sort_field == "recency" else "duration"), F.lit(0))
-    desc = order == "desc"
-    vo = v.desc() if desc else v.asc()
-    keys = list(keys)
-    width = DAY_MS if sort_field == "recency" else 60_000
-    x = x.withColumn("_pk", F.struct(*keys, F.floor(v / F.lit(width)).cast("long").alias("_b")))
-    w = Window.partitionBy("_pk").orderBy(vo, F.col("timestamp"), F.col("id"))
-    x = x.withColumn("_rn", F.row_number().over(w).cast("long"))
-    counts = x.groupBy("_pk").agg(F.count(F.lit(1)).alias("_n"))
-    b = F.col("_pk")["_b"]
-    wk = Window.partitionBy(_key_of(F.col("_pk"), keys)).orderBy(b.desc() if desc else b.asc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pk", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
-    y = x.join(offsets, "_pk", "left")
-    return y.select(*merged.columns, "shown_title", (F.col("_off") + F.col("_rn")).alias("position"))
+    vo = v.desc() if order == "desc" else v.asc()
+    x = with_rank(x, keys, [vo, F.col("timestamp").asc(), F.col("id").asc()])
+    return x.select(*merged.columns, "shown_title", "position")

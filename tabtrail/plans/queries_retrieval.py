@@ -378,7 +378,7 @@ SELECT id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 5) AS value
 def q_embed_sessions(spark, d):
     from tabtrail.operators.embed import embed_sessions
     s = st.with_category(fx.categorized_sessions(spark, d), fx.categories(spark), ("name",))
-    v = embed_sessions(s).select("id", F.posexplode("values").alias("place", "value"))
+    v = embed_sessions(s).select("id", F.posexplode_outer("values").alias("place", "value"))
     return v.filter(F.col("value") != 0).select(
         "id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value"))
 

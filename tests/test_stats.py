@@ -105,3 +105,27 @@ def test_score_property(spark):
     for u, mix in enumerate(mixes):
         assert got[u] == ref_score(mix), (u, mix)
         assert 0 <= got[u] <= 100
+
+
+def test_positions_of_equal_values_are_spread_over_tasks(spark):
+    """A user whose rows all last 30 s: every task gets about its share, and positions are right."""
+    from pyspark.sql import functions as F
+    from tabtrail.operators import stats as st
+    from tabtrail.operators.ordered import with_rank
+    rows = spark.range(20_000).select(
+        F.col("id"), F.when(F.col("id") % 10 < 9, 1).otherwise(F.lit(None)).cast("long").alias("user_id"), F.lit("https://a.example/x").alias("url"),
+        F.lit("t").alias("title"), F.lit(30_000).cast("long").alias("duration"), (F.hash("id") % 1000).cast("long").alias("timestamp"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = st.history_view(rows, sort_field="duration", order="desc").collect()
+        parts = rows.repartitionByRange(F.asc_nulls_first("user_id"), F.col("duration").desc(), "timestamp", "id").groupBy(F.spark_partition_id()).count()
+        assert parts.count() == 8 and parts.agg(F.max("count")).first()[0] < 4000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for user in (1, None):
+        own = sorted((r for r in got if r.user_id == user), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, len(own) + 1)) and len(own) in (18_000, 2000)
+        assert [(r.timestamp, r.id) for r in own] == sorted((r.timestamp, r.id) for r in own)
+    none = with_rank(rows.limit(0), ["user_id"], [F.col("id").asc()])
+    assert none.count() == 0 and none.columns == [*rows.columns, "position"]
