@@ -27,6 +27,7 @@ from tabtrail.plans.oracle import (
 )
 from tabtrail.plans.registry import register
 from tabtrail.sources import fixtures as fx
+from tabtrail.sources import sinks, stored
 
 START = fx.EPOCH_2024_MS
 WEEK_START = NOW - 7 * DAY_MS
@@ -158,6 +159,36 @@ def q_daily_stats(spark, d):
     return st.daily_stats(_s(spark, d, START, NOW), START, NOW)
 
 
+def _stored(spark, d):
+    path = sinks.scratch_table(spark, "sessions-by-day")
+    stored.append_by_day(fx.sessions(spark, d), path)
+    return path
+
+
+@register("stored_daily_stats", with_prelude(f"""
+SELECT user_id, {_DAY} AS date, count(*) AS session_count,
+       CAST(sum(duration) AS BIGINT) AS total_time,
+       row_number() OVER (PARTITION BY user_id ORDER BY {_DAY}) AS position
+FROM sessions WHERE timestamp >= {T0} AND timestamp <= {NOW} GROUP BY 1, 2"""))
+def q_stored_daily_stats(spark, d):
+    """A range of the table that appends by day have made; other days' folders are not read."""
+    return st.daily_stats(stored.read_range(spark, _stored(spark, d), T0, NOW), T0, NOW)
+
+
+@register("stored_user_weeks", with_prelude("""
+SELECT user_id, l - 604800000 AS week_start, count(*) AS session_count, CAST(sum(duration) AS BIGINT) AS total_time
+FROM sessions_raw JOIN (SELECT user_id, max(timestamp) AS l FROM sessions_raw WHERE user_id % 3 = 0 GROUP BY 1) USING (user_id)
+WHERE timestamp BETWEEN l - 604800000 AND l GROUP BY 1, 2"""))
+def q_stored_user_weeks(spark, d):
+    """P1 with a range per user: the seven days up to the last session of every third user."""
+    own = F.max("timestamp")
+    ranges = fx.sessions(spark, d).filter(F.col("user_id") % 3 == 0).groupBy("user_id").agg(
+        (own - 7 * DAY_MS).alias("start"), own.alias("end"))
+    x = stored.in_ranges(stored.read_range(spark, _stored(spark, d)), ranges)
+    return x.groupBy("user_id", F.col("start").alias("week_start")).agg(
+        F.count(F.lit(1)).alias("session_count"), F.sum("duration").alias("total_time"))
+
+
 _SUMMARY_SQL = f"""
 g AS (
   SELECT user_id, cname AS name, arg_min(cwtype, timestamp * 1000000 + id) AS wellness_type,

@@ -21,22 +21,20 @@ CATEGORY_SCHEMA = T.StructType([
 ])
 
 
-_READS: dict[tuple, DataFrame] = {}
+_SCHEMAS: dict[tuple, T.StructType] = {}
 
 
 def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet") -> DataFrame:
     """Read ``{base}/{name}.{fmt}`` (any Spark batch format).
 
-    The DataFrame (schema and file listing) is made once per session and path and
-    reused; it stays lazy, so every query still scans with its own pruning/filters."""
+    The schema is found once per application and path; files are listed at each call, so a table
+    written meanwhile is read as it is. A new schema needs a new path."""
     path = f"{base.rstrip('/')}/{name}.{fmt}"
     from tabtrail.session import app_key
     key = (app_key(spark), path, fmt)
-    df = _READS.get(key)
-    if df is None:
-        df = spark.read.format(fmt).load(path)
-        _READS[key] = df
-    return df
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.format(fmt).load(path).schema
+    return spark.read.format(fmt).schema(_SCHEMAS[key]).load(path)
 
 
 def literal_frame(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:

@@ -78,3 +78,35 @@ def test_generated_code_compiles(spark):
             entry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.set("spark.sql.codegen.fallback", "true")
+
+
+def test_merges_scan_once_and_join_nothing(spark):
+    for name in ["cleanup_duplicates", "cleanup_summary", "display_merge"]:
+        p = plan(entry.queries()[name](spark, SF))
+        assert p.count("FileScan parquet") == 1 and "Join" not in p, name
+        assert p.count("Exchange hashpartitioning") <= 3, name
+
+
+def test_stored_ranges_read_their_days_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tabtrail.sources import fixtures as fx
+    from tabtrail.sources import stored
+    path, day = str(tmp_path / "t"), 86_400_000
+    s = fx.sessions(spark, SF)
+    stored.append_by_day(s, path)
+    stored.append_by_day(s.limit(0), path)
+    t0 = 1704067200000 + 5 * day
+    x = stored.read_range(spark, path, t0 + 1000, t0 + 2 * day)
+    line = next(x for x in plan(x).split("\n") if "FileScan" in x)
+    assert "PartitionFilters" in line and "date" in line.split("PartitionFilters")[1].split("PushedFilters")[0]
+    files = {f.split("date=")[1][:10] for f in x.inputFiles()}
+    assert x.count() == s.filter(F.col("timestamp").between(t0 + 1000, t0 + 2 * day)).count() > 0
+    read = {r.f.split("date=")[1][:10] for r in x.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert read <= {"2024-01-06", "2024-01-07", "2024-01-08"} and len(files) >= len(read)
+    ranges = spark.createDataFrame([(1, t0, t0 + day), (2, t0 + day, t0 + day + 5), (2, t0, t0 + 3 * day), (3, t0 + 1, t0), (None, t0, t0 + day)],
+                                   "user_id long, start long, end long")
+    got = stored.in_ranges(stored.read_range(spark, path), ranges)
+    assert "dynamicpruning" in plan(got)
+    want = s.join(ranges, "user_id").filter(F.col("timestamp").between(F.col("start"), F.col("end")))
+    key = lambda df: sorted(map(tuple, df.select("id", "start", "end").collect()))
+    assert key(got) == key(want) != []
