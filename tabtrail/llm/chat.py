@@ -5,17 +5,17 @@ next. The rolling hash of a turn prefix is the sum, lane by lane, of the turns'
 salted with its position, so prefix hashes are running sums. A conversation whose full hash
 is a proper prefix hash of another is a snapshot of it; anti-joins on the hash retain the
 maximal conversations, and equal ones are collapsed to the one with the smallest id. What is
-retained is rendered.
-
-Long conversations: the distinct turns of ``BLOCK`` turn numbers are gathered into one row, the only
-time that texts are shuffled. If they are more than ``CROWD`` (many rows without a conversation id or turn
-number), each turn number is a row of its own, and one with more than half as many turns is dealt by
-the leading digits of their content hashes, which is their order, so that a row holds ``CROWD`` / 2 turns at
-most on average. The lists of crowded blocks and turn numbers have one row for ``CROWD`` / 2 turns at most. Turns are numbered and hashed inside a block, block totals are added
-from a second, much smaller window, and the rendered text comes in one row per block, so neither a
-task nor a row holds a whole conversation of unbounded length. Prefix hashes are distinct before
-the join and full hashes grouped (both combined on the map side), so a first turn or a conversation
-that is logged very often is one row there, as is a turn that is repeated very often.
+retained is rendered. Turns and prefixes count as equal by 128-bit hashes, which are not verified against
+the texts.
+
+Long conversations: first only turn numbers and content hashes move. Distinct turns are dealt to tasks by ranges
+of (conversation, turn, hash), which Spark cuts by a sample into equal parts, so a null or hot conversation lies in as many
+parts as it needs. Turns are numbered and hashed inside a part, and what a conversation's earlier parts hold is
+added from a second, much smaller window. Prefix hashes are distinct before the join and full hashes grouped
+(both combined on the map side), so a first turn or a conversation that is logged very often is one row there, as is a
+turn that is repeated very often. Then the texts of retained conversations are joined to the numbered turns and
+rendered, ``block`` turns to a row: part k holds the turns k * block + 1 to (k + 1) * block, whatever the
+conversation's size. A row is bounded in turns, not in bytes.
 
 Order and equality: turns are ordered by turn number, ties by the md5 of role and text; rows equal
 in all four columns are one turn, logged twice. A null turn comes first, a null role is rendered as
@@ -29,8 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 256
-CROWD = 1024
 LANES = 4
+#: Ranges for each shuffle partition: more and smaller ranges even out over the tasks they are hashed to.
+RANGES = 4
 #: Fixed values of the rendered form.
 TURN_HEAD, TURN_TAIL = "<|im_start|>", "<|im_end|>\n"
 
@@ -47,43 +48,22 @@ def _lanes(pos: Column, content: Column) -> list[Column]:
     return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(LANES)]
 
 
-def _crowded(turns: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame] | None:
-    """Blocks of more than ``crowd`` distinct turns (at), and of their turn numbers those with more than half
-    as many (of, digits: leading hash digits that deal them); None if there is none."""
-    at = F.struct("conv", "block").alias("at")
-    many = turns.groupBy(at).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("at").checkpoint()
-    if many.isEmpty():
-        return None
-    ties = (turns.select(at, "turn", _content_hash().alias("h")).join(F.broadcast(many), "at").distinct()
-            .groupBy("at", "turn").agg(F.count("*").alias("n")).checkpoint())
-    split = ties.groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > crowd).select("at")
-    digits = F.ceil(F.log(16.0, 2 * F.col("n") / crowd)).cast("int").alias("digits")
-    dense = ties.where(2 * F.col("n") > crowd).select(F.struct("at", "turn").alias("of"), digits)
-    return split, dense
-
-
-def turn_blocks(turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role",
-                text_col="text", block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
-    """One row per conversation and block of turn numbers, or piece of a crowded block: key (struct of
-    conversation, block, turn number and hash digits of the piece, never null, so that null ids join), turns
-    (sorted array of turn, content hash, rendered text)."""
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
-                        F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    at = F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62)))
-    rows = rows.withColumn("block", at)
-    turn = F.struct("turn", _content_hash().alias("h"), render_turn().alias("said"))
-    lists = _crowded(rows, crowd)
-    if lists is None:
-        key = F.struct("conv", "block")
-    else:
-        split, dense = lists                                # one row for crowd / 2 distinct turns at most
-        rows = (rows.withColumn("at", F.struct("conv", "block"))
-                .join(F.broadcast(split.withColumn("split", F.lit(True))), "at", "left")
-                .withColumn("of", F.struct("at", "turn")).join(F.broadcast(dense), "of", "left"))
-        piece = F.when(F.col("split"), F.col("turn")).alias("turn")
-        head = F.when(F.col("split") & F.col("digits").isNotNull(), F.substring(_content_hash(), F.lit(1), F.col("digits")))
-        key = F.struct("conv", "block", piece, head.alias("head"))
-    return rows.groupBy(key.alias("key")).agg(F.sort_array(F.collect_set(turn)).alias("turns"))
+def _rows(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    return rows.withColumn("h", _content_hash())
+
+
+def numbered_turns(rows: DataFrame) -> DataFrame:
+    """The distinct turns of (conv, turn, h): key (struct of conversation and range, never null, so that null ids
+    join), turn, h, pos (from 1) and all_n, the conversation's number of turns."""
+    order = [F.asc_nulls_first("turn"), F.asc("h")]
+    n = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct("conv", F.spark_partition_id().alias("range")).alias("key")
+    dealt = (rows.select("conv", "turn", "h").distinct().repartitionByRange(n, F.asc_nulls_first("conv"), *order)
+             .select(key, "turn", "h").checkpoint())
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n"))
+    inside = dealt.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
+    return _with_past(inside, sizes, ["n"]).select("key", "turn", "h", (F.col("past_n") + F.col("i")).alias("pos"), "all_n")
 
 
 def _with_past(df: DataFrame, totals: DataFrame, cols: list[str]) -> DataFrame:
@@ -97,13 +77,9 @@ def _with_past(df: DataFrame, totals: DataFrame, cols: list[str]) -> DataFrame:
     return df.join(past, "key")
 
 
-def prefix_hashes(blocks: DataFrame) -> DataFrame:
-    """One row per turn: conv, pos (from 1), prefix (hash of the conversation up to it) and whether
+def prefix_hashes(placed: DataFrame) -> DataFrame:
+    """One row per numbered turn: conv, pos (from 1), prefix (hash of the conversation up to it) and whether
     the turn is the last."""
-    sizes = blocks.select("key", F.size("turns").cast("bigint").alias("n"))
-    placed = (_with_past(blocks.select("key", F.col("turns.h").alias("hs")), sizes, ["n"])
-              .select("key", "past_n", "all_n", F.posexplode("hs").alias("i", "h"))
-              .select("key", (F.col("past_n") + F.col("i") + 1).alias("pos"), "all_n", "h"))
     lanes = [f"l{i}" for i in range(LANES)]
     hashed = placed.select("key", "pos", "all_n", *[x.alias(n) for n, x in zip(lanes, _lanes(F.col("pos"), F.col("h")))])
     upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -127,16 +103,21 @@ def render_turn() -> Column:
                     F.coalesce("text", F.lit("")), F.lit(TURN_TAIL))
 
 
-def format_chats(turns: DataFrame, **options) -> DataFrame:
+def format_chats(turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text",
+                 block: int = BLOCK) -> DataFrame:
     """Retained conversations, rendered: conv_id, part (from 0; texts of a conversation's parts
-    follow one another), first_turn, n_turns and n_copies of the whole, text of the part. A part is a block
-    of turn numbers, or a piece of a crowded one."""
-    blocks = turn_blocks(turns, **options).checkpoint()
-    kept = maximal(prefix_hashes(blocks)).withColumnRenamed("conv", "c")
-    sizes = blocks.select("key", F.size("turns").cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("one"))
-    parts = _with_past(sizes.select("key"), sizes, ["n", "one"])
-    parts = (parts.join(kept, F.col("key.conv").eqNullSafe(F.col("c")))
-             .select("key", "past_n", "past_one", "n_turns", "n_copies"))
-    return blocks.join(parts, "key").select(
-        F.col("key.conv").alias("conv_id"), F.col("past_one").alias("part"), (F.col("past_n") + 1).alias("first_turn"),
-        F.col("n_turns").cast("bigint").alias("n_turns"), "n_copies", F.array_join(F.col("turns.said"), "").alias("text"))
+    follow one another), first_turn, n_turns and n_copies of the whole, text of the part (``block`` turns, the
+    last part fewer)."""
+    rows = _rows(turns, conv_col, turn_col, role_col, text_col)
+    placed = numbered_turns(rows).checkpoint()
+    kept = maximal(prefix_hashes(placed)).withColumnRenamed("conv", "c").checkpoint()
+    wanted = F.struct("conv") == F.struct(F.col("c").alias("conv"))
+    one = F.struct("conv", "turn", "h").alias("id")
+    texts = rows.join(kept.select("c"), wanted, "left_semi").groupBy(one).agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    part = F.floor((F.col("pos") - 1) / block).cast("bigint")
+    at = (placed.withColumn("conv", F.col("key.conv")).join(kept, wanted)
+          .select(one, "conv", "pos", part.alias("part"), F.col("n_turns").cast("bigint").alias("n_turns"), "n_copies"))
+    said = at.join(texts, "id").select("conv", "part", "n_turns", "n_copies", F.struct("pos", render_turn().alias("said")).alias("t"))
+    return (said.groupBy("conv", "part", "n_turns", "n_copies").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+            .select(F.col("conv").alias("conv_id"), "part", (F.col("part") * block + 1).alias("first_turn"), "n_turns", "n_copies",
+                    F.array_join(F.col("ts.said"), "").alias("text")))

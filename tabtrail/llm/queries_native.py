@@ -17,22 +17,21 @@ def op5_sharding(spark, sf_dir):
 
 QUERIES = {"op1_chat_format": op1_chat_format, "op5_sharding": op5_sharding}
 
-#: Prefixes restated as lists of turns; parts by turn number div 256.
+#: Prefixes restated as lists of turns; parts of 256 turns.
 OP1_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 h AS (SELECT *, coalesce('+' || role, '-') AS rm, coalesce('+' || text, '-') AS tm FROM t),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(rm) || ':' || length(tm) || ':' || rm || ':' || tm)) AS pos,
-             coalesce(floor(turn / 256.0), -1e18) AS block FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(rm) || ':' || length(tm) || ':' || rm || ':' || tm)) AS pos FROM h),
 c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS turns FROM n GROUP BY 1),
 e AS (SELECT min(conv_id) AS conv_id, turns, count(*) AS n_copies FROM c GROUP BY turns),
 p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(generate_series(1, len(turns) - 1)) AS k FROM c WHERE len(turns) > 1)),
 k AS (SELECT conv_id, len(turns) AS n_turns, n_copies FROM e WHERE turns NOT IN (SELECT turns FROM p)),
-b AS (SELECT conv_id, block, min(pos) AS first_turn,
+b AS (SELECT conv_id, (pos - 1) // 256 AS part, min(pos) AS first_turn,
              string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
       FROM n GROUP BY 1, 2)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY block) - 1 AS part, first_turn,
+SELECT b.conv_id, part, first_turn,
        CAST(n_turns AS BIGINT) AS n_turns, n_copies, b.text
-FROM b JOIN k USING (conv_id)
+FROM b JOIN k ON b.conv_id IS NOT DISTINCT FROM k.conv_id
 """
 
 #: The jump hash as a recursive chain in HUGEINT, the checksum as a fold over the bytes.
@@ -53,9 +52,12 @@ jump(doc_id, key, b, j) AS (
   SELECT doc_id, k, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(k // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
   FROM (SELECT doc_id, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM jump WHERE j <= 16)),
 s AS (SELECT doc_id, CAST(max(b) FILTER (b < 16) AS INTEGER) AS shard, CAST(max(b) FILTER (b < 17) AS INTEGER) AS grown_shard FROM jump GROUP BY 1)
-SELECT c.doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY (coalesce(c.doc_id, 0) % 1024 + text_crc32 + 1024) % 1024, c.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
-FROM crc c JOIN s ON s.doc_id = coalesce(c.doc_id, 0)
+SELECT doc_id, size, text_crc32, law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || size || ':' || text_crc32 || ':' || piece), 1, 8) AS BIGINT) % 1024,
+                          doc_id NULLS FIRST, size, text_crc32, piece) - 1 AS slot
+FROM (SELECT c.doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+             (row_number() OVER (PARTITION BY c.doc_id, size, text_crc32) - 1) // 4096 AS piece
+      FROM crc c JOIN s ON s.doc_id = coalesce(c.doc_id, 0))
 """
 
 ORACLES = {"op1_chat_format": OP1_SQL, "op5_sharding": OP5_SQL}

@@ -7,10 +7,11 @@ into itself. One pass along the chain gives the shard for ``n`` and for ``n + 1`
 step is done in decimal(38), which holds the product exactly under any overflow setting.
 
 Slots number the rows of a shard without gaps and without one task per shard: equal
-(key, size, checksum) rows are counted first (combined on the map side, so rows repeated any
-number of times are one group), each shard is cut into ``SLOT_BLOCKS`` blocks by key and
-checksum, running counts are taken inside a block, and block offsets are added. The table of
-block offsets has ``shards * SLOT_BLOCKS`` rows at most, a bound that no input changes.
+(key, size, checksum) rows are counted first (combined on the map side) and go on in pieces of ``PIECE`` rows,
+each shard is cut into blocks by a hash of key, size, checksum and piece, so that neither evenly spaced
+keys nor a row that is a third of the table crowd a block, running counts are taken inside a block, and block
+offsets are added. Blocks are ``SLOT_BLOCKS`` a shard, or as many (a power of two) as hold ``BLOCK_ROWS`` rows
+each on average, and so is the table of offsets.
 
 Defined results: a null key hashes as 0; a null text has size 1 and checksum 0; rows equal in
 key, size and checksum take consecutive slots; an empty table gives an empty result. Only the key
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SHARDS = 16
 SLOT_BLOCKS = 1024
+BLOCK_ROWS = 1 << 16
+PIECE = 4096
 #: Fixed values of the published algorithm: multiplier of the 64-bit step, modulus, and the
 #: numerator of the jump.
 STEP = 2862933555777941757
@@ -64,19 +67,25 @@ def with_shard(df: DataFrame, key: Column, shards: int = SHARDS, name: str = "sh
 
 
 def shard_slots(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                shards: int = SHARDS, blocks: int = SLOT_BLOCKS) -> DataFrame:
+                shards: int = SHARDS, blocks: int | None = None) -> DataFrame:
     """One row per document row: id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
                        F.crc32(text.cast("binary")).alias("crc"))
+    if blocks is None:
+        blocks = max(SLOT_BLOCKS, 1 << (max(1, rows.count() // (shards * BLOCK_ROWS)) - 1).bit_length())
     same = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))
-    placed = (same.withColumn("s", jump_shards(F.col("id").cast("bigint"), shards))
-              .select("id", "size", "crc", "n", "s.shard", "s.grown_shard",
-                      F.pmod(F.coalesce("id", F.lit(0)) % blocks + F.col("crc"), F.lit(blocks)).alias("block")))
+    piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / PIECE)))
+    pieces = same.select("id", "size", "crc", piece.alias("piece"), "n").withColumn(
+        "n", F.least(F.col("n") - F.col("piece") * PIECE, F.lit(PIECE).cast("bigint")))
+    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "size", "crc", "piece")
+    block = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint") % blocks
+    placed = (pieces.withColumn("s", jump_shards(F.col("id").cast("bigint"), shards))
+              .select("id", "size", "crc", "piece", "n", "s.shard", "s.grown_shard", block.alias("block")))
     totals = placed.groupBy("shard", "block").agg(F.sum("n").alias("total"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    inside = (Window.partitionBy("shard", "block").orderBy("id", "size", "crc")
+    inside = (Window.partitionBy("shard", "block").orderBy("id", "size", "crc", "piece")
               .rowsBetween(Window.unboundedPreceding, -1))
     ranked = placed.withColumn("prior", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     first = F.col("offset") + F.col("prior")

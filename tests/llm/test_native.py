@@ -37,6 +37,23 @@ def test_jump_chain_and_slots(spark):
     assert len(tagged) == len(rows) and all(0 <= r.s < 8 for r in tagged)
 
 
+def test_hot_rows_and_even_steps_fill_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 16)
+    df = spark.createDataFrame([(7, "same")] * 1000 + [(i * 1024, "t") for i in range(300)] + [(8, "long " * 300_000)], "doc_id bigint, text string")
+    for blocks in (None, 4):
+        got = sharding.shard_slots(df, blocks=blocks).collect()
+        assert len(got) == 1301 and max(r.size for r in got) == 1_500_001
+        for s in range(16):
+            slots = sorted(r.slot for r in got if r.shard == s)
+            assert slots == list(range(len(slots)))
+    plan = sharding.shard_slots(df, blocks=64)
+    same = [r.slot for r in plan.where("doc_id = 7").collect()]
+    assert max(same) - min(same) > 1000 - 1 or len(set(same)) == 1000
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(sharding, "SLOT_BLOCKS", 1)
+    assert sharding.shard_slots(df).count() == 1301
+
+
 def plain_chats(rows):
     convs = {}
     for c, turn, role, text in set(rows):
@@ -79,23 +96,45 @@ def test_chat_collapse(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-def test_crowded_blocks_come_in_pieces(spark):
+def test_parts_hold_a_fixed_number_of_turns(spark):
     rows = [(None, None, "user", f"null {i}") for i in range(400)] + [(None, 3, "user", f"three {i}") for i in range(90)]
     rows += [(None, i, None, f"n{i}") for i in range(200)] + [(1, None, "user", f"null {i}") for i in range(400)]
     rows += [(2, i, "user", str(i)) for i in range(60)] + [(3, i, "user", str(i)) for i in range(50)]
     rows += [(4, i % 5, "user", f"four {i % 5}") for i in range(300)] + [(5, 7, "user", "a")] * 300
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    out = sorted(chat.format_chats(df, crowd=64).collect(), key=lambda r: (str(r.conv_id), r.part))
+    rows += [(6, i * 1000, "user", "long " * 50_000) for i in range(3)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, key int")
+    out = sorted(chat.format_chats(df, block=64).collect(), key=lambda r: (str(r.conv_id), r.part))
     got, place = {}, {}
     for r in out:
         n, copies, text = got.get(r.conv_id, (r.n_turns, r.n_copies, ""))
         assert (r.part, r.first_turn) == place.get(r.conv_id, (0, 1))
         said = r.text.count("<|im_end|>")
-        assert said <= 64
+        assert said == min(64, r.n_turns - 64 * r.part)
         place[r.conv_id] = (r.part + 1, r.first_turn + said)
         got[r.conv_id] = (n, copies, text + r.text)
     assert got == plain_chats(rows)
-    assert {r.conv_id: r.part for r in out if r.conv_id in (2, 4, 5)} == {2: 0, 4: 0, 5: 0}
+    assert {r.conv_id: r.part for r in out if r.conv_id in (2, 4, 5, 6)} == {2: 0, 4: 0, 5: 0, 6: 0}
+
+
+def test_sizes_come_out_by_one_rule_and_as_the_statement_says(spark):
+    import duckdb
+    from tabtrail.llm.queries_native import OP1_SQL
+    for n in (1000, 1100):
+        rows = [(None, None, "user", f"null {i}") for i in range(n)] + [(1, i, "user", f"t{i}") for i in range(300)] + [(2, i, "user", f"t{i}") for i in range(20)]
+        df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+        got = sorted((tuple(r) for r in chat.format_chats(df).collect()), key=str)
+        con = duckdb.connect()
+        conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})
+        con.register("conversations", conversations)
+        assert sorted(con.execute(OP1_SQL).fetchall(), key=str) == got
+        assert [r[1] for r in got if r[0] is None] == list(range(-(-n // 256)))
+
+
+def test_a_hot_conversation_is_spread(spark):
+    rows = spark.range(4000).selectExpr("cast(null as bigint) conv", "cast(null as bigint) turn", "md5(cast(id as string)) h")
+    placed = chat.numbered_turns(rows)
+    assert sorted(r.pos for r in placed.select("pos").collect()) == list(range(1, 4001))
+    assert placed.groupBy("key").count().agg({"count": "max"}).first()[0] < 1000
 
 
 def plain_counts(text):
