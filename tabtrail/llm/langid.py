@@ -10,7 +10,7 @@ Bundling counts trigrams first (a text's vector is counts times trigram vectors)
 ``CHARS`` characters and ``GRAMS`` trigrams, so memory does not follow a text's length or
 the number of distinct trigrams.
 
-Training takes about ``docs_per_lang`` texts of each of the ``MAX_LANGS`` most frequent languages
+Training takes about ``docs_per_lang`` texts of every language
 (documented bounds): rows are counted per language and kept where the hash of the id falls in the
 fraction that this leaves, so choosing them moves no text and gathers no language in one task.
 Prototypes are summed in the tasks and only one vector a language reaches the driver.
@@ -34,8 +34,10 @@ from tabtrail.llm.common import map_texts, prepare
 DIMS = 1024
 SEED = 20140
 DOCS_PER_LANG = 400
-MAX_LANGS = 1000
-HASHES = 1 << 20
+#: Languages up to which their counts are broadcast.
+LISTED = 10_000
+#: Grades of the id hash by which training texts are chosen.
+HASHES = 1 << 40
 CHARS = 1 << 18
 GRAMS = 4096
 UNKNOWN = "und"
@@ -115,17 +117,20 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def learn(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
-          docs_per_lang: int = DOCS_PER_LANG, dims: int = DIMS) -> dict[str, np.ndarray]:
-    """Prototype (unit vector) of every language of ``labelled``."""
+          docs_per_lang: int = DOCS_PER_LANG, dims: int = DIMS, listed: int = LISTED) -> dict[str, np.ndarray]:
+    """Prototype (unit vector) of every language of ``labelled``. The languages' counts are broadcast if there are
+    ``listed`` at most."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = (rows.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(id_col).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(MAX_LANGS))
-    share = F.lit(float(docs_per_lang) * HASHES) / F.col("n")
-    picked = (rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-              .join(F.broadcast(counts), "lang")           # MAX_LANGS rows at most
-              .where(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < share)
-              .dropDuplicates(["id", "lang"]))             # an id on very many rows is one text
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).checkpoint()
+    chosen = F.pmod(F.xxhash64("id"), F.lit(HASHES)) < F.lit(float(docs_per_lang) * HASHES) / F.col("n")
+    if counts.count() <= listed:
+        picked = rows.join(F.broadcast(counts), "lang").where(chosen)
+    else:                                       # without a bound of the list: ids and languages move, then the texts by id
+        ids = rows.select("id", "lang").join(counts, "lang").where(chosen).select("id", "lang").distinct()
+        picked = rows.join(ids, ["id", "lang"], "left_semi")
+    picked = picked.dropDuplicates(["id", "lang"])           # an id on very many rows is one text
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}

@@ -140,3 +140,16 @@ def test_language_edges(spark):
     assert langid.learn(df.limit(0)) == {}
     assert {r.lang_pred for r in langid.identify(df, {}).collect()} == {"und"}
     assert langid.identify(df.limit(0), known).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    from tabtrail.llm import langid
+    rows = [(i, "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(20)), f"l{i:04d}") for i in range(1100)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, n int")
+    assert set(langid.learn(df, dims=32)) == {f"l{i:04d}" for i in range(1100)}
+    assert langid.learn(df.limit(0), dims=32) == {}
+    few = df.selectExpr("doc_id", "text", "concat('l', cast(doc_id % 3 as string)) AS lang")
+    one, two = (langid.learn(few, docs_per_lang=40, dims=32, listed=n) for n in (10, 0))
+    assert set(one) == set(two) == {"l0", "l1", "l2"} and all(abs(one[k] - two[k]).max() < 1e-5 for k in one)
+    long = spark.createDataFrame([(1, "abc " * 300_000, "x"), (2, None, "x"), (3, "", None)], "doc_id bigint, text string, lang string")
+    assert [r.lang_pred for r in langid.identify(long, langid.learn(long)).orderBy("doc_id").collect()] == ["x", "und", "und"]
