@@ -188,7 +188,9 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     roots = components(link_edges(distinct, max_bits, list_rows))
     placed = (distinct.join(roots, distinct.fp == roots.node, "left")
               .select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    # written first, so that both sides of the join come straight from an exchange and the planner can split a
+    # component that holds a third of all fingerprints
+    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id")).checkpoint()
     return (found.join(placed.select("fp", "root").join(lowest, "root"), "fp")
             .select(id_col, "fp", "root", "component_id"))
 
