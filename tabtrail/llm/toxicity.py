@@ -3,8 +3,8 @@
 Lexicon transducers read a word and emit a class with a weight: insults (words and word stems
 with weights learned from labels), threats, targets, negation and reported speech. Clause transducers
 read the classes of one clause: ``negation`` keeps a scope of a few words, ``reported`` holds to
-the end of the clause, ``target`` waits for insult and addressee in either order, ``threat``
-needs an addressee. Their composition is one deterministic machine whose arcs carry weights in
+the end of the clause (through a colon), ``targeted`` waits for insult and addressee in either order, ``threat``
+for a threat and an addressee, and both remember whether the insult or threat was negated or reported. Their composition is one deterministic machine whose arcs carry weights in
 a vector of evidence kinds; the weight of the path of each clause is its score, and a document is
 scored by a logistic function of the matched clauses, fitted on labels. So a negated or
 reported insult counts as much as the labels say, starting from a prior that discounts it.
@@ -53,7 +53,8 @@ REPORTS = ("said says say called wrote quoted quote claimed reported sagte sagt
            "dijo dice escribió").split()
 
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[^.!?;:\n]+")
+#: A colon ends no clause: what a report announces by it is reported.
+CLAUSE = re.compile(r"[^.!?;\n]+")
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 #: Evidence kinds: the components of a path's weight; ``DENSITY`` is added per document.
 PLAIN, NEGATED, REPORTED, TARGETED, THREATENED = range(5)
@@ -93,15 +94,25 @@ def grammar(scope: int = SCOPE) -> Machine:
         max(0, s - 1), frozenset({"negated"}) if s and c in (INSULT, THREAT) else NONE))
     reported = Machine(0, lambda s, c: (1 if s or c == REPORT else 0, frozenset({"reported"}) if s else NONE))
 
-    def pair(first, mark):
-        """Both ``first`` and a target in one clause, in any order, marked once."""
+    def aimed(first, mark):
+        """``first`` and a target in one clause, in any order. The state remembers whether ``first`` was negated or
+        reported, since the target may come later: the mark is given once for a plain ``first``, and
+        ``void`` once where there is no other."""
         def step(s, c):
-            n = s | (1 if c == first else 2 if c == TARGET else 0)
-            return n, frozenset({mark}) if n == 3 and s != 3 else NONE
-        return Machine(0, step)
+            left, told, met, target, given = s
+            if c == first:
+                now = 2 if left else 3 if told else 1
+                met = 1 if now == 1 else met or now
+            target, told = target or c == TARGET, told or c == REPORT
+            left = scope if c == NEGATION else max(0, left - 1)
+            give = NONE
+            if met and target and given < (2 if met == 1 else 1):
+                give, given = frozenset({mark if met == 1 else f"{mark} void {met}"}), 2 if met == 1 else 1
+            return (left, told, met, target, given), give
+        return Machine((0, False, 0, False, 0), step)
 
     out = insult
-    for m in (negation, reported, pair(INSULT, "targeted"), pair(THREAT, "threat")):
+    for m in (negation, reported, aimed(INSULT, "targeted"), aimed(THREAT, "threat")):
         out = out.compose(m)
     return out
 
@@ -150,8 +161,12 @@ class Grammar:
                 weight[kind] += x
             if "targeted" in marks:
                 weight[TARGETED] += 1
-            if "threat" in marks and "negated" not in marks and "reported" not in marks:
+            if "threat" in marks:
                 weight[THREATENED] += 1
+            if "threat void 2" in marks:
+                weight[NEGATED] += 1
+            if "threat void 3" in marks:
+                weight[REPORTED] += 1
         return weight
 
     def matches(self, text: str | None) -> list[tuple[str, np.ndarray]]:
@@ -166,10 +181,12 @@ class Grammar:
         return [(c, w) for c, w in scored if w[[PLAIN, NEGATED, REPORTED, THREATENED]].any()]
 
     def evidence(self, text: str | None) -> np.ndarray:
-        """Logarithms of the path weights by kind, and of their sum per hundred words."""
+        """Logarithms of the path weights by kind, and of the sum of the plain ones (not negated, not reported) per
+        hundred words."""
         total = sum((w for _, w in self.matches(text)), np.zeros(KINDS))
         n = len(WORD.findall(text)) if total.any() else 1
-        return np.log1p(np.append(total, 100 * total.sum() / max(n, 1)))
+        plain = total[PLAIN] + total[TARGETED] + total[THREATENED]
+        return np.log1p(np.append(total, 100 * plain / max(n, 1)))
 
 
 class Model:

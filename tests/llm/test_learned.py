@@ -153,3 +153,83 @@ def test_every_language_is_learned(spark):
     assert set(one) == set(two) == {"l0", "l1", "l2"} and all(abs(one[k] - two[k]).max() < 1e-5 for k in one)
     long = spark.createDataFrame([(1, "abc " * 300_000, "x"), (2, None, "x"), (3, "", None)], "doc_id bigint, text string, lang string")
     assert [r.lang_pred for r in langid.identify(long, langid.learn(long)).orderBy("doc_id").collect()] == ["x", "und", "und"]
+
+
+def plain_evidence(text, insults, scope=3):
+    """Evidence of a text by loops over its words, without machines."""
+    import math
+    import re
+    total = dict.fromkeys(("plain", "negated", "reported", "targeted", "threatened"), 0.0)
+    words = lambda t: re.findall(r"[^\W\d_]+", t)
+
+    def weight(w):
+        if w in tx.THREATS + tx.TARGETS + tx.NEGATIONS + tx.REPORTS:
+            return 0
+        return insults.get(w) or max((insults.get(w[:k] + "*", 0) for k in range(3, 9) if len(w) > k), default=0)
+    for clause in dict.fromkeys(c.strip() for c in re.split(r"[.!?;\n]+", text.lower())):
+        ws = words(clause)
+        how = []
+        for i, w in enumerate(ws):
+            near = [x for x in ws[max(0, i - scope):i] if x in tx.NEGATIONS]
+            how.append("negated" if near else "reported" if any(x in tx.REPORTS for x in ws[:i]) else "plain")
+        found = dict.fromkeys(total, 0.0)
+        counted = set()
+        for w, h in zip(ws, how):
+            if weight(w) and w not in counted:
+                counted.add(w)
+                found[h] += weight(w)
+        if any(x in tx.TARGETS for x in ws):
+            kinds = [h for w, h in zip(ws, how) if weight(w)]
+            found["targeted"] += "plain" in kinds
+            kinds = [h for w, h in zip(ws, how) if w in tx.THREATS]
+            at = [i for i, w in enumerate(ws) if w in tx.TARGETS][0]
+            if "plain" in kinds:
+                found["threatened"] += 1
+            early = [h for i, (w, h) in enumerate(zip(ws, how)) if w in tx.THREATS]
+            if early and early[0] != "plain":       # given when both have been met, unless a plain one came before that
+                met = next(i for i, (w, h) in enumerate(zip(ws, how)) if w in tx.THREATS)
+                both = max(met, at)
+                if not any(h == "plain" and w in tx.THREATS for w, h in zip(ws[:both + 1], how)):
+                    found[early[0]] += 1
+        if found["plain"] or found["negated"] or found["reported"] or found["threatened"]:
+            for k, v in found.items():
+                total[k] += v
+    n = len(words(text)) if any(total.values()) else 1
+    plain = total["plain"] + total["targeted"] + total["threatened"]
+    return [math.log1p(v) for v in (*total.values(), 100 * plain / max(n, 1))]
+
+
+def test_scores_equal_a_plain_rescoring():
+    import random
+    rnd = random.Random(3)
+    insults = {"trash": 3.0, "idio*": 2.5, "fool": 1.0}
+    pool = ["trash", "idiot", "idiots", "fool", "kill", "matar", "you", "her", "not", "never", "said", "quoted", "a", "the", "house",
+            ".", ":", "!", ";", "\n", ","] + ["w"] * 6
+    model = tx.Model(insults)
+    for _ in range(3000):
+        text = " ".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30)))
+        assert list(model.grammar.evidence(text)) == pytest.approx(plain_evidence(text, insults)), text
+    assert model.score(None) == model.score("") == model.score("w " * 300_000)
+
+
+def test_clauses_decide():
+    model = tx.Model({"trash": 3.0, "idiot": 3.0})
+    toxic = ["I will kill you", "You are a trash", "you idiot", "They say little. You are an idiot", "not today; you are trash"]
+    clean = ["do not kill him", "never kill them", "You are not a trash", "he said you are a trash", 'He said: "you are an idiot"',
+             'she wrote: I will kill you', "kill the lights", "he is not an idiot"]
+    assert [model.score(t) >= tx.THRESHOLD for t in toxic] == [True] * len(toxic)
+    assert [model.score(t) >= tx.THRESHOLD for t in clean] == [False] * len(clean)
+
+
+def test_labels_teach_what_negation_is_worth():
+    """Every text holds the same insult; only where it is neither negated nor reported is it labelled toxic."""
+    import numpy as np
+    pad = "word " * 30
+    said = ("you are trash", "you are not trash", "he said you are trash")
+    texts = [(f"{pad}. {said[i % 3]}. {pad}", i % 3 == 0) for i in range(600)] + [(pad, False)] * 600
+    held = tx.Grammar({"trash": 3.0})
+    weights = tx._fit(np.array([held.evidence(t) for t, _ in texts]), np.array([float(y) for _, y in texts]), np.ones(len(texts)))
+    assert max(weights[1 + tx.NEGATED], weights[1 + tx.REPORTED]) < tx.PRIOR[1 + tx.NEGATED]
+    model = tx.Model({"trash": 3.0}, weights)
+    scores = [model.score(f"{pad}. {x}. {pad}") for x in said]
+    assert scores[0] > .9 and max(scores[1:]) < .1
