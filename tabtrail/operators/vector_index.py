@@ -29,6 +29,7 @@ from pyspark.sql.functions import pandas_udf
 from tabtrail.constants import SIMILAR_TOP_K
 from tabtrail.operators.retrieval import _dot, _flatten_match, _unit
 from tabtrail.operators.stats import top_n
+from tabtrail.session import checkpoint_dir
 
 SAMPLE = 8192
 MOST_LISTS = 4096
@@ -174,6 +175,8 @@ def search(index: DataFrame, model: IndexModel, questions: DataFrame, k: int = S
 
 def search_by_index(v: DataFrame, questions: DataFrame, path: str, k: int = SIMILAR_TOP_K,
                     start: int | None = None, exact: bool = False) -> DataFrame:
-    """Fit, build and search in one call."""
+    """Fit, build and search in one call. The vectors are checkpointed: fitting and building both read them."""
+    checkpoint_dir(v.sparkSession)
+    v = v.select("id", "values", "metadata").checkpoint()
     model = fit(v, k)
     return search(build(v, model, path), model, questions, k, start, exact=exact)
