@@ -81,6 +81,7 @@ def test_generated_code_compiles(spark):
 
 
 def test_merges_scan_once_and_join_nothing(spark):
+    spark.catalog.clearCache()      # another test's cached frame would take the scan's place
     for name in ["cleanup_duplicates", "cleanup_summary", "display_merge"]:
         p = plan(entry.queries()[name](spark, SF))
         assert p.count("FileScan parquet") == 1 and "Join" not in p, name
