@@ -87,3 +87,39 @@ def test_empty_tables(spark, data):
     assert dc.find_hits(df.limit(0), it).count() == 0
     assert dc.find_hits(df, it.limit(0)).where(F.size("spans") > 0).count() == 0
     assert dc.decontaminate(df, it.limit(0)).count() == len(docs)
+
+
+def test_blocks_leave_no_window_in_either_mode(spark, data):
+    docs, items = data
+    df, it = spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame(items, ITEMS)
+    for mode in ("documents", "spans"):
+        one, many = (sorted(dc.decontaminate(df, it, mode, block_bytes=n).collect(), key=str) for n in (1 << 20, 150))
+        assert one == many
+
+
+def test_long_items_come_in_overlapping_pieces(spark, monkeypatch):
+    monkeypatch.setattr(dc, "PIECE_WORDS", 7)
+    ws = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([("a", " ".join(ws)), ("b", "w1 w2"), ("c", "-")], "item_id string, text string")
+    parts = {(r.i, r.t) for r in dc.pieces(items, "item_id", "text", 10).collect()}
+    assert parts == {("a", " ".join(ws[a:a + 16])) for a in range(0, 51, 7)} | {("b", "w1 w2")}
+    doc = spark.createDataFrame([(1, "x " + " ".join(ws[3:50]) + " y")], "doc_id bigint, text string")
+    for n in (1 << 20, 100):
+        r = dc.digest(dc.find_hits(doc, items, block_bytes=n)).first()
+        assert (r.n_words, r.n_hit, r.n_items) == (49, 47, 1)
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(dc, "xxh3_64_intdigest", lambda w: 1)
+    block = dc.WindowSet([("a", "x y"), ("b", "y x"), ("c", "X-Y"), ("a", "x y")])
+    assert block.scan([b"x", b"y"]) == ([(0, 2)], {"a", "c"})
+    assert block.scan([b"q", b"y", b"x"]) == ([(1, 3)], {"b"})
+    assert block.scan([b"y", b"y"]) == ([], set())
+
+
+def test_window_of_many_items_and_very_long_text():
+    block = dc.WindowSet([(i, "one passage that very many items of a benchmark all share") for i in range(50_000)])
+    assert len(block.windows[10].hashes) == 2 and block.scan(dc.words("so one passage"))[0] == []
+    text = "fill " * 300_000 + "One passage, that very many items of a benchmark all share." + " more" * 300_000
+    spans, owners = block.scan(dc.words(text))
+    assert spans == [(300_000, 300_011)] and len(owners) == 50_000
