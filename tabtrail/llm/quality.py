@@ -3,8 +3,9 @@
 Every rule is one boolean expression over the text. On a bounded sample each rule is timed
 and its share of rejected rows is counted; rules then run in the order of rejections per unit
 of cost, inside one CASE expression, so a row stops at the first rule that rejects it. The
-sample (``sample_rows`` rows, a documented bound) decides the order only: the verdict is the
-conjunction of all rules and the same for every order.
+sample (``sample_rows`` different texts of at most ``SAMPLE_TEXT_BYTES`` bytes, chosen by hash over the
+whole table, a documented bound) decides the order only: the verdict is the conjunction of all rules
+and the same for every order.
 
 Repeated 3-word windows are found inside the row: windows become 64-bit hashes, the sorted
 hashes show equal neighbours, and the covered words are the lengths of the union of the
@@ -17,17 +18,24 @@ column only, so other columns cannot clash.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabtrail.llm.common import let
+from tabtrail.session import checkpoint_dir
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 BREAKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 256
+SAMPLE_TEXT_BYTES = 1 << 16
+#: A rule is timed over so many seconds at least, or over so many repeats of the sample.
+TIMED_SECONDS = 0.1
+MAX_REPEATS = 256
 #: Thresholds of the rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -119,25 +127,41 @@ OWN_RULES = (
 )
 
 
+def sample_texts(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``sample_rows`` different texts (column ``t``) of at most ``SAMPLE_TEXT_BYTES`` bytes each:
+    those of the smallest hashes over the whole table, in one partition, kept in the checkpoint folder. A
+    first cut of the hash range leaves about four times as many rows, so few texts move, copies once."""
+    checkpoint_dir(docs.sparkSession)
+    texts = docs.select(F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
+    highest = min(4 * sample_rows * 2**64 // max(1, docs.count()) - 2**63, 2**63 - 1)
+    hashed = texts.select(F.xxhash64("t").alias("h"), "t").where(F.col("h") <= highest)
+    return (hashed.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(sample_rows)
+            .select("t").coalesce(1).checkpoint())
+
+
 def measure(docs: DataFrame, rules, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Cost (seconds a row, over a run that evaluates no rule) and share of rejected rows of
-    every rule, on at most ``sample_rows`` rows. ``take`` reads no more partitions than it needs for
-    them, where a limit would take that many rows from every partition."""
-    taken = docs.select(F.col(text_col).cast("string").alias("t")).take(sample_rows)
-    sample = docs.sparkSession.createDataFrame([(r.t,) for r in taken], "t string").coalesce(1)
-    rows = max(1, len(taken))
-
-    def timed(rejects: Column) -> tuple[float, int]:
+    """Cost (seconds a row) and share of rejected rows of every rule on ``sample_texts``. A job repeats
+    the sample as often as the rule needs to take ``TIMED_SECONDS`` more than a job without a rule, so that
+    the start of a job does not weigh; the middle one of three such jobs counts. The first run of a rule,
+    which compiles it, only counts rejections."""
+    sample = sample_texts(docs, text_col, sample_rows)
+    rows = max(1, sample.count())
+
+    def timed(rejects: Column, times: int = 1) -> tuple[float, int]:
+        repeated = sample.select("t", F.explode(F.sequence(F.lit(1), F.lit(times))))
         began = time.perf_counter()
-        n = sample.agg(F.sum(rejects.cast("bigint"))).first()[0] or 0
-        return time.perf_counter() - began, n
+        n = repeated.agg(F.sum(rejects.cast("bigint"))).first()[0] or 0
+        return time.perf_counter() - began, n // times
 
-    idle = min(timed(F.col("t").isNull())[0] for _ in range(3))
+    tests = [r.rejects(F.col("t")) for r in rules]
+    rejected = [timed(t)[1] for t in tests]
+    idle = median(timed(F.col("t").isNull())[0] for _ in range(3))
     found = []
-    for r in rules:
-        runs = [timed(r.rejects(F.col("t"))) for _ in range(2)]
-        found.append({"rule": r, "cost": max(min(t for t, _ in runs) - idle, 1e-4) / rows,
-                      "rejects": runs[0][1] / rows})
+    for rule, test, n in zip(rules, tests, rejected):
+        once = timed(test)[0] - idle
+        times = min(math.ceil(TIMED_SECONDS / max(once, 1e-3)), MAX_REPEATS)
+        cost = (median(timed(test, times)[0] for _ in range(3)) - idle) / (rows * times)
+        found.append({"rule": rule, "cost": max(cost, 1e-8), "rejects": n / rows})
     return found
 
 

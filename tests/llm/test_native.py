@@ -186,3 +186,28 @@ def test_main_paths_hold_no_python(spark):
     for out in (q.assess(df), q.keep_good(df), sharding.shard_slots(df), chat.format_chats(turns)):
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "InArrow" not in plan and "Pandas" not in plan
+
+
+def test_quality_sample_is_bounded_and_follows_no_row_order(spark, monkeypatch):
+    monkeypatch.setattr(q, "SAMPLE_TEXT_BYTES", 200)
+    texts = [f"text {i} " + "word " * (i % 20) for i in range(300)] + ["the same"] * 400 + ["long " * 100, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    one, two = ([r.t for r in q.sample_texts(d, sample_rows=20).collect()] for d in (df, df.orderBy(df.text.desc())))
+    assert one == two and len(set(one)) == len(one) and 10 <= len(one) <= 20 and "long " * 100 not in one
+    assert q.sample_texts(df.limit(0)).count() == 0
+    assert len(q.sample_texts(df, sample_rows=1000).collect()) == 302
+
+
+def test_quality_costs_order_alike_twice(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i * j % 97}" for j in range(200)),) for i in range(60)], "text string")
+    rules = [r for r in q.BASE_RULES + q.OWN_RULES if r.name in ("repeated_windows", "symbols")]
+    for _ in range(2):
+        cost = {m["rule"].name: m["cost"] for m in q.measure(df, rules)}
+        assert cost["repeated_windows"] > 3 * cost["symbols"]
+
+
+def test_quality_very_long_text_and_repeated_rows(spark):
+    long = " ".join(f"w{i % 50_000}" for i in range(120_000))
+    df = spark.createDataFrame([(1, long), (2, "a b"), (2, "a b")], "doc_id bigint, text string")
+    rows = sorted(map(tuple, q.assess(df).select("doc_id", "n_words", "n_repeat_words", "kept").collect()))
+    assert rows == [(1, 120_000, 120_000, False), (2, 2, 0, False), (2, 2, 0, False)]
