@@ -211,3 +211,9 @@ def test_quality_very_long_text_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, long), (2, "a b"), (2, "a b")], "doc_id bigint, text string")
     rows = sorted(map(tuple, q.assess(df).select("doc_id", "n_words", "n_repeat_words", "kept").collect()))
     assert rows == [(1, 120_000, 120_000, False), (2, 2, 0, False), (2, 2, 0, False)]
+
+
+def test_sharding_very_long_text(spark):
+    long = "é" * 700_000
+    rows = sharding.shard_slots(spark.createDataFrame([(1, long), (2, None)], "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in rows} == {(1, 1_400_001, zlib.crc32(long.encode())), (2, 1, 0)}

@@ -108,3 +108,13 @@ def test_empty_table(spark):
     df, _ = docs_of(spark)
     assert sh.near_duplicates(df.limit(0)).count() == 0
     assert sh.keep_one(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(4)
+    long = " ".join(f"W{rnd.randint(0, 9999)}" for _ in range(60_000))
+    rows = [(7, long), (3, long.lower()), (9, "x" * 500_000), (11, None)]
+    got = {r.doc_id: (r.fp, r.component_id) for r in sh.near_duplicates(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: signed(plain_fingerprint(t)) for i, t in rows}
+    assert {i: c for i, (_, c) in got.items()} == {7: 3, 3: 3, 9: 9, 11: 11}
