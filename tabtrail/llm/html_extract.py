@@ -3,14 +3,18 @@
 A page is a sequence of tokens. A word scores +1; a tag scores a negative weight of its own; the
 contiguous region with the largest sum, found in one linear scan, is the content. The tag weights
 are learned from labelled pages: a page that marks exactly one ``article`` element labels its
-region itself. On a bounded sample of them (``labelled_pages``) the weights start at
+region itself. On a bounded sample of them (at most ``labelled_pages`` different pages of at most ``longest``
+characters, by hash of url and html over the whole table) the weights start at
 ``START`` and a perceptron lowers what a wrong region holds and raises what it misses; words of the
 label count a quarter and others double meanwhile, so that a margin is learned. Element kinds that are never content (scripts, forms,
 navigation, and classes, roles or ids that name adverts, notices, comments and the like) count as their
 first tag alone: their words score nothing and are left out of a region that spans them. Such names are
 whole class tokens, or listed compounds of them; ids are often anchors of headings and sections, so they
-count on ``div`` and lists alone and by a shorter list; names on headings and inside code are not looked at. What no list
-names is left to the weights.
+count on ``div`` and lists alone and by a shorter list; names on headings and inside code are not looked at. The
+``header`` inside an ``article`` holds its headline and is content, unless its names say otherwise. A paragraph
+with a word of ``DOUBTFUL`` in its class is prose as likely as not: it is a tag kind of its own, which costs
+``DOUBT`` until the labelled pages say otherwise, so it falls off a region's edge if it is short and stays
+inside one. What no list names is left to the weights.
 
 Text: character references are decoded, white space inside a block (line breaks included) becomes
 one space, blocks are trimmed and joined by two line feeds in page order.
@@ -35,8 +39,10 @@ from pyspark.sql import DataFrame, functions as F
 from tabtrail.llm.common import prepare
 
 LABELLED_PAGES = 200
+LONGEST = 1 << 16       # characters of a page to learn from
 EPOCHS = 8
 START = -2.0
+DOUBT = -10.0
 INSIDE, OUTSIDE = 0.25, 2.0
 #: Element and class names. What RAW elements hold is no markup; UNSEEN ones hold markup that
 #: is left out as if it were not there, block breaks too.
@@ -49,6 +55,7 @@ HIDDEN_CLASSES = frozenset(
     "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs share sharing social related recommended comment comments reply replies disqus "
     "respond footer header masthead toolbar widget pagination login search skip".split())
+DOUBTFUL = frozenset("alert notice notices related reply replies search share sharing skip social".split())
 #: Compounds: each head with each tail.
 COMPOUNDS = frozenset(f"{a}-{z}" for heads, tails in (
     ("ad ads advert adverts advertisement", "banner block box container placeholder slot unit wrapper"),
@@ -88,19 +95,29 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 APART = re.compile(r"[_\-:]+")
 
 
-def hides(name: str, attrs: str) -> bool:
+def _names(attrs: str) -> tuple[list[str], list[str]]:
+    """Tokens of class and role, and of id."""
+    found: dict[str, list[str]] = {}
+    for key, *values in ATTR.findall(attrs):
+        found.setdefault(key.lower(), [APART.sub("-", x) for x in "".join(values).lower().split()])
+    return found.get("class", []) + found.get("role", []), found.get("id", [])
+
+
+def doubtful(name: str, attrs: str) -> bool:
+    """Whether a paragraph has a name that prose has too."""
+    return name == "p" and bool(attrs) and not hides(name, attrs) and any(x in DOUBTFUL for x in _names(attrs)[0])
+
+
+def hides(name: str, attrs: str, in_article: bool = False) -> bool:
     """Whether an element is never content."""
-    if name in HIDDEN:
+    if name in HIDDEN and not (name == "header" and in_article):
         return True
     if name in UNNAMED or not attrs:
         return False
-    found: dict[str, list[str]] = {}
-    for key, *values in ATTR.findall(attrs):
-        found.setdefault(key.lower(), [APART.sub("-", x) for x in "".join(values).lower().split()])
-    named = found.get("class", []) + found.get("role", [])
-    if any(x in HIDDEN_CLASSES or x in COMPOUNDS for x in named):
+    named, ids = _names(attrs)
+    if any((x in HIDDEN_CLASSES and not (name == "p" and x in DOUBTFUL)) or x in COMPOUNDS for x in named):
         return True
-    return name in ID_ELEMENTS and "section" not in named and any(x in HIDDEN_IDS for x in found.get("id", ()))
+    return name in ID_ELEMENTS and "section" not in named and any(x in HIDDEN_IDS for x in ids)
 
 
 def _ends_in_value(attrs: str) -> bool:
@@ -121,8 +138,8 @@ def _depths(spans, n: int) -> list[int]:
 
 
 def tokens(page: str) -> list[tuple]:
-    """("tag", name, is a block, hidden) and ("text", decoded text, words, hidden). A raw-text
-    element is one tag; ``hidden`` marks what lies inside an element that is never content."""
+    """("tag", name, is a block, hidden) and ("text", decoded text, words, hidden). A doubtful paragraph's
+    name is "p doubtful", which no tag can have. A raw-text element is one tag; ``hidden`` marks what lies inside an element that is never content."""
     out, opened, spans, code = [], defaultdict(list), [], []
     inner: list[tuple[int, str]] = []       # elements in the order they were opened
     endless, at, last = set(), 0, page.rfind(">")
@@ -158,9 +175,9 @@ def tokens(page: str) -> list[tuple]:
                     continue
                 endless.add(name)
             if name not in VOID and not closed:
-                opened[name].append((len(out), hides(name, m["attrs"])))
+                opened[name].append((len(out), hides(name, m["attrs"], bool(opened["article"]))))
                 inner.append((len(out), name))
-            out.append(("tag", name, name in BLOCKS))
+            out.append(("tag", name + " doubtful" if doubtful(name, m["attrs"]) else name, name in BLOCKS))
     listing = _depths(code, len(out))
     spans = [x for x in spans if x[2] in HIDDEN or not listing[x[0]]]
     hiding = _depths(spans, len(out))
@@ -171,12 +188,17 @@ def tokens(page: str) -> list[tuple]:
     return marked
 
 
+def first_weight(key: str, default: float = START) -> float:
+    """Weight of a tag kind that no labelled page holds."""
+    return DOUBT if key.endswith(" doubtful") else default
+
+
 def scores(toks, weights: dict[str, float], default: float) -> list[float]:
     out = []
     before = False
     for kind, key, n, hidden in toks:
         if kind == "tag":
-            out.append(0.0 if hidden and before else weights.get(key, default))
+            out.append(0.0 if hidden and before else weights[key] if key in weights else first_weight(key, default))
         else:
             out.append(0.0 if hidden else float(n))
         before = hidden
@@ -235,12 +257,8 @@ def labelled_region(toks) -> tuple[int, int] | None:
 def fit(pages, epochs: int = EPOCHS) -> Extractor:
     """Tag weights from labelled pages, averaged over the passes; never positive."""
     data = [(t, r) for t in map(tokens, pages) if (r := labelled_region(t))]
-    weights: dict[str, float] = defaultdict(lambda: START)
+    weights = {t[1]: first_weight(t[1]) for toks, _ in data for t in toks if t[0] == "tag"}
     total: dict[str, float] = defaultdict(float)
-    for toks, _ in data:
-        for t in toks:
-            if t[0] == "tag":
-                weights[t[1]]
     for _ in range(epochs):
         for toks, (a, z) in data:
             values = scores(toks, weights, START)
@@ -258,11 +276,24 @@ def fit(pages, epochs: int = EPOCHS) -> Extractor:
     return Extractor({k: w / epochs for k, w in total.items()})
 
 
-def learn(pages: DataFrame, *, html_col="html", labelled_pages: int = LABELLED_PAGES) -> Extractor:
-    """Extractor fitted on at most ``labelled_pages`` pages that label their own region."""
+def labelled_sample(pages: DataFrame, *, url_col="url", html_col="html", labelled_pages: int = LABELLED_PAGES,
+                    longest: int = LONGEST) -> DataFrame:
+    """Column ``html``: the ``labelled_pages`` different pages (url and html) with the least hashes of those that
+    mark one article and have at most ``longest`` characters. Only the hashes are compared between rows."""
     low = F.lower(F.col(html_col))
     once = (F.regexp_count(low, F.lit("<article[\\s>]")) == 1) & (F.regexp_count(low, F.lit("</article\\s*>")) == 1)
-    return fit(r[0] for r in pages.where(once).select(html_col).take(labelled_pages))
+    rows = (pages.where(F.length(html_col) <= longest)
+            .select(F.xxhash64(url_col, html_col).alias("h"), F.col(html_col).alias("html"), once.alias("once")))
+    least = [r.h for r in rows.where("once").select("h").distinct().orderBy("h").limit(labelled_pages).collect()]
+    return (rows.where(F.col("h") <= (least[-1] if least else None)).where("once")
+            .groupBy("h").agg(F.min("html").alias("html")).orderBy("h").select("html"))
+
+
+def learn(pages: DataFrame, *, url_col="url", html_col="html", labelled_pages: int = LABELLED_PAGES,
+          longest: int = LONGEST) -> Extractor:
+    """Extractor fitted on a sample of pages that label their own region (``labelled_sample``)."""
+    sample = labelled_sample(pages, url_col=url_col, html_col=html_col, labelled_pages=labelled_pages, longest=longest)
+    return fit(r.html for r in sample.collect())
 
 
 def extract(pages: DataFrame, extractor: Extractor, *, id_col="page_id", url_col="url", html_col="html") -> DataFrame:

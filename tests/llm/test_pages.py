@@ -8,6 +8,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabtrail.llm import html_extract as hx, warc
 
@@ -213,3 +214,40 @@ def test_a_row_repeated_very_often(spark, monkeypatch):
     back = [(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark, df).collect()]
     assert len(back) == 1001 and back.count((7, "response", None)) == 1
     assert back.count((7, "revisit", 7)) == 999 and back.count((9, "revisit", 7)) == 1
+
+
+def test_held_out_hosts_with_and_without_article(spark):
+    """Weights of two thirds of the hosts on the pages of the others, as they are and with the article a plain div."""
+    df = spark.read.parquet(f"{SF01}/pages.parquet")
+    host = "crc32(cast(parse_url(url, 'HOST') as binary)) % 3 = 1"
+    e = hx.learn(df.where(f"not {host}"))
+    held = df.where(host).collect()
+    assert len(held) > 30
+    for r in held:
+        assert e.extract(r.html) == article(r.html)
+        plain = r.html.replace("<article>", '<div class="post">').replace("</article>", "</div>")
+        assert e.extract(plain) == article(r.html)
+
+
+def test_labelled_pages_are_chosen_by_hash(spark):
+    page = "<nav>n</nav><article><p>text of page %d</p></article>"
+    rows = [(i, f"http://h{i % 7}/{i}", page % i) for i in range(60)] + [(99, "http://h0/0", page % 0)] * 200
+    rows += [(100, "u", "<p>no article</p>"), (101, "u", page % 101 + "x" * 5000), (102, "u", None), (103, None, "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    one = [r.html for r in hx.labelled_sample(df, labelled_pages=20, longest=1000).collect()]
+    two = [r.html for r in hx.labelled_sample(df.orderBy(F.desc("page_id")).repartition(5), labelled_pages=20, longest=1000).collect()]
+    assert one == two and len(set(one)) == 20
+    assert len(hx.labelled_sample(df, labelled_pages=500, longest=1000).collect()) == 60
+    assert hx.labelled_sample(df.limit(0)).collect() == []
+
+
+def test_an_articles_own_header_and_doubtful_paragraphs():
+    e = hx.Extractor({}, -.1)
+    assert e.extract(f"<header>Site</header><article><header><h1>Title</h1></header><p>{WORDS}</p></article>") == f"Title\n\n{WORDS}"
+    assert e.extract(f"<article><header class=ad>x</header><p>{WORDS}</p></article>") == WORDS
+    for x in ("social", "related", "share", "notice"):
+        assert e.extract(f"<p>{WORDS}</p><p class={x}>A sentence.</p><p>{WORDS}</p>") == f"{WORDS}\n\nA sentence.\n\n{WORDS}"
+        assert e.extract(f"<p>{WORDS}</p><p class={x}>Two words</p>") == WORDS
+        assert e.extract(f"<p>{WORDS}</p><p class={x}>{WORDS}</p>") == f"{WORDS}\n\n{WORDS}"
+        assert e.extract(f"<p>{WORDS}</p><div class={x}>{WORDS}</div>") == WORDS
+    assert e.extract(f"<p>{WORDS}</p><p class=ad>{WORDS}</p>") == WORDS
