@@ -38,6 +38,7 @@ from tabtrail.llm.common import prepare
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENTS = 300_000      # remembered segments and pairs in a worker
+REMEMBERED = 64         # characters of the longest segment that is remembered
 PAIRS = 1_000_000
 #: Fixed values of the model file: piece kinds and model kinds.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -224,6 +225,8 @@ class Transducer:
         return out
 
     def packed(self, segment: str) -> bytes:
+        if len(segment) > REMEMBERED:             # texts without spaces: whole lines, which hardly come again
+            return np.array(self.spelled(segment), np.int32).tobytes()
         got = self.known.get(segment)
         if got is None:
             if len(self.known) >= SEGMENTS:

@@ -80,6 +80,14 @@ def test_small_tables_change_nothing(monkeypatch):
     assert [small.encode(t) for t in texts] == expected
 
 
+def test_long_segments_are_not_remembered():
+    ours, theirs = sp.Transducer(sp.read_model()), sentencepiece.SentencePieceProcessor(model_proto=sp.read_model())
+    texts = ["x" * n + " short " + "日本" * n for n in (1, sp.REMEMBERED - 1, sp.REMEMBERED, sp.REMEMBERED + 1, 5000)]
+    for t in texts:
+        assert ours.encode(t) == theirs.encode(t)
+    assert ours.known and max(map(len, ours.known)) <= sp.REMEMBERED
+
+
 def test_documents_round_trip(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     model = sp.read_model()
