@@ -4,7 +4,8 @@ Leaves are hashes of rows. The leaves of one group, in order, make a tree of ``W
 node, whose top is the group's subroot; the subroots, in order of the groups, make a tree whose
 top is the root. A built level is stored as rows that name their parent (``Manifest.nodes``). Proofs
 come from one ``WITH RECURSIVE`` query: it starts at the leaves, and each step joins the parent's row,
-appends the siblings met there and folds the changed leaves' hashes with them, until the root.
+appends the siblings met there and folds every leaf's present hash (the changed one, else the leaf's own) with
+them, until the root. Nothing is taken as verified unseen: a leaf is verified if its own fold ends at the root.
 
 Decisions for scale:
 
@@ -15,8 +16,8 @@ Decisions for scale:
   row a partition, the bound of its broadcast. A group may span any number of partitions. Row
   numbers from the leaf table break ties, so equal rows can be split as well.
 * The (at most ``WIDTH``) leaves below one node share their path, so they climb as one row that holds the
-  path's siblings once and a folded hash for each changed leaf; the first level's siblings, which
-  differ from leaf to leaf, are cut out when the proofs are given.
+  path's siblings once and a folded hash (32 bytes) for each leaf, in their order; the first level's siblings,
+  which differ from leaf to leaf, are cut out when the proofs are given.
 * High nodes are met by many climbers. A node over more than ``SPREAD`` leaves is stored in one copy for
   every ``SPREAD`` leaves, and climbers are dealt over the copies: no join key is hot, and the
   copies of a level number leaves / SPREAD, whatever its height.
@@ -229,15 +230,15 @@ def _linked(nodes: DataFrame, groups: int) -> DataFrame:
 
 
 #: One row a lowest node: its start, where it stands, the siblings met so far (bytes) and the folded
-#: hashes of its changed leaves. A step joins the parent's copy that the start is dealt to.
+#: hash (bytes) of each of its leaves. A step joins the parent's copy that the start is dealt to.
 CLIMB = """
 WITH RECURSIVE climb AS (
   SELECT start, parent, place, copies, subroot, tail, folded FROM {starts}
   UNION ALL
   SELECT c.start, n.parent, n.place, n.copies, coalesce(c.subroot, CASE WHEN n.subroot THEN n.hash END),
          concat(c.tail, unhex(array_join(filter(n.children, (h, i) -> i <> c.place), ''))),
-         transform(c.folded, f -> named_struct('place', f.place, 'hash',
-           sha2(cast(array_join(transform(n.children, (h, i) -> if(i = c.place, f.hash, h)), '') AS binary), 256)))
+         transform(c.folded, f -> unhex(sha2(cast(array_join(
+           transform(n.children, (h, i) -> if(i = c.place, lower(hex(f)), h)), '') AS binary), 256)))
   FROM climb c JOIN {nodes} n
     ON n.id = c.parent AND n.copy = pmod(xxhash64(c.start), c.copies)
 )
@@ -249,16 +250,21 @@ def _replaced(children: Column, place: Column, value: Column) -> Column:
     return F.transform(children, lambda h, i: F.when(i == place, value).otherwise(h))
 
 
+def _present(leaf: Column) -> Column:
+    """The hash of a leaf's row as it is now."""
+    return F.coalesce(leaf["changed"], leaf["leaf"])
+
+
 def prove(manifest: Manifest) -> DataFrame:
     """One row a leaf: key, leaf, subroot, root, proof_sha256 (of all siblings, level by level), folded_root and
-    verified, from a climb of every leaf to the root."""
+    verified, from a climb of every leaf to the root; the present hash of every leaf, changed or not, is folded."""
     spark = manifest.nodes.sparkSession
     start = _node_id(F.col("g"), F.col("lvl"), F.col("idx"))
     links = manifest.nodes.where("copy = 0").select("id", "parent", "place", "copies", "subroot")
     rows = manifest.starts.withColumn("start", start)
-    changed = F.filter("leaves", lambda x: x["changed"].isNotNull())
-    first = F.transform(changed, lambda x: F.struct(x["place"].alias("place"), F.when(F.col("lvl") == 0, x["changed"]).otherwise(
-        digest(F.array_join(_replaced(F.col("children"), x["place"], x["changed"]), ""))).alias("hash")))
+    # The leaves of a run are its first places without a gap, so a leaf's place is its index.
+    first = F.transform("leaves", lambda x: F.unhex(F.when(F.col("lvl") == 0, _present(x)).otherwise(
+        digest(F.array_join(_replaced(F.col("children"), x["place"], _present(x)), "")))))
     begun = (rows.select("start", "hash", first.alias("folded")).join(links, F.col("start") == F.col("id"))
              .select("start", "parent", "place", "copies", F.when(F.col("subroot"), F.col("hash")).alias("subroot"),
                      F.lit(b"").alias("tail"), "folded"))
@@ -266,9 +272,8 @@ def prove(manifest: Manifest) -> DataFrame:
     told = (rows.join(climbed, "start")
             .select(F.explode("leaves").alias("l"), "children", "subroot", "tail", "folded"))
     siblings = F.array_join(F.filter("children", lambda h, i: i != F.col("l.place")), "")
-    folded = F.filter("folded", lambda f: f["place"] == F.col("l.place"))
+    folded = F.lower(F.hex(F.get("folded", F.col("l.place"))))
     root = F.lit(manifest.root)
     return (told.select(F.col("l.key").alias("key"), F.col("l.leaf").alias("leaf"), "subroot", root.alias("root"),
-                        digest(siblings, F.lower(F.hex("tail"))).alias("proof_sha256"),
-                        F.coalesce(F.get(folded, F.lit(0))["hash"], root).alias("folded_root"))
+                        digest(siblings, F.lower(F.hex("tail"))).alias("proof_sha256"), folded.alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))

@@ -15,7 +15,8 @@ def leaf(doc: list[Column], text: Column) -> Column:
 
 
 def document_leaves(docs: DataFrame) -> DataFrame:
-    """Leaves of the documents; those whose id's checksum 5 divides also have the leaf of the lower-cased text."""
+    """Leaves of the documents; those whose id's checksum 5 divides also have the leaf of the lower-cased text.
+    The others climb with the leaf itself."""
     doc = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
     low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

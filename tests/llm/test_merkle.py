@@ -101,3 +101,20 @@ def test_high_nodes_come_in_copies(spark, monkeypatch):
     copies = {r.lvl: r.n for r in built.nodes.groupBy("id.lvl").count().withColumnRenamed("count", "n").collect()}
     assert copies == {1: 63, 2: 32, 3: 32}      # 63 runs; 3 x 256 and 232 leaves over 32; 1000 over 32
     assert {r.verified for r in merkle.prove(built).collect()} == {True}
+
+
+def test_every_leaf_is_folded(spark):
+    """A proof fails where the tree or the root does not fit its leaf, also of a row that is not tampered with."""
+    rows = spark.range(300).select((F.col("id") % 2).cast("string").alias("grp"), F.col("id").alias("key"),
+                                   F.sha2(F.col("id").cast("string"), 256).alias("leaf"), F.lit(None).cast("string").alias("changed"))
+    built = merkle.build(rows)
+    assert {r.verified for r in merkle.prove(built).collect()} == {True}
+    other = merkle.Manifest(built.nodes, built.starts, sha("another root"))
+    assert {(r.folded_root, r.verified) for r in merkle.prove(other).collect()} == {(built.root, False)}
+    wrong = F.when(F.col("leaf.key") == 40, F.lit(sha("wrong"))).otherwise(F.col("leaf.leaf"))
+    rest = [c for c in built.starts.columns if c != "leaves"]
+    starts = (built.starts.select(*rest, F.explode("leaves").alias("leaf"))
+              .withColumn("leaf", F.struct("leaf.place", "leaf.key", wrong.alias("leaf"), "leaf.changed"))
+              .groupBy(*rest).agg(F.array_sort(F.collect_list("leaf")).alias("leaves")))
+    got = merkle.prove(merkle.Manifest(built.nodes, starts, built.root)).collect()
+    assert len(got) == 300 and {r.key for r in got if not r.verified} == {40}
