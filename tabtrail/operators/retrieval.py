@@ -4,8 +4,8 @@
 * Vectors are rows ``(id, values array<float>, metadata struct)``; ``similar_sessions``
   (K3) is an exact cosine top-k. Questions scoped to a user are joined to that user's
   vectors on ``user_id`` (an equi-join); a stated set of global questions is scored against all
-  vectors in blocks of ``QUESTION_BLOCK``. Top-k uses ``row_number`` (Spark applies it per
-  partition before the shuffle).
+  vectors in a grid of blocks, each of which keeps a question's best ``k`` before anything is sorted. Top-k
+  uses ``row_number`` (Spark applies it per partition before the shuffle).
 * ``context_stats`` (A6) / ``reflection_context`` (X1) / ``weekly_context`` (X3) build the
   reflection text per user from all rows of the range; only the listed sites (5 a category)
   and matches (k) are limited.
@@ -13,8 +13,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +39,12 @@ from tabtrail.operators.stats import top_n, with_category
 from tabtrail.session import ship_package
 
 KEYS = ("user_id",)
-QUESTION_BLOCK = 64
+#: Most questions and about as many vectors as meet in one task; scores held at once.
+QUESTION_BLOCK = 4096
+VECTOR_BLOCK = 8192
+SCORES_AT_ONCE = 2_000_000
+#: More than a matrix product differs from the sum taken place by place, for vectors of length 1.
+ROUNDING = 1e-9
 
 
 def _truthy(c: Column, numeric: bool = False) -> Column:
@@ -118,16 +125,111 @@ def _flatten_match(x: DataFrame, extra: Sequence[str]) -> DataFrame:
                     m["duration"].alias("duration"), m["category"].alias("category"))
 
 
+def question_blocks(questions: DataFrame) -> int:
+    return max(1, -(-questions.count() // QUESTION_BLOCK))
+
+
+def question_block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("question_id", "_q"), F.lit(blocks)).cast("int")
+
+
+def _matrices(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each length; a null vector or one with a null place is in none."""
+    c = pa.concat_arrays(vectors.chunks)
+    at = np.asarray(c.offsets, np.int64)
+    nulls = np.concatenate([[0], np.cumsum(~np.asarray(c.values.is_valid(), bool))])
+    whole = np.asarray(c.is_valid(), bool) & (nulls[at[1:]] == nulls[at[:-1]])
+    flat, size, out = c.values.fill_null(0.0).to_numpy(zero_copy_only=False), np.diff(at), {}
+    for n in np.unique(size[whole]).tolist():
+        rows = np.flatnonzero(whole & (size == n))
+        out[n] = rows, flat[at[rows][:, None] + np.arange(n)]
+    return out
+
+
+def _first_of_key(key: np.ndarray, k: int) -> np.ndarray:
+    """Whether a row is among the first ``k`` of its key."""
+    order = np.argsort(key, kind="stable")
+    same = key[order]
+    low = np.searchsorted(same, same)
+    keep = np.empty(len(key), bool)
+    keep[order] = np.arange(len(key)) - low < k
+    return keep
+
+
+def _top(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question row, vector row, score) of the ``k`` best vectors of each question: by score (NaN first), then by
+    row. A matrix product chooses whom to score, allowing for its rounding; scores are the sums of ``_dot``."""
+    rows = np.arange(len(v))
+    if v.shape[1]:      # equal vectors tie everywhere, so the first k of them are enough
+        raw = np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel()
+        rows = rows[_first_of_key(np.unique(raw, return_inverse=True)[1].ravel(), k)]
+    else:
+        rows = rows[:k]
+    v, step, found = v[rows], max(1, SCORES_AT_ONCE // max(1, len(rows))), []
+    for low in range(0, len(q), step):
+        part = q[low:low + step]
+        near = part @ v.T
+        near[np.isnan(near)] = np.inf
+        a, b = np.nonzero(near >= (np.partition(near, -k, axis=1)[:, -k, None] - ROUNDING)) if len(v) > k else \
+            tuple(x.ravel() for x in np.indices(near.shape))
+        score = np.zeros(len(a))
+        for d in range(v.shape[1]):
+            score += v[b, d] * part[a, d]
+        order = np.lexsort((b, np.where(np.isnan(score), -np.inf, -score), a))
+        order = order[_first_of_key(a[order], k)]
+        found.append((a[order] + low, rows[b[order]], score[order]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(v: pa.Table, q: pa.Table) -> pa.Table:
+        qi, vi, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if v.num_rows and q.num_rows:
+            v = v.sort_by("id") if not v["id"].null_count else pa.concat_tables(
+                [v.filter(v["id"].is_null()), v.filter(v["id"].is_valid()).sort_by("id")])
+            vectors, asked = _matrices(v["_v"]), _matrices(q["_q"])
+            none = np.arange(q.num_rows)
+            for n, (at, m) in asked.items():
+                if n in vectors:
+                    rows, x = vectors[n]
+                    a, b, s = _top(m, x, k)
+                    qi, vi, scores = qi + [at[a]], vi + [rows[b]], scores + [s]
+                    # Vectors without a score come after those with one, by id.
+                    rest = np.setdiff1d(np.arange(v.num_rows), rows)[:max(0, k - len(rows))]
+                    qi, vi = qi + [np.repeat(at, len(rest))], vi + [np.tile(rest, len(at))]
+                    scores.append(np.full(len(at) * len(rest), -np.inf))
+                    none = np.setdiff1d(none, at)
+            first = min(k, v.num_rows)
+            qi, vi = qi + [np.repeat(none, first)], vi + [np.tile(np.arange(first), len(none))]
+            scores.append(np.full(len(none) * first, -np.inf))
+        score = np.concatenate(scores)
+        got = v.select(["id", "metadata"]).take(pa.array(np.concatenate(vi)))
+        return (got.append_column("question_id", q["question_id"].take(pa.array(np.concatenate(qi))))
+                .append_column("score", pa.array(score, pa.float64(), mask=np.isneginf(score), from_pandas=False)))
+    return run
+
+
+def best_in_blocks(v: DataFrame, questions: DataFrame, block: Sequence[str], k: int) -> DataFrame:
+    """(id, metadata, question_id, score): of the vectors (id, metadata, _v) of a block the ``k`` best, by score
+    and id, for each of its questions (question_id, _q). A block's vectors and questions meet in one task;
+    the caller bounds their number."""
+    ship_package(v.sparkSession)
+    fields = [v.schema["id"], v.schema["metadata"], questions.schema["question_id"], T.StructField("score", T.DoubleType())]
+    left = v.select("id", "metadata", "_v", *block).groupBy(*block)
+    return left.cogroup(questions.select("question_id", "_q", *block).groupBy(*block)).applyInArrow(
+        _best(k), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+
+
 def similar_sessions(v: DataFrame, questions: DataFrame, k: int = SIMILAR_TOP_K,
                      start: int | None = None, per_user: bool = False) -> DataFrame:
     """K3: top-``k`` vectors by cosine per question (ties by id), after the metadata
     filter ``timestamp >= start``. ``questions``: (question_id, query_vec[, user_id]).
 
     ``per_user=True`` matches each question with the vectors of its ``user_id`` only
-    (equi-join); otherwise the question set is dealt into blocks by id, each block is one row
-    holding at most about ``QUESTION_BLOCK`` questions, every vector meets every block once, and
-    the scores of a block are taken in one expression. Vectors and questions are normalised once,
-    so a score is one dot product.
+    (equi-join); otherwise questions and vectors are dealt into blocks by hash, every block of the one
+    meets every block of the other in a group of its own, and a group gives ``k`` rows a question. What is
+    shuffled is a vector for each block of questions and a question for each block of vectors, not the
+    pairs. Vectors and questions are normalised once, so a score is one dot product.
     """
     vv = v if start is None else v.filter(F.col("metadata.timestamp") >= F.lit(start))
     vv = vv.select("id", "metadata", _unit(F.col("values")).alias("_v"))
@@ -137,13 +239,12 @@ def similar_sessions(v: DataFrame, questions: DataFrame, k: int = SIMILAR_TOP_K,
         x = x.withColumn("score", _dot(F.col("_v"), F.col("_q")))
         extra = ["question_id", "user_id"]
     else:
-        blocks = max(1, -(-questions.count() // QUESTION_BLOCK))
-        packed = (qs.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("_b"))
-                  .agg(F.collect_list(F.struct("question_id", "_q")).alias("_qs")))
-        x = vv.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).join(packed, "_b")
-        x = x.select("id", "metadata", F.explode(F.transform("_qs", lambda q: F.struct(
-            q["question_id"].alias("question_id"), _dot(F.col("_v"), q["_q"]).alias("score")))).alias("_m"))
-        x = x.select("id", "metadata", "_m.question_id", "_m.score")
+        across, down = question_blocks(questions), max(1, -(-vv.select("id").count() // VECTOR_BLOCK))
+        vv = vv.withColumn("_r", F.pmod(F.xxhash64("id", "metadata", "_v"), F.lit(down)).cast("int"))
+        vv = vv.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        qs = qs.select("question_id", "_q", question_block(across).alias("_b"),
+                       F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_r"))
+        x = best_in_blocks(vv, qs, ["_r", "_b"], k)
         extra = ["question_id"]
     x = top_n(x, k, [F.col("score").desc(), F.col("id")], ["question_id"], rank_col="rank")
     return _flatten_match(x, extra + ["rank"])

@@ -7,7 +7,8 @@
 * ``build`` writes every vector, normalised, below its nearest direction (``list=``), so that a search
   reads the probed lists only. A list comes in parts of about ``PART_ROWS`` rows: copies of one vector,
   however many, are spread over tasks.
-* ``search`` joins questions with the parts of their lists and keeps the best ``k`` by exact cosine. With
+* ``search`` brings the parts of a list together with the questions that probe it, in blocks of questions; each such
+  group gives ``k`` rows a question, by exact cosine, so pairs are neither shuffled nor sorted. With
   ``exact=True`` a second round probes every list that could still hold a match better than a question's k-th: a
   list's vectors lie within a known angle of its direction, which bounds their cosine. Its result is that of
   ``retrieval.similar_sessions`` on vectors that have a direction.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tabtrail.constants import SIMILAR_TOP_K
-from tabtrail.operators.retrieval import _dot, _flatten_match, _unit
+from tabtrail.operators.retrieval import _flatten_match, _unit, best_in_blocks, question_block, question_blocks
 from tabtrail.operators.stats import top_n
 from tabtrail.session import checkpoint_dir
 
@@ -35,7 +36,7 @@ SAMPLE = 8192
 MOST_LISTS = 4096
 CALIBRATE = 128
 ROUNDS = 10
-PART_ROWS = 65_536
+PART_ROWS = 8192
 #: Rounding of the bound: a list is left out only if it is worse by more than this.
 SLACK = 1e-9
 
@@ -140,15 +141,17 @@ def build(v: DataFrame, model: IndexModel, path: str) -> DataFrame:
     return index
 
 
-def _round(index: DataFrame, lists: DataFrame, wanted: DataFrame, k: int, start: int | None) -> DataFrame:
+def _round(index: DataFrame, lists: DataFrame, wanted: DataFrame, blocks: int, k: int, start: int | None) -> DataFrame:
     """The best ``k`` rows of each question's lists (question_id, _q, list)."""
     x = index if start is None else index.filter(F.col("metadata.timestamp") >= F.lit(start))
-    x = x.join(lists.select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    probed = F.broadcast(wanted.select("list", question_block(blocks).alias("_b")).distinct())
+    x = x.join(probed, "list").join(lists.select("list", "parts"), "list").select(
+        "id", "metadata", "_v", "list", "_b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     dealt = wanted.join(lists.select("list", "parts"), "list").select(
-        "question_id", "_q", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    scored = x.join(dealt, ["list", "part"]).select(
-        "id", "metadata", "question_id", _dot(F.col("_v"), F.col("_q")).alias("score"))
-    return top_n(scored, k, [F.col("score").desc(), F.col("id")], ["question_id"], rank_col="rank")
+        "question_id", "_q", "list", question_block(blocks).alias("_b"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return top_n(best_in_blocks(x, dealt, ["list", "part", "_b"], k), k, [F.col("score").desc(), F.col("id")],
+                 ["question_id"], rank_col="rank")
 
 
 def search(index: DataFrame, model: IndexModel, questions: DataFrame, k: int = SIMILAR_TOP_K, start: int | None = None,
@@ -160,15 +163,17 @@ def search(index: DataFrame, model: IndexModel, questions: DataFrame, k: int = S
     qs = (with_unit(questions.select("question_id", "query_vec"), "query_vec", model.directions.shape[1])
           .select("question_id", F.col("_v").alias("_q")).withColumn("_l", _probed(model.directions)("_q")))
     lists, probes = model.lists(index.sparkSession), max(1, probes or model.probes)
-    best = _round(index, lists, qs.select("question_id", "_q", F.explode(F.slice("_l", 1, probes)["list"]).alias("list")), k, start)
+    blocks = question_blocks(questions)
+    best = _round(index, lists, qs.select("question_id", "_q", F.explode(F.slice("_l", 1, probes)["list"]).alias("list")), blocks, k, start)
     if exact:
         kth = best.filter(F.col("rank") == k).select("question_id", F.col("score").alias("_kth"))
-        rest = qs.select("question_id", "_q", F.explode(F.slice("_l", probes + 1, len(model.directions))).alias("_p"))
-        rest = rest.select("question_id", "_q", "_p.list", "_p.near").join(kth, "question_id", "left").join(lists, "list")
+        rest = qs.join(kth, "question_id", "left").select(
+            "question_id", "_q", "_kth", F.explode(F.slice("_l", probes + 1, len(model.directions))).alias("_p"))
+        rest = rest.select("question_id", "_q", "_kth", "_p.list", "_p.near").join(lists, "list")
         angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("near")))) - F.col("width")
         bound = F.cos(F.greatest(F.lit(0.0), angle)) + SLACK
         more = rest.filter(F.col("_kth").isNull() | (bound >= F.col("_kth"))).select("question_id", "_q", "list")
-        both = best.drop("rank").unionByName(_round(index, lists, more, k, start).drop("rank"))
+        both = best.drop("rank").unionByName(_round(index, lists, more, blocks, k, start).drop("rank"))
         best = top_n(both, k, [F.col("score").desc(), F.col("id")], ["question_id"], rank_col="rank")
     return _flatten_match(best, ["question_id", "rank"])
 
