@@ -114,7 +114,7 @@ SELECT id, user_id, url, title, timestamp, duration FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, id DESC) AS rn
   FROM chunks) WHERE rn <= 500"""))
 def q_last_n_per_user(spark, d):
-    return cp.last_n_per_user(fx.chunks(spark, d))
+    return cp.last_n_per_user(fx.spread_chunks(spark, d))
 
 
 # The oracle folds each island chunk by chunk in a recursive CTE whose state is the

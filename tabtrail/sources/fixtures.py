@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabtrail.constants import AUTOSAVE_MS, CHUNK_ID_FACTOR, MIN_CHUNK_MS
+from tabtrail.constants import AUTOSAVE_MS, CHUNK_ID_FACTOR, DAY_MS, MIN_CHUNK_MS
 from tabtrail.functions.formats import idiv
 from tabtrail.functions.time import ntz_literal, ntz_to_ms
 from tabtrail.sources.catalog import N_SITES, SITES
@@ -21,6 +21,7 @@ EPOCH_2024_MS = 1704067200000      # 2024-01-01T00:00:00Z
 FIXED_NOW_MS = 1706659200000       # 2024-01-31T00:00:00Z
 TODAY_START_MS = 1705276800000     # 2024-01-15T00:00:00Z
 TODAY_END_MS = 1705363199999       # 2024-01-15T23:59:59.999Z
+SESSIONS_A_PART = 50_000
 TAB_TIME_COMPRESSION = 200         # tab events: gaps of minutes, not hours
 
 EVENT_KIND = {"click": "activated", "purchase": "activated", "view": "url_updated",
@@ -127,6 +128,15 @@ def chunks(spark: SparkSession, base: str, url_variant: bool = False) -> DataFra
     return expand_chunks(sessions(spark, base), url_variant)
 
 
+def spread_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of ``chunks`` for scans that sort them: sessions are dealt by user and 32 days into parts of about
+    ``SESSIONS_A_PART`` before they become many chunks each, so a task's rows do not follow the size of a file's split."""
+    s = sessions(spark, base)
+    parts = max(8, -(-s.count() // SESSIONS_A_PART))
+    span = idiv(F.col("timestamp"), 32 * DAY_MS)
+    return expand_chunks(s.repartition(parts, F.pmod(F.xxhash64("user_id", span), F.lit(parts))))
+
+
 def tab_events(spark: SparkSession, base: str) -> DataFrame:
     """Raw tab events: event_id, user_id, ts_ms, kind, tab_id, url, title."""
     ev = _events(spark, base).withColumn("_site", site_id(F.col("props")))

@@ -60,3 +60,25 @@ def test_pairs_are_not_shuffled(spark):
     p = rt.similar_sessions(v, v.where("id < 50").select(F.col("id").alias("question_id"), F.col("values").alias("query_vec")))
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "Join" not in plan
+
+
+def test_spread_chunks_are_the_chunks(spark, tmp_path, monkeypatch):
+    """The same rows, repeated and null keys too, and no part grows with a file's split."""
+    from tabtrail.sources import fixtures as fx
+    rows = [(i // 2, i % 40 if i % 7 else None, 60.0 + i % 300, f'{{"k": {i}}}') for i in range(4000)] + [(None, 1, None, None)] * 3
+    x = spark.createDataFrame(rows, "event_id long, user_id long, value double, props string").select(
+        "event_id", F.timestamp_seconds(F.lit(1704067200) + F.coalesce("event_id", F.lit(0)) * 600).cast("timestamp_ntz").alias("ts"),
+        "user_id", F.lit("view").alias("event_type"), "value", "props")
+    x.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(fx, "SESSIONS_A_PART", 200)
+    plain, spread = fx.chunks(spark, str(tmp_path)), fx.spread_chunks(spark, str(tmp_path))
+    assert spread.exceptAll(plain).count() == plain.exceptAll(spread).count() == 0 < plain.count()
+    assert plain.rdd.getNumPartitions() == 1 and spread.rdd.getNumPartitions() == 21
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < plain.count() / 3
+
+
+def test_last_n_sorts_spread_chunks(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["last_n_per_user"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
